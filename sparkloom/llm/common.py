@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step handles at a time; a longer single text is its own step.
 STEP_BYTES = 2_000_000
@@ -35,6 +36,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def widened(df: DataFrame, added: str) -> StructType:
+    """The schema of ``df`` with the columns of a DDL string after its own."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, jaccard, packing, passages, sstable
+from sparkloom.llm import decontaminate, jaccard, language, media, packing, passages, quality, sample, sstable, wordpiece
 from sparkloom.llm.common import shared_path
 
 
@@ -16,6 +17,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,22 +38,50 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(shards)
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as a stored media column, sniffed and described."""
+    return media.described(media.sniff(media.stored_texts(_table(spark, sf_dir, "documents"))))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those outside the held-out third."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = sample.remainder("doc_id", 3) == 1
+    model = language.train(docs, F.when(~held, F.col("lang")))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all documents at a Jaccard similarity of 0.8 on five-word n-grams."""
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy piece counts of all documents."""
+    return wordpiece.count(_table(spark, sf_dir, "documents"), pieces_file())
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs and passages of all documents that an earlier document has."""
     return passages.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents, learned from labels outside the held-out quarter."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = sample.remainder("doc_id", 4) == 2
+    marks = _table(spark, sf_dir, "labels").where(~held & F.col("quality").isNotNull()).select("doc_id", "quality")
+    model = quality.train(docs.join(marks, "doc_id"), F.col("quality"))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_shards, op6_ngram_jaccard, op8_substring_dedup, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_media, op4_language, op6_ngram_jaccard, op7_token_counts, op8_substring_dedup, op9_quality, op10_packing)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
