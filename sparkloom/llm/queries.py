@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, jaccard, language, media, packing, passages, quality, sample, sstable, wordpiece
+from sparkloom.llm import decontaminate, html, jaccard, language, media, packing, passages, quality, sample, sstable, wordpiece
 from sparkloom.llm.common import shared_path
 
 
@@ -52,6 +52,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all documents at a Jaccard similarity of 0.8 on five-word n-grams."""
     return jaccard.join(_table(spark, sf_dir, "documents"))
@@ -81,7 +86,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_media, op4_language, op6_ngram_jaccard, op7_token_counts, op8_substring_dedup, op9_quality, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_media, op4_language, op5_main_text, op6_ngram_jaccard, op7_token_counts, op8_substring_dedup, op9_quality, op10_packing)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
