@@ -170,7 +170,8 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     found = stored(units(docs, bands_for(similarity, recall, most_hashes), paragraph_words, run_words, window_words, n), "paragraphs")
     windows, lines = found.where("size(bands) = 0"), found.where("size(bands) > 0")
 
-    again = windows.groupBy("node", "check").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("top")).where("kept_in < top").drop("top")
+    # Written, so that the join below has a shuffle on both sides, whose hot keys Spark can split.
+    again = stored(windows.groupBy("node", "check").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("top")).where("kept_in < top").drop("top"), "windows")
     from_windows = windows.join(again, ["node", "check"]).where("doc_id <> kept_in").select("doc_id", "start", "n", "kept_in")
 
     classes = stored(lines.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("top"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "lines")
@@ -183,7 +184,7 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     kept = links.join(classes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("kept"))
     linked = links.join(kept, "label").select("node", "kept")
     # A paragraph stays in the smallest document of its component, or of its class where it's linked to no other.
-    fate = classes.select("node", "doc_id", "top").join(linked, "node", "left").select("node", F.coalesce("kept", "doc_id").alias("kept_in"), "top").where("kept_in < top").drop("top")
+    fate = stored(classes.select("node", "doc_id", "top").join(linked, "node", "left").select("node", F.coalesce("kept", "doc_id").alias("kept_in"), "top").where("kept_in < top").drop("top"), "fates")
     from_lines = lines.select("doc_id", "start", "n", "node").join(fate, "node").where("doc_id <> kept_in").select("doc_id", "start", "n", "kept_in")
     return from_lines.unionByName(from_windows)
 
