@@ -77,7 +77,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     linked = found.join(classes.select("node", "copy_of"), "node").withColumnRenamed("weight", "linked")
     names = linked.groupBy("label").agg(F.min("copy_of").alias("class_id"))
     linked = linked.join(names, "label").select("node", "class_id", "linked")
-    by_class = classes.select("node", "copy_of", "weight").join(linked, "node", "left")
+    # Written, so that the join below has a shuffle on both sides, whose hot classes Spark can split.
+    by_class = stored(classes.select("node", "copy_of", "weight").join(linked, "node", "left"), "by-class")
     out = signed.drop("bands", "n_grams").join(by_class, "node", "left")
     return out.select(
         "doc_id",
