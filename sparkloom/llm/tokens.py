@@ -21,7 +21,7 @@ from sparkloom.llm.common import STEP_BYTES
 
 END_ID = 1
 #: Words in a Python worker's memo; when full it starts anew. It changes speed only.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 400_000
 #: Code points that are split here: all are their own composed form.
 LATIN = 0x250
 #: U+0130, whose lower case is two characters.

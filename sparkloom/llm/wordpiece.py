@@ -22,7 +22,7 @@ from sparkloom.llm.tokens import span_hashes
 
 START = "▁"
 #: Words in a Python worker's memo; when full it starts anew. It changes speed only.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 400_000
 
 
 def vocabulary(path: str) -> list[str]:
