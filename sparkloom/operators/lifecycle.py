@@ -57,8 +57,8 @@ def merged_catalogs(builtin: DataFrame, custom: DataFrame, key: str) -> DataFram
 
 def changes(found: DataFrame, known: DataFrame, key: str, value: str) -> DataFrame:
     """(key, action): what to insert, update or delete so that ``known`` becomes ``found``."""
-    both = found.select(key, F.col(value).alias("new")).withColumn("f", F.lit(True)).join(known.select(key, F.col(value).alias("old")).withColumn("k", F.lit(True)), key, "full")
-    action = F.when(F.col("k").isNull(), "insert").when(F.col("f").isNull(), "delete").when(~F.col("new").eqNullSafe(F.col("old")), "update").otherwise("keep")
+    both = found.select(key, F.col(value).alias("__new")).withColumn("__found", F.lit(True)).join(known.select(key, F.col(value).alias("__old")).withColumn("__known", F.lit(True)), key, "full")
+    action = F.when(F.col("__known").isNull(), "insert").when(F.col("__found").isNull(), "delete").when(~F.col("__new").eqNullSafe(F.col("__old")), "update").otherwise("keep")
     return both.select(key, action.alias("action"))
 
 

@@ -152,7 +152,7 @@ def hybrid(docs: DataFrame, texts: DataFrame, rows: DataFrame, queries: DataFram
 
 def grade(score: Column) -> Column:
     """1 to 5 from a score in 0..1; 3 where there is none."""
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(5), F.ceil(score * 5))).cast("int"), F.lit(3))
+    return F.when(score.isNull(), 3).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), F.ceil(score * 5)))).cast("int")
 
 
 def graded(candidates: DataFrame, k: int) -> DataFrame:
