@@ -23,7 +23,7 @@ def _whole(docs: DataFrame) -> Column:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages of ``lang``; rows without text or letters, and undecided ones, go."""
-    model = language.train(docs, F.col("lang"))
+    model = language.train(docs, docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")))
     found = language.predict(docs.select(_whole(docs), "text"), model)
     kept = (F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
     return found.where(kept).select("row.*")

@@ -17,11 +17,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import steps, widened
-from sparkloom.llm.sample import labelled_sample
+from sparkloom.llm.sample import label_counts, labelled_sample
 
 PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
 UNKNOWN = "und"
@@ -106,9 +106,10 @@ class Model:
         return near.argmax(axis=1), top[:, -1], top[:, -1] - top[:, -2]
 
 
-def train(docs: DataFrame, label: Column, *, id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """``label``: the language, or null for rows not to be learned from."""
-    return Model(labelled_sample(docs, label, id_col=id_col, text_col=text_col, per_label=per_language, most_chars=sample_chars))
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """``labels``: id, label (the language; null rows aren't learned from). Languages are counted and ids chosen without texts."""
+    labels = labels.select("id", F.col("label").cast("string").alias("label"))
+    return Model(labelled_sample(docs, labels, label_counts(labels), id_col=id_col, text_col=text_col, per_label=per_language, most_chars=sample_chars))
 
 
 def _answers(texts: list[str | None], model: Model, ambiguous_within: float) -> tuple[list, list, list]:

@@ -45,9 +45,9 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those outside the held-out third."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _table(spark, sf_dir, "documents")
     held = sample.remainder("doc_id", 3) == 1
-    model = language.train(docs, F.when(~held, F.col("lang")))
+    model = language.train(docs, docs.where(~held).select(F.col("doc_id").alias("id"), F.col("lang").alias("label")))
     found = language.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
@@ -76,8 +76,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of all documents, learned from labels outside the held-out quarter."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held = sample.remainder("doc_id", 4) == 2
-    marks = _table(spark, sf_dir, "labels").where(~held & F.col("quality").isNotNull()).select("doc_id", "quality")
-    model = quality.train(docs.join(marks, "doc_id"), F.col("quality"))
+    model = quality.train(docs, _table(spark, sf_dir, "labels").where(~held).select(F.col("doc_id").alias("id"), F.col("quality").alias("label")))
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 

@@ -6,18 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, label: Column, *, id_col: str, text_col: str, per_label: int, most_chars: int) -> list[tuple[str, str]]:
-    """(label, text) of up to ``per_label`` documents a label, those whose ids hash lowest among texts of up to ``most_chars`` characters; nulls are out.
+def label_counts(labels: DataFrame) -> dict[str, int]:
+    """Rows of each label of (id, label), label as text."""
+    return {r["label"]: r["count"] for r in labels.where("label is not null and id is not null").groupBy("label").count().collect()}
 
-    The ranks are found without the texts and cut before the shuffle; the texts of the chosen rows alone reach the driver, at most
-    labels x ``per_label`` x ``most_chars`` characters.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, counts: dict[str, int], *, id_col: str, text_col: str, per_label: int, most_chars: int) -> list[tuple[str, str]]:
+    """(label, text) of the ``per_label`` documents a label whose ids hash lowest; of these, nulls and texts of more than ``most_chars`` characters are left out.
+
+    ``labels``: id, label (text). Ids are chosen without texts: a threshold on the hash, from the label's count, leaves some four times ``per_label`` rows a label for
+    the exact ranks. The texts of the chosen ids alone reach the driver, at most labels x ``per_label`` x ``most_chars`` characters.
     """
-    rows = docs.select(F.col(id_col).alias("id"), label.cast("string").alias("label"), F.col(text_col).alias("text"))
-    fit = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    hashed = fit.select("id", "label", F.xxhash64("id").alias("h"))
-    chosen = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("rank") <= per_label)
-    found = fit.join(F.broadcast(chosen.select("id", "label", "rank").distinct()), ["id", "label"]).select("label", "rank", "id", "text").collect()
-    return [(r["label"], r["text"]) for r in sorted(found, key=lambda r: (r["label"], r["rank"], r["id"], r["text"]))]
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, 4.0 * per_label / n)])
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    near = labels.where(F.col("label").isNotNull() & F.col("id").isNotNull()).withColumn("h", place).where(F.col("h") < F.element_at(share, F.col("label")))
+    chosen = near.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("rank") <= per_label)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= most_chars))
+    found = texts.join(F.broadcast(chosen), "id").select("label", "rank", "text").collect()
+    return [(r["label"], r["text"]) for r in sorted(found, key=lambda r: (r["label"], r["rank"], r["text"]))]
 
 
 def remainder(id_col: str, n: int) -> Column:
