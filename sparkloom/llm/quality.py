@@ -113,64 +113,6 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return Model(labelled_sample(docs, labels, counts, id_col=id_col, text_col=text_col, per_label=per_label, most_chars=sample_chars), counts, **how)
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return self._curve(self._design(x) @ self.weight)
-
-
-class Model:
-    """What scoring needs: dictionaries and curve, or a constant. ``shares``: how many labelled rows there are of each label; unset: as in the sample."""
-
-    def __init__(self, sample: list[tuple[str, str]], shares: dict[str, int] | None = None, *, dictionary_bytes: int = DICTIONARY_BYTES, piece_bytes: int = PIECE_BYTES, level: int = LEVEL):
-        by = {y: [t.encode() for label, t in sample if label == y] for y in ("1", "0")}
-        self.constant = None
-        if not by["1"] or not by["0"]:
-            self.constant = 0.5 if not sample else float(bool(by["1"]))
-            return
-        trained = lambda of: (dictionary(of("1"), dictionary_bytes, piece_bytes), dictionary(of("0"), dictionary_bytes, piece_bytes), piece_bytes, level)
-        sizes, truth = [], []
-        for half in (0, 1):
-            known = Sizes(*trained(lambda y, half=half: by[y][1 - half :: 2] or by[y]))
-            for y in by:
-                sizes += [known.of(t) for t in by[y][half::2]]
-                truth += [float(y)] * len(by[y][half::2])
-        shares = shares or {y: len(by[y]) for y in by}
-        each = {float(y): shares[y] / len(by[y]) for y in by}
-        weight = np.array([each[y] for y in truth])
-        self.curve = Logistic(features(np.array(sizes, float)), np.array(truth), weight / weight.mean())
-        self.how = trained(by.__getitem__)
-
-
-def train(docs: DataFrame, label: Column, *, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS, **how) -> Model:
-    """``label``: 1 (good), 0 (bad) or null (not to be learned from)."""
-    shares = {r["y"]: r["count"] for r in docs.where(F.col(text_col).isNotNull()).groupBy(label.cast("string").alias("y")).count().collect() if r["y"] in ("0", "1")}
-    return Model(labelled_sample(docs, label, id_col=id_col, text_col=text_col, per_label=per_label, most_chars=sample_chars), shares, **how)
-
-
-def score(self, x: np.ndarray) -> np.ndarray:
-        return self._curve(self._design(x) @ self.weight)
-
-
-class Model:
-    """What scoring needs: dictionaries and curve, or a constant."""
-
-    def __init__(self, sample: list[tuple[str, str]], *, dictionary_bytes: int = DICTIONARY_BYTES, piece_bytes: int = PIECE_BYTES, level: int = LEVEL):
-        by = {y: [t.encode() for label, t in sample if label == y] for y in ("1", "0")}
-        self.constant = None
-        if not by["1"] or not by["0"]:
-            self.constant = 0.5 if not sample else float(bool(by["1"]))
-            return
-        self.how = (dictionary(by["1"][::2], dictionary_bytes, piece_bytes), dictionary(by["0"][::2], dictionary_bytes, piece_bytes), piece_bytes, level)
-        known = Sizes(*self.how)
-        rest = [(known.of(t), float(y)) for y in by for t in by[y][1::2] or by[y]]
-        # The sample holds as many of either label; the curve should know their shares only where the caller says so.
-        self.curve = Logistic(features(np.array([r[0] for r in rest], float)), np.array([r[1] for r in rest]))
-
-
-def train(docs: DataFrame, label: Column, *, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS, **how) -> Model:
-    """``label``: 1 (good), 0 (bad) or null (not to be learned from)."""
-    return Model(labelled_sample(docs, label, id_col=id_col, text_col=text_col, per_label=per_label, most_chars=sample_chars), **how)
-
-
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", good_from: float = GOOD_FROM) -> DataFrame:
     """A row per document: doc_id, score, predicted."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
