@@ -13,7 +13,8 @@ def test_matches_sql(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).count() > 0
+    folder = sf.replace("0.001", "0.01") if name == "raptor_retrieve" else sf  # few documents there, and none of them has a tree
+    assert registry.QUERIES[name](spark, folder).count() > 0
 
 
 def test_entry(spark):
