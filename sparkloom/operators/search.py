@@ -123,13 +123,20 @@ def cells(rows: DataFrame, *, ident: str = "vec_id", vector: str = "embedding",
     return now, centroids
 
 
-def search_cells(members: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, *, probes: int = PROBES) -> DataFrame:
-    """Quantized search over the ``probes`` nearest cells of each query; ``members``: id, vector, cell."""
+def search_cells(members: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, *, probes: int = PROBES, rescored: int = 0) -> DataFrame:
+    """Quantized search over the ``probes`` nearest cells of each query; ``members``: id, vector, cell.
+
+    With ``rescored``, the best ``rescored`` x k by quantized score are put in order by their full vectors.
+    """
     near = F.broadcast(queries.select("query", "vector")).crossJoin(F.broadcast(centroids))
     near = near.select("query", F.col("vector").alias("qv"), F.col("cell").alias("id"), F.round(vectors.dot(F.col("vector"), F.col("c")), 6).alias("score"))
     probed = top(near, probes).select("query", "qv", F.col("id").alias("cell"))
     pairs = members.select("id", "cell", vectors.quantized(F.col("vector")).alias("z")).join(F.broadcast(probed), "cell")
-    return top(pairs.select("query", "id", F.round(vectors.quantized_dot(F.col("z.q"), F.col("z.scale"), F.col("qv")), 6).alias("score")), k)
+    rough = top(pairs.select("query", "id", F.round(vectors.quantized_dot(F.col("z.q"), F.col("z.scale"), F.col("qv")), 6).alias("score")), max(1, rescored) * k)
+    if not rescored:
+        return rough
+    full = members.select("id", F.col("vector").alias("v")).join(F.broadcast(rough.select("query", "id")), "id").join(F.broadcast(queries.select("query", "vector")), "query")
+    return top(full.select("query", "id", F.round(vectors.dot(F.col("v"), F.col("vector")), 6).alias("score")), k)
 
 
 # Fusion, grading, context

@@ -22,3 +22,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["query", "id", "score", "rank", "title"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_recall_of_cells(spark, sf):
+    folder = sf.replace("0.001", "0.01")
+    exact, found = ({(r["query"], r["id"]) for r in registry.QUERIES[name](spark, folder).collect()} for name in ("vector_topk_dot", "ivf_search_wide"))
+    assert len(exact & found) >= 0.9 * len(exact)
