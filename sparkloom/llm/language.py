@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import steps, widened
+from sparkloom.llm.common import widened
 from sparkloom.llm.sample import label_counts, labelled_sample
 
 PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
 UNKNOWN = "und"
+#: Characters that are taken apart at a time.
+STEP_CHARS = 400_000
 _CELLS = 1 << 17
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 32 for b in range(256))
@@ -113,6 +115,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def _answers(texts: list[str | None], model: Model, ambiguous_within: float) -> tuple[list, list, list]:
+    """Languages, scores and flags of texts, of which no more than ``STEP_CHARS`` characters (or one text) are taken apart at a time."""
+    whole: tuple[list, list, list] = ([], [], [])
+    step: list[str | None] = []
+    size = 0
+    for text in texts:
+        if step and size + len(text or "") > STEP_CHARS:
+            for out, part in zip(whole, _step(step, model, ambiguous_within), strict=True):
+                out += part
+            step, size = [], 0
+        step.append(text)
+        size += len(text or "")
+    for out, part in zip(whole, _step(step, model, ambiguous_within), strict=True):
+        out += part
+    return whole
+
+
+def _step(texts: list[str | None], model: Model, ambiguous_within: float) -> tuple[list, list, list]:
     lettered = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
     named, scores, close = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
     if not model.languages:
@@ -121,24 +140,24 @@ def _answers(texts: list[str | None], model: Model, ambiguous_within: float) ->
         for k in lettered:
             named[k], scores[k], close[k] = model.languages[0], 1.0, False
         return named, scores, close
+    if not lettered:
+        return named, scores, close
     plain = [letters(texts[k]) for k in lettered]
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in plain])]).astype(np.int64)
-    whole = np.frombuffer(b"".join(plain), np.uint8)
-    for i, j in steps(ends):
-        cells = grams(whole[ends[i] : ends[j]])
-        half = len(cells) // 2
-        # A gram belongs to the text that it ends in; those over two texts are left out.
-        first = ends[i:j] - ends[i]
-        length = np.diff(ends[i : j + 1]) - 2
-        known = model.weights[cells[:half]] + model.weights[cells[half:]]
-        for over in (first[1:] - 2, first[1:] - 1):
-            known[over[(over >= 0) & (over < half)]] = 0
-        have = np.flatnonzero(length > 0)
-        margins = np.zeros((j - i, model.code.shape[1]))
-        margins[have] = np.add.reduceat(known, first[have], axis=0, dtype=np.float64) / (2 * length[have])[:, None]
-        best, score, lead = model.decode(margins)
-        for k, b, s, a in zip(lettered[i:j], best.tolist(), score.tolist(), lead.tolist(), strict=True):
-            named[k], scores[k], close[k] = model.languages[b], s, a < ambiguous_within
+    length = np.array([len(p) for p in plain]) - 2
+    first = np.concatenate([[0], np.cumsum(length + 2)[:-1]]).astype(np.int64)
+    cells = grams(np.frombuffer(b"".join(plain), np.uint8))
+    half = len(cells) // 2
+    # A gram belongs to the text that it begins in; those that run over into the next are left out.
+    known = model.weights[cells[:half]]
+    known += model.weights[cells[half:]]
+    for over in (first[1:] - 2, first[1:] - 1):
+        known[over[(over >= 0) & (over < half)]] = 0
+    have = np.flatnonzero(length > 0)
+    margins = np.zeros((len(lettered), model.code.shape[1]))
+    margins[have] = np.add.reduceat(known, first[have], axis=0, dtype=np.float64) / (2 * length[have])[:, None]
+    best, score, lead = model.decode(margins)
+    for k, b, s, a in zip(lettered, best.tolist(), score.tolist(), lead.tolist(), strict=True):
+        named[k], scores[k], close[k] = model.languages[b], s, a < ambiguous_within
     return named, scores, close
 
 
