@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import parallelism, stored
 from sparkloom.llm.components import components
 
-BLOCK_GRAMS, BLOCK_ITEMS, COLUMNS = 1_000_000, 1_000, 4_096
+BLOCK_GRAMS, BLOCK_ITEMS, COLUMNS = 500_000, 500, 4_096
 
 
 def links_in(sets: list[np.ndarray], half: np.ndarray, within: bool, similarity: float) -> np.ndarray:
