@@ -117,4 +117,4 @@ def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
 def standardized_bands(bands: DataFrame, *, by: str = "band", value: str = "value") -> DataFrame:
     """Adds z: how many deviations (of the population, and 1e-5) a value is from its band's mean; the means are joined back, so a band of any size is dealt out."""
     stats = bands.groupBy(by).agg(F.avg(value).alias("__m"), F.sqrt(F.var_pop(value)).alias("__s"))
-    return bands.join(F.broadcast(stats), by).withColumn("z", (F.col(value) - F.col("__m")) / (F.col("__s") + 1e-5)).drop("__m", "__s")
+    return bands.join(stats, by).withColumn("z", (F.col(value) - F.col("__m")) / (F.col("__s") + 1e-5)).drop("__m", "__s")

@@ -20,10 +20,12 @@ def n_words(x: Column) -> Column:
 
 
 def truncated(turns: DataFrame, most_tokens: int = MOST_TOKENS, last: int = LAST) -> DataFrame:
-    """All turns of short conversations, the last ones of long."""
-    whole, back = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    sized = turns.withColumn("__t", F.sum(n_words(F.col("text")) * TOKENS_A_WORD).over(whole)).withColumn("__r", F.row_number().over(back))
-    return sized.where((F.col("__t") <= most_tokens) | (F.col("__r") <= last)).drop("__t", "__r")
+    """All turns of short conversations, the last ones of long. Lengths are summed before the shuffle, and ranks cut there."""
+    sizes = turns.groupBy("conv_id").agg(F.sum(n_words(F.col("text")) * TOKENS_A_WORD).alias("__tokens"))
+    short = F.coalesce(F.col("__tokens"), F.lit(0)) <= most_tokens
+    sized = turns.join(sizes, "conv_id")
+    ranked = sized.where(~short).withColumn("__rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("__rank") <= last)
+    return sized.where(short).drop("__tokens").unionByName(ranked.drop("__tokens", "__rank"))
 
 
 def titles(turns: DataFrame) -> DataFrame:

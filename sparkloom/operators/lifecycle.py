@@ -47,7 +47,7 @@ def without_tree(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def in_order(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Rows by a list of ids (rank, key): in the list's order, an id as often as it's listed, unknown ones dropped."""
-    return rows.join(F.broadcast(ids), key).orderBy("rank")
+    return rows.join(ids, key).orderBy("rank")
 
 
 def merged_catalogs(builtin: DataFrame, custom: DataFrame, key: str) -> DataFrame:
@@ -62,10 +62,11 @@ def changes(found: DataFrame, known: DataFrame, key: str, value: str) -> DataFra
     return both.select(key, action.alias("action"))
 
 
-def by_priority(rows: DataFrame, task: str) -> DataFrame:
-    """Rows whose tasks hold ``task``, by its own priority where there is one, then the row's, then the name."""
+def by_priority(rows: DataFrame, task: str, n: int) -> DataFrame:
+    """The first n rows whose tasks hold ``task``, with their rank: by its own priority where there is one, then the row's, then the name."""
     own = F.coalesce(F.try_element_at("task_priorities", F.lit(task)), F.col("priority"))
-    return rows.where(F.array_contains("tasks", task)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(own), "name")))
+    best = rows.where(F.array_contains("tasks", task)).withColumn("__own", own).orderBy(F.desc("__own"), "name").limit(n)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("__own"), "name"))).drop("__own")
 
 
 def matched_by_path(refs: DataFrame, models: DataFrame) -> DataFrame:

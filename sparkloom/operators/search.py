@@ -5,6 +5,10 @@ Queries are tables too, so many run at once: every ranking has a ``query`` colum
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from sparkloom.functions.text import answer_prompt, prefix_of_bytes, words
 from sparkloom.sources.tables import written
 
 K1, B, RRF_K, CELLS, PROBES, LEAST_FOR_CELLS, ROUNDS = 1.2, 0.75, 60, 32, 4, 128, 20
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 4096
 
 
 def top(ranked: DataFrame, k: int, *, by: str = "query", score: str = "score", ident: str = "id") -> DataFrame:
@@ -21,6 +27,14 @@ def top(ranked: DataFrame, k: int, *, by: str = "query", score: str = "score", i
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def in_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame], size: int = QUERY_BLOCK) -> DataFrame:
+    """``run`` over the stated queries, in blocks of about ``size`` by their hash: what it broadcasts stays bounded, and each block meets all rows."""
+    n = math.ceil(queries.count() / size)
+    if n <= 1:
+        return run(queries)
+    return reduce(DataFrame.unionByName, [run(queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == b)) for b in range(n)])
+
+
 # Full text
 
 
@@ -42,6 +56,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, *, ident: str = "doc_id",
     Only the queries' terms leave the scan: documents' words are cut to them before they are counted, so what is shuffled grows with the
     matches, not with the corpus.
     """
+    return in_blocks(queries, lambda block: _bm25(docs, block, k, ident, text, tokens))
+
+
+def _bm25(docs: DataFrame, queries: DataFrame, k: int, ident: str, text: str, tokens) -> DataFrame:
     wanted = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     vocabulary = F.broadcast(wanted.select("term").distinct())
     listed = docs.select(F.col(ident).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
@@ -60,15 +78,23 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, *, ident: str = "doc_id",
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, *, ident: str = "vec_id", vector: str = "embedding", similarity=vectors.dot) -> DataFrame:
     """Exact search: a stated set of query vectors (query, vector), broadcast, against all rows."""
-    pairs = rows.select(F.col(ident).alias("id"), F.col(vector).alias("v")).crossJoin(F.broadcast(queries.select("query", "vector")))
-    return top(pairs.select("query", "id", F.round(similarity(F.col("v"), F.col("vector")), 6).alias("score")), k)
+
+    def run(block: DataFrame) -> DataFrame:
+        pairs = rows.select(F.col(ident).alias("id"), F.col(vector).alias("v")).crossJoin(F.broadcast(block.select("query", "vector")))
+        return top(pairs.select("query", "id", F.round(similarity(F.col("v"), F.col("vector")), 6).alias("score")), k)
+
+    return in_blocks(queries, run)
 
 
 def nearest_quantized(rows: DataFrame, queries: DataFrame, k: int, *, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The same over int8 vectors and their scales; query vectors stay as they are."""
     small = rows.select(F.col(ident).alias("id"), vectors.quantized(F.col(vector)).alias("z"))
-    pairs = small.crossJoin(F.broadcast(queries.select("query", "vector")))
-    return top(pairs.select("query", "id", F.round(vectors.quantized_dot(F.col("z.q"), F.col("z.scale"), F.col("vector")), 6).alias("score")), k)
+
+    def run(block: DataFrame) -> DataFrame:
+        pairs = small.crossJoin(F.broadcast(block.select("query", "vector")))
+        return top(pairs.select("query", "id", F.round(vectors.quantized_dot(F.col("z.q"), F.col("z.scale"), F.col("vector")), 6).alias("score")), k)
+
+    return in_blocks(queries, run)
 
 
 def n_cells(n: Column) -> Column:
@@ -128,7 +154,11 @@ def search_cells(members: DataFrame, centroids: DataFrame, queries: DataFrame, k
 
     With ``rescored``, the best ``rescored`` x k by quantized score are put in order by their full vectors.
     """
-    near = F.broadcast(queries.select("query", "vector")).crossJoin(F.broadcast(centroids))
+    return in_blocks(queries, lambda block: _search_cells(members, centroids, block, k, probes, rescored))
+
+
+def _search_cells(members: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, probes: int, rescored: int) -> DataFrame:
+    near = queries.select("query", "vector").crossJoin(F.broadcast(centroids))
     near = near.select("query", F.col("vector").alias("qv"), F.col("cell").alias("id"), F.round(vectors.dot(F.col("vector"), F.col("c")), 6).alias("score"))
     probed = top(near, probes).select("query", "qv", F.col("id").alias("cell"))
     pairs = members.select("id", "cell", vectors.quantized(F.col("vector")).alias("z")).join(F.broadcast(probed), "cell")
@@ -174,7 +204,7 @@ def graded(candidates: DataFrame, k: int) -> DataFrame:
 def neighbours(selected: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks next to the selected ones, each once a query. ``selected``: query, doc_id, chunk_index; ``chunks``: doc_id, chunk_index, text."""
     around = selected.select("query", "doc_id", F.explode(F.array(F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("chunk_index")).distinct()
-    return chunks.join(F.broadcast(around), ["doc_id", "chunk_index"])
+    return chunks.join(around, ["doc_id", "chunk_index"])
 
 
 def context(selected: DataFrame, chunks: DataFrame, most_bytes: int = 65_536) -> DataFrame:
@@ -183,7 +213,7 @@ def context(selected: DataFrame, chunks: DataFrame, most_bytes: int = 65_536) ->
     around = around.withColumn("chunk_index", F.col("at") + F.col("step"))
     chosen = selected.select("query", "doc_id", "chunk_index", F.lit(True).alias("own"))
     wanted = around.join(chosen, ["query", "doc_id", "chunk_index"], "left").where("step = 0 or own is null").drop("own")
-    texts = chunks.select("doc_id", "chunk_index", "text").join(F.broadcast(wanted), ["doc_id", "chunk_index"])
+    texts = chunks.select("doc_id", "chunk_index", "text").join(wanted, ["doc_id", "chunk_index"])
     source = texts.groupBy("query", "rank").agg(F.array_sort(F.collect_list(F.struct("step", "text"))).alias("parts"))
     source = source.select("query", "rank", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
     whole = source.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda p: p["text"]), "\n\n").alias("context"))

@@ -191,8 +191,8 @@ def catalog_priority(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as models: size is the priority, every fourth has its own for the task."""
     p = F.col("p_partkey")
     m = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").alias("priority"), F.when(p % 3 == 0, F.array(F.lit("chat"), F.lit("embed"))).otherwise(F.array(F.lit("chat"))).alias("tasks"), F.when(p % 4 == 0, F.create_map(F.lit("embed"), (p % 90).cast("int"))).otherwise(F.create_map().cast("map<string,int>")).alias("task_priorities"))
-    order = lifecycle.by_priority(m.withColumn("name", F.concat("name", F.lit("#"), p.cast("string"))), "embed")
-    return order.where("rank <= 100").select("p_partkey", "rank")
+    order = lifecycle.by_priority(m.withColumn("name", F.concat("name", F.lit("#"), p.cast("string"))), "embed", 100)
+    return order.select("p_partkey", "rank")
 
 
 def catalog_diff(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors
-from sparkloom.operators import conversations, lifecycle, raptor, runs, search, trees
+from sparkloom.operators import conversations, lifecycle, ordered, raptor, runs, search, trees
 from sparkloom.sources import workspace
 from sparkloom.streaming import jobs
 
@@ -94,6 +94,23 @@ def test_runs(spark):
     assert [x["rate"] for x in r.orderBy("event_id").collect()] == [None, 5.0, None]
 
 
+def test_hot_keys_are_ordered_in_parts(spark):
+    rows = [(k, (i * 7919) % 1000, i % 5) for k, n in (("hot", 400), ("b", 3), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, t long, v long").dropDuplicates(["k", "t"])
+    for f in (lambda limit: ordered.with_previous(df, ["k"], ["t"], ["v", "t"], limit=limit), lambda limit: ordered.with_running_sum(df, ["k"], ["t"], "v", "s", limit=limit), lambda limit: ordered.with_row_number(df, ["k"], ["t"], "n", limit=limit)):
+        plain, parts = f(10_000), f(50)
+        assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, parts.select(*plain.columns).collect()), key=str)
+    assert ordered.with_row_number(df.limit(0), ["k"], ["t"], "n").count() == 0
+
+
+def test_queries_in_blocks(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "vec_id long, embedding array<float>")
+    q = df.selectExpr("vec_id as query", "embedding as vector")
+    whole = search.nearest(df, q, 3)
+    blocks = search.in_blocks(q, lambda b: search.nearest(df, b, 3), size=9)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, blocks.collect()))
+
+
 def test_lifecycle(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(tuple(r) for r in lifecycle.upserted(old, new, "k").collect()) == [(1, "a"), (2, "c"), (3, "d")]
