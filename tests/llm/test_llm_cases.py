@@ -239,6 +239,23 @@ def test_main_text(spark):
     assert html.extract(table.limit(0)).count() == 0
 
 
+def test_main_text_of_two_layouts(spark):
+    menu, foot = "<nav><a>Home</a></nav><div class=ad>Buy</div>", "<footer>Foot</footer>"
+    others = [
+        ("<body>{}<div class=story><h1>Head {}</h1><p>Story</p></div>{}</body>", "Head {}\nStory"),  # no article
+        ("<body>{}<article class=featured><header><h1>Head {}</h1></header><p>Own class</p></article>{}</body>", "Head {}\nOwn class"),
+        ("<body class=review>{}<p>teaser</p><div class=page><article><h1>Head {}</h1><p>Own body</p></article></div>{}</body>", "Head {}\nOwn body"),
+        ("<body>{}<article></article><div><h1>Head {}</h1><p>Empty article</p></div>{}</body>", "Head {}\nEmpty article"),
+    ]
+    rows, want = [], {}
+    for i in range(20):  # 12 pages with an article, 8 of other layouts
+        form, text = ("<body>{}<p>teaser</p><article><h1>Head {}</h1><p>Usual</p></article>{}</body>", "Head {}\nUsual") if i < 12 else others[i % 4]
+        rows.append((i, "http://two.example/a", f"<html>{form.format(menu, i, foot)}</html>"))
+        want[i] = text.format(i)
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(table).collect()} == want
+
+
 # 6 and 8
 
 
