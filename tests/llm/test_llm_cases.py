@@ -256,6 +256,23 @@ def test_main_text_of_two_layouts(spark):
     assert {r["page_id"]: r["text"] for r in html.extract(table).collect()} == want
 
 
+@pytest.mark.parametrize("around", ["content has-sidebar", "layout-with-sidebar", "no-comments", "share-price", "job-search", "widget", "search", "sidebar"])
+def test_main_text_in_marked_wrappers(around):
+    for inner in ("<article>{}</article>", "<article class=post>{}</article>", "<main>{}</main>"):
+        body = inner.format("<div class='entry-header'><h1>Head</h1></div><div class='masthead'><p>By me</p></div><p>Body</p><div class='site-footer'>Foot</div>")
+        page = f"<html><body><nav>Home</nav><div class='left-sidebar'>Side</div><div id=wrap><div class='{around}'>{body}</div></div><div class='site-footer'>End</div></body></html>"
+        assert html.main_text(page, frozenset(n.path for n in html.nodes(page))) == "Head\nBy me\nBody"
+        assert html.main_text(page, frozenset()) == "Head\nBy me\nBody"
+
+
+def test_main_text_without_main_part():
+    for name, kept in (("job-search", True), ("has-sidebar", True), ("no-comments", True), ("share-price", True), ("left-sidebar", False), ("search", False), ("site-footer", False)):
+        page = f"<body><p>One</p><div class='{name}'>Two</div></body>"
+        assert html.main_text(page, frozenset()) == ("One\nTwo" if kept else "One")
+    page = "<body><div class=entry>Entry</div><div id=comments><article>me too</article></div></body>"
+    assert html.main_text(page, frozenset(n.path for n in html.nodes(page))) == "Entry"
+
+
 # 6 and 8
 
 
