@@ -50,13 +50,15 @@ def clusters(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id").applyInPandas(of, ASSIGNED)
 
 
-def joined_texts(text: str = "text", by: str = "id") -> Column:
-    """Members numbered and joined, cut at CLUSTER_BYTES."""
+def joined_texts(text: str = "text", by: str = "id", most: int | None = CLUSTER_BYTES) -> Column:
+    """Members numbered and joined, cut at ``most`` bytes; whole with None."""
     from sparkloom.functions.text import prefix_of_bytes
 
     parts = F.array_sort(F.collect_list(F.struct(by, text)))
     whole = F.array_join(F.transform(parts, lambda p, i: F.concat(F.lit("Document "), (i + 1).cast("string"), F.lit(":\n"), p[text])), "\n\n")
-    return F.when(F.octet_length(whole) <= CLUSTER_BYTES, whole).otherwise(F.concat(prefix_of_bytes(whole, CLUSTER_BYTES), F.lit("\n[truncated...]")))
+    if most is None:
+        return whole
+    return F.when(F.octet_length(whole) <= most, whole).otherwise(F.concat(prefix_of_bytes(whole, most), F.lit("\n[truncated...]")))
 
 
 def tree(chunks: DataFrame) -> DataFrame:

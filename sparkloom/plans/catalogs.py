@@ -119,11 +119,11 @@ def throughput(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cluster_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of each language and source, numbered and joined, cut at 4,000 bytes."""
+    """All documents in clusters of a language and 16 ids, so that none grows with the table; whole texts numbered and joined."""
     from sparkloom.operators.raptor import joined_texts
 
-    d = table(spark, sf, "documents").where("doc_id < 500").select("lang", F.col("doc_id").alias("id"), F.left("text", F.lit(120)).alias("text"))
-    return d.groupBy("lang").agg(F.md5(joined_texts()).alias("text_md5"))
+    d = table(spark, sf, "documents").select("lang", F.floor(F.col("doc_id") / 16).alias("cluster"), F.col("doc_id").alias("id"), "text")
+    return d.groupBy("lang", "cluster").agg(F.count("*").alias("n"), F.md5(joined_texts(most=None)).alias("text_md5"))
 
 
 def mind_map(spark: SparkSession, sf: str) -> DataFrame:

@@ -97,8 +97,8 @@ def signal_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_mel_shape(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings repeated to a tenth of a second of sound."""
-    e = table(spark, sf, "embeddings").where("vec_id % 50 = 0").select("vec_id", F.flatten(F.array_repeat("embedding", 25)).alias("x"))
+    """All embeddings repeated to a tenth of a second of sound."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.flatten(F.array_repeat("embedding", 25)).alias("x"))
     m = e.select("vec_id", audio.mel_features(F.col("x")).alias("m"))
     return m.select("vec_id", F.size("m").alias("n_frames"), F.size(F.element_at("m", 1)).alias("n_mels"))
 

@@ -28,3 +28,19 @@ def test_recall_of_cells(spark, sf):
     folder = sf.replace("0.001", "0.01")
     exact, found = ({(r["query"], r["id"]) for r in registry.QUERIES[name](spark, folder).collect()} for name in ("vector_topk_dot", "ivf_search_wide"))
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_cluster_texts_are_whole(spark, sf):
+    import hashlib
+
+    members = {}
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        members.setdefault((r["lang"], r["doc_id"] // 16), []).append(r["text"])
+    want = {k: (len(v), hashlib.md5("\n\n".join(f"Document {i}:\n{t}" for i, t in enumerate(v, 1)).encode()).hexdigest()) for k, v in members.items()}
+    assert {(r["lang"], r["cluster"]): (r["n"], r["text_md5"]) for r in registry.QUERIES["cluster_texts"](spark, sf).collect()} == want
+
+
+def test_log_mel_shape_of_all(spark, sf):
+    rows = registry.QUERIES["log_mel_shape"](spark, sf).collect()
+    assert sorted(r["vec_id"] for r in rows) == sorted(r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect())
+    assert len({(r["n_frames"], r["n_mels"]) for r in rows}) == 1
