@@ -6,7 +6,8 @@ Two sorts of paragraphs are looked at, over whole texts:
   a band are candidates, all pairs inside a candidate component are verified on full n-gram sets, and the verified links' components are removed together;
 * passages that don't keep to lines: windows of ``window_words`` words at anchors that the words alone decide (the smallest window hash among any
   ``run_words - window_words + 1`` successive ones), so that texts which share ``run_words`` words in a row share a window of them; these match as they are (one
-  band over the whole window, checked by a second hash).
+  band over the whole window, checked by a second hash). A match grows to both sides by the words that an earlier document has together with the window, so a shared passage of
+  ``run_words`` words or more goes whole.
 
 Of what repeats, the document of smallest id keeps its text; every other document loses it.
 
@@ -20,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import steps, stored, text_bytes
@@ -172,7 +173,8 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
 
     # Written, so that the join below has a shuffle on both sides, whose hot keys Spark can split.
     again = stored(windows.groupBy("node", "check").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("top")).where("kept_in < top").drop("top"), "windows")
-    from_windows = windows.join(again, ["node", "check"]).where("doc_id <> kept_in").select("doc_id", "start", "n", "kept_in")
+    repeated = stored(windows.select("doc_id", "start", "n", "node", "check").join(again, ["node", "check"]).where("doc_id <> kept_in"), "repeated")
+    from_windows = repeated.select("doc_id", "start", "n", "kept_in").unionByName(grown(docs, windows.select("doc_id", "start", "node", "check"), repeated, run_words, window_words))
 
     classes = stored(lines.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("top"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "lines")
     keyed = classes.select("node", F.explode("bands").alias("key"))
@@ -189,6 +191,60 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     return from_lines.unionByName(from_windows)
 
 
+def _grown(texts: DataFrame, window: int) -> DataFrame:
+    """(doc_id, edge, start, n, node, check): what lies left and right of the wanted windows (``want``) of each text, a row each for 1, 2, ... words, with the hashes of it and the window."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, (data, offsets) = batch.column("doc_id").to_numpy(), text_bytes(batch.column("text"))
+            want = batch.column("want")
+            at, found = want.offsets.to_numpy(), want.values
+            start, node, left, right = (found.field(k).to_numpy() for k in range(4))
+            for i, j in steps(offsets):
+                words = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                rows = slice(at[i], at[j])
+                text = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+                begin, end = words.first[text] + start[rows], words.first[text + 1]
+                # Of several texts with one id, those that have the window there.
+                has = begin + window <= end
+                has[has] = span_hashes(words.hashes, begin[has], begin[has] + window).view(np.int64) == node[rows][has]
+                text, begin, end = text[has], begin[has], end[has]
+                room = np.concatenate([np.minimum(left[rows][has], begin - words.first[text]), np.minimum(right[rows][has], end - begin - window)]).astype(np.int64)
+                k = np.repeat(np.arange(len(room)), room)
+                n = np.arange(len(k)) - np.repeat(np.cumsum(room) - room, room) + 1
+                own = k % max(len(begin), 1)
+                before = k < len(begin)
+                starts, ends = begin[own] - np.where(before, n, 0), begin[own] + window + np.where(before, 0, n)
+                first, second = _double(words.hashes, starts, ends)
+                of = begin[own] - words.first[text[own]]
+                columns = [
+                    pa.array(ids[i:j][text[own]]), pa.array((2 * of + ~before).astype(np.int64)), pa.array(np.where(before, of - n, of + window).astype(np.int32)),
+                    pa.array(n.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second),
+                ]
+                if len(k):
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "edge", "start", "n", "node", "check"])
+
+    return texts.mapInArrow(run, "doc_id long, edge long, start int, n int, node long, check int")
+
+
+def grown(docs: DataFrame, windows: DataFrame, repeated: DataFrame, run: int, window: int) -> DataFrame:
+    """(doc_id, start, n, kept_in): the words at both sides of ``repeated`` windows that an earlier document has together with the window.
+
+    Any ``run`` shared words have a shared window that begins ``run - window`` words after their first at most, and one that ends so near to their last; so no more
+    words than that are looked at, and only where no other repeated window covers them.
+    """
+    most, order = run - window, Window.partitionBy("doc_id").orderBy("start")
+    room = lambda gap: F.greatest(F.lit(0), F.least(F.lit(most), F.coalesce(gap, F.lit(most))))
+    sides = repeated.select("doc_id", "start", "node", "check").distinct().withColumns({"left": room(F.col("start") - window - F.lag("start").over(order)), "right": room(F.lead("start").over(order) - F.col("start") - window)})
+    edges = stored(sides.groupBy("node", "check").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left + right > 0"), "edges")
+    # Every document with such a window, as each may be the one that keeps the words.
+    want = windows.join(edges, ["node", "check"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "node", "left", "right")).alias("want"))
+    found = stored(_grown(docs.join(want, "doc_id").select("doc_id", "text", "want"), window), "grown")
+    again = stored(found.groupBy("node", "check").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("top")).where("kept_in < top").drop("top"), "grown-again")
+    held = found.join(again, ["node", "check"]).where("doc_id <> kept_in")
+    return held.groupBy("doc_id", "edge").agg(F.max(F.struct("n", "start", "kept_in")).alias("x")).select("doc_id", "x.start", "x.n", "x.kept_in")
+
+
 def _merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(ranges):

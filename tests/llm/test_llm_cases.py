@@ -370,6 +370,20 @@ def test_no_shared_run_is_left(spark):
     assert not shared_runs(after)
 
 
+@pytest.mark.parametrize("n", [50, 51, 80, 131])
+def test_whole_passage_goes(spark, n):
+    parts = [prose(n, 700 + i) for i in range(12)]
+    middle = [" ".join(p.split()[n // 2 - 15 : n // 2 + 15]) for p in parts]
+    before = [f"{prose(20, 800 + i)} {m} {prose(21, 820 + i)}" for i, m in enumerate(middle)]  # an earlier document has only the middle
+    texts = [f"{prose(33, 840 + i)} {parts[i % 12]} {prose(31, 900 + i)}" for i in range(36)]
+    rows = {x["doc_id"]: x for x in passages.repeats(docs(spark, [*before, *texts])).collect()}
+    for i in range(36):
+        got = [(x["start"], x["end"]) for x in rows[12 + i]["removed"]]
+        assert got == [(33, 33 + n)] or i < 12 and all(33 <= a < b <= 33 + n for a, b in got), (i, got)
+    after = {x["doc_id"]: x["text"] for x in passages.rewritten(docs(spark, [*before, *texts])).collect()}
+    assert all(after[12 + i] == f"{prose(33, 840 + i)} {prose(31, 900 + i)}" for i in range(12, 36))
+
+
 # 7
 
 
