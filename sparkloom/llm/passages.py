@@ -31,7 +31,8 @@ from sparkloom.llm.tokens import span_hashes
 from sparkloom.llm.words import GRAM_WORDS, Bands, Words, band_keys, bands_for, grams_of, words_of
 
 SIMILARITY, RECALL, MOST_HASHES = 0.8, 0.995, 24
-PARAGRAPH_WORDS, RUN_WORDS, WINDOW_WORDS = 30, 50, 25
+#: A line of fewer words than an n-gram has isn't a paragraph.
+PARAGRAPH_WORDS, RUN_WORDS, WINDOW_WORDS = GRAM_WORDS, 50, 25
 _NEWLINE = 10
 _OTHER = np.uint64(0x8EBC6AF09C88C6E3)
 UNITS = "doc_id long, start int, n int, node long, check int, n_grams int, bands array<long>"

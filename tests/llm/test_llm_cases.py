@@ -384,6 +384,15 @@ def test_whole_passage_goes(spark, n):
     assert all(after[12 + i] == f"{prose(33, 840 + i)} {prose(31, 900 + i)}" for i in range(12, 36))
 
 
+def test_short_lines(spark):
+    near = prose(26, 600).split()
+    edited = [*near[:-1], "edited"]  # 21 of 23 five-grams in common
+    texts = [f"{prose(12, 610)}\n{prose(5, 601)}\n{' '.join(near)}\n{prose(4, 603)}", f"{prose(9, 611)}\n{prose(5, 601).upper()}!\n{' '.join(edited)}\n{prose(4, 603)}\n{prose(29, 602)}", f"{prose(29, 602)}\n{prose(7, 612)}"]
+    rows = {r["doc_id"]: r for r in passages.repeats(docs(spark, texts)).collect()}
+    assert [[tuple(x) for x in rows[i]["removed"]] for i in range(3)] == [[], [(9, 40)], [(0, 29)]]
+    assert rows[1]["kept_in"] == [0] and rows[2]["kept_in"] == [1]
+
+
 # 7
 
 
