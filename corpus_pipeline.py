@@ -12,9 +12,6 @@ from sparkloom.llm import decontaminate, jaccard, language, packing, passages
 from sparkloom.llm.common import stored
 from sparkloom.llm.queries import tokenizer_file
 
-#: A document whose nearest language isn't likelier than this is rejected, as is one without a letter.
-LEAST_LANGUAGE_SCORE = 0.5
-
 
 def _whole(docs: DataFrame) -> Column:
     """All columns as one, so that none can clash with what a stage adds."""
@@ -22,11 +19,10 @@ def _whole(docs: DataFrame) -> Column:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages of ``lang``; rows without text or letters, and undecided ones, go."""
+    """Documents whose text has a language of ``lang``; rows without text or letters go, those between two languages stay."""
     model = language.train(docs, docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")))
     found = language.predict(docs.select(_whole(docs), "text"), model)
-    kept = (F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
-    return found.where(kept).select("row.*")
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -462,3 +462,15 @@ def test_pipeline(spark, sf, tmp_path):
     assert not shared_runs([t for t in seen["substring_dedup"].values()])
     assert ids["substring_dedup"] - ids["decontamination"] == {10_003}
     assert {r["doc_id"] for r in now.collect()} == ids["decontamination"]
+
+
+def test_no_clean_document_is_lost_to_language_id(spark, sf):
+    import corpus_pipeline as p
+
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    # Words of several languages, none of them much likelier than the others.
+    mixed = ["oieauon a ciónraue&&& enzu. eauou Chstein", "épaqueon einte. ciieado einie du schß oi erwh", "aile, osra dieeineinkeitau requement llasue.%%% tienha.", "einverau. enesquegaes$$$ ierréan", "éentioneau, ñieó*** ungberer", "a", "xyzzy"]
+    more = spark.createDataFrame([(20_000 + i, t, None, "s", len(t)) for i, t in enumerate(mixed)], DOCS)
+    docs_ = p.stored(base.unionByName(more), "language-cases")
+    kept = {r["doc_id"] for r in p.language_id(spark, docs_, sf).collect()}
+    assert kept >= {r["doc_id"] for r in docs_.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
