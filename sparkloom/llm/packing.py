@@ -8,7 +8,7 @@ no shuffle, no state beyond ``open_sequences`` sequences; what is left over at i
 into lengths that are powers of two, which need no padding.
 
 Defined cases: a null text is empty (only its end id); repeated rows are documents of their own; an empty table gives no rows; other
-columns aren't read. ``loss_col`` (instruction data) holds how many of a document's last ids bear loss; null or none: all of them.
+columns aren't read; a limit below 1 is an error. ``loss_col`` (instruction data) holds how many of a document's last ids bear loss; null or none: all of them.
 """
 
 from __future__ import annotations
@@ -122,7 +122,9 @@ class Packer:
 
 def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, sequence_tokens: int = SEQUENCE_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss_tokens: int | None = None, open_sequences: int = OPEN_SEQUENCES, end_id: int = tokens.END_ID) -> DataFrame:
     """A row for each piece of each document; see ``SCHEMA``."""
-    limits = (sequence_tokens, max_segments, max_loss_tokens or sequence_tokens)
+    limits = (sequence_tokens, max_segments, sequence_tokens if max_loss_tokens is None else max_loss_tokens)
+    if min(limits) < 1:
+        raise ValueError("a sequence must have room for a token, a segment and a loss-bearing token")
     types = [pa.int64()] * 8
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 

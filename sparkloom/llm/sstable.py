@@ -8,11 +8,11 @@ A shard holds blocks, a Bloom filter, a sparse index and a footer, all integers
 * sparse index: for each block its last key, offset and length.
 * footer: see ``FOOTER``; the file ends with ``MAGIC``.
 
-A key is the identifier's 8 bytes, big-endian with the sign bit turned, so that bytes sort as integers do. A value is the
-document's ids, 2 bytes each while ids stay under 65,536 (else 4), as the footer says.
+A key is the identifier's 8 bytes, big-endian with the sign bit turned, so that bytes sort as integers do; a null identifier's key is
+empty and sorts before all. A value is the document's ids, 2 bytes each while ids stay under 65,536 (else 4), as the footer says.
 
-Repeated identifiers stand next to each other, in the order of their rows' ids; a lookup returns each. A null identifier
-has no place in the order, so its row isn't written. A null text is an empty one and has only the end id.
+Repeated identifiers stand next to each other, in the order of their rows' texts' hashes; a lookup returns each. Documents with a null identifier stand
+first and are read back as such; a lookup has no null keys. A null text is an empty one and has only the end id.
 """
 
 from __future__ import annotations
@@ -47,12 +47,12 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def key_of(doc_id: int) -> bytes:
-    return struct.pack(">Q", doc_id + (1 << 63))
+def key_of(doc_id: int | None) -> bytes:
+    return b"" if doc_id is None else struct.pack(">Q", doc_id + (1 << 63))
 
 
-def id_of(key: bytes) -> int:
-    return struct.unpack(">Q", key)[0] - (1 << 63)
+def id_of(key: bytes) -> int | None:
+    return struct.unpack(">Q", key)[0] - (1 << 63) if key else None
 
 
 def _varint(n: int) -> bytes:
@@ -91,7 +91,7 @@ class Writer:
         value = ids.astype(f"<u{self.id_bytes}").tobytes()
         shared = 0
         if self.block:
-            while shared < len(key) and key[shared] == self.last[shared]:
+            while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.last = key
@@ -154,7 +154,7 @@ class Reader:
             yield key, np.frombuffer(data, f"<u{self.id_bytes}", size // self.id_bytes, at)
             at += size
 
-    def scan(self) -> Iterator[tuple[int, np.ndarray]]:
+    def scan(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for k in range(len(self.index)):
             for key, ids in self.block(k):
                 yield id_of(key), ids
@@ -194,8 +194,8 @@ class Shards(NamedTuple):
 def write(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = tokens.END_ID) -> Shards:
     """Range-partition ``docs`` by identifier, then encode and write one shard a partition under ``out``.
 
-    Each attempt of a task writes a file of its own name and renames it when whole, so a repeated task is harmless. The
-    driver gets a row a shard.
+    Each attempt of a task writes a file of its own name, and the row that it returns says which; so a repeated task is harmless. The driver gets a row a
+    shard and removes what other attempts left behind.
     """
     spark = docs.sparkSession
 
@@ -204,24 +204,29 @@ def write(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "doc_id",
         known = tokens.encoder(tokenizer)
         id_bytes = 2 if max(known.whole.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
         system, folder = open_fs(out)
-        name, part = f"{folder}/shard-{shard:05d}.sst", f"{folder}/.{shard:05d}-{uuid.uuid4().hex}"
+        name = f"shard-{shard:05d}-{uuid.uuid4().hex}.sst"
         writer = first = last = None
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), known.encode(batch.column(1).to_pylist()), strict=True):
                 if writer is None:
                     system.create_dir(folder, recursive=True)
-                    writer, first = Writer(system.open_output_stream(part), id_bytes), doc_id
+                    writer, first = Writer(system.open_output_stream(f"{folder}/{name}"), id_bytes), doc_id
                 writer.add(key_of(doc_id), np.append(ids, np.uint32(end_id)))
                 last = doc_id
         if writer is not None:
             writer.close()
-            system.move(part, name)
-            row = [shard, f"{out}/shard-{shard:05d}.sst", len(writer.keys), writer.n_ids, first, last]
+            row = [shard, f"{out}/{name}", len(writer.keys), writer.n_ids, first, last]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), *[pa.int64()] * 4), strict=True)], names=["shard", "path", "n_docs", "n_tokens", "first_id", "last_id"])
 
-    placed = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).where("k is not null")
+    placed = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
     placed = placed.repartitionByRange(parallelism(spark), "k").sortWithinPartitions("k", F.xxhash64("t"))
-    return Shards(spark, sorted(placed.mapInArrow(run, MANIFEST).collect(), key=lambda r: r["shard"]))
+    rows = sorted(placed.mapInArrow(run, MANIFEST).collect(), key=lambda r: r["shard"])
+    system, folder = open_fs(out)
+    names = {r["path"].rsplit("/", 1)[1] for r in rows}
+    for left in system.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+        if left.base_name.startswith("shard-") and left.base_name not in names:
+            system.delete_file(left.path)
+    return Shards(spark, rows)
 
 
 def read(shards: Shards) -> DataFrame:
@@ -254,7 +259,8 @@ def lookup(shards: Shards, keys: DataFrame, key_col: str = "doc_id") -> DataFram
     schema = "doc_id long, ids array<long>"
     if not shards.rows:
         return shards.spark.createDataFrame([], schema)
-    paths, lasts = [r["path"] for r in shards.rows], [r["last_id"] for r in shards.rows]
+    stored = [r for r in shards.rows if r["last_id"] is not None]
+    paths, lasts = [r["path"] for r in stored], [r["last_id"] for r in stored]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, reader = -1, None

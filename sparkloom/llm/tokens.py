@@ -2,8 +2,8 @@
 
 The file's tokenizer lower-cases, splits into words by a pattern and gives each word its byte-level BPE ids, which depend on
 the word alone. So texts are split into words by array operations over their code points, equal words of a step are found by
-a 64-bit hash, and each new word goes to the library's BPE model once; a bounded memo holds what a Python worker has seen. Texts with
-characters beyond Latin, or with the strings of special tokens, go to the library whole.
+a 64-bit hash and compared letter by letter, and each new word goes to the library's BPE model once; a bounded memo, by the words themselves, holds what a Python
+worker has seen. Texts with characters beyond Latin, or with the strings of special tokens, go to the library whole.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from tokenizers import Tokenizer
 from sparkloom.llm.common import STEP_BYTES
 
 END_ID = 1
-#: Words in a Python worker's memo; when full it starts anew. It changes speed only.
-MEMO_WORDS = 400_000
+#: Words in a Python worker's memo, and the letters of the longest one in it; when full it starts anew. They change speed only.
+MEMO_WORDS, MEMO_LETTERS = 300_000, 40
 #: Code points that are split here: all are their own composed form.
 LATIN = 0x250
 #: U+0130, whose lower case is two characters.
@@ -83,13 +83,39 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mixed((sums[ends] - sums[starts]) * inverse[starts])
 
 
+def distinct(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct span of ``values`` among the spans, and the number of each span's; spans of one hash are compared value by value."""
+    hashes, number = np.unique(span_hashes(values, starts, ends), return_inverse=True)
+    where = np.empty(len(hashes), np.int64)
+    where[number] = np.arange(len(starts))
+    first, sizes = where[number], ends - starts
+    unlike = sizes != sizes[first]
+    check = np.flatnonzero(~unlike & (sizes > 0) & (first != np.arange(len(starts))))
+    if len(check):
+        n = sizes[check]
+        begins = np.cumsum(n) - n
+        inner = np.arange(int(n.sum()))
+        differ = values[np.repeat(starts[check] - begins, n) + inner] != values[np.repeat(starts[first[check]] - begins, n) + inner]
+        if differ.any():
+            unlike[check] = np.add.reduceat(differ, begins, dtype=np.int64) > 0
+    if unlike.any():  # different spans of one hash: told apart one by one
+        more: dict[bytes, int] = {}
+        for k in np.flatnonzero(unlike).tolist():
+            key = values[starts[k] : ends[k]].tobytes()
+            if key not in more:
+                more[key] = len(where)
+                where = np.append(where, k)
+            number[k] = more[key]
+    return where, number
+
+
 class Encoder:
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.special = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.memo: dict[int, bytes] = {}
+        self.memo: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         mapped = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode().decode("latin-1")))
@@ -137,16 +163,17 @@ class Encoder:
         # A word ends where the next starts or at white space, whichever is first.
         spaces = np.flatnonzero(kind == SPACE)
         ends = np.minimum(np.append(starts[1:], len(kind)), spaces[np.searchsorted(spaces, starts)])
-        hashes, inverse = np.unique(span_hashes(lower, starts, ends), return_inverse=True)
-        where = np.empty(len(hashes), np.int64)
-        where[inverse] = np.arange(len(starts))
-        if len(self.memo) + len(hashes) > MEMO_WORDS:
+        where, inverse = distinct(lower, starts, ends)
+        if len(self.memo) + len(where) > MEMO_WORDS:
             self.memo.clear()
         memo, ids, all_lower = self.memo, [], lower.tobytes().decode("utf-32-le")
-        for h, k in zip(hashes.tolist(), where.tolist(), strict=True):
-            found = memo.get(h)
+        for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True):
+            word = all_lower[a:b]
+            found = memo.get(word)
             if found is None:
-                found = memo[h] = self._word(all_lower[starts[k] : ends[k]])
+                found = self._word(word)
+                if b - a <= MEMO_LETTERS:
+                    memo[word] = found
             ids.append(found)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)

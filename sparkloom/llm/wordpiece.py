@@ -18,11 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import STEP_BYTES
-from sparkloom.llm.tokens import span_hashes
+from sparkloom.llm.tokens import MEMO_LETTERS, MEMO_WORDS, distinct
 
 START = "▁"
-#: Words in a Python worker's memo; when full it starts anew. It changes speed only.
-MEMO_WORDS = 400_000
 
 
 def vocabulary(path: str) -> list[str]:
@@ -92,7 +90,8 @@ _SPACES = np.array([i for i in range(0x3001) if chr(i).isspace()], np.uint32)
 
 class Counter:
     def __init__(self, automaton: Automaton):
-        self.automaton, self.memo = automaton, {}
+        self.automaton = automaton
+        self.memo: dict[str, int] = {}
 
     def counts(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Words and tokens of each text."""
@@ -116,16 +115,17 @@ class Counter:
         inside[1:] = ~np.isin(points, _SPACES)
         starts = np.flatnonzero(inside[1:] & ~inside[:-1])
         ends = np.flatnonzero(inside[:-1] & ~inside[1:])
-        hashes, inverse = np.unique(span_hashes(points, starts, ends), return_inverse=True)
-        where = np.empty(len(hashes), np.int64)
-        where[inverse] = np.arange(len(starts))
-        if len(self.memo) + len(hashes) > MEMO_WORDS:
+        where, inverse = distinct(points, starts, ends)
+        if len(self.memo) + len(where) > MEMO_WORDS:
             self.memo.clear()
-        memo, found = self.memo, np.empty(len(hashes), np.int64)
-        for k, (h, at) in enumerate(zip(hashes.tolist(), where.tolist(), strict=True)):
-            n = memo.get(h)
+        memo, found = self.memo, np.empty(len(where), np.int64)
+        for k, (a, b) in enumerate(zip(starts[where].tolist(), ends[where].tolist(), strict=True)):
+            word = whole[a:b]
+            n = memo.get(word)
             if n is None:
-                n = memo[h] = self.automaton.count(START + whole[starts[at] : ends[at]])
+                n = self.automaton.count(START + word)
+                if b - a <= MEMO_LETTERS:
+                    memo[word] = n
             found[k] = n
         before = np.concatenate([[0], np.cumsum(found[inverse])])
         cuts = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(texts[i]) + 1 for i in rows])]))

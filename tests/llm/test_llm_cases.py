@@ -105,6 +105,40 @@ def test_encoder_on_any_latin(texts):
     assert [i.tolist() for i in known.encode(texts)] == [known.whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def twins():
+    """Two words of 1,024 letters, each the other's complement in the Thue-Morse sequence: any polynomial hash modulo a power of two takes them for one."""
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits), bits
+
+
+def test_words_of_one_hash_stay_apart():
+    a, b, _ = twins()
+    v = np.frombuffer((a + b).encode(), np.uint8)
+    h = tokens.span_hashes(v, np.array([0, 1024]), np.array([1024, 2048]))
+    assert h[0] == h[1]
+    texts = [a, b, f"{a} {b} {b} x {a} x y", f"{b} {a}"]
+    known = tokens.Encoder(queries.tokenizer_file())
+    assert [i.tolist() for i in known.encode(texts)] == [known.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    automaton = wordpiece.Automaton(wordpiece.vocabulary(queries.pieces_file()))
+    assert wordpiece.Counter(automaton).counts(texts)[1].tolist() == [sum(automaton.count("▁" + w) for w in t.split()) for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab", max_size=4), min_size=1, max_size=20), st.integers(1, 3))
+def test_distinct(spans, buckets):
+    values = np.frombuffer("".join(spans).encode() + b"x", np.uint8)
+    ends = np.cumsum([len(s) for s in spans])
+    real = tokens.span_hashes
+    tokens.span_hashes = lambda v, a, b: np.array([len(s) % buckets for s in spans], np.uint64)  # far too few hashes
+    try:
+        where, number = tokens.distinct(values, ends - [len(s) for s in spans], ends)
+    finally:
+        tokens.span_hashes = real
+    assert [spans[where[k]] for k in number] == spans and len({spans[w] for w in where}) == len(where)
+
+
 def test_shards(spark):
     texts = [*ODD, *(prose(60, i) for i in range(300))]
     table = docs(spark, texts).unionByName(docs(spark, texts[:1])).withColumn("doc_id", F.col("doc_id") * 3 - 5)
@@ -117,6 +151,9 @@ def test_shards(spark):
     for r in sstable.lookup(out, want).collect():
         found.setdefault(r["doc_id"], []).append(r["ids"])
     assert {k: len(v) for k, v in found.items()} == {-5: 2, 1: 1, 595: 1} and found[595] == [[*known.encode([texts[200]])[0].tolist(), 1]]
+    nameless = spark.createDataFrame([(None, "a b"), (None, None), (2, "c")], "doc_id long, text string")
+    back = sstable.write(nameless, shared_path(spark, "t"), queries.tokenizer_file())
+    assert [(r["doc_id"], r["n_tokens"]) for r in sstable.read(back).orderBy("start").collect()][2] == (2, 2) and sstable.lookup(back, want).count() == 0
     reader = sstable.Reader(out.rows[0]["path"])
     assert sum(reader.may_hold(sstable.key_of(10**9 + i)) for i in range(1000)) < 60
     assert sstable.read(sstable.write(table.limit(0), shared_path(spark, "t"), queries.tokenizer_file())).count() == 0
@@ -156,6 +193,8 @@ def test_packing_nulls(spark):
     rows = packing.pack(docs(spark, [None, "", None]), queries.tokenizer_file()).collect()
     assert sorted((r["doc_id"], r["length"], r["doc_tokens"]) for r in rows) == [(0, 1, 1), (1, 1, 1), (2, 1, 1)]
     assert packing.pack(docs(spark, ["x"]).limit(0), queries.tokenizer_file()).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(docs(spark, ["x"]), queries.tokenizer_file(), max_loss_tokens=0)
 
 
 # 3
