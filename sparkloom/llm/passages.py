@@ -3,16 +3,19 @@
 Two sorts of paragraphs are looked at, over whole texts:
 
 * lines of at least ``paragraph_words`` words, alike at a Jaccard similarity of ``similarity`` on five-word n-grams: equal lines are a class, classes that share
-  a band are candidates, all pairs inside a candidate component are verified on full n-gram sets, and the verified links' components are removed together;
+  a band are verified on full n-gram sets, and the verified links' components are removed together, all but the lines of the smallest document;
 * passages that don't keep to lines: windows of ``window_words`` words at anchors that the words alone decide (the smallest window hash among any
-  ``run_words - window_words + 1`` successive ones), so that texts which share ``run_words`` words in a row share a window of them; these match as they are (one
-  band over the whole window, checked by a second hash). A match grows to both sides by the words that an earlier document has together with the window, so a shared passage of
-  ``run_words`` words or more goes whole.
+  ``run_words - window_words + 1`` successive ones), so that texts which share ``run_words`` words in a row share a window of them. Windows match as they are, by
+  two independent hashes. A match grows to both sides by the words that an earlier document has together with the window, so a shared passage of ``run_words``
+  words or more goes whole.
 
-Of what repeats, the document of smallest id keeps its text; every other document loses it.
+What is removed is held elsewhere. A line goes only where its component's smallest document keeps a line; a window only where a document of smaller id has the
+same words and doesn't lose them as a line that's merely alike (such places keep no window, ``near``). Words removed as equal ones are therefore held by a smaller document, or
+by a still smaller one that this one has them from. What a line has beyond the line that stays for it (at most a fifth of its n-grams for each link) does go; along
+a chain of links that may be more, as components are removed as a whole.
 
 Defined cases: a null text is empty, and stays null where texts are rewritten; documents of one id are one document here; a row with a null id keeps its text and
-has no row in ``repeats``; what repeats within one document only stays; empty tables and other columns are harmless.
+has a row of its own without removals in ``repeats``; what repeats within one document only stays; empty tables and other columns are harmless.
 """
 
 from __future__ import annotations
@@ -25,17 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import steps, stored, text_bytes
-from sparkloom.llm.components import components
-from sparkloom.llm.similar import blocks, verified
+from sparkloom.llm.similar import SETS, WORK, links
 from sparkloom.llm.tokens import span_hashes
-from sparkloom.llm.words import GRAM_WORDS, Bands, Words, band_keys, bands_for, grams_of, words_of
+from sparkloom.llm.words import GRAM_WORDS, Bands, Words, band_keys, bands_for, grams_of, span_pairs, words_of
 
 SIMILARITY, RECALL, MOST_HASHES = 0.8, 0.995, 24
 #: A line of fewer words than an n-gram has isn't a paragraph.
 PARAGRAPH_WORDS, RUN_WORDS, WINDOW_WORDS = GRAM_WORDS, 50, 25
 _NEWLINE = 10
-_OTHER = np.uint64(0x8EBC6AF09C88C6E3)
-UNITS = "doc_id long, start int, n int, node long, check int, n_grams int, bands array<long>"
+UNITS = "doc_id long, start int, n int, h1 long, h2 long, n_grams int, bands array<long>"
 
 
 def lines_of(data: np.ndarray, words: Words) -> np.ndarray:
@@ -47,13 +48,6 @@ def lines_of(data: np.ndarray, words: Words) -> np.ndarray:
     return np.append(firsts[firsts < len(words.starts)], len(words.starts))
 
 
-def _double(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each span of words and an independent one of 32 bits."""
-    other = hashes * _OTHER
-    other ^= other >> np.uint64(29)
-    return span_hashes(hashes, starts, ends), (span_hashes(other, starts, ends) >> np.uint64(33)).astype(np.int32)
-
-
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     """``pick`` (minimum or maximum) over each ``width`` successive values, by doubling."""
     out, have = values, 1
@@ -69,12 +63,12 @@ def anchors_of(words: Words, run: int, window: int) -> tuple[np.ndarray, np.ndar
     n = len(words.hashes)
     if n < window:
         none = np.zeros(0, np.int64)
-        return none, none.view(np.uint64), none.astype(np.int32)
+        return none, none.view(np.uint64), none.view(np.uint64)
     at = np.arange(n - window + 1)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     valid = text[: len(at)] == text[window - 1 :]
     starts = at[valid]
-    first, second = _double(words.hashes, starts, starts + window)
+    first = span_hashes(words.hashes, starts, starts + window)
     owner, width = text[starts], run - window + 1
     chosen = np.zeros(len(starts), bool)
     if len(starts) >= width:
@@ -91,7 +85,7 @@ def anchors_of(words: Words, run: int, window: int) -> tuple[np.ndarray, np.ndar
     # Text that repeats itself word by word has the same window everywhere: then one each half window is enough.
     again = (first[k][1:] == first[k][:-1]) & (starts[k][1:] // (window // 2) == starts[k][:-1] // (window // 2)) & (owner[k][1:] == owner[k][:-1])
     k = k[np.concatenate([[True], ~again])] if len(k) else k
-    return starts[k], first[k], second[k]
+    return starts[k], *span_pairs(words, starts[k], starts[k] + window)
 
 
 def units(docs: DataFrame, bands: Bands, paragraph: int, run: int, window: int, n: int) -> DataFrame:
@@ -107,7 +101,7 @@ def units(docs: DataFrame, bands: Bands, paragraph: int, run: int, window: int,
                 lines = lines_of(part, words)
                 long = np.flatnonzero(np.diff(lines) >= paragraph)
                 starts, ends = lines[:-1][long], lines[1:][long]
-                first, second = _double(words.hashes, starts, ends)
+                first, second = span_pairs(words, starts, ends)
                 flat = _joined(words, starts, ends)
                 grams = grams_of(flat, n=n)
                 keys = band_keys(grams, bands)
@@ -120,11 +114,11 @@ def units(docs: DataFrame, bands: Bands, paragraph: int, run: int, window: int,
                 columns = [
                     pa.array(ids[i:j][text]), pa.array((begin - words.first[text]).astype(np.int32)),
                     pa.array(np.concatenate([ends - starts, np.full(len(a_starts), window)]).astype(np.int32)),
-                    pa.array(np.concatenate([first, a_first]).view(np.int64)), pa.array(np.concatenate([second, a_second])),
+                    pa.array(np.concatenate([first, a_first]).view(np.int64)), pa.array(np.concatenate([second, a_second]).view(np.int64)),
                     pa.array(np.concatenate([np.diff(grams.first), np.zeros(len(a_starts), np.int64)]).astype(np.int32)), listed,
                 ]
                 if n_all:
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n", "node", "check", "n_grams", "bands"])
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n", "h1", "h2", "n_grams", "bands"])
 
     return docs.mapInArrow(of, UNITS)
 
@@ -134,7 +128,10 @@ def _joined(words: Words, starts: np.ndarray, ends: np.ndarray) -> Words:
     sizes = ends - starts
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     take = np.repeat(starts - first[:-1], sizes) + np.arange(first[-1])
-    return Words(words.starts[take], words.ends[take], words.hashes[take], first)
+    return Words(words.starts[take], words.ends[take], words.hashes[take], first, words.checks[take])
+
+
+WANTED = f"array<struct<h1: long, h2: long, node: long, bands: array<long>, work: array<{WORK}>>>"
 
 
 def _sets(texts: DataFrame, paragraph: int, n: int) -> DataFrame:
@@ -143,64 +140,85 @@ def _sets(texts: DataFrame, paragraph: int, n: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            wanted = batch.column("want").to_pylist()
+            listed = batch.column("want")
+            at_want, wanted = listed.offsets.to_numpy(), listed.values
+            h1, h2 = (wanted.field(k).to_numpy() for k in (0, 1))
             for i, j in steps(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 words = words_of(part, at)
                 lines = lines_of(part, words)
                 long = np.flatnonzero(np.diff(lines) >= paragraph)
                 starts, ends = lines[:-1][long], lines[1:][long]
-                nodes = span_hashes(words.hashes, starts, ends).view(np.int64)
+                first, second = (h.view(np.int64).tolist() for h in span_pairs(words, starts, ends))
                 grams = grams_of(_joined(words, starts, ends), n=n)
-                rows = []
+                rows, sets = [], []
                 for k in range(j - i):
                     a, b = np.searchsorted(starts, words.first[k : k + 2])
-                    here = dict(zip(nodes[a:b].tolist(), range(a, b), strict=True))
-                    for w in wanted[i + k]:
-                        if (p := here.get(w["node"])) is not None:
-                            rows.append((w["node"], w["label"], w["blk"], w["n_blk"], 1, np.unique(grams.values[grams.first[p] : grams.first[p + 1]]).tobytes()))
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["node", "label", "blk", "n_blk", "weight", "grams"])
-
-    return texts.mapInArrow(run, "node long, label long, blk int, n_blk int, weight long, grams binary")
+                    here = dict(zip(zip(first[a:b], second[a:b], strict=True), range(a, b), strict=True))
+                    for w in range(at_want[i + k], at_want[i + k + 1]):
+                        if (p := here.get((int(h1[w]), int(h2[w])))) is not None:
+                            rows.append(w)
+                            sets.append(np.unique(grams.values[grams.first[p] : grams.first[p + 1]]).tobytes())
+                taken = wanted.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([taken.field(2), pa.array(np.ones(len(rows), np.int64)), taken.field(3), taken.field(4), pa.array(sets, pa.binary())], names=["node", "weight", "bands", "work", "grams"])
+
+    return texts.mapInArrow(run, SETS)
+
+
+def clear_of(windows: DataFrame, near: DataFrame, window: int) -> DataFrame:
+    """``windows`` (doc_id, start, h1, h2) with free_left and free_right, the words between each and the next range of ``near`` (doc_id, start, n) on its sides, and
+    whole: whether it meets none."""
+    both = windows.withColumns({"from": F.lit(None).cast("int"), "to": F.lit(None).cast("int")}).unionByName(near.select("doc_id", "start", F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.col("start").alias("from"), (F.col("start") + F.col("n")).alias("to")))
+    of, upto = Window.partitionBy("doc_id"), (Window.unboundedPreceding, Window.currentRow)
+    # Ranges come first among those of one start, both ways.
+    before = F.coalesce(F.max("to").over(of.orderBy("start", F.col("from").desc_nulls_last()).rowsBetween(*upto)), F.lit(0))
+    after = F.coalesce(F.min("from").over(of.orderBy(F.desc("start"), F.col("from").desc_nulls_last()).rowsBetween(*upto)), F.lit(1 << 30))
+    out = both.withColumns({"free_left": F.col("start") - before, "free_right": after - F.col("start") - window}).where("h1 is not null").drop("from", "to")
+    return out.withColumn("whole", F.expr("free_left >= 0 and free_right >= 0"))
+
+
+def line_fates(docs: DataFrame, lines: DataFrame, similarity: float, paragraph: int, n: int) -> DataFrame:
+    """(doc_id, start, n, kept_in, alike): the lines to remove, the document that keeps one for them, and whether that one is merely alike."""
+    # Numbered when written, once for all.
+    classes = stored(lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("top"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "lines")
+
+    def sets(members: DataFrame) -> DataFrame:
+        known = members.join(classes.select("node", "doc_id", "h1", "h2", "bands"), "node")
+        want = known.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "node", "bands", "work")).cast(WANTED).alias("want"))
+        return _sets(docs.join(want, "doc_id").select("text", "want"), paragraph, n)
+
+    linked = links(classes, sets, similarity, "line-links").select("node", "label").join(classes.select("node", "doc_id"), "node")
+    kept = linked.groupBy("label").agg(F.min("doc_id").alias("kept"))
+    # A line stays in the smallest document of its component, or of its class where it's linked to no other.
+    linked = linked.join(kept, "label").select("node", "kept", (F.col("doc_id") > F.col("kept")).alias("alike"))
+    fates = classes.select("node", "h1", "h2", "doc_id", "top").join(linked, "node", "left").withColumns({"kept_in": F.coalesce("kept", "doc_id"), "alike": F.coalesce("alike", F.lit(False))})
+    # Written, so that the join below has a shuffle on both sides, whose hot keys Spark can split.
+    fates = stored(fates.where("kept_in < top").select("h1", "h2", "kept_in", "alike"), "fates")
+    return lines.select("doc_id", "start", "n", "h1", "h2").join(fates, ["h1", "h2"]).where("doc_id <> kept_in").select("doc_id", "start", "n", "kept_in", "alike")
 
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = MOST_HASHES, paragraph_words: int = PARAGRAPH_WORDS, run_words: int = RUN_WORDS, window_words: int = WINDOW_WORDS, n: int = GRAM_WORDS) -> DataFrame:
     """(doc_id, start, n, kept_in): word ranges to remove and the document that keeps such text; ranges may overlap."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     found = stored(units(docs, bands_for(similarity, recall, most_hashes), paragraph_words, run_words, window_words, n), "paragraphs")
-    windows, lines = found.where("size(bands) = 0"), found.where("size(bands) > 0")
-
-    # Written, so that the join below has a shuffle on both sides, whose hot keys Spark can split.
-    again = stored(windows.groupBy("node", "check").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("top")).where("kept_in < top").drop("top"), "windows")
-    repeated = stored(windows.select("doc_id", "start", "n", "node", "check").join(again, ["node", "check"]).where("doc_id <> kept_in"), "repeated")
-    from_windows = repeated.select("doc_id", "start", "n", "kept_in").unionByName(grown(docs, windows.select("doc_id", "start", "node", "check"), repeated, run_words, window_words))
-
-    classes = stored(lines.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("top"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "lines")
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    candidates = components(keyed.join(hubs, "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    members = blocks(candidates.join(classes.select("node", "doc_id", "n_grams"), "node"))
-    want = members.groupBy("doc_id").agg(F.collect_list(F.struct("node", "label", "blk", "n_blk")).alias("want"))
-    links = verified(_sets(docs.join(want, "doc_id").select("text", "want"), paragraph_words, n), similarity, "paragraph-links").select("node", "label")
-    kept = links.join(classes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("kept"))
-    linked = links.join(kept, "label").select("node", "kept")
-    # A paragraph stays in the smallest document of its component, or of its class where it's linked to no other.
-    fate = stored(classes.select("node", "doc_id", "top").join(linked, "node", "left").select("node", F.coalesce("kept", "doc_id").alias("kept_in"), "top").where("kept_in < top").drop("top"), "fates")
-    from_lines = lines.select("doc_id", "start", "n", "node").join(fate, "node").where("doc_id <> kept_in").select("doc_id", "start", "n", "kept_in")
-    return from_lines.unionByName(from_windows)
+    from_lines = stored(line_fates(docs, found.where("size(bands) > 0"), similarity, paragraph_words, n), "line-cuts")
+    windows = stored(clear_of(found.where("size(bands) = 0").select("doc_id", "start", "h1", "h2"), from_lines.where("alike"), window_words), "windows")
+    again = windows.groupBy("h1", "h2").agg(F.min(F.when(F.col("whole"), F.col("doc_id"))).alias("kept_in"), F.max("doc_id").alias("top"))
+    again = stored(again.where("kept_in < top").drop("top"), "windows-again")
+    repeated = stored(windows.join(again, ["h1", "h2"]).where("doc_id > kept_in"), "repeated")
+    from_windows = repeated.select("doc_id", "start", F.lit(window_words).alias("n"), "kept_in").unionByName(grown(docs, windows.where("whole"), repeated, run_words, window_words))
+    return from_lines.drop("alike").unionByName(from_windows)
 
 
 def _grown(texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, edge, start, n, node, check): what lies left and right of the wanted windows (``want``) of each text, a row each for 1, 2, ... words, with the hashes of it and the window."""
+    """(doc_id, edge, start, n, h1, h2): what lies left and right of the wanted windows (``want``) of each text, a row each for 1, 2, ... words, with the hashes of it and the window."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, (data, offsets) = batch.column("doc_id").to_numpy(), text_bytes(batch.column("text"))
             want = batch.column("want")
             at, found = want.offsets.to_numpy(), want.values
-            start, node, left, right = (found.field(k).to_numpy() for k in range(4))
+            start, h1, left, right = (found.field(k).to_numpy() for k in range(4))
             for i, j in steps(offsets):
                 words = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 rows = slice(at[i], at[j])
@@ -208,7 +226,7 @@ def _grown(texts: DataFrame, window: int) -> DataFrame:
                 begin, end = words.first[text] + start[rows], words.first[text + 1]
                 # Of several texts with one id, those that have the window there.
                 has = begin + window <= end
-                has[has] = span_hashes(words.hashes, begin[has], begin[has] + window).view(np.int64) == node[rows][has]
+                has[has] = span_hashes(words.hashes, begin[has], begin[has] + window).view(np.int64) == h1[rows][has]
                 text, begin, end = text[has], begin[has], end[has]
                 room = np.concatenate([np.minimum(left[rows][has], begin - words.first[text]), np.minimum(right[rows][has], end - begin - window)]).astype(np.int64)
                 k = np.repeat(np.arange(len(room)), room)
@@ -216,33 +234,34 @@ def _grown(texts: DataFrame, window: int) -> DataFrame:
                 own = k % max(len(begin), 1)
                 before = k < len(begin)
                 starts, ends = begin[own] - np.where(before, n, 0), begin[own] + window + np.where(before, 0, n)
-                first, second = _double(words.hashes, starts, ends)
+                first, second = span_pairs(words, starts, ends)
                 of = begin[own] - words.first[text[own]]
                 columns = [
                     pa.array(ids[i:j][text[own]]), pa.array((2 * of + ~before).astype(np.int64)), pa.array(np.where(before, of - n, of + window).astype(np.int32)),
-                    pa.array(n.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second),
+                    pa.array(n.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)),
                 ]
                 if len(k):
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "edge", "start", "n", "node", "check"])
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "edge", "start", "n", "h1", "h2"])
 
-    return texts.mapInArrow(run, "doc_id long, edge long, start int, n int, node long, check int")
+    return texts.mapInArrow(run, "doc_id long, edge long, start int, n int, h1 long, h2 long")
 
 
 def grown(docs: DataFrame, windows: DataFrame, repeated: DataFrame, run: int, window: int) -> DataFrame:
-    """(doc_id, start, n, kept_in): the words at both sides of ``repeated`` windows that an earlier document has together with the window.
+    """(doc_id, start, n, kept_in): the words at both sides of ``repeated`` windows that an earlier document has together with the window; ``windows`` may keep them.
 
     Any ``run`` shared words have a shared window that begins ``run - window`` words after their first at most, and one that ends so near to their last; so no more
     words than that are looked at, and only where no other repeated window covers them.
     """
     most, order = run - window, Window.partitionBy("doc_id").orderBy("start")
     room = lambda gap: F.greatest(F.lit(0), F.least(F.lit(most), F.coalesce(gap, F.lit(most))))
-    sides = repeated.select("doc_id", "start", "node", "check").distinct().withColumns({"left": room(F.col("start") - window - F.lag("start").over(order)), "right": room(F.lead("start").over(order) - F.col("start") - window)})
-    edges = stored(sides.groupBy("node", "check").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left + right > 0"), "edges")
+    sides = repeated.where("whole").select("doc_id", "start", "h1", "h2").distinct().withColumns({"left": room(F.col("start") - window - F.lag("start").over(order)), "right": room(F.lead("start").over(order) - F.col("start") - window)})
+    edges = stored(sides.groupBy("h1", "h2").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left + right > 0"), "edges")
     # Every document with such a window, as each may be the one that keeps the words.
-    want = windows.join(edges, ["node", "check"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "node", "left", "right")).alias("want"))
+    near = windows.join(edges, ["h1", "h2"]).withColumns({"left": F.greatest(F.lit(0), F.least("left", "free_left")), "right": F.greatest(F.lit(0), F.least("right", "free_right"))})
+    want = near.groupBy("doc_id").agg(F.collect_list(F.struct("start", "h1", F.col("left").cast("int"), F.col("right").cast("int"))).alias("want"))
     found = stored(_grown(docs.join(want, "doc_id").select("doc_id", "text", "want"), window), "grown")
-    again = stored(found.groupBy("node", "check").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("top")).where("kept_in < top").drop("top"), "grown-again")
-    held = found.join(again, ["node", "check"]).where("doc_id <> kept_in")
+    again = stored(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("top")).where("kept_in < top").drop("top"), "grown-again")
+    held = found.join(again, ["h1", "h2"]).where("doc_id <> kept_in")
     return held.groupBy("doc_id", "edge").agg(F.max(F.struct("n", "start", "kept_in")).alias("x")).select("doc_id", "x.start", "x.n", "x.kept_in")
 
 
@@ -262,7 +281,7 @@ def _by_document(found: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """A row per document id: doc_id, n_removed (words), removed (array of word ranges), kept_in (sorted ids of the documents that keep them), repeated (n_removed > 0)."""
+    """A row per document id, and per row without one: doc_id, n_removed (words), removed (array of word ranges), kept_in (sorted ids of the documents that keep them), repeated (n_removed > 0)."""
     schema = "doc_id long, n_removed long, removed array<struct<start: long, end: long>>, kept_in array<long>, repeated boolean"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +295,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_removed", "removed", "kept_in", "repeated"])
 
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    all_ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    ids = all_ids.where("doc_id is not null").distinct().unionAll(all_ids.where("doc_id is null"))
     return ids.join(_by_document(spans(docs, id_col=id_col, **how)), "doc_id", "left").mapInArrow(run, schema)
 
 

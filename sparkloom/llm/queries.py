@@ -59,7 +59,7 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all documents at a Jaccard similarity of 0.8 on five-word n-grams."""
-    return jaccard.join(_table(spark, sf_dir, "documents"))
+    return jaccard.join(_table(spark, sf_dir, "documents")).drop("class_key")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

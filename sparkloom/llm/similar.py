@@ -1,26 +1,35 @@
-"""Exact verification of candidates: all pairs of n-gram sets inside bounded blocks, without a row a pair.
+"""Links between items that share a MinHash band, verified on full n-gram sets, without a row a pair.
 
-Candidates come as components of colliding items. A component's items are dealt over blocks of bounded size by their hash, each pair of blocks is a task's
-group, and a group gives a row an item: how much it is linked to there, and the smallest item that it hangs together with there.
+Items that collide in some band hang together in components; a component isn't what is compared, but says what a plan costs. Items are dealt over blocks of
+bounded size by their hash, and each pair of blocks is a task's group, in one of two ways, whichever sends fewer sets:
+
+* by component: all its blocks against each other, for components of a block and those whose items mostly collide with each other;
+* by band: the blocks of each band's group of colliding items, for components that hang together by chance only. A pair counts in its first common band.
+
+Both ways compare the sets of exactly the pairs that share a band, so the links are the same. A group gives a row an item: how much it is linked to there, and the
+smallest item that it hangs together with there by links; components are then of verified links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import parallelism, stored
 from sparkloom.llm.components import components
 
-BLOCK_GRAMS, BLOCK_ITEMS, COLUMNS = 500_000, 500, 4_096
+BLOCK_GRAMS, BLOCK_ITEMS, COLUMNS = 400_000, 250, 4_096
+WORK = "struct<grp: long, banded: boolean, blk: int, n_blk: int>"
+#: What ``links`` wants of the sets of its members.
+SETS = f"node long, weight long, bands array<long>, work array<{WORK}>, grams binary"
 
 
-def links_in(sets: list[np.ndarray], half: np.ndarray, within: bool, similarity: float) -> np.ndarray:
-    """Which pairs of sets (sorted, unique) have a Jaccard similarity of at least ``similarity``; unless ``within``, only pairs of different ``half``."""
+def links_in(sets: list[np.ndarray], compared: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the ``compared`` pairs of sets (sorted, unique) have a Jaccard similarity of at least ``similarity``."""
     m, sizes = len(sets), np.array([len(s) for s in sets])
     _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(m), sizes)
@@ -36,12 +45,21 @@ def links_in(sets: list[np.ndarray], half: np.ndarray, within: bool, similarity:
         has = np.zeros((m, min(COLUMNS, last - at)), np.float32)
         has[owner[i:j], column[i:j] - at] = 1
         common += has @ has.T
-    linked = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
-    linked &= common > 0
-    np.fill_diagonal(linked, False)
-    if not within:
-        linked &= half[:, None] != half[None, :]
-    return linked
+    return compared & (common > 0) & (common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6)
+
+
+def compared_in(bands: np.ndarray, half: np.ndarray, within: bool, key: int | None) -> np.ndarray:
+    """Which pairs of items to compare: those that share a band (or, with ``key``, the band of that key and none before), of different ``half`` unless ``within``."""
+    m = len(bands)
+    out, upto = np.zeros((m, m), bool), bands.shape[1]
+    if key is not None:
+        upto = int(np.flatnonzero(bands[0] == key)[0])
+    for b in range(upto):
+        out |= bands[:, b, None] == bands[None, :, b]
+    if key is not None:
+        out = ~out
+    np.fill_diagonal(out, False)
+    return out if within else out & (half[:, None] != half[None, :])
 
 
 def roots_in(linked: np.ndarray) -> np.ndarray:
@@ -56,16 +74,39 @@ def roots_in(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def blocks(members: DataFrame) -> DataFrame:
-    """Adds blk and n_blk to (node, label, n_grams, ...)."""
-    sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.sum("n_grams") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_ITEMS)).cast("int").alias("n_blk"))
-    return members.join(sizes, "label").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("n_blk")).cast("int"))
+def _blocks(items: str, grams: str) -> Column:
+    return F.greatest(F.ceil(F.col(grams) / BLOCK_GRAMS), F.ceil(F.col(items) / BLOCK_ITEMS)).cast("int")
+
+
+def _block() -> Column:
+    return F.pmod(F.xxhash64("node"), F.col("n_blk")).cast("int")
+
+
+def members(classes: DataFrame, what: str) -> DataFrame:
+    """(node, work) of every item of ``classes`` (node, n_grams, bands) that collides with another in some band; work says in which groups it is compared."""
+    keyed = classes.select("node", "n_grams", F.explode("bands").alias("key"))
+    hubs = stored(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("items"), F.sum("n_grams").alias("grams")).where("items > 1"), f"{what}-bands")
+    labels = components(keyed.join(hubs.select("key", "hub"), "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    sized = labels.join(classes.select("node", "n_grams"), "node")
+    sizes = sized.groupBy("label").agg(F.count("*").alias("items"), F.sum("n_grams").alias("grams")).withColumn("n_blk", _blocks("items", "grams"))
+    many = sizes.where("n_blk > 1").withColumn("sent", F.col("items") * F.col("n_blk")).select("label", "sent")
+    # What all bands' groups of such a component would send.
+    in_bands = hubs.select(F.col("hub").alias("node"), (F.col("items") * _blocks("items", "grams")).alias("by_band")).join(labels, "node").join(many, "label").groupBy("label").agg(F.first("sent").alias("sent"), F.sum("by_band").alias("by_band"))
+    loose = stored(in_bands.where("by_band < sent").select("label"), f"{what}-loose")
+    work = lambda grp, banded: F.array(F.struct(grp.alias("grp"), F.lit(banded).alias("banded"), _block().alias("blk"), F.col("n_blk")).cast(WORK)).alias("work")
+    whole = labels.join(sizes.select("label", "n_blk"), "label")
+    if loose.isEmpty():
+        return whole.select("node", work(F.col("label"), False))
+    ours = labels.join(loose, "label").select("node")
+    groups = keyed.join(hubs.select("key", _blocks("items", "grams").alias("n_blk")), "key").join(ours, "node").select("node", work(F.col("key"), True))
+    by_band = groups.groupBy("node").agg(F.flatten(F.collect_list("work")).alias("work"))
+    return whole.join(loose, "label", "left_anti").select("node", work(F.col("label"), False)).unionByName(by_band)
 
 
-def verified(sets: DataFrame, similarity: float, what: str) -> DataFrame:
-    """(node, label, weight): the weight of what a node is linked to, and its component; nodes of ``sets``, columns below.
+def links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, what: str) -> DataFrame:
+    """(node, label, weight) of the items that have a link: the smallest node of the links' component, and the weight of what the node is linked to.
 
-    ``sets``: node, label, blk, n_blk, weight (long), grams (binary: sorted unique 64-bit hashes).
+    ``classes``: node (long, unique), n_grams, bands (array<long>), and what ``sets`` needs to make ``SETS`` of the rows of (node, work).
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,11 +116,12 @@ def verified(sets: DataFrame, similarity: float, what: str) -> DataFrame:
             if len(rows) < 2:
                 return []
             nodes = sorted(rows)
-            sets = [np.frombuffer(rows[n][0], np.uint64) for n in nodes]
+            grp, banded, i, j, n_blk = key
             half, weight = np.array([rows[n][1] for n in nodes]), np.array([rows[n][2] for n in nodes])
-            linked = links_in(sets, half, key[1] == key[2], similarity)
+            compared = compared_in(np.stack([rows[n][3] for n in nodes]), half, i == j, grp if banded else None)
+            linked = links_in([np.frombuffer(rows[n][0], np.uint64) for n in nodes], compared, similarity)
             root, most = roots_in(linked), linked @ weight
-            return [(nodes[i], nodes[root[i]], int(most[i]), key[3] > 1) for i in range(len(nodes)) if most[i]]
+            return [(nodes[k], nodes[root[k]], int(most[k]), banded or n_blk > 1) for k in range(len(nodes)) if most[k]]
 
         def out(found: list) -> pa.RecordBatch:
             columns = list(zip(*found, strict=True)) or [[]] * 4
@@ -87,25 +129,30 @@ def verified(sets: DataFrame, similarity: float, what: str) -> DataFrame:
 
         for batch in batches:
             found = []
-            columns = [batch.column(n).to_pylist() for n in ("label", "i", "j", "n_blk", "node", "grams", "blk", "weight")]
-            for label, i, j, n_blk, node, grams, blk, weight in zip(*columns, strict=True):
-                if (label, i, j, n_blk) != key:
+            keys = zip(*(batch.column(n).to_pylist() for n in ("grp", "banded", "i", "j", "n_blk")), strict=True)
+            listed = batch.column("bands")
+            at, bands = listed.offsets.to_numpy(), listed.values.to_numpy()
+            columns = [batch.column(n).to_pylist() for n in ("node", "grams", "blk", "weight")]
+            for k, (new, node, grams, blk, weight) in enumerate(zip(keys, *columns, strict=True)):
+                if new != key:
                     found += done()
-                    key, rows = (label, i, j, n_blk), {}
-                rows[node] = (grams, blk, weight)
+                    key, rows = new, {}
+                rows[node] = (grams, blk, weight, bands[at[k] : at[k + 1]])
             if found:
                 yield out(found)
         yield out(done())
 
-    spark = sets.sparkSession
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)))
+    dealt = sets(members(classes, what)).withColumn("w", F.explode("work")).select("node", "weight", "bands", "grams", "w.*")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)))
     dealt = dealt.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")}).drop("other")
-    dealt = dealt.repartition(parallelism(spark), "label", "i", "j").sortWithinPartitions("label", "i", "j")
+    order = ("grp", "banded", "i", "j")
+    dealt = dealt.repartition(parallelism(classes.sparkSession), *order).sortWithinPartitions(*order)
     found = stored(dealt.mapInArrow(run, "node long, root long, weight long, spread boolean"), what)
-    spread = found.where("spread and root <> node").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    # A component in one block is whole there; those over many blocks are joined here.
+    # A component in one block is whole there; those over many groups are joined here.
     whole = found.where("not spread").select("node", F.col("root").alias("label"), "weight")
+    spread = found.where("spread")
     if spread.isEmpty():
         return whole
-    parts = found.where("spread").groupBy("node").agg(F.sum("weight").alias("weight"))
-    return whole.union(components(spread).join(parts, "node").select("node", "label", "weight"))
+    parts = spread.groupBy("node").agg(F.sum("weight").alias("weight"))
+    edges = spread.where("root <> node").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return whole.union(components(edges).join(parts, "node").select("node", "label", "weight"))

@@ -1,7 +1,9 @@
 """Words of many texts at once, their hashes, word n-grams, MinHash signatures and band keys: array operations on UTF-8 bytes.
 
-A word is a longest run of a-z, 0-9 and anything beyond ASCII after A-Z are lower-cased. Hashes are 64 bits wide; where a wrong equality
-would change a result, callers compare a second, independent hash or the n-gram sets themselves.
+A word is a longest run of a-z, 0-9 and anything beyond ASCII after A-Z are lower-cased. A word has two independent 64-bit hashes, sums of random values
+for each letter at each place. A span of words (``span_pairs``) has two as well: a polynomial of the words' first hashes, which prefix sums give for any span, and
+a sum of their second ones stirred with their places, which isn't a polynomial. Equality of spans is equality of both; n-grams go by one 64-bit hash, as
+they are compared within pairs only.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ def _word_letters() -> np.ndarray:
 LETTERS = _word_letters()
 _GRAM_BASE = np.uint64(0xD6E8FEB86659FD93)
 _SHORT = np.uint64(0xA0761D6478BD642F)
+_PLACE = np.uint64(0x9FB21C651E98DF25)
+#: Places of a word that have random values of their own; letters further in are told apart by a factor.
+_PLACES = 32
+_VALUES = np.random.default_rng(11).integers(0, 1 << 64, (2, _PLACES * 256), dtype=np.uint64)
 
 
 class Words(NamedTuple):
@@ -36,6 +42,40 @@ class Words(NamedTuple):
     ends: np.ndarray
     hashes: np.ndarray
     first: np.ndarray  # n + 1: number of the first word of each text
+    checks: np.ndarray  # second hashes
+
+
+def _spelled(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of each word; ``letters`` are those inside of words, one word after the other."""
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    sizes = ends - starts
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(begins.astype(np.int32), sizes)
+    far = np.flatnonzero(place >= _PLACES)
+    beyond = mixed((place[far].astype(np.uint64)) * _PLACE) | np.uint64(1) if len(far) else None
+    index = np.minimum(place, _PLACES - 1) * np.int32(256) + letters
+    out = []
+    for table in _VALUES:
+        value = table[index]
+        if beyond is not None:
+            value[far] = mixed(value[far] * beyond)
+        out.append(mixed(np.add.reduceat(value, begins)))
+    return out[0], out[1]
+
+
+def span_pairs(words: Words, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each span of words."""
+    sizes, second = ends - starts, np.zeros(len(starts), np.uint64)
+    some = np.flatnonzero(sizes > 0)
+    if len(some):
+        n = sizes[some]
+        begins = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(begins, n)
+        value = words.checks[np.repeat(starts[some], n) + place]
+        value += (place + 1).astype(np.uint64) * _PLACE
+        second[some] = mixed(np.add.reduceat(mixed(value), begins))
+    return span_hashes(words.hashes, starts, ends), second
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -49,7 +89,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     cuts = np.unique(cuts[inside[cuts] & inside[cuts + 1]])
     begins[cuts] = stops[cuts] = True
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
-    return Words(starts, ends, span_hashes(letters, starts, ends), np.searchsorted(starts, offsets))
+    hashes, checks = _spelled(letters[inside[1:-1]], starts, ends)
+    return Words(starts, ends, hashes, np.searchsorted(starts, offsets), checks)
 
 
 class Grams(NamedTuple):

@@ -353,6 +353,42 @@ def test_jaccard_join(spark, monkeypatch):
     assert jaccard.join(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_jaccard_join_by_bands(spark, monkeypatch):
+    """Texts that hang together by chance collisions: compared by band, with the links of all others."""
+    parts = [prose(12, 2_000 + i) for i in range(90)]
+    texts = [" ".join(parts[(i + k) % 90] for k in range(7)) for i in range(90)]  # neighbours share 6 of 8 parts, and so on
+    for i in range(0, 90, 9):
+        texts.append(texts[i] + " more words here")
+    sets = [grams(t) for t in texts]
+    linked = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j and alike(sets[i], sets[j]) >= 0.8}
+    sent = {}
+    for items in (250, 4):
+        monkeypatch.setattr(similar, "BLOCK_ITEMS", items)
+        rows = {r["doc_id"]: r for r in jaccard.join(docs(spark, texts)).collect()}
+        sent[items] = [rows[i]["n_links"] for i in range(len(texts))]
+        assert sent[items] == [sum(a == i for a, _ in linked) for i in range(len(texts))]
+    classes = spark.createDataFrame([(i, 50, [i // 2, 50_000 + (i + 1) // 2]) for i in range(70)], "node long, n_grams long, bands array<long>")
+    work = similar.members(classes, "t").collect()
+    assert len(work) == 70 and {w["banded"] for r in work for w in r["work"]} == {True}
+
+
+def test_texts_of_one_polynomial_hash(spark):
+    bits = twins()[2]
+    a, b = (" ".join(("yes", "no")[x ^ k] for x in bits) for k in (0, 1))
+    rows = {r["doc_id"]: r for r in jaccard.join(docs(spark, [a, b, a])).collect()}
+    assert [rows[i]["copy_of"] for i in range(3)] == [0, 1, 0]
+    cut = {r["doc_id"]: r["removed"] for r in passages.repeats(docs(spark, [f"{a}\n{prose(9, 1)}", f"{prose(9, 2)}\n{b}"]), similarity=1.01).collect()}
+    assert (0, 1033) not in [tuple(x) for x in cut[1]]
+
+
+def test_rows_without_id(spark):
+    table = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, None), (2, "a b c d e f")], "doc_id long, text string")
+    rows = sorted(((r["doc_id"], r["class_id"], r["n_links"], r["copy_of"], r["n_words"]) for r in jaccard.join(table).collect()), key=str)
+    assert rows == [(1, 1, 1, 1, 6), (2, 1, 1, 1, 6), (None, None, 0, None, 0), (None, None, 0, None, 6)]
+    found = sorted(((r["doc_id"], r["n_removed"]) for r in passages.repeats(table).collect()), key=str)
+    assert found == [(1, 0), (2, 6), (None, 0), (None, 0)]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 6000 + i) for i in range(50)]
@@ -395,6 +431,30 @@ def test_substring_dedup(spark):
     assert passages.repeats(table.limit(0)).count() == 0
 
 
+def test_what_goes_is_kept_elsewhere(spark):
+    line = prose(120, 3_000).split()
+    other = [*line[:60], "onlyhere", *line[61:]]
+    texts = [prose(30, 3_001), " ".join(line), None, "", prose(25, 3_002), f"{prose(12, 3_003)}\n{' '.join(other)}", "", f"{prose(20, 3_004)} {' '.join(other[30:95])} {prose(22, 3_005)}", f"{prose(20, 3_006)} {' '.join(other[30:95])} {prose(22, 3_007)}"]
+    after = {r["doc_id"]: r["text"] for r in passages.rewritten(docs(spark, texts)).collect()}
+    assert after[1] == texts[1] and after[5] == f"{prose(12, 3_003)}\n"
+    assert after[7].split().count("onlyhere") == 1, "the only text left with that word keeps it"
+    assert "onlyhere" not in after[8] and after[8].split()[:20] == texts[8].split()[:20]
+    rows = {r["doc_id"]: r for r in passages.repeats(docs(spark, texts)).collect()}
+    for x in rows[7]["removed"]:
+        assert " ".join(texts[7].split()[x["start"] : x["end"]]) in after[1]
+    assert rows[5]["kept_in"] == [1] and set(rows[8]["kept_in"]) <= {1, 7}
+
+
+def test_chain_of_alike_lines_goes_as_one(spark):
+    words_ = prose(60, 3_100).split()
+    chain = []
+    for k in range(8):
+        words_[k * 7] = f"step{k}"
+        chain.append(" ".join(words_))
+    rows = {r["doc_id"]: r for r in passages.repeats(docs(spark, chain)).collect()}
+    assert [rows[i]["n_removed"] for i in range(8)] == [0] + [60] * 7 and all(rows[i]["kept_in"][0] == 0 for i in range(1, 8))
+
+
 def test_no_shared_run_is_left(spark):
     r = random.Random(3)
     parts = [prose(r.randint(50, 130), 900 + i) for i in range(15)]
@@ -503,6 +563,17 @@ def test_pipeline(spark, sf, tmp_path):
     assert {r["doc_id"] for r in now.collect()} == ids["decontamination"]
 
 
+def test_near_duplicates_of_repeated_ids(spark, sf):
+    import corpus_pipeline as p
+
+    a, b = prose(60, 4_000), prose(60, 4_001)
+    rows = [(1, a), (5, b), (5, a + " x"), (5, b), (7, b), (8, ""), (8, "!"), (None, a), (9, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    kept = p.near_duplicates(spark, p.stored(table, "t"), sf)
+    assert kept.columns == table.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (8, ""), (8, "!"), (None, a), (9, None)], key=str)
+
+
 def test_no_clean_document_is_lost_to_language_id(spark, sf):
     import corpus_pipeline as p
 

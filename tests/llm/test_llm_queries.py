@@ -120,3 +120,97 @@ def test_token_counts(spark, sf, documents):
         words = (documents[r["doc_id"]]["text"] or "").split()
         assert r["n_words"] == len(words)
         assert r["n_tokens"] == sum(known.setdefault(w, greedy("▁" + w)) for w in words)
+
+
+def test_substring_dedup(spark, sf, documents):
+    """Against brute force: all pairs of lines by exact Jaccard, all shared runs, and where removed words are kept."""
+    from sparkloom.llm import decontaminate, passages
+
+    texts = {d: r["text"] or "" for d, r in documents.items()}
+    words = {d: decontaminate.normalised(t) for d, t in texts.items()}
+    lines, at = {}, {}
+    for d, t in sorted(texts.items()):
+        begin = 0
+        for line in t.split("\n"):
+            w = tuple(decontaminate.normalised(line))
+            if len(w) >= 5:
+                lines.setdefault(w, set()).add(d)
+                at.setdefault(w, []).append((d, begin, begin + len(w)))
+            begin += len(w)
+    order, having = list(lines), {}
+    sets = [{w[i : i + 5] for i in range(len(w) - 4)} for w in order]
+    for k, s in enumerate(sets):
+        for g in s:
+            having.setdefault(g, []).append(k)
+    root = list(range(len(order)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k, s in enumerate(sets):
+        common = {}
+        for g in s:
+            for m in having[g]:
+                common[m] = common.get(m, 0) + 1
+        for m, n in common.items():
+            if m != k and n >= 0.8 * (len(s) + len(sets[m]) - n):
+                root[find(k)] = find(m)
+    kept = {}
+    for k, w in enumerate(order):
+        kept[find(k)] = min(kept.get(find(k), 1 << 60), *lines[w])
+    gone = {d: np.zeros(len(w), bool) for d, w in words.items()}
+    lost = {d: np.zeros(len(w), bool) for d, w in words.items()}  # lines for which one merely alike is kept
+    for k, w in enumerate(order):
+        for d, a, b in at[w]:
+            if d != kept[find(k)]:
+                gone[d][a:b] = True
+                lost[d][a:b] |= min(lines[w]) != kept[find(k)]
+    rows = {r["doc_id"]: r for r in q.op8_substring_dedup(spark, sf).collect()}
+    assert set(rows) == set(texts)
+    cut = {d: np.zeros(len(w), bool) for d, w in words.items()}
+    for d, r in rows.items():
+        for x in r["removed"]:
+            cut[d][x["start"] : x["end"]] = True
+        assert r["n_removed"] == cut[d].sum() and r["repeated"] == (r["n_removed"] > 0)
+    expected = sum(g.sum() for g in gone.values())
+    assert expected > 500 and sum((gone[d] & cut[d]).sum() for d in gone) >= 0.99 * expected
+    # What else goes is an exact run of 25 words or more of another document, and nothing goes that isn't kept.
+    runs = {}
+    for d, w in words.items():
+        for p in range(len(w) - 24):
+            runs.setdefault(tuple(w[p : p + 25]), set()).add(d)
+    for d, w in words.items():
+        shared = np.zeros(len(w), bool)
+        for p in range(len(w) - 24):
+            if len(runs[tuple(w[p : p + 25])]) > 1:
+                shared[p : p + 25] = True
+        assert not (cut[d] & ~gone[d] & ~shared).any()
+    after = {d: [x for x, c in zip(w, cut[d], strict=True) if not c] for d, w in words.items()}
+    assert {d: decontaminate.normalised(r["text"]) for d, r in ((r["doc_id"], r) for r in passages.rewritten(spark.read.parquet(f"{sf}/documents.parquet")).collect())} == after
+    left = {}
+    for w in after.values():
+        for p in range(len(w)):
+            left.setdefault(tuple(w[p : p + 5]), []).append((w, p))
+    for d, w in words.items():
+        p, pieces, n = 0, 0, 0
+        wanted = cut[d] & ~lost[d]
+        while p < len(w):
+            if not wanted[p]:
+                p += 1
+                continue
+            best = 1
+            for u, k in left.get(tuple(w[p : p + 5]), []):
+                m = 0
+                while p + m < len(w) and k + m < len(u) and wanted[p + m] and u[k + m] == w[p + m]:
+                    m += 1
+                best = max(best, m)
+            p, pieces, n = p + best, pieces + 1, n + best
+        assert pieces <= 2 + n / 10, (d, pieces, n)
+    long = {}
+    for d, w in after.items():
+        for p in range(len(w) - 49):
+            long.setdefault(tuple(w[p : p + 50]), set()).add(d)
+    assert not [1 for s in long.values() if len(s) > 1]
