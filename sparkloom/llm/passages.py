@@ -35,7 +35,7 @@ from sparkloom.llm.words import GRAM_WORDS, Bands, Words, band_keys, bands_for,
 SIMILARITY, RECALL, MOST_HASHES = 0.8, 0.995, 24
 #: A line of fewer words than an n-gram has isn't a paragraph.
 PARAGRAPH_WORDS, RUN_WORDS, WINDOW_WORDS = GRAM_WORDS, 50, 25
-_NEWLINE = 10
+_NEWLINE, COARSE = 10, 5
 UNITS = "doc_id long, start int, n int, h1 long, h2 long, n_grams int, bands array<long>"
 
 
@@ -202,16 +202,19 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     found = stored(units(docs, bands_for(similarity, recall, most_hashes), paragraph_words, run_words, window_words, n), "paragraphs")
     from_lines = stored(line_fates(docs, found.where("size(bands) > 0"), similarity, paragraph_words, n), "line-cuts")
-    windows = stored(clear_of(found.where("size(bands) = 0").select("doc_id", "start", "h1", "h2"), from_lines.where("alike"), window_words), "windows")
-    again = windows.groupBy("h1", "h2").agg(F.min(F.when(F.col("whole"), F.col("doc_id"))).alias("kept_in"), F.max("doc_id").alias("top"))
-    again = stored(again.where("kept_in < top").drop("top"), "windows-again")
-    repeated = stored(windows.join(again, ["h1", "h2"]).where("doc_id > kept_in"), "repeated")
-    from_windows = repeated.select("doc_id", "start", F.lit(window_words).alias("n"), "kept_in").unionByName(grown(docs, windows.where("whole"), repeated, run_words, window_words))
+    windows = found.where("size(bands) = 0").select("doc_id", "start", "h1", "h2")
+
+    # Written, so that the joins below have a shuffle on both sides, whose hot keys Spark can split.
+    shared = stored(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("h1", "h2"), "windows")
+    shared = stored(clear_of(windows.join(shared, ["h1", "h2"]), from_lines.where("alike"), window_words), "shared")
+    again = stored(shared.groupBy("h1", "h2").agg(F.min(F.when(F.col("whole"), F.col("doc_id"))).alias("kept_in"), F.max("doc_id").alias("top")).where("kept_in < top").drop("top"), "windows-again")
+    repeated = stored(shared.join(again, ["h1", "h2"]).where("doc_id > kept_in"), "repeated")
+    from_windows = repeated.select("doc_id", "start", F.lit(window_words).alias("n"), "kept_in").unionByName(grown(docs, shared.where("whole"), repeated, run_words, window_words))
     return from_lines.drop("alike").unionByName(from_windows)
 
 
 def _grown(texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, edge, start, n, h1, h2): what lies left and right of the wanted windows (``want``) of each text, a row each for 1, 2, ... words, with the hashes of it and the window."""
+    """(doc_id, edge, at, h1, keys): for the left and right of the wanted windows (``want``) of each text the hashes of the window with 1, 2, ... words there; ``at`` is where these begin (right) or end (left)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,30 +230,32 @@ def _grown(texts: DataFrame, window: int) -> DataFrame:
                 # Of several texts with one id, those that have the window there.
                 has = begin + window <= end
                 has[has] = span_hashes(words.hashes, begin[has], begin[has] + window).view(np.int64) == h1[rows][has]
-                text, begin, end = text[has], begin[has], end[has]
+                text, begin, end, own = text[has], begin[has], end[has], h1[rows][has]
                 room = np.concatenate([np.minimum(left[rows][has], begin - words.first[text]), np.minimum(right[rows][has], end - begin - window)]).astype(np.int64)
-                k = np.repeat(np.arange(len(room)), room)
-                n = np.arange(len(k)) - np.repeat(np.cumsum(room) - room, room) + 1
-                own = k % max(len(begin), 1)
-                before = k < len(begin)
-                starts, ends = begin[own] - np.where(before, n, 0), begin[own] + window + np.where(before, 0, n)
-                first, second = span_pairs(words, starts, ends)
-                of = begin[own] - words.first[text[own]]
+                begin, text, own, before = np.tile(begin, 2), np.tile(text, 2), np.tile(own, 2), np.arange(len(room)) < len(begin)
+                some = room > 0
+                begin, text, own, before, room = begin[some], text[some], own[some], before[some], room[some]
+                edges = np.concatenate([[0], np.cumsum(room)])
+                n = np.arange(edges[-1]) - np.repeat(edges[:-1], room) + 1
+                of, to_left = np.repeat(begin, room), np.repeat(before, room)
+                keys = span_pairs(words, of - np.where(to_left, n, 0), of + window + np.where(to_left, 0, n))[1]
+                place = begin - words.first[text]
                 columns = [
-                    pa.array(ids[i:j][text[own]]), pa.array((2 * of + ~before).astype(np.int64)), pa.array(np.where(before, of - n, of + window).astype(np.int32)),
-                    pa.array(n.astype(np.int32)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)),
+                    pa.array(ids[i:j][text]), pa.array((2 * place + ~before).astype(np.int64)), pa.array(np.where(before, place, place + window).astype(np.int32)), pa.array(own),
+                    pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(keys.view(np.int64))),
                 ]
-                if len(k):
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "edge", "start", "n", "h1", "h2"])
+                if len(room):
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "edge", "at", "h1", "keys"])
 
-    return texts.mapInArrow(run, "doc_id long, edge long, start int, n int, h1 long, h2 long")
+    return texts.mapInArrow(run, "doc_id long, edge long, at int, h1 long, keys array<long>")
 
 
 def grown(docs: DataFrame, windows: DataFrame, repeated: DataFrame, run: int, window: int) -> DataFrame:
     """(doc_id, start, n, kept_in): the words at both sides of ``repeated`` windows that an earlier document has together with the window; ``windows`` may keep them.
 
     Any ``run`` shared words have a shared window that begins ``run - window`` words after their first at most, and one that ends so near to their last; so no more
-    words than that are looked at, and only where no other repeated window covers them.
+    words than that are looked at, and only where no other repeated window covers them. Whoever shares n words shares fewer too, so every ``COARSE``-th length
+    is tried first, and then those beyond.
     """
     most, order = run - window, Window.partitionBy("doc_id").orderBy("start")
     room = lambda gap: F.greatest(F.lit(0), F.least(F.lit(most), F.coalesce(gap, F.lit(most))))
@@ -260,9 +265,30 @@ def grown(docs: DataFrame, windows: DataFrame, repeated: DataFrame, run: int, wi
     near = windows.join(edges, ["h1", "h2"]).withColumns({"left": F.greatest(F.lit(0), F.least("left", "free_left")), "right": F.greatest(F.lit(0), F.least("right", "free_right"))})
     want = near.groupBy("doc_id").agg(F.collect_list(F.struct("start", "h1", F.col("left").cast("int"), F.col("right").cast("int"))).alias("want"))
     found = stored(_grown(docs.join(want, "doc_id").select("doc_id", "text", "want"), window), "grown")
-    again = stored(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("top")).where("kept_in < top").drop("top"), "grown-again")
-    held = found.join(again, ["h1", "h2"]).where("doc_id <> kept_in")
-    return held.groupBy("doc_id", "edge").agg(F.max(F.struct("n", "start", "kept_in")).alias("x")).select("doc_id", "x.start", "x.n", "x.kept_in")
+
+    def held(tried: DataFrame, what: str) -> DataFrame:
+        """Of (doc_id, edge, at, h1, n, key) the longest of each side that an earlier document has too."""
+        keyed = tried.withColumn("side", F.col("edge") % 2)
+        again = keyed.groupBy("h1", "side", "key").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("top"))
+        again = stored(again.where("kept_in < top").drop("top"), f"{what}-again")
+        kept = keyed.join(again, ["h1", "side", "key"]).where("doc_id <> kept_in")
+        return stored(kept.groupBy("doc_id", "edge").agg(F.max(F.struct("n", "at", "kept_in")).alias("x")).select("doc_id", "edge", "x.n", "x.at", "x.kept_in"), what)
+
+    tried = lambda rows, lengths: rows.select("doc_id", "edge", "at", "h1", "keys", F.explode(lengths).alias("n")).withColumn("key", F.element_at("keys", F.col("n"))).drop("keys")
+    size = F.size("keys")
+    coarse = held(tried(found.where(size >= COARSE), F.sequence(F.lit(COARSE), size, F.lit(COARSE))), "coarse")
+    rest = stored(found.join(coarse.select("doc_id", "edge", F.col("n").alias("have")), ["doc_id", "edge"], "left").withColumns({"have": F.coalesce("have", F.lit(0)), "side": F.col("edge") % 2}), "rest")
+    # All with a window say what lies beyond each length at which one of them, but its first document, has got.
+    levels = range(0, most + 1, COARSE)
+    got = rest.groupBy("h1", "side").agg(F.min("doc_id").alias("low"), *[F.max(F.when(F.col("have") == c, F.col("doc_id"))).alias(f"at{c}") for c in levels])
+    open_at = F.filter(F.array(*[F.when(F.col(f"at{c}") > F.col("low"), F.lit(c)) for c in levels]), lambda c: c.isNotNull())
+    got = stored(got.select("h1", "side", open_at.alias("levels")).where("size(levels) > 0"), "levels")
+    beyond = rest.join(got, ["h1", "side"]).withColumn("level", F.explode("levels")).where(size > F.col("level"))
+    fine = held(tried(beyond, F.sequence(F.col("level") + 1, F.least(size, F.col("level") + COARSE - 1))), "fine")
+    # A document's longest may lie below what it has in common at a later coarse length.
+    fine = fine.join(coarse.select("doc_id", "edge", F.col("n").alias("have")), ["doc_id", "edge"], "left").where("have is null or n > have").drop("have")
+    both = fine.unionByName(coarse.join(fine, ["doc_id", "edge"], "left_anti"))
+    return both.select("doc_id", F.when(F.col("edge") % 2 == 1, F.col("at")).otherwise(F.col("at") - F.col("n")).cast("int").alias("start"), "n", "kept_in")
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[list[int]]:

@@ -230,6 +230,19 @@ def test_media(spark):
     assert sorted(bytes(r["media"]) for r in media.carve(media.sniff(table)).collect()) == sorted([gif, png()])
 
 
+def test_media_in_linear_time():
+    import time
+
+    page = b"OggS\0\0" + b"\0" * 20 + b"\1\4data"
+    box = struct.pack(">I4s", 8, b"ftyp")
+    chunk = png()[:33] + struct.pack(">I", 200_000) + b"IDAT"
+    for unit in (b"PK\x03\x04", b"PK\x05\x06" + b"\0" * 18, page, box, chunk, b"\xff\xd8\xff\xda\0\2", b"\xff\xd8\xff\xda\0\2" + b"\xff\0" * 40, b"GIF89a\1\0\1\0\0\0\0\x21\0\1", b"%PDF-1.4 ", b"BM", b"\x1f\x8b\x08"):
+        begin = time.monotonic()
+        media.find_media(unit * (2_000_000 // len(unit)))
+        assert time.monotonic() - begin < 30, unit[:20]
+    assert [f.offset for f in media.find_media(page * 3 + page[:5] + b"\4" + page[6:])] == [0, 32, 64, 96]
+
+
 def test_media_texts(spark):
     texts = [None, "", "é" * 32, "x" * 64, "x" * 65, "x" * 65, "RIFF____WAVE"]
     rows = {r["doc_id"]: r for r in media.described(media.sniff(media.stored_texts(docs(spark, texts)))).collect()}
