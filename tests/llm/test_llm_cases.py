@@ -313,7 +313,6 @@ def test_main_text_in_marked_wrappers(around):
     for inner in ("<article>{}</article>", "<article class=post>{}</article>", "<main>{}</main>"):
         body = inner.format("<div class='entry-header'><h1>Head</h1></div><div class='masthead'><p>By me</p></div><p>Body</p><div class='site-footer'>Foot</div>")
         page = f"<html><body><nav>Home</nav><div class='left-sidebar'>Side</div><div id=wrap><div class='{around}'>{body}</div></div><div class='site-footer'>End</div></body></html>"
-        assert html.main_text(page, frozenset(n.path for n in html.nodes(page))) == "Head\nBy me\nBody"
         assert html.main_text(page, frozenset()) == "Head\nBy me\nBody"
 
 
@@ -322,7 +321,43 @@ def test_main_text_without_main_part():
         page = f"<body><p>One</p><div class='{name}'>Two</div></body>"
         assert html.main_text(page, frozenset()) == ("One\nTwo" if kept else "One")
     page = "<body><div class=entry>Entry</div><div id=comments><article>me too</article></div></body>"
-    assert html.main_text(page, frozenset(n.path for n in html.nodes(page))) == "Entry"
+    assert html.main_text(page, frozenset()) == "Entry"
+
+
+def test_template_strings():
+    """A host's constant text is no main text, whatever its class; copies of an article inside of it are; no page loses all."""
+    form = "<body><div class=col1><p>{}</p></div><div class=col2>We <b>use</b> cookies here.</div><p>Contact us</p></body>"
+    pages_ = [form.format(prose(20, 70 + i)) for i in range(6)] + ["<body><div class=col2>We <b>use</b> cookies here.</div></body>", "<body><article><p>Contact us</p></article><p>Contact us</p></body>"]
+    strings = frozenset(t for t in (html.string_token(n) for n in html.nodes(pages_[0]) if n.kind == "text") if t) - {html.string_token(next(n for n in html.nodes(pages_[0]) if n.kind == "text"))}
+    assert [html.main_text(p, strings) for p in pages_] == [prose(20, 70 + i) for i in range(6)] + ["We use cookies here.", "Contact us"]
+
+
+def test_classes_of_a_host(spark):
+    form = "<body><div class=col1><p>{}</p></div><div class=col2>We <b>use</b> cookies here.</div></body>"
+    other = "<body><section><h2>{}</h2><div class=col2>Another <i>layout</i> here.</div></section></body>"
+    rows = [(i, "http://t.example/x", form.format(prose(20, 70 + i))) for i in range(6)] + [(6 + i, "http://t.example/y", other.format(prose(9, 80 + i))) for i in range(3)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    (found,) = html.templates(table).collect()
+    paths = {n.token for i in (0, 6) for n in html.nodes(rows[i][2]) if n.kind != "text"}
+    assert {t for t in found["tokens"] if t < 0 or not t & 1} == paths, "both layouts' tags, by their own vectors"
+    assert len([t for t in found["tokens"] if t > 0 and t & 1]) == 3, "the strings of two thirds of the pages"
+    assert {r["page_id"]: r["text"] for r in html.extract(table).collect()} == {i: prose(20, 70 + i) for i in range(6)} | {6 + i: f"{prose(9, 80 + i)}\nAnother layout here." for i in range(3)}
+
+
+def test_nests():
+    assert html.nests([2, 4, ~4, 1, ~2]) and html.nests([2, ~8]) and not html.nests([~2, 2]) and not html.nests([2, 4, ~2, ~4])
+
+
+def test_markup_in_linear_time():
+    import time
+
+    units = ("<a b=\"", "<a b='<c d=\"", "<a ", "<div class=ad>", "<p><table>", "<p><div>", "</b>", "<!--", "<", "<script>", "<li><ul>", "<div class=ad><article>", "<dd><li>", "&amp;", "x<br>", "<p>a<!")
+    for unit in units:
+        begin = time.monotonic()
+        page = unit * (300_000 // len(unit))
+        html.main_text(page, frozenset((1,)))
+        assert time.monotonic() - begin < 15, unit
+    assert html.main_text("<p>One <a href=\"x>two</a> three</p><p>four", frozenset()) == "One two three\nfour"
 
 
 # 6 and 8
