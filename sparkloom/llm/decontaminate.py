@@ -1,7 +1,8 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the benchmark's normalised word windows scans each text once.
 
 Texts are brought to lower-case words separated by single spaces, each windows' pattern is its words with a space at both ends, and
-a match's place is mapped back to the words of the original by counting spaces (and to its characters by ``spans``).
+a match's place is mapped back to the words of the original by counting spaces (and to its characters by ``spans``). A benchmark of more pattern characters
+than one automaton may have is scanned block by block: the driver holds one block of items at a time, a pass writes what it hits, and the passes' hits are merged by document.
 
 Defined cases: a null or wordless text has no words and isn't contaminated; an item without words has no windows; repeated items count
 once each under their own ids, items of one id are one; a null item_id counts as an item but has no place in the list of ids; empty tables and other columns are harmless.
@@ -10,6 +11,7 @@ once each under their own ids, items of one id are one; a null item_id counts as
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -18,11 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from sparkloom.llm.common import stored
 from sparkloom.llm.words import LETTERS
 
 WINDOW_WORDS = 10
-#: Characters of patterns in one automaton (about 30 bytes each); a larger benchmark is scanned in as many passes as it needs.
+#: Characters of patterns in one automaton (about 30 bytes each), ten to a character of an item; a larger benchmark is scanned in as many passes as it needs.
 BLOCK_CHARS = 8_000_000
 TABLE = LETTERS.tobytes()
 
@@ -100,6 +104,9 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most_chars:
 
 
 _automata: dict[str, ahocorasick.Automaton] = {}
+RANGES, ITEMS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
+SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start: long, end: long>>"
+NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"]
 
 
 def _known(key: str, items: list, n: int) -> ahocorasick.Automaton:
@@ -110,36 +117,74 @@ def _known(key: str, items: list, n: int) -> ahocorasick.Automaton:
     return _automata[key]
 
 
+def _answer(text: str | None, ranges: np.ndarray, ids: set) -> tuple:
+    """The columns of ``SCHEMA``."""
+    n, named = len(normalised(text)), sorted(i for i in ids if i is not None)
+    n_hit = int(covered(ranges, n).sum()) if len(ranges) else 0
+    return n, n_hit, len(ids), hashlib.sha256(",".join(named).encode()).hexdigest(), n_hit > 0, named, [{"start": a, "end": b} for a, b in spans(text, ranges)] if len(ranges) else []
+
+
+def _answers(doc_ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), ITEMS, RANGES)
+    columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+    return pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *NAMES])
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids (strings, sorted), spans (characters of the original)."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(texts.dtypes)["doc_id"]
-    blocks = list(item_blocks(benchmark, item_col, item_text_col, block_chars))
-    shared = [spark.sparkContext.broadcast(b) for b in blocks]
-    keys = [hashlib.sha256(repr((b, window)).encode()).hexdigest() for b in blocks]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"]
+    # As a schema, not text: an id may be of any type.
+    schema = StructType([texts.schema["doc_id"], *StructType.fromDDL(SCHEMA).fields])
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_chars)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return _scan_once(texts, block, window, schema)
+    return _scan_blocks(texts, itertools.chain((block, after), blocks), window, schema)
+
+
+def _shared(texts: DataFrame, block: list, window: int) -> tuple:
+    """A block of items for the workers, and what names it and the window."""
+    return texts.sparkSession.sparkContext.broadcast(block), hashlib.sha256(repr((block, window)).encode()).hexdigest()
+
+
+def _scan_once(texts: DataFrame, block: list, window: int, schema: StructType) -> DataFrame:
+    shared, key = _shared(texts, block, window)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found: list[list] = [[] for _ in texts]
-            seen: list[set] = [set() for _ in texts]
-            for key, items in zip(keys, shared, strict=True):
-                known = _known(key, items.value, window)
-                for k, text in enumerate(texts):
+            known = _known(key, shared.value, window)
+            yield _answers(batch.column(0), [_answer(text, *hits(normalised(text), known)) for text in batch.column(1).to_pylist()])
+
+    return texts.mapInArrow(run, schema)
+
+
+def _scan_blocks(texts: DataFrame, blocks: Iterable[list], window: int, schema: StructType) -> DataFrame:
+    """A pass for each block over the written, numbered texts; a pass's row is a document that it hits."""
+    numbered = stored(texts.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = None
+    for block in blocks:
+        shared, key = _shared(texts, block, window)
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known, rows = _known(key, shared.value, window), []
+                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     ranges, ids = hits(normalised(text), known)
                     if len(ranges):
-                        found[k].append(ranges)
-                        seen[k] |= ids
+                        rows.append((row, [{"start": a, "end": b} for a, b in ranges.tolist()], list(ids)))
+                columns = list(zip(*rows, strict=True)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), RANGES, ITEMS), strict=True)], names=["row", "ranges", "items"])
+
+        hit = stored(numbered.select("row", "text").mapInArrow(run, "row long, ranges array<struct<start: long, end: long>>, items array<string>"), "hits")
+        shared.destroy()
+        found = hit if found is None else found.unionAll(hit)
+    merged = found.groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for text, ranges, ids in zip(texts, found, seen, strict=True):
-                n, all_ranges = len(normalised(text)), np.concatenate(ranges) if ranges else None
-                named = sorted(i for i in ids if i is not None)
-                n_hit = int(covered(all_ranges, n).sum()) if ranges else 0
-                rows.append((n, n_hit, len(ids), hashlib.sha256(",".join(named).encode()).hexdigest(), n_hit > 0, named, [{"start": a, "end": b} for a, b in spans(text, all_ranges)] if ranges else []))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *names])
-
-    return texts.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start: long, end: long>>")
+            for text, ranges, ids in zip(*(batch.column(c).to_pylist() for c in ("text", "ranges", "items")), strict=True):
+                rows.append(_answer(text, np.array([(r["start"], r["end"]) for r in ranges or ()], np.int64).reshape(-1, 2), set(ids or ())))
+            yield _answers(batch.column("doc_id"), rows)
+
+    return numbered.join(merged, "row", "left").select("doc_id", "text", "ranges", "items").mapInArrow(run, schema)

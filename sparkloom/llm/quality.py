@@ -1,11 +1,12 @@
 """Compression classifier: how much better a dictionary of good text compresses a text than one of bad text does.
 
 Two zstandard dictionaries are trained on a bounded sample of labelled texts. A text is cut into pieces of ``piece_bytes``, so that a long text can't become its
-own dictionary, and every piece is compressed with both. The difference of the two sizes by the text's size, with the size itself
-and the text's length, goes through a logistic curve: a probability of the good label. The curve is fitted on texts measured with dictionaries of the sample's
+own dictionary, and every piece is compressed with both. The difference of the two sizes, divided by a power of the text's size (between the size, by which a long text's
+sure difference counts no more than a short one's chance, and its root, by which a long text is always extreme), goes through a logistic curve: a probability of the good
+label. The curve is fitted on texts measured with dictionaries of the sample's
 other half, each half in turn, and weighs the two labels as all labelled rows have them.
 
-Defined cases: a null text is an empty one; an empty text has the score of its (empty) features, as any other; with one label only, or none, every score is
+Defined cases: a null text is an empty one; an empty text has the score of no difference; with one label only, or none, every score is
 the labelled share of good, or 0.5; repeated rows are rows of their own; other columns aren't read.
 """
 
@@ -23,6 +24,8 @@ from sparkloom.llm.common import text_bytes
 from sparkloom.llm.sample import label_counts, labelled_sample
 
 PER_LABEL, SAMPLE_CHARS, DICTIONARY_BYTES, PIECE_BYTES, LEVEL, GOOD_FROM = 1500, 20_000, 112 * 1024, 2_000, 3, 0.7
+#: The size difference is divided by (bytes + SHORT_BYTES) ** POWER.
+POWER, SHORT_BYTES = 0.8, 60
 
 
 def pieces(data: bytes, size: int) -> list[bytes]:
@@ -55,10 +58,8 @@ class Sizes:
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
-    """Of rows (good size, bad size, bytes)."""
-    n = np.maximum(sizes[:, 2], 1)
-    gain, size, short = (sizes[:, 1] - sizes[:, 0]) / n, sizes[:, 0] / n, 1 / np.sqrt(sizes[:, 2] + 20)
-    return np.stack([gain, size, gain**2, size**2, gain * size, short, gain * short], axis=1)
+    """The normalised size difference, of rows (good size, bad size, bytes)."""
+    return ((sizes[:, 1] - sizes[:, 0]) / (sizes[:, 2] + SHORT_BYTES) ** POWER)[:, None]
 
 
 class Logistic:

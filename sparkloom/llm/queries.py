@@ -49,7 +49,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = sample.remainder("doc_id", 3) == 1
     model = language.train(docs, docs.where(~held).select(F.col("doc_id").alias("id"), F.col("lang").alias("label")))
     found = language.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

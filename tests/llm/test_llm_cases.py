@@ -6,12 +6,13 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkloom.llm import components, decontaminate, html, jaccard, language, media, packing, passages, quality, queries, similar, sstable, tokens, words, wordpiece
+from sparkloom.llm import components, decontaminate, html, jaccard, language, media, packing, passages, quality, queries, sample, similar, sstable, tokens, words, wordpiece
 from sparkloom.llm.common import shared_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,6 +83,8 @@ def test_decontamination(spark):
     # many small automata find the same
     parts = {r["doc_id"]: r for r in decontaminate.scan(table, benchmark, block_chars=1).collect()}
     assert {i: tuple(r) for i, r in parts.items()} == {i: tuple(r) for i, r in rows.items()}
+    twice = table.where("doc_id in (3, 4)").unionByName(table.where("doc_id = 3")).withColumn("doc_id", F.struct(F.lit(None).cast("int").alias("a b"), F.lit(7).alias("row")))
+    assert sorted(r["n_hit"] for r in decontaminate.scan(twice, benchmark, block_chars=1).collect()) == [11, 12, 12]
     assert decontaminate.scan(table, benchmark.limit(0)).where("contaminated").count() == 0
     assert decontaminate.scan(table.limit(0), benchmark).count() == 0
 
@@ -260,6 +263,28 @@ def test_codes():
         assert k < 3 or min((c[i] != c[j]).sum() for i in range(k) for j in range(i)) >= (2 if k == 3 else c.shape[1] // 5)
 
 
+def test_decoding_of_a_known_case():
+    """Bits decide by weighted logistic loss, against a sum by hand; a word between two codewords is ambiguous."""
+    model = language.Model([("a", "aba aab abba " * 5), ("b", "cdc dcd ccdd " * 5), ("c", "efe fef eeff " * 5)] * 4)
+    assert model.code.shape == (3, 3) and len({tuple(w) for w in model.code}) == 3
+    model.scale, model.shift = np.ones(3), np.zeros(3)
+    for bits in ([2.0, -1.0, 0.5], [0.0, 0.0, 0.0], [-3.0, 3.0, 3.0]):
+        loss = [sum(t * np.log1p(np.exp(-c * x)) for t, c, x in zip(model.trust[k], model.code[k], bits, strict=True)) for k in range(3)]
+        near = np.exp([-3 * v for v in loss])
+        best, score, ahead = model.decode(np.array([bits]))
+        assert loss[best[0]] == pytest.approx(min(loss)) and score[0] == pytest.approx(max(near) / sum(near))
+        assert ahead[0] == pytest.approx((sorted(near)[-1] - sorted(near)[-2]) / sum(near))
+    assert model.decode(np.zeros((1, 3)))[2][0] < 0.1
+
+
+def test_sample_takes_labels_of_long_texts(spark):
+    rows = [(i, "x" * 50 if i % 2 else "y" * 5_000, "short" if i % 2 else "long") for i in range(40)] + [(50, None, "none"), (51, "z", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    labels = table.select(F.col("doc_id").alias("id"), "label")
+    found = sample.labelled_sample(table, labels, sample.label_counts(labels), id_col="doc_id", text_col="text", per_label=5, most_chars=100)
+    assert sorted((label, len(t)) for label, t in found) == [("long", 100)] * 5 + [("short", 50)] * 5
+
+
 def test_language_cases(spark):
     model = language.Model([("a", "aba aab abba " * 5), ("b", "cdc dcd ccdd " * 5), ("c", "efe fef eeff " * 5)] * 4)
     texts = [None, "", "123 !!", "abab aba", "x" * 300_000, "cdcd", "efe", "é", "ab"]
@@ -573,6 +598,9 @@ def test_quality_cases(spark):
     assert found[2]["predicted"] == found[4]["predicted"] == found[5]["predicted"] == 1 and found[3]["predicted"] == 0 and found[0]["score"] == found[1]["score"]
     assert quality.score(table, quality.Model([])).where("score = 0.5").count() == len(rows)
     assert quality.score(table, quality.Model([("1", "x")])).where("score = 1").count() == len(rows)
+    sizes = quality.Sizes(*model.how).of(good[3].encode())
+    by_hand = [sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=quality.LEVEL, write_content_size=False, write_dict_id=False).compress(good[3].encode()[i : i + 2_000])) for i in range(0, len(good[3].encode()), 2_000)) for d in model.how[:2]]
+    assert sizes == (*by_hand, len(good[3].encode())) and by_hand[0] < by_hand[1] and quality.features(np.array([sizes], float)).shape == (1, 1)
     tiny = quality.Model([("1", "a"), ("0", "b")])
     assert 0 <= quality.score(table, tiny).head()["score"] <= 1
 
