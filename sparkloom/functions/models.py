@@ -68,7 +68,7 @@ def rephrasings(answer: Column, n: int = 3) -> Column:
 
 
 #: Task name to function; programs put their own models here.
-TASKS: dict[str, Callable[..., Column]] = {"embed": hashed_embedding, "grade": overlap_grade, "classify": question_class, "summarize": first_sentences, "hyde": lambda query: query, "enrich": first_sentences}
+TASKS: dict[str, Callable[..., Column]] = {"embed": hashed_embedding, "grade": overlap_grade, "classify": question_class, "summarize": first_sentences, "hyde": lambda query: query, "rephrase": lambda query: query, "enrich": first_sentences}
 
 
 def run(task: str, *columns: Column) -> Column:

@@ -129,3 +129,39 @@ def human_size(n: Column) -> Column:
 def words(x: Column) -> Column:
     """Lower-cased runs of a-z and 0-9."""
     return F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), 1)
+
+
+#: Classes as a classifier names them.
+CLASS_NAMES = {"NoRetrieval": "no_retrieval", "SimpleRAG": "simple_rag", "MultiDoc": "multi_doc", "Summarization": "summarization"}
+
+
+def class_label(x: Column) -> Column:
+    """A classifier's name of a class as the library writes it; others in lower case."""
+    known = F.create_map(*[F.lit(v) for pair in CLASS_NAMES.items() for v in pair])
+    return F.coalesce(known[x], F.lower(x))
+
+
+def grade_payload(x: Column) -> Column:
+    """struct(query, context) of "Query: ... Context: ...", trimmed; null where a part is missing or empty."""
+    part = lambda k: trimmed(F.regexp_extract(trimmed(x), r"(?s)\AQuery:(.*?)Context:(.*)\z", k))
+    return F.when((part(1) != "") & (part(2) != ""), F.struct(part(1).alias("query"), part(2).alias("context")))
+
+
+def error_line(x: Column) -> Column:
+    """From the first "main: error:", or else "error:", or else "ERROR:" to the line's end; without any, the first line that isn't empty."""
+    found = [F.regexp_extract(x, rf"({mark}[^\r\n]*)", 1) for mark in ("main: error:", "error:", "ERROR:")]
+    return F.coalesce(*[F.when(f != "", f) for f in found], F.regexp_extract(x, r"([^\r\n]+)", 1))
+
+
+def int_list(x: Column) -> Column:
+    """The integers that a list begins with, between commas or white space, up to what is none."""
+    head = F.regexp_extract(x, r"\A(\s*[+-]?\d+(?:[,\s]+[+-]?\d+|(?=[+-]\d)[+-]\d+)*)", 1)
+    return F.transform(F.regexp_extract_all(head, F.lit(r"([+-]?\d+)"), 1), lambda n: n.cast("int"))
+
+
+def key_values(x: Column, between: str = ":") -> Column:
+    """A map of "key: value" lines, keys and values trimmed; lines without the mark are left out, the last of a key counts."""
+    lines = F.filter(F.split(x, "\n"), lambda line: line.contains(between))
+    pairs = F.transform(lines, lambda line: F.struct(trimmed(F.substring_index(line, between, 1)).alias("k"), trimmed(F.substring(line, F.instr(line, between) + len(between), F.length(line))).alias("v")))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))

@@ -79,3 +79,46 @@ def matched_by_path(refs: DataFrame, models: DataFrame) -> DataFrame:
     by_base = models.groupBy(basename(F.col("path")).alias("n")).agg(F.min("model_id").alias("c"))
     out = exact.withColumns({"p": normal("ref"), "n": basename(F.col("ref"))}).join(by_path, "p", "left").join(by_base, "n", "left")
     return out.select("ref", F.coalesce("a", "b", "c").alias("model_id"))
+
+
+def inserted_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` chunks (doc_id, position, text) after a document's old ones (doc_id, chunk_index, text): keys are (doc_id, chunk_index), numbered on by position, the same in every run."""
+    last = old.groupBy("doc_id").agg((F.max("chunk_index") + 1).alias("from"))
+    order = Window.partitionBy("doc_id").orderBy("position")
+    keyed = new.join(last, "doc_id", "left").select("doc_id", (F.row_number().over(order) - 1 + F.coalesce("from", F.lit(0))).cast("int").alias("chunk_index"), "text")
+    return old.select("doc_id", "chunk_index", "text").unionByName(keyed)
+
+
+def with_values(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``values`` set where a row of theirs has the same keys, as they were elsewhere; a null there sets nothing."""
+    named = values.select(*keys, *[F.col(c).alias(f"__{c}") for c in values.columns if c not in keys])
+    joined = rows.join(named, keys, "left")
+    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if f"__{c}" in named.columns else F.col(c) for c in rows.columns])
+
+
+def without_vector(media: DataFrame) -> DataFrame:
+    """Media that wait for a vector: a caption and no embedding."""
+    return media.where("embedding is null and caption <> ''")
+
+
+def of_media(elements: DataFrame) -> DataFrame:
+    """Parsed elements that are images or tables."""
+    return elements.where(F.lower("kind").isin("image", "table"))
+
+
+def newest(rows: DataFrame, at: str, key: str, n: int) -> DataFrame:
+    """The n newest rows, the smaller key first among those of one time."""
+    return rows.orderBy(F.desc(at), F.asc(key)).limit(n)
+
+
+def unregistered(found: DataFrame, registered: DataFrame) -> DataFrame:
+    """Found units (rel_path, abs_path, repo_id) that are registered under none of their names (token): relative or absolute path, base name, repository; one row a path.
+
+    Names are in lower case with forward slashes; a unit's are rows of one anti join's list, not an OR.
+    """
+    from sparkloom.functions.text import basename
+
+    normal = lambda c: F.lower(F.replace(F.col(c), F.lit("\\"), F.lit("/")))
+    names = F.array(normal("rel_path"), normal("abs_path"), basename(F.col("rel_path")), F.lower("repo_id"))
+    known = found.select("abs_path", F.explode(names).alias("token")).join(registered.select(normal("token").alias("token")).distinct(), "token", "left_semi").select("abs_path").distinct()
+    return latest(found.join(known, "abs_path", "left_anti"), "abs_path", "rel_path", "repo_id")

@@ -6,11 +6,15 @@ Queries are tables too, so many run at once: every ranking has a ``query`` colum
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.functions import vectors
 from sparkloom.functions.text import answer_prompt, prefix_of_bytes, words
@@ -38,63 +42,124 @@ def in_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame], size: i
 # Full text
 
 
+def counted(words_: Column) -> Column:
+    """array<struct<term, tf>> of an array of words, each term once: words are sorted, and where runs of equal ones end says how long they are.
+
+    Lambdas see only what is zipped into their elements: an expression from outside would be worked out anew for each element.
+    """
+    w, n = F.sort_array(words_), F.size(words_)
+    zipped = F.arrays_zip(w.alias("t"), F.slice(w, 2, F.greatest(n, F.lit(1))).alias("u"), F.sequence(F.lit(1), F.greatest(n, F.lit(1))).alias("i"))
+    ends = F.filter(zipped, lambda p: p["u"].isNull() | (p["t"] != p["u"]))
+    before = F.slice(F.concat(F.array(F.lit(0)), F.transform(ends, lambda p: p["i"])), F.lit(1), F.size(ends))
+    runs = F.zip_with(ends, before, lambda p, b: F.struct(p["t"].alias("term"), (p["i"] - b).cast("long").alias("tf")))
+    return F.when(n > 0, runs).otherwise(F.array().cast("array<struct<term: string, tf: bigint>>"))
+
+
+def _listed(docs: DataFrame, ident: str, text: Column, tokens) -> DataFrame:
+    """(id, dl, terms): a document's words counted inside its row."""
+    return docs.select(F.col(ident).alias("id"), tokens(F.coalesce(text, F.lit(""))).alias("w")).select("id", F.size("w").alias("dl"), counted(F.col("w")).alias("terms"))
+
+
 def postings(docs: DataFrame, ident: str, text: Column, tokens=words) -> DataFrame:
-    """(term, id, tf, dl): a row for each distinct term of each document; partial sums are taken inside a document, without a shuffle."""
-    listed = docs.select(F.col(ident).alias("id"), tokens(F.coalesce(text, F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
-    return listed.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(term, id, tf, dl): a row for each distinct term of each document, without a shuffle; rows of one id are documents of their own."""
+    return _listed(docs, ident, text, tokens).select("id", "dl", F.explode("terms").alias("p")).select("p.term", "id", "p.tf", "dl")
 
 
-def corpus_size(docs: DataFrame, ident: str, text: Column, tokens=words) -> DataFrame:
-    """One row: documents with words and their mean length."""
-    lengths = docs.select(F.size(tokens(F.coalesce(text, F.lit("")))).alias("dl")).where("dl > 0")
-    return lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+def term_counts(docs: DataFrame, text: Column, tokens=words) -> DataFrame:
+    """(term, df, cf): documents and occurrences of each term; one shuffle, of partial sums by term."""
+    return postings(docs.withColumn("__id", F.lit(0)), "__id", text, tokens).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, *, ident: str = "doc_id", text: str = "text", tokens=words) -> DataFrame:
     """(query, id, score, rank) for ``queries`` (query, text), terms joined by OR.
 
-    Only the queries' terms leave the scan: documents' words are cut to them before they are counted, so what is shuffled grows with the
-    matches, not with the corpus.
+    The corpus is read and taken apart once a block of queries: words are counted inside the row, and only the queries' terms, and a row a document for the lengths, leave the
+    scan; so what is written and shuffled grows with the matches, not with the words.
     """
     return in_blocks(queries, lambda block: _bm25(docs, block, k, ident, text, tokens))
 
 
 def _bm25(docs: DataFrame, queries: DataFrame, k: int, ident: str, text: str, tokens) -> DataFrame:
     wanted = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    vocabulary = F.broadcast(wanted.select("term").distinct())
-    listed = docs.select(F.col(ident).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
-    found = listed.select("id", "dl", F.explode("w").alias("term")).join(vocabulary, "term").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    size = F.broadcast(corpus_size(docs, ident, F.col(text), tokens))
+    vocabulary = F.broadcast(wanted.select("term", F.lit(True).alias("asked")).distinct())
+    # A row without a term stands for the document itself.
+    own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
+    rows = _listed(docs, ident, F.col(text), tokens).where("dl > 0").select("id", "dl", F.explode(F.concat(own, "terms")).alias("p")).select("id", "dl", "p.term", "p.tf")
+    read = written(rows.join(vocabulary, "term", "left").where("term is null or asked").drop("asked"), "matches")
+    return scored(read.where("term is not null"), read.where("term is null").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")), wanted, k)
+
+
+def scored(found: DataFrame, size: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The k best (query, id, score, rank) of the postings ``found`` (term, id, tf, dl) for ``wanted`` (query, term); ``size`` is one row: n_docs, avg_dl."""
     n = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = found.join(F.broadcast(n), "term").crossJoin(size)
+    weighed = found.join(F.broadcast(n), "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = weighed.withColumn("part", part).join(F.broadcast(wanted), "term").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top(scored, k)
+    best = weighed.withColumn("part", part).join(F.broadcast(wanted), "term").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return top(best, k)
 
 
 # Vectors
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, *, ident: str = "vec_id", vector: str = "embedding", similarity=vectors.dot) -> DataFrame:
-    """Exact search: a stated set of query vectors (query, vector), broadcast, against all rows."""
-
-    def run(block: DataFrame) -> DataFrame:
-        pairs = rows.select(F.col(ident).alias("id"), F.col(vector).alias("v")).crossJoin(F.broadcast(block.select("query", "vector")))
-        return top(pairs.select("query", "id", F.round(similarity(F.col("v"), F.col("vector")), 6).alias("score")), k)
+def _scores(rows: DataFrame, queries: DataFrame, k: int, kind: str) -> DataFrame:
+    """(query, id, score) of the k best rows of each Arrow batch; queries lie next to each batch as one matrix, so that no pair is a row before it's among the best.
 
-    return in_blocks(queries, run)
+    ``rows``: id, v (array), scale (null but for quantized ones); ``kind``: dot or cosine. Vectors of another length than a query's score 0, null vectors too.
+    """
+    asked: dict[int, tuple[list, list]] = {}
+    for r in queries.select("query", "vector").collect():  # a block of at most some QUERY_BLOCK
+        ids, found = asked.setdefault(len(r["vector"] or ()), ([], []))
+        ids.append(r["query"])
+        found.append(r["vector"] or ())
+    shared = rows.sparkSession.sparkContext.broadcast([(size, ids, np.array(found, float).reshape(len(ids), size)) for size, (ids, found) in asked.items()])
+    name_kind = to_arrow_type(queries.schema["query"].dataType)
+    kinds = f"query {dict(queries.dtypes)['query']}, id {dict(rows.dtypes)['id']}, score double"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, listed, scale = batch.column(0), batch.column(1), batch.column(2).fill_null(1.0).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(listed), -1).to_numpy()
+            ranks = pc.sort_indices(ids).to_numpy()
+            place = np.empty(len(ids), np.int64)
+            place[ranks] = np.arange(len(ids))  # by which ties are put in order
+            for size, names, matrix in shared.value:
+                own = np.flatnonzero((sizes == size) & (size > 0))
+                values = listed.take(pa.array(own)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(own), size)
+                found = np.zeros((len(names), len(ids)))
+                found[:, own] = (matrix @ values.T) * scale[own]
+                if kind == "cosine":
+                    norms = np.sqrt((matrix**2).sum(axis=1))[:, None] * np.sqrt((values**2).sum(axis=1))[None, :]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        found[:, own] = np.where(norms >= vectors.LEAST, found[:, own] / norms, 0.0)
+                found = np.round(found, 6) + 0.0
+                for name, row in zip(names, found, strict=True):
+                    best = np.arange(len(row))
+                    if len(row) > k:
+                        least = np.partition(row, len(row) - k)[len(row) - k]
+                        best = np.flatnonzero(row >= least)
+                    best = best[np.lexsort((place[best], -row[best]))][:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), name_kind), ids.take(pa.array(best)), pa.array(row[best])], names=["query", "id", "score"])
+
+    return rows.select("id", "v", "scale").mapInArrow(run, kinds)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, *, ident: str = "vec_id", vector: str = "embedding", similarity: str = "dot") -> DataFrame:
+    """Exact search: a stated set of query vectors (query, vector), broadcast in blocks, against all rows; ``similarity``: dot or cosine."""
+    plain = rows.select(F.col(ident).alias("id"), F.col(vector).alias("v"), F.lit(None).cast("double").alias("scale"))
+    return in_blocks(queries, lambda block: top(_scores(plain, block, k, similarity), k))
+
+
+def quantized(rows: DataFrame, *, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, v, scale): int8 vectors."""
+    z = rows.select(F.col(ident).alias("id"), vectors.quantized(F.col(vector)).alias("z"))
+    return z.select("id", F.col("z.q").alias("v"), "z.scale")
 
 
 def nearest_quantized(rows: DataFrame, queries: DataFrame, k: int, *, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The same over int8 vectors and their scales; query vectors stay as they are."""
-    small = rows.select(F.col(ident).alias("id"), vectors.quantized(F.col(vector)).alias("z"))
-
-    def run(block: DataFrame) -> DataFrame:
-        pairs = small.crossJoin(F.broadcast(block.select("query", "vector")))
-        return top(pairs.select("query", "id", F.round(vectors.quantized_dot(F.col("z.q"), F.col("z.scale"), F.col("vector")), 6).alias("score")), k)
-
-    return in_blocks(queries, run)
+    small = quantized(rows, ident=ident, vector=vector)
+    return in_blocks(queries, lambda block: top(_scores(small, block, k, "dot"), k))
 
 
 def n_cells(n: Column) -> Column:
@@ -157,12 +222,50 @@ def search_cells(members: DataFrame, centroids: DataFrame, queries: DataFrame, k
     return in_blocks(queries, lambda block: _search_cells(members, centroids, block, k, probes, rescored))
 
 
+def probed(queries: DataFrame, centroids: DataFrame, probes: int) -> DataFrame:
+    """(query, qv, cell): the ``probes`` nearest centroids (cell, c) of each query."""
+    packed = F.broadcast(centroids.groupBy().agg(F.array_sort(F.collect_list(F.struct("cell", "c"))).alias("cells")))
+    far = F.transform("cells", lambda x: F.struct((-F.round(vectors.dot(F.col("vector"), x["c"]), 6)).alias("far"), x["cell"].alias("cell")))
+    near = queries.select("query", "vector").crossJoin(packed).select("query", F.col("vector").alias("qv"), F.slice(F.array_sort(far), 1, probes).alias("near"))
+    return near.select("query", "qv", F.explode("near.cell").alias("cell"))
+
+
+def in_cells(members: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(query, id, score): the k best of each Arrow batch for the queries that probe its cell. ``members``: id, v, scale, cell; ``wanted``: ``probed``'s rows, of a block of queries."""
+    asked: dict[int, tuple[list, list]] = {}
+    for r in wanted.collect():
+        names, found = asked.setdefault(r["cell"], ([], []))
+        names.append(r["query"])
+        found.append(r["qv"])
+    shared = members.sparkSession.sparkContext.broadcast({c: (names, np.array(found, float)) for c, (names, found) in asked.items()})
+    name_kind = to_arrow_type(wanted.schema["query"].dataType)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, listed, scale, cell = (batch.column(i) for i in range(4))
+            scale, cell, at = scale.to_numpy(), cell.to_numpy(), listed.offsets.to_numpy()
+            values = listed.values.to_numpy(zero_copy_only=False)
+            place = np.empty(len(ids), np.int64)
+            place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            for c in np.unique(cell):
+                names, matrix = shared.value.get(int(c), ((), np.zeros((0, 0))))
+                own = np.flatnonzero((cell == c) & (np.diff(at) == matrix.shape[1]))
+                if not len(names) or not len(own):
+                    continue
+                rows = values[at[own][:, None] + np.arange(matrix.shape[1])].astype(float)
+                for name, row in zip(names, np.round((matrix @ rows.T) * scale[own], 6) + 0.0, strict=True):
+                    best = np.lexsort((place[own], -row))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), name_kind), ids.take(pa.array(own[best])), pa.array(row[best])], names=["query", "id", "score"])
+
+    kinds = f"query {dict(wanted.dtypes)['query']}, id {dict(members.dtypes)['id']}, score double"
+    return members.select("id", "v", "scale", "cell").mapInArrow(run, kinds)
+
+
 def _search_cells(members: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, probes: int, rescored: int) -> DataFrame:
-    near = queries.select("query", "vector").crossJoin(F.broadcast(centroids))
-    near = near.select("query", F.col("vector").alias("qv"), F.col("cell").alias("id"), F.round(vectors.dot(F.col("vector"), F.col("c")), 6).alias("score"))
-    probed = top(near, probes).select("query", "qv", F.col("id").alias("cell"))
-    pairs = members.select("id", "cell", vectors.quantized(F.col("vector")).alias("z")).join(F.broadcast(probed), "cell")
-    rough = top(pairs.select("query", "id", F.round(vectors.quantized_dot(F.col("z.q"), F.col("z.scale"), F.col("qv")), 6).alias("score")), max(1, rescored) * k)
+    wanted = probed(queries, centroids, probes)
+    small = members.select("id", "cell", vectors.quantized(F.col("vector")).alias("z")).select("id", F.col("z.q").alias("v"), "z.scale", "cell")
+    most = max(1, rescored) * k
+    rough = top(in_cells(small, wanted, most), most)
     if not rescored:
         return rough
     full = members.select("id", F.col("vector").alias("v")).join(F.broadcast(rough.select("query", "id")), "id").join(F.broadcast(queries.select("query", "vector")), "query")

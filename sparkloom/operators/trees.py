@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ordered import with_row_number
 from sparkloom.sources.tables import written
 
 
@@ -25,9 +26,9 @@ def flattened(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
 
 
 def layout(flat: DataFrame, dx: int = 260, dy: int = 92) -> DataFrame:
-    """x by depth, y by the order of paths, as strings, on a level."""
-    place = F.row_number().over(Window.partitionBy("graph_id", "depth").orderBy("path")) - 1
-    return flat.select("graph_id", "node_id", "depth", "path", (F.col("depth") * dx).alias("x"), (place * dy).alias("y"))
+    """x by depth, y by the order of paths, as strings, on a level; a level may hold most of a graph."""
+    placed = with_row_number(flat.select("graph_id", "node_id", "depth", "path"), ["graph_id", "depth"], ["path"], "place")
+    return placed.select("graph_id", "node_id", "depth", "path", (F.col("depth") * dx).alias("x"), ((F.col("place") - 1) * dy).cast("int").alias("y"))
 
 
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import sizing
-from sparkloom.operators import conversations, lifecycle, runs, search, trees
+from sparkloom.operators import conversations, lifecycle, ordered, runs, search, trees
 from sparkloom.sources.tables import table
 
 
@@ -93,9 +93,9 @@ def process_closure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_flatten(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers below 2000 as a tree of tens."""
+    """All customers as a tree of tens."""
     k = F.col("c_custkey")
-    n = table(spark, sf, "customer").where("c_custkey < 2000").select(F.lit(1).alias("graph_id"), k.alias("node_id"), F.when(k >= 10, F.floor(k / 10)).alias("parent_id"))
+    n = table(spark, sf, "customer").select(F.lit(1).alias("graph_id"), k.alias("node_id"), F.when(k >= 10, F.floor(k / 10)).alias("parent_id"))
     return trees.layout(trees.flattened(n)).select("node_id", "depth", "path", "x", "y")
 
 
@@ -223,9 +223,8 @@ def tumbling_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Members of each cluster in input order."""
-    e = table(spark, sf, "embeddings")
-    return e.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")), ",").alias("members"))
+    """Members of each cluster, numbered in input order: a row a member, as a cluster may hold most of them."""
+    return ordered.with_row_number(table(spark, sf, "embeddings").select("label", "vec_id"), ["label"], ["vec_id"], "place").select("label", "vec_id", F.col("place").cast("long").alias("place"))
 
 
 QUERIES = {f.__name__: f for f in (idle_window_metrics, counter_rates, fifo_pairing, periodic_overhead, null_poison_sum, best_config_per_group, metric_pivot, config_grid, gap_sessions, bench_json, log_parse, process_closure, tree_flatten, conversation_truncate, session_titles, role_filter, enrichment_queue, document_phase, docs_without_tree, searchable_chunks, upsert_latest, delete_cascade, ordered_fetch, quant_from_name, size_tier, compat_score, catalog_priority, catalog_diff, catalog_merge, fuzzy_match, tumbling_windows, label_groups)}
@@ -256,7 +255,7 @@ SQL = {
     "bench_json": "SELECT CAST(event_id % 64 AS INTEGER) AS n_gen, count(*) AS n, max(value) AS best FROM events WHERE event_id % 3 <> 0 GROUP BY 1",
     "log_parse": "SELECT CASE event_id % 4 WHEN 0 THEN 'model_spawn' WHEN 1 THEN 'model_ready' ELSE 'model_start_ready' END AS kind, 'm' || (user_id % 7) AS subject, count(*) AS n, CAST(sum(CASE WHEN event_id % 4 = 2 THEN event_id % 100 END) AS BIGINT) AS elapsed_ms FROM events WHERE event_id % 4 <> 3 GROUP BY ALL",
     "process_closure": "WITH RECURSIVE t(root, pid, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey BETWEEN 1 AND 9 UNION ALL SELECT root, c_custkey, depth + 1 FROM t JOIN customer ON c_custkey // 10 = pid) SELECT root, count(*) AS n, CAST(max(depth) AS INTEGER) AS depth, CAST(round(sum(CAST(c_acctbal AS DECIMAL(18, 2))), 2) AS DOUBLE) AS total FROM t JOIN customer ON c_custkey = pid GROUP BY root",
-    "tree_flatten": "WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey >= 10 THEN c_custkey // 10 END AS up, row_number() OVER (PARTITION BY CASE WHEN c_custkey >= 10 THEN c_custkey // 10 END ORDER BY c_custkey) - 1 AS i FROM customer WHERE c_custkey < 2000), t(node_id, depth, path) AS (SELECT id, 0, CAST(i AS VARCHAR) FROM n WHERE up IS NULL UNION ALL SELECT n.id, depth + 1, path || '.' || n.i FROM t JOIN n ON n.up = t.node_id) SELECT node_id, CAST(depth AS INTEGER) AS depth, path, CAST(depth * 260 AS INTEGER) AS x, CAST((row_number() OVER (PARTITION BY depth ORDER BY path) - 1) * 92 AS INTEGER) AS y FROM t",
+    "tree_flatten": "WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey >= 10 THEN c_custkey // 10 END AS up, row_number() OVER (PARTITION BY CASE WHEN c_custkey >= 10 THEN c_custkey // 10 END ORDER BY c_custkey) - 1 AS i FROM customer), t(node_id, depth, path) AS (SELECT id, 0, CAST(i AS VARCHAR) FROM n WHERE up IS NULL UNION ALL SELECT n.id, depth + 1, path || '.' || n.i FROM t JOIN n ON n.up = t.node_id) SELECT node_id, CAST(depth AS INTEGER) AS depth, path, CAST(depth * 260 AS INTEGER) AS x, CAST((row_number() OVER (PARTITION BY depth ORDER BY path) - 1) * 92 AS INTEGER) AS y FROM t",
     "conversation_truncate": r"SELECT conv_id, turn, role FROM (SELECT *, sum(4 * len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))) OVER (PARTITION BY conv_id) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE s <= 400 OR r <= 3",
     "session_titles": r"SELECT conv_id, CASE WHEN length(t) = 0 THEN 'New Chat' WHEN length(t) > 32 THEN left(t, 32) || '…' ELSE t END AS title FROM (SELECT c.conv_id, regexp_replace(trim(coalesce(f.text, '')), '\n+', ' ', 'g') AS t FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id) f USING (conv_id))",
     "role_filter": r"SELECT role, count(*) AS n, count(*) FILTER (len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) >= 5) AS n_long FROM conversations WHERE role IN ('user', 'assistant', 'system') AND text IS NOT NULL GROUP BY role",
@@ -275,5 +274,5 @@ SQL = {
     "catalog_merge": "SELECT 'builtin' AS origin, count(*) AS n FROM supplier UNION ALL SELECT 'custom', count(*) FROM range(1, 2000) r(id) WHERE id NOT IN (SELECT s_suppkey FROM supplier)",
     "fuzzy_match": "SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 's' || s_suppkey WHEN 1 THEN upper('models\\Dir' || s_suppkey % 7 || '\\M' || s_suppkey || '.gguf') WHEN 2 THEN 'elsewhere/m' || s_suppkey || '.GGUF' ELSE 'none' END AS ref, CASE WHEN s_suppkey % 4 < 3 THEN 's' || s_suppkey END AS model_id FROM supplier",
     "tumbling_windows": "SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS start_s, event_type, count(*) AS n, max(value) AS peak FROM events GROUP BY ALL",
-    "label_groups": "SELECT label, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS members FROM embeddings GROUP BY label",
+    "label_groups": "SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings",
 }

@@ -24,7 +24,7 @@ def _instances(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def status_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    models = table(spark, sf, "customer").where("c_custkey < 600").select(F.col("c_custkey").alias("model_id"), (F.col("c_custkey") % 90 + 10).alias("memory_mb"))
+    models = table(spark, sf, "customer").select(F.col("c_custkey").alias("model_id"), (F.col("c_custkey") % 90 + 10).alias("memory_mb"))
     return catalogs.statuses(_instances(spark, sf), models)
 
 
@@ -75,7 +75,7 @@ def table_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as shapes on the page of their supplier."""
     x, y = F.col("l_quantity") * 3, F.col("l_extendedprice") % 3000
     wide = F.when(F.col("l_linenumber") % 3 != 0, 120.0).otherwise(10.0)
-    shapes = table(spark, sf, "lineitem").where("l_partkey % 40 = 0").select(F.col("l_suppkey").alias("page"), x.alias("x1"), F.round(y, 2).alias("y1"), (x + wide).alias("x2"), (F.round(y, 2) + 1).alias("y2"))
+    shapes = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("page"), x.alias("x1"), F.round(y, 2).alias("y1"), (x + wide).alias("x2"), (F.round(y, 2) + 1).alias("y2"))
     return catalogs.table_boxes(shapes).select("page", F.round("x1", 4).alias("x1"), F.round("y1", 4).alias("y1"), F.round("x2", 4).alias("x2"), F.round("y2", 4).alias("y2"))
 
 
@@ -142,11 +142,11 @@ QUERIES = {f.__name__: f for f in (model_discovery, status_rollup, least_loaded,
 _FILES = "(SELECT p_partkey // 7 AS f, CASE WHEN p_partkey % 5 = 0 THEN 'mmproj-' ELSE 'm-' END || p_partkey || '.GGUF' AS file, p_partkey % 5 = 0 AS proj, p_size AS size FROM part WHERE p_partkey % 11 <> 0)"
 _INSTANCES = "(SELECT o_custkey % 500 AS model_id, o_orderkey AS instance_id, CASE WHEN o_orderstatus = 'F' THEN 'ready' WHEN o_orderkey % 50 = 0 THEN 'error' ELSE 'busy' END AS state, o_orderkey % 9 AS requests, o_orderkey % 2 = 0 AS ephemeral, CAST(o_orderkey % 1000 AS DOUBLE) AS last_used FROM orders)"
 _SCORE = "CASE WHEN s_suppkey % 6 = 0 THEN 200 ELSE 0 END + CASE WHEN s_suppkey % 4 = 0 THEN 80 ELSE 0 END - CASE WHEN s_suppkey % 4 = 1 THEN 200 ELSE 0 END + CASE WHEN s_suppkey % 10 = 0 THEN 0 ELSE 10 END"
-_RULES = "(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY page) AS n FROM (SELECT l_suppkey AS page, l_quantity * 3 AS x1, round(l_extendedprice % 3000, 2) AS y1, l_quantity * 3 + 120 AS x2, round(l_extendedprice % 3000, 2) + 1 AS y2 FROM lineitem WHERE l_partkey % 40 = 0 AND l_linenumber % 3 <> 0)) WHERE n >= 4)"
+_RULES = "(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY page) AS n FROM (SELECT l_suppkey AS page, l_quantity * 3 AS x1, round(l_extendedprice % 3000, 2) AS y1, l_quantity * 3 + 120 AS x2, round(l_extendedprice % 3000, 2) + 1 AS y2 FROM lineitem WHERE l_linenumber % 3 <> 0)) WHERE n >= 4)"
 
 SQL = {
     "model_discovery": f"SELECT 'models/d' || f AS folder, last(file ORDER BY size, file) FILTER (NOT proj) AS model, last(file ORDER BY size, file) FILTER (proj) AS projector FROM {_FILES} GROUP BY f HAVING count(*) FILTER (NOT proj) > 0",
-    "status_rollup": f"SELECT c_custkey AS model_id, CASE WHEN n IS NULL THEN 'unloaded' WHEN r THEN 'ready' ELSE 'loading' END AS status, coalesce(n, 0) * (c_custkey % 90 + 10) AS memory_mb FROM customer LEFT JOIN (SELECT model_id, count(*) AS n, bool_or(state = 'ready') AS r FROM {_INSTANCES} GROUP BY model_id) ON model_id = c_custkey WHERE c_custkey < 600",
+    "status_rollup": f"SELECT c_custkey AS model_id, CASE WHEN n IS NULL THEN 'unloaded' WHEN r THEN 'ready' ELSE 'loading' END AS status, coalesce(n, 0) * (c_custkey % 90 + 10) AS memory_mb FROM customer LEFT JOIN (SELECT model_id, count(*) AS n, bool_or(state = 'ready') AS r FROM {_INSTANCES} GROUP BY model_id) ON model_id = c_custkey",
     "least_loaded": f"SELECT model_id, first(instance_id ORDER BY requests, instance_id) AS instance_id FROM {_INSTANCES} GROUP BY model_id",
     "idle_reaper": f"SELECT instance_id, state FROM {_INSTANCES} WHERE state = 'error' OR (ephemeral AND requests = 0 AND 1000 - last_used >= 300)",
     "route_candidates": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '99' ELSE n_nationkey || ',' || (n_nationkey + 1) || ',' || (n_nationkey + 2) END AS ids FROM nation",

@@ -23,10 +23,10 @@ def raptor_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raptor_retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    """Every hundredth document's tree, asked its first line."""
-    chunks = written(_chunks(spark, sf).where("doc_id % 100 = 0"), "chunks")
+    """The trees of all documents; every hundredth is asked its first line."""
+    chunks = written(_chunks(spark, sf), "chunks")
     nodes = written(raptor.tree(chunks), "nodes")
-    asked = chunks.where("id = 0").select(F.col("doc_id").alias("query"), "doc_id", "vector")
+    asked = chunks.where("id = 0 and doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "doc_id", "vector")
     return raptor.retrieve(nodes, chunks, asked, 5)
 
 
@@ -69,16 +69,20 @@ def query_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexical_grades(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items against the documents of their numbers: share of words, grade, cut."""
-    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
-    d = table(spark, sf, "documents").select(F.pmod("doc_id", F.lit(40)).alias("item_id"), "doc_id", "text")
-    pairs = d.join(F.broadcast(q.where("item_id < 40")), "item_id").select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"), F.round(models.run("grade", F.col("question"), F.col("text")), 6).alias("score"))
-    return search.graded(pairs.withColumn("grade", search.grade(F.col("score"))), 5).select("query", "id", "grade", "score", "rank")
+    """Every hundredth benchmark item against all documents: share of words, grade, cut."""
+    q = table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+    def run(block: DataFrame) -> DataFrame:
+        pairs = d.crossJoin(F.broadcast(block)).select("query", "id", F.round(models.run("grade", F.col("question"), F.col("text")), 6).alias("score"))
+        return search.graded(pairs.withColumn("grade", search.grade(F.col("score"))), 5).select("query", "id", "grade", "score", "rank")
+
+    return search.in_blocks(q, run)
 
 
 def media_retrieval(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors as media: the nearest to answers (long enough ones), the k best first, then those above the threshold."""
-    answers = table(spark, sf, "benchmark").where("item_id % 10 = 1").select(F.col("item_id").alias("query"), "text")
+    """Vectors as media: the nearest to every hundredth answer (long enough ones), the k best first, then those above the threshold."""
+    answers = table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query"), "text")
     from sparkloom.operators.conversations import long_enough
 
     asked = table(spark, sf, "embeddings").join(F.broadcast(answers.where(long_enough(F.col("text"))).select(F.col("query").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
@@ -111,10 +115,10 @@ SQL = {
     "dialogue_lines": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS i, role AS speaker, CASE WHEN role = 'user' THEN 'a' ELSE 'b' END AS voice, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE conv_id % 3 <> 0 OR back > 1",
     "requirements_mined": "SELECT p_partkey, CAST(least(p_size, 64) AS DOUBLE) AS ram_gb, CAST(greatest(p_size * 1024, 2048) AS BIGINT) AS context FROM part",
     "query_gate": "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'no_retrieval' ELSE 'simple_rag' END AS label, item_id % 3 <> 0 AS retrieves FROM benchmark",
-    "lexical_grades": f"""WITH p AS (SELECT b.item_id AS query, d.doc_id AS id, round(len(list_intersect(list_distinct({_WORDS.format('b.text')}), {_WORDS.format('d.text')})) / len(list_distinct({_WORDS.format('b.text')})), 6) AS score FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE b.item_id < 40),
+    "lexical_grades": f"""WITH p AS (SELECT b.item_id AS query, d.doc_id AS id, round(len(list_intersect(list_distinct({_WORDS.format('b.text')}), {_WORDS.format('d.text')})) / len(list_distinct({_WORDS.format('b.text')})), 6) AS score FROM documents d , benchmark b WHERE b.item_id % 100 = 0),
 g AS (SELECT *, CAST(greatest(1, least(5, ceil(score * 5))) AS INTEGER) AS grade FROM p), m AS (SELECT *, max(grade) OVER (PARTITION BY query) AS best FROM g)
 SELECT query, id, grade, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, score DESC, id) AS rank FROM m WHERE grade >= CASE WHEN best >= 3 THEN 3 WHEN best >= 2 THEN 2 ELSE 0 END) WHERE rank <= 5""",
-    "media_retrieval": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query, e.vec_id AS id, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 10 = 1))) WHERE rank <= 5 AND score >= 0.5",
+    "media_retrieval": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query, e.vec_id AS id, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 100 = 0))) WHERE rank <= 5 AND score >= 0.5",
     "preemphasis": "SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(CAST(embedding[i] AS DOUBLE) - 0.97::DOUBLE * CASE WHEN i = 1 THEN 0 ELSE CAST(embedding[i - 1] AS DOUBLE) END, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",
     "signal_frames": "SELECT vec_id, CAST(i AS INTEGER) AS i, round(list_sum(list_transform(embedding[i * 8 + 1:i * 8 + 16], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS energy FROM (SELECT vec_id, embedding, unnest(range((len(embedding) - 16) // 8 + 1)) AS i FROM embeddings)",
 }

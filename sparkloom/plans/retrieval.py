@@ -27,7 +27,7 @@ def _query_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").where(F.col("item_id") % 10 == 0).select(F.col("item_id").alias("query"), "text")
+    return table(spark, sf, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query"), "text")
 
 
 def vector_topk_dot(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +35,7 @@ def vector_topk_dot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    return search.nearest(_vectors(spark, sf), _query_vectors(spark, sf), K, similarity=vectors.cosine)
+    return search.nearest(_vectors(spark, sf), _query_vectors(spark, sf), K, similarity="cosine")
 
 
 def vector_topk_int8(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,6 +43,7 @@ def vector_topk_int8(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest, then those of them above the threshold: media search takes its k first and has no more than these."""
     return search.nearest(_vectors(spark, sf), _query_vectors(spark, sf), 10).where("score >= 0.5")
 
 
@@ -109,8 +110,7 @@ def bm25_doc_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def term_df(spark: SparkSession, sf: str) -> DataFrame:
-    p = search.postings(_docs(spark, sf), "doc_id", F.col("text"))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return search.term_counts(_docs(spark, sf), F.col("text"))
 
 
 def _legs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -208,12 +208,12 @@ SQL = {
     "kmeans_assign_step": f"SELECT vec_id, cell FROM {_CELLS}",
     "ivf_search": f"WITH probed AS (SELECT query, cell FROM (SELECT q.vec_id AS query, c.cell, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), c.c), 6) DESC, c.cell) AS r FROM embeddings q, {_CENTROIDS} c WHERE q.vec_id % 100 = 0) WHERE r <= 4) " + _top("list_dot_product(CAST(e.z AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * e.scale", K, f"{_Q8} e JOIN {_CELLS} m ON m.vec_id = e.vec_id JOIN probed USING (cell) JOIN embeddings q ON q.vec_id = probed.query"),
     "ivf_cell_count": "SELECT label, count(*) AS n, CAST(greatest(2, least(32, count(*) // 4)) AS BIGINT) AS cells FROM embeddings GROUP BY label",
-    "bm25_topk": f"SELECT * FROM {_bm25('item_id % 10 = 0', K)}",
+    "bm25_topk": f"SELECT * FROM {_bm25('item_id % 100 = 0', K)}",
     "bm25_doc_lengths": f"SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) AS dl FROM documents",
     "term_df": f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY ALL) GROUP BY term",
     "rrf_fuse": _rrf(_top(_DOT, K), _INT8, 1.0, K),
     "rrf_weighted": _rrf(_top(_DOT, K), _INT8, 2.0, K),
-    "hybrid_search": f"SELECT query, id, score, rank, coalesce(source, 'Unknown') AS title FROM ({_rrf(f'SELECT * FROM {_bm25("item_id % 10 = 0", K)}', _top(_DOT, K, 'embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 10 = 0)'), 1.0, K)}) LEFT JOIN documents ON doc_id = id",
+    "hybrid_search": f"SELECT query, id, score, rank, coalesce(source, 'Unknown') AS title FROM ({_rrf(f'SELECT * FROM {_bm25("item_id % 100 = 0", K)}', _top(_DOT, K, 'embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 100 = 0)'), 1.0, K)}) LEFT JOIN documents ON doc_id = id",
     "grade_bucket": f"SELECT query, id, CAST(greatest(1, least(5, ceil(score * 5))) AS INTEGER) AS grade FROM ({_top(_DOT, K)})",
     "grade_select": f"SELECT query, id, grade, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, score DESC, id) AS rank FROM (SELECT *, max(grade) OVER (PARTITION BY query) AS best FROM (SELECT query, id, score, CAST(greatest(1, least(5, ceil((score - 0.3) * 5))) AS INTEGER) AS grade FROM ({_POOL}))) WHERE grade >= CASE WHEN best >= 3 THEN 3 WHEN best >= 2 THEN 2 ELSE 0 END) WHERE rank <= {K}",
     "adjacent_chunks": f"SELECT DISTINCT c.doc_id AS query, l.doc_id, CAST(l.chunk_index AS INTEGER) AS chunk_index, md5(l.text) AS text_md5 FROM {_CHOSEN} c JOIN {_LINES} l ON l.doc_id = c.doc_id AND abs(l.chunk_index - c.chunk_index) = 1",

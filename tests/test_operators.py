@@ -164,3 +164,81 @@ def test_workspace(spark, tmp_path):
     assert workspace.listed(spark).where("active").head()["namespace"] == "proj"
     workspace.drop(spark, "proj")
     assert spark.catalog.currentDatabase() == "default"
+
+
+def test_stems():
+    """Examples of the published algorithm."""
+    known = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall filing file happy happi sky sky relational relat rational ration digitizer digit vietnamization vietnam operator oper decisiveness decis callousness callous triplicate triplic formalize formal electrical electr goodness good revival reviv adjustable adjust replacement replac adoption adopt activate activ bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll naïve naïve a1 a1".split()
+    from sparkloom.functions.stemming import stem
+
+    assert [stem(w) for w in known[::2]] == known[1::2]
+
+
+def test_search_by_stems(spark):
+    from sparkloom.functions.stemming import stemmed_words
+
+    docs = spark.createDataFrame([(1, "The runners were running"), (2, "a cat sat"), (3, "he ran"), (4, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(0, "runs"), (1, "cats sitting")], "query int, text string")
+    found = {(r["query"], r["id"]) for r in search.bm25(docs, q, 3, tokens=stemmed_words).collect()}
+    assert found == {(0, 1), (1, 2)} and search.bm25(docs, q, 3).count() == 0
+
+
+def test_stored_index(spark, tmp_path):
+    from sparkloom.operators import stored_index
+
+    path = str(tmp_path / "index")
+    q = spark.createDataFrame([(0, "red fox")], "query int, text string")
+    of = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert stored_index.find_texts(spark, path, q, 3).count() == 0
+    stored_index.add_texts(of([(1, "red fox"), (2, "a red hen"), (3, None), (4, "")]), path)
+    stored_index.add_texts(of([(2, "blue hen"), (5, "fox fox red")]), path)
+    ids = lambda: [r["id"] for r in stored_index.find_texts(spark, path, q, 3).orderBy("rank").collect()]
+    assert set(ids()) == {1, 5}
+    stored_index.delete(spark, path, spark.createDataFrame([(1,)], "id long"))
+    assert ids() == [5]
+    stored_index.add_texts(of([(1, "red fox again")]), path)
+    (tmp_path / "index" / "lengths" / "batch=9").mkdir()  # of a job that died: no commit, not read
+    same = [tuple(r) for r in search.bm25(of([(1, "red fox again"), (2, "blue hen"), (5, "fox fox red")]), q, 3).orderBy("rank").collect()]
+    assert [tuple(r) for r in stored_index.find_texts(spark, path, q, 3).orderBy("rank").collect()] == same
+    stored_index.compacted(spark, path, str(tmp_path / "small"))
+    assert [tuple(r) for r in stored_index.find_texts(spark, str(tmp_path / "small"), q, 3).orderBy("rank").collect()] == same
+
+
+def test_vector_index(spark, tmp_path):
+    from sparkloom.operators import stored_index
+
+    path = str(tmp_path / "vectors")
+    rows = spark.createDataFrame([(i, [math.cos(i / 30), math.sin(i / 30)]) for i in range(180)], "vec_id long, embedding array<double>")
+    _, centroids = search.cells(rows, k=6, rounds=3)
+    stored_index.start_cells(centroids, path)
+    stored_index.add_vectors(rows, path)
+    q = spark.createDataFrame([(0, [math.cos(1.0), math.sin(1.0)])], "query int, vector array<double>")
+    assert [r["id"] for r in stored_index.find_vectors(spark, path, q, 3, probes=2).orderBy("rank").collect()][0] == 30
+    stored_index.delete(spark, path, rows.where("vec_id between 28 and 32"), "vec_id")
+    assert {r["id"] for r in stored_index.find_vectors(spark, path, q, 2, probes=2).collect()} == {27, 33}
+
+
+def test_second_try(spark):
+    """A question whose sources grade low is asked again in other words, and keeps what was better."""
+    from sparkloom.functions import models
+    from sparkloom.operators import answers
+
+    chunks = spark.createDataFrame([(1, 1, 0, "A", "alpha beta"), (2, 2, 0, None, "gamma"), (3, 3, 0, "C", "delta epsilon")], "id long, doc_id long, chunk_index int, title string, text string")
+    q = spark.createDataFrame([(0, "alpha beta"), (1, "gamma one two three four five"), (2, "hello there"), (3, "zzz")], "query int, text string")
+    before = models.TASKS["rephrase"]
+    models.TASKS["rephrase"] = lambda text: F.concat(F.lit("1. gamma\n2. gamma delta\n3. "), text)
+    try:
+        rows = {r["query"]: r for r in answers.answered(q, chunks, [(answers.word_leg(chunks, 3), 1.0)], 3).collect()}
+    finally:
+        models.TASKS["rephrase"] = before
+    assert [s["id"] for s in rows[0]["sources"]] == [1] and rows[0]["context"] == "alpha beta" and "alpha beta" in rows[0]["prompt"]
+    assert [(s["id"], s["title"]) for s in rows[1]["sources"]] == [(2, "Unknown"), (3, "C")] and rows[1]["sources"][0]["grade"] == 5
+    assert not rows[2]["retrieves"] and rows[2]["sources"] == [] and rows[2]["context"] == ""
+
+
+def test_medians(spark):
+    from sparkloom.operators import runs
+
+    rows = [("a", v) for v in (3.0, 1.0, 2.0, 2.0)] + [("b", 5.0), ("c", None), ("d", 1.0), ("d", 4.0)]
+    df = spark.createDataFrame(rows, "k string, value double")
+    assert {r["k"]: r["m"] for r in runs.medians(df, ["k"], "value", "m").collect()} == {"a": 2.0, "b": 5.0, "d": 2.5}
