@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 #: Tasks that run in the background, and those whose worker ends with them.
 BACKGROUND, EPHEMERAL = ("embed", "classify", "enrich", "grade", "hyde"), ("enrich", "grade", "hyde")
 
+#: Quantizations that cost much; for a size class, whether only with one of these, from and under how many GB of memory, what runs better. The first row that fits counts.
+HEAVY = ("Q8", "F16", "F32")
+ALTERNATIVES = [
+    ("70B", False, 16, 1e9, "13B Q4"), ("70B", False, 0, 16, "7B Q4"),
+    ("30B", False, 12, 1e9, "13B Q4"), ("30B", False, 0, 12, "7B Q4"),
+    ("13B", True, 0, 1e9, "13B Q4"), ("13B", False, 0, 12, "7B Q4"),
+    ("7B", True, 0, 1e9, "7B Q4"), ("7B", False, 0, 8, "3B Q4"),
+]
+#: Points of what a process shows, and tools that start applications.
+APP_SCORES = {"built": 200, "product": 120, "named": 80, "tool": -200, "wrapper": -50, "below": 10}
+TOOLS = ("bash", "node", "npm", "npx", "cargo", "rustc", "vite", "esbuild")
+
 
 def discovered(files: DataFrame) -> DataFrame:
     """(folder, model, projector) of (path, size) rows: the largest model file of each folder, and the largest projector; folders without a model are left out."""
@@ -49,21 +61,28 @@ def is_ephemeral(task: Column) -> Column:
 
 
 def alternative(params: Column, quant: Column, ram_gb: Column) -> Column:
-    """A model that would run better; null where there is none."""
-    heavy = quant.isin("Q8", "F16", "F32")
-    return (
-        F.when(params == "70B", F.when(ram_gb >= 16, "13B Q4").otherwise("7B Q4"))
-        .when(params == "30B", F.when(ram_gb >= 12, "13B Q4").otherwise("7B Q4"))
-        .when(params == "13B", F.when(heavy, "13B Q4").when(ram_gb < 12, "7B Q4"))
-        .when(params == "7B", F.when(heavy, "7B Q4").when(ram_gb < 8, "3B Q4"))
-    )
-
-
-def app_score(name: Column, command: Column, is_root: Column, app: str = "app") -> Column:
-    """How much a process looks like the application rather than a tool that started it."""
-    score = F.when(command.contains(f"target/debug/{app}"), 200).otherwise(0) + F.when(name == app, 80).otherwise(0)
-    score = score - F.when(name.isin("bash", "node", "npm", "npx", "cargo", "rustc", "vite", "esbuild"), 200).otherwise(0)
-    return score + F.when(is_root, 0).otherwise(10)
+    """A model that would run better, by the first row of ``ALTERNATIVES`` that fits; null where there is none."""
+    out = F
+    for size, heavy, least, most, better in ALTERNATIVES:
+        fits = (params == size) & (quant.isin(*HEAVY) if heavy else F.lit(True)) & (ram_gb >= least) & (ram_gb < most)
+        out = out.when(fits, better)
+    return out
+
+
+def app_score(name: Column, command: Column, is_root: Column, app: str = "app", product: str | None = None) -> Column:
+    """How much a process looks like the application (its name, and a word of its product in commands) rather than a tool that started it: the sum of the ``APP_SCORES`` that hold."""
+    signals = {
+        "built": command.contains(f"/target/debug/{app}"),
+        "product": command.contains(product) if product else F.lit(False),
+        "named": name.isin(app, *([product] if product else [])),
+        "tool": name.isin(*TOOLS),
+        "wrapper": command.contains("tauri") & name.isin("node", "bash"),
+        "below": ~is_root,
+    }
+    total = F.lit(0)
+    for signal, points in APP_SCORES.items():
+        total = total + F.when(signals[signal], points).otherwise(0)
+    return total
 
 
 def cold_start_seconds(start_ms: Column, ready_ms: Column, start_s: Column, ready_s: Column) -> Column:

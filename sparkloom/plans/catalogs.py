@@ -58,8 +58,8 @@ def app_process(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as processes of nations: the best scored, if it's likely enough."""
     k = F.col("s_suppkey")
     name = F.when(k % 4 == 0, "app").when(k % 4 == 1, "node").otherwise("sh")
-    command = F.when(k % 6 == 0, F.lit("/x/target/debug/app")).otherwise(F.lit("run"))
-    s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", catalogs.app_score(name, command, k % 10 == 0).alias("score"))
+    command = F.when(k % 6 == 0, F.lit("/x/target/debug/app")).when(k % 6 == 1, F.lit("run suite")).when(k % 6 == 3, F.lit("tauri dev")).otherwise(F.lit("run"))
+    s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", catalogs.app_score(name, command, k % 10 == 0, product="suite").alias("score"))
     best = s.groupBy("s_nationkey").agg(F.max(F.struct("score", -F.col("s_suppkey"))).alias("b"))
     return best.select("s_nationkey", (-F.col("b.col2")).alias("pid"), F.col("b.score").cast("int").alias("score")).where("score >= 80")
 
@@ -141,7 +141,7 @@ QUERIES = {f.__name__: f for f in (model_discovery, status_rollup, least_loaded,
 
 _FILES = "(SELECT p_partkey // 7 AS f, CASE WHEN p_partkey % 5 = 0 THEN 'mmproj-' ELSE 'm-' END || p_partkey || '.GGUF' AS file, p_partkey % 5 = 0 AS proj, p_size AS size FROM part WHERE p_partkey % 11 <> 0)"
 _INSTANCES = "(SELECT o_custkey % 500 AS model_id, o_orderkey AS instance_id, CASE WHEN o_orderstatus = 'F' THEN 'ready' WHEN o_orderkey % 50 = 0 THEN 'error' ELSE 'busy' END AS state, o_orderkey % 9 AS requests, o_orderkey % 2 = 0 AS ephemeral, CAST(o_orderkey % 1000 AS DOUBLE) AS last_used FROM orders)"
-_SCORE = "CASE WHEN s_suppkey % 6 = 0 THEN 200 ELSE 0 END + CASE WHEN s_suppkey % 4 = 0 THEN 80 ELSE 0 END - CASE WHEN s_suppkey % 4 = 1 THEN 200 ELSE 0 END + CASE WHEN s_suppkey % 10 = 0 THEN 0 ELSE 10 END"
+_SCORE = "CASE s_suppkey % 6 WHEN 0 THEN 200 WHEN 1 THEN 120 ELSE 0 END - CASE WHEN s_suppkey % 6 = 3 AND s_suppkey % 4 = 1 THEN 50 ELSE 0 END + CASE WHEN s_suppkey % 4 = 0 THEN 80 ELSE 0 END - CASE WHEN s_suppkey % 4 = 1 THEN 200 ELSE 0 END + CASE WHEN s_suppkey % 10 = 0 THEN 0 ELSE 10 END"
 _RULES = "(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY page) AS n FROM (SELECT l_suppkey AS page, l_quantity * 3 AS x1, round(l_extendedprice % 3000, 2) AS y1, l_quantity * 3 + 120 AS x2, round(l_extendedprice % 3000, 2) + 1 AS y2 FROM lineitem WHERE l_linenumber % 3 <> 0)) WHERE n >= 4)"
 
 SQL = {
