@@ -21,8 +21,10 @@ def _whole(docs: DataFrame) -> Column:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language of ``lang``; rows without text or letters go, those between two languages stay."""
     model = language.train(docs, docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")))
-    found = language.predict(docs.select(_whole(docs), "text"), model)
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
+    # Under other names, so that none can clash with what is added and the text goes to Python once.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found = language.predict(docs.toDF(*names), model, text_col=names[docs.columns.index("text")])
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
