@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import parallelism, stored
 from sparkloom.llm.components import components
 
-BLOCK_GRAMS, BLOCK_ITEMS, COLUMNS = 400_000, 250, 4_096
+BLOCK_GRAMS, BLOCK_ITEMS, COLUMNS = 400_000, 120, 4_096
 WORK = "struct<grp: long, banded: boolean, blk: int, n_blk: int>"
 #: What ``links`` wants of the sets of its members.
 SETS = f"node long, weight long, bands array<long>, work array<{WORK}>, grams binary"
