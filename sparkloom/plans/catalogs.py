@@ -161,6 +161,8 @@ SQL = {
     "params_merge": "SELECT n_nationkey, 'ctx=4096;temp=' || n_nationkey AS params FROM nation",
     "eta": "SELECT event_id, CASE WHEN event_id % 10 > 0 THEN round(value / (event_id % 10) * (10 - event_id % 10), 4) END AS left_s, CAST(2 * pow(2, least(event_id % 7, 4)) AS BIGINT) AS retry_s FROM events",
     "throughput": "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start_s, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) / 3600 AS a_second FROM events GROUP BY 1",
+    "human_sizes": "SELECT p_partkey, CASE WHEN n < 1024 THEN format('{:,.1f} B', n) WHEN n < 1048576 THEN format('{:,.1f} KB', n / 1024) WHEN n < 1073741824 THEN format('{:,.1f} MB', n / 1048576) ELSE format('{:,.1f} GB', n / 1073741824) END AS size FROM (SELECT p_partkey, CAST(p_partkey * p_partkey * 97 AS DOUBLE) AS n FROM part)",
+    "cluster_texts": "SELECT lang, doc_id // 16 AS cluster, count(*) AS n, md5(string_agg('Document ' || i || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY lang, doc_id // 16 ORDER BY doc_id) AS i FROM documents) GROUP BY lang, doc_id // 16",
     "mind_map": "SELECT n_regionkey AS graph_id, CAST(n_nationkey + 1 AS BIGINT) AS node_id, 1 AS depth, p AS path, 260 AS x, CAST((row_number() OVER (PARTITION BY n_regionkey ORDER BY p) - 1) * 92 AS INTEGER) AS y FROM (SELECT *, '0.' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS p FROM nation) UNION ALL SELECT r_regionkey, 0, 0, '0', 0, 0 FROM region",
     "size_classes": "SELECT CASE WHEN g < 4 THEN '1B' WHEN g < 9.5 THEN '3B' WHEN g < 19.5 THEN '7B' WHEN g < 43 THEN '13B' WHEN g < 100 THEN '30B' ELSE '70B' END AS params, count(*) AS n FROM (SELECT p_size / 0.5::DOUBLE AS g FROM part) GROUP BY 1",
 }

@@ -121,6 +121,7 @@ _LINE = "SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS t FROM (SELECT
 _TRIM = r"regexp_replace({}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')"
 
 SQL = {
+    "byte_truncate": "SELECT doc_id, md5(left(text, a)) AS prefix_md5, md5(right(text, b)) AS suffix_md5 FROM (SELECT doc_id, text, max(k) FILTER (strlen(left(text, k)) <= 301) AS a, max(k) FILTER (strlen(right(text, k)) <= 301) AS b FROM (SELECT doc_id, text, unnest(range(least(length(text), 301) + 1)) AS k FROM documents) GROUP BY doc_id, text)",
     "chunk_totals": "SELECT doc_id, octet_length(encode(text)) <= 1536 OR text IS NULL AS single, octet_length(encode(text)) <= 1536 AS fits FROM documents",
     "line_split": f"SELECT doc_id, CAST(i AS INTEGER) AS line, CAST(length(t) AS INTEGER) AS n_chars FROM ({_LINE})",
     "paragraph_split": f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS section, 'paragraph:' || row_number() OVER (PARTITION BY doc_id ORDER BY i) AS metadata, CAST(length(t) AS INTEGER) AS n_chars FROM (SELECT doc_id, i, {_TRIM.format('t')} AS t FROM ({_LINE})) WHERE t <> ''",
