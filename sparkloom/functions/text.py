@@ -165,3 +165,10 @@ def key_values(x: Column, between: str = ":") -> Column:
     pairs = F.transform(lines, lambda line: F.struct(trimmed(F.substring_index(line, between, 1)).alias("k"), trimmed(F.substring(line, F.instr(line, between) + len(between), F.length(line))).alias("v")))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+
+
+def table_cells(x: Column) -> Column:
+    """Markdown whose table rows (lines between bars) have line breaks and bullets that a cell can hold."""
+    row = lambda line: F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"(?i)<br\s*/?>", "<br/>"), r"(\|\s*)-\s+", "$1• "), r"<br/>\s*-\s+", "<br/>• ")
+    lines = F.split(x, "\n", -1)
+    return F.array_join(F.transform(lines, lambda line: F.when(line.rlike(r"^\|.+\|$"), row(line)).otherwise(line)), "\n")

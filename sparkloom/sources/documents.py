@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import json
 import re
+import tomllib
 import zipfile
 from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -161,3 +164,27 @@ def folder(spark: SparkSession, path: str) -> DataFrame:
     """Sections of a folder's own files (not its subfolders') that have a parser."""
     exts = ",".join(e for kind in PARSERS.values() for e in kind)
     return sections(spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{exts}}}").load(path))
+
+
+def configured(files: DataFrame, table: str = "models") -> DataFrame:
+    """(path, id, name, settings, error): the entries of the ``table`` list of TOML and JSON configuration files (path, content: what Spark's binaryFile source reads).
+
+    ``settings`` is an entry's JSON. A list alone is taken as the table. A file that can't be parsed is a row with an error, the rest go on.
+    """
+
+    def entries(path: str, content: bytes) -> list[tuple]:
+        try:
+            parsed = tomllib.loads(content.decode()) if path.lower().endswith(".toml") else json.loads(content)
+            found = parsed if isinstance(parsed, list) else parsed.get(table, [])
+            return [(path, e.get("id"), e.get("name"), json.dumps(e, sort_keys=True, default=str), None) for e in found]
+        except (ValueError, AttributeError) as error:
+            return [(path, None, None, None, str(error))]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in entries(path, content)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "id", "name", "settings", "error"])
+
+    wanted = files.select("path", "content").where(F.lower("path").rlike(r"\.(toml|json)$"))
+    return wanted.mapInArrow(run, "path string, id string, name string, settings string, error string")

@@ -161,3 +161,34 @@ def test_audio(spark):
     assert len(audio.wav_samples(audio.merged_wavs([audio.wav_bytes(x), audio.wav_bytes(x)]))) == 32_000
     df = spark.createDataFrame([([1.0, 2.0, 4.0],), ([],)], "x array<float>")
     assert [[round(v, 2) for v in r[0]] for r in df.select(audio.emphasized(F.col("x"))).collect()] == [[1.0, 1.03, 2.06], []]
+
+
+def test_table_cells(spark):
+    assert one(spark, "| a | - x<BR>- y |\n- z<br>\n|<br />b|", text.table_cells) == "| a | • x<br/>• y |\n- z<br>\n|<br/>b|"
+
+
+def test_embedding_messages(spark):
+    assert one(spark, '["a", "b"]', jsons.requested_texts) == ["a", "b"] and one(spark, "plain", jsons.requested_texts) == ["plain"]
+    assert one(spark, '{"data": [{"embedding": [1.0, 2.5], "index": 0}, {"embedding": [], "index": 1}]}', jsons.embeddings_of) == [[1.0, 2.5], []]
+    assert one(spark, "{}", jsons.embeddings_of) is None and one(spark, "x", lambda x: jsons.embedding_request(F.array(x))) == '["x"]'
+
+
+def test_mind_map(spark):
+    answer = '{"title": "Top", "children": [{"label": " A ", "children": [{"label": "B"}]}, {"label": ""}]}'
+    assert [tuple(r) for r in one(spark, answer, lambda x: jsons.mind_map_rows(x, F.lit("q")))] == [("0", "Top"), ("0.0", "A"), ("0.1", "Untitled"), ("0.0.0", "B")]
+    assert [tuple(r) for r in one(spark, "{}", lambda x: jsons.mind_map_rows(x, F.lit(" q ")))] == [("0", "q")] and one(spark, "none", lambda x: jsons.mind_map_rows(x, F.lit("q"))) is None
+
+
+def test_configuration_files(spark):
+    files = [("a/m.toml", b'[[models]]\nid = "x"\nname = "X"\nmemory_mb = 5\n[[models]]\nid = "y"'), ("b.json", b'[{"id": "z", "name": "Z"}]'), ("bad.toml", b"= 1"), ("c.txt", b"no")]
+    rows = documents.configured(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")).collect()
+    assert sorted((r["id"] or "", r["name"] or "", bool(r["error"])) for r in rows) == [("", "", True), ("x", "X", False), ("y", "", False), ("z", "Z", False)]
+    assert '"memory_mb": 5' in next(r["settings"] for r in rows if r["id"] == "x")
+
+
+def test_written_results(spark, tmp_path):
+    from sparkloom.operators import runs
+
+    runs.written_results(spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 3, 1.0)], "g string, n int, ts double"), str(tmp_path), by=["g"], metric="ts", order=["n"])
+    assert spark.read.option("header", True).csv(f"{tmp_path}/all").count() == 3 and {(r["g"], r["n"]) for r in spark.read.option("header", True).csv(f"{tmp_path}/best").collect()} == {("a", "2"), ("b", "3")}
+    assert {(r["g"], r["runs"], r["mean"]) for r in spark.read.json(f"{tmp_path}/summary").collect()} == {("a", 2, 3.0), ("b", 1, 1.0)}
