@@ -2,7 +2,8 @@
 
 One Aho-Corasick automaton finds the magic bytes of all known formats anywhere in a value; each find goes to its format's validator, which walks the structure and
 gives the length, or turns it down. A find at the start that is valid corrects the declared type; valid ones further in are embedded media, which ``carve`` cuts out.
-Parts (chunks, segments, pages, boxes) that many finds of a value have in common are walked once, so that time stays in proportion to a value's length.
+Parts (chunks, segments, pages, boxes) that many finds of a value have in common are walked once, so that time stays in proportion to a value's length; RIFF and gzip files
+nested in one another on purpose are walked once each.
 
 Defined cases: a null or empty value has type null and nothing embedded; a declared type of null is corrected as any other; a value of no known
 format keeps its declared type; repeated rows are rows of their own; columns named otherwise aren't read.
