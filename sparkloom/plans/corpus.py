@@ -81,9 +81,8 @@ def collapse_ws(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def acronyms(spark: SparkSession, sf: str) -> DataFrame:
-    ascii_only = _docs(spark, sf).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    spelled = F.concat(F.lit("The PDFs of "), F.upper(F.substring("text", 1, 3)), F.lit(" and IBM"))
-    return ascii_only.where(F.col("text").rlike("^[A-Za-z]{3}")).select("doc_id", text.spelled_acronyms(spelled).alias("spelled"))
+    """Whole texts behind a few acronyms."""
+    return _docs(spark, sf).select("doc_id", F.md5(text.spelled_acronyms(F.concat(F.lit("The PDFs and IBM of "), "text"))).alias("spelled_md5"))
 
 
 def url_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +132,7 @@ SQL = {
     "context_captions": f"SELECT doc_id, CAST(length({_TRIM.format("substring(text, CAST(greatest(length(text) // 2 - 200, 0) AS INTEGER) + 1, 400)")}) AS INTEGER) AS n_chars FROM documents",
     "collapse_ws": r"SELECT doc_id, md5(trim(regexp_replace(text, '[\s\pZ]+', ' ', 'g'))) AS text_md5 FROM documents",
     "strip_markup": r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), 'https?://[^ \t\n\r\f\v]+|www\.[^ \t\n\r\f\v]+', '', 'g'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '', 'g'), '[\s\pZ]+', ' ', 'g'))) AS text_md5 FROM pages",
-    "acronyms": r"SELECT doc_id, 'The P D F s of ' || array_to_string(string_split(upper(left(text, 3)), ''), ' ') || ' and I B M' AS spelled FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]') AND regexp_matches(text, '^[A-Za-z]{3}')",
+    "acronyms": r"SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all('The PDFs and IBM of ' || text, '[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+'), lambda t: CASE WHEN regexp_full_match(t, '[A-Z]{2,6}s?') THEN array_to_string(string_split(t, ''), ' ') ELSE t END), '')) AS spelled_md5 FROM documents",
     "url_parts": r"SELECT page_id, regexp_extract(url, '://([^/:?#]+)', 1) AS host, CASE WHEN regexp_extract(p, '\.([^./\\]+)$', 1) = '' THEN 'unknown' ELSE lower(regexp_extract(p, '\.([^./\\]+)$', 1)) END AS ext, list_extract(string_split(lower(p), '/'), -1) AS base FROM (SELECT *, regexp_extract(url, '://[^/]+([^?#]*)', 1) AS p FROM pages)",
     "file_kinds": "SELECT CASE doc_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'markdown' WHEN 2 THEN 'pdf' WHEN 3 THEN 'docx' WHEN 5 THEN 'audio' END AS parser, count(*) AS n FROM documents GROUP BY 1",
     "english_tokens": r"SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '((?:[A-Za-z0-9_]|[^\x00-\x7F])+|[^\s])', 1), ' ')) AS tokens_md5 FROM documents",
