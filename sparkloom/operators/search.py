@@ -42,51 +42,41 @@ def in_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame], size: i
 # Full text
 
 
-def counted(words_: Column) -> Column:
-    """array<struct<term, tf>> of an array of words, each term once: words are sorted, and where runs of equal ones end says how long they are.
-
-    Lambdas see only what is zipped into their elements: an expression from outside would be worked out anew for each element.
-    """
-    w, n = F.sort_array(words_), F.size(words_)
-    zipped = F.arrays_zip(w.alias("t"), F.slice(w, 2, F.greatest(n, F.lit(1))).alias("u"), F.sequence(F.lit(1), F.greatest(n, F.lit(1))).alias("i"))
-    ends = F.filter(zipped, lambda p: p["u"].isNull() | (p["t"] != p["u"]))
-    before = F.slice(F.concat(F.array(F.lit(0)), F.transform(ends, lambda p: p["i"])), F.lit(1), F.size(ends))
-    runs = F.zip_with(ends, before, lambda p, b: F.struct(p["t"].alias("term"), (p["i"] - b).cast("long").alias("tf")))
-    return F.when(n > 0, runs).otherwise(F.array().cast("array<struct<term: string, tf: bigint>>"))
-
-
-def _listed(docs: DataFrame, ident: str, text: Column, tokens) -> DataFrame:
-    """(id, dl, terms): a document's words counted inside its row."""
-    return docs.select(F.col(ident).alias("id"), tokens(F.coalesce(text, F.lit(""))).alias("w")).select("id", F.size("w").alias("dl"), counted(F.col("w")).alias("terms"))
-
-
 def postings(docs: DataFrame, ident: str, text: Column, tokens=words) -> DataFrame:
-    """(term, id, tf, dl): a row for each distinct term of each document, without a shuffle; rows of one id are documents of their own."""
-    return _listed(docs, ident, text, tokens).select("id", "dl", F.explode("terms").alias("p")).select("p.term", "id", "p.tf", "dl")
+    """(term, id, tf, dl): a row for each distinct term of each id; words are counted in each task before the shuffle by term and id."""
+    listed = docs.select(F.col(ident).alias("id"), tokens(F.coalesce(text, F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
+    return listed.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def term_counts(docs: DataFrame, text: Column, tokens=words) -> DataFrame:
     """(term, df, cf): documents and occurrences of each term; one shuffle, of partial sums by term."""
-    return postings(docs.withColumn("__id", F.lit(0)), "__id", text, tokens).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    w = docs.select(tokens(F.coalesce(text, F.lit(""))).alias("w"))
+    once = w.select(F.explode(F.array_distinct("w")).alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf"))
+    each = w.select(F.explode("w").alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf"))
+    return once.unionByName(each).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def corpus_size(docs: DataFrame, text: Column, tokens=words) -> DataFrame:
+    """One row: documents with words and their mean length."""
+    lengths = docs.select(F.size(tokens(F.coalesce(text, F.lit("")))).alias("dl")).where("dl > 0")
+    return lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, *, ident: str = "doc_id", text: str = "text", tokens=words) -> DataFrame:
     """(query, id, score, rank) for ``queries`` (query, text), terms joined by OR.
 
-    The corpus is read and taken apart once a block of queries: words are counted inside the row, and only the queries' terms, and a row a document for the lengths, leave the
-    scan; so what is written and shuffled grows with the matches, not with the words.
+    Only the queries' terms leave the scan: documents' words are cut to them before they are counted, so what is shuffled and written grows with the
+    matches, not with the corpus.
     """
     return in_blocks(queries, lambda block: _bm25(docs, block, k, ident, text, tokens))
 
 
 def _bm25(docs: DataFrame, queries: DataFrame, k: int, ident: str, text: str, tokens) -> DataFrame:
     wanted = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    vocabulary = F.broadcast(wanted.select("term", F.lit(True).alias("asked")).distinct())
-    # A row without a term stands for the document itself.
-    own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
-    rows = _listed(docs, ident, F.col(text), tokens).where("dl > 0").select("id", "dl", F.explode(F.concat(own, "terms")).alias("p")).select("id", "dl", "p.term", "p.tf")
-    read = written(rows.join(vocabulary, "term", "left").where("term is null or asked").drop("asked"), "matches")
-    return scored(read.where("term is not null"), read.where("term is null").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")), wanted, k)
+    vocabulary = F.broadcast(wanted.select("term").distinct())
+    listed = docs.select(F.col(ident).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
+    found = listed.select("id", "dl", F.explode("w").alias("term")).join(vocabulary, "term").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return scored(written(found, "matches"), corpus_size(docs, F.col(text), tokens), wanted, k)
 
 
 def scored(found: DataFrame, size: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
