@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, html, jaccard, language, media, packing, passages, quality, sample, sstable, wordpiece
+from sparkloom.llm import decontaminate, html, jaccard, language, media, packing, passages, quality, sample, spelling, sstable, wordpiece
 from sparkloom.llm.common import shared_path
 
 
@@ -85,10 +85,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_media, op4_language, op5_main_text, op6_ngram_jaccard, op7_token_counts, op8_substring_dedup, op9_quality, op10_packing)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents and what they're spelling variants of."""
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), damage=97))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_media, op4_language, op5_main_text, op6_ngram_jaccard, op7_token_counts, op8_substring_dedup, op9_quality, op10_packing, op11_spelling_variants)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Tables of crc32, and the crc32 of a text by them.
+_CRC_TABLE = """crc_of AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"""
+
+
+def _crc(text: str) -> str:
+    letters = f"list_transform(range(1, strlen({text}) + 1), lambda p: CAST('0x' || hex(encode({text}))[2 * p - 1:2 * p] AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {letters}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
 
 SQL: dict[str, str] = {
     "op1_decontaminate": rf"""
@@ -116,4 +130,17 @@ f AS (SELECT array_to_string(w, ' ') AS t, min(doc_id) AS copy_of FROM d WHERE l
 SELECT d.doc_id, least(d.doc_id, coalesce(k.low, d.doc_id)) AS class_id, (SELECT count(*) FROM l WHERE l.x = d.doc_id) AS n_links,
     coalesce(f.copy_of, d.doc_id) AS copy_of, CAST(len(d.w) AS BIGINT) AS n_words
 FROM d LEFT JOIN k ON k.x = d.doc_id LEFT JOIN f ON f.t = array_to_string(d.w, ' ') AND len(d.w) > 0""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, n, {_crc("(doc_id || ':' || run)")} AS h FROM r, crc_of),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS near, b.n AS m FROM cut a JOIN cut b USING (rest, i) WHERE a.word <> b.word
+    UNION SELECT cut.word, w.word, w.n FROM cut JOIN w ON w.word = rest UNION SELECT w.word, cut.word, cut.n FROM cut JOIN w ON w.word = rest),
+best AS (SELECT word, count(*) AS n_near, min((-m, near)) AS best FROM near GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * n THEN -best[1] END AS form_n FROM w LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.next)
+SELECT f.word, form, up.root, n, n_near, form_n FROM f JOIN up ON up.word = f.word AND up.next IS NULL""",
 }
