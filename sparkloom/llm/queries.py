@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, html, jaccard, language, media, packing, passages, quality, sample, spelling, sstable, wordpiece
+from sparkloom.llm import decontaminate, html, jaccard, language, media, packing, passages, quality, repair, sample, spelling, sstable, wordpiece
 from sparkloom.llm.common import shared_path
 
 
@@ -90,7 +90,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), damage=97))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_media, op4_language, op5_main_text, op6_ngram_jaccard, op7_token_counts, op8_substring_dedup, op9_quality, op10_packing, op11_spelling_variants)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    own = _table(spark, sf_dir, "conversations")
+    return repair.report(repair.messages(own, damage=True)).withColumn("conv_id", F.col("conv_id").cast(own.schema["conv_id"].dataType))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_media, op4_language, op5_main_text, op6_ngram_jaccard, op7_token_counts, op8_substring_dedup, op9_quality, op10_packing, op11_spelling_variants, op12_conversation_repair)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -143,4 +149,34 @@ best AS (SELECT word, count(*) AS n_near, min((-m, near)) AS best FROM near GROU
 f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * n THEN -best[1] END AS form_n FROM w LEFT JOIN best USING (word)),
 up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.next)
 SELECT f.word, form, up.root, n, n_near, form_n FROM f JOIN up ON up.word = f.word AND up.next IS NULL""",
+    "op12_conversation_repair": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+m AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS how FROM conversations, crc_of),
+d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE how WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM m),
+n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS c,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS two FROM n),
+e AS (SELECT *, final = '' OR again AS gone, CASE WHEN NOT again AND final NOT IN ('', '.', '!', '?') THEN 3 ELSE 0 END AS cut FROM f),
+gap(last, onward, price, letters, made) AS (VALUES (0, 0, 0, '', ''), (0, 2, 3, 'I', 'user:' || chr(10)), (0, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 1, 0, '', ''),
+    (1, 2, 3, 'I', 'user:' || chr(10)), (1, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 2, 0, '', ''), (2, 3, 3, 'I', 'assistant:' || chr(10)), (3, 3, 0, '', ''), (3, 2, 3, 'I', 'user:' || chr(10))),
+move(last, c, onward) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+walk(conv_id, i, last, b) AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, (0, '', '') FROM conversations
+    UNION ALL
+    SELECT conv_id, i, last, min((cost, audit, lines)) FROM (
+        SELECT w.conv_id, e.i, x.last, w.b[1] + gap.price + x.price AS cost, w.b[2] || gap.letters || x.letter AS audit, w.b[3] || gap.made || x.line AS lines
+        FROM walk w JOIN e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 JOIN gap ON gap.last = w.last LEFT JOIN move ON move.last = gap.onward AND move.c = e.c,
+        LATERAL (SELECT unnest([
+            {{'last': gap.onward, 'price': 4, 'letter': 'D', 'line': '', 'can': true}},
+            {{'last': move.onward, 'price': cut, 'letter': 'K', 'line': role || ':' || text || chr(10), 'can': NOT gone AND move.onward IS NOT NULL}},
+            {{'last': CASE WHEN gap.onward = 2 THEN 3 ELSE 2 END, 'price': 3 + cut, 'letter': 'R', 'line': CASE WHEN gap.onward = 2 THEN 'assistant:' ELSE 'user:' END || text || chr(10), 'can': NOT gone}}], recursive := true)) x
+        WHERE x.can) GROUP BY ALL),
+total AS (SELECT conv_id, min((w.b[1] + price, w.b[2] || letters, w.b[3] || made)) AS b
+    FROM walk w JOIN gap USING (last) WHERE onward IN (0, 3) AND i = (SELECT count(*) FROM e WHERE e.conv_id IS NOT DISTINCT FROM w.conv_id) GROUP BY conv_id),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (final = '') AS blank, count(*) FILTER (again AND final <> '') AS duplicate,
+    count(*) FILTER (cut > 0) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY conv_id)
+SELECT total.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    CAST(b[1] AS BIGINT) AS cost, b[2] AS audit, sha256(left(b[3], greatest(length(b[3]) - 1, 0))) AS repaired_sha256
+FROM total LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM total.conv_id""",
 }
