@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, html, jaccard, language, media, packing, passages, quality, repair, sample, spelling, sstable, wordpiece
+from sparkloom.llm import decontaminate, html, jaccard, kdtree, language, media, packing, passages, quality, repair, sample, spelling, sstable, wordpiece
 from sparkloom.llm.common import shared_path
 
 
@@ -96,7 +96,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.messages(own, damage=True)).withColumn("conv_id", F.col("conv_id").cast(own.schema["conv_id"].dataType))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_media, op4_language, op5_main_text, op6_ngram_jaccard, op7_token_counts, op8_substring_dedup, op9_quality, op10_packing, op11_spelling_variants, op12_conversation_repair)}
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector."""
+    return kdtree.topk(_table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_media, op4_language, op5_main_text, op6_ngram_jaccard, op7_token_counts, op8_substring_dedup, op9_quality, op10_packing, op11_spelling_variants, op12_conversation_repair, op13_exact_topk)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -179,4 +184,9 @@ s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn),
 SELECT total.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
     CAST(b[1] AS BIGINT) AS cost, b[2] AS audit, sha256(left(b[3], greatest(length(b[3]) - 1, 0))) AS repaired_sha256
 FROM total LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM total.conv_id""",
+    "op13_exact_topk": """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_inner_product(q.v, e.v) AS BIGINT) AS score FROM e q JOIN e ON e.vec_id <> q.vec_id AND len(e.v) = len(q.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
 }
