@@ -20,7 +20,7 @@ import heapq
 import re
 import zlib
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
@@ -34,7 +34,7 @@ from sparkloom.llm.common import stored
 Q, SYMBOLS = 3, 91
 GRAMS = SYMBOLS**Q
 #: Words of a part; what a task counts before it sends its counts; characters of a text that are taken apart at a time; places of a word that are indexed.
-BLOCK, COUNTED, PIECE, PLACES = 1_000, 200_000, 1 << 20, 64
+BLOCK, COUNTED, PIECE, PLACES = 1_000, 400_000, 1 << 20, 64
 LEAST_LETTERS, LEAST_COUNT, RATIO = 5, 3, 2
 _RUN = re.compile("[a-zÀ-ÿ]+")
 _SYMBOL = np.zeros(256, np.int32)
@@ -49,15 +49,6 @@ def runs(text: str) -> Iterator[str]:
     return (m[0] for m in _RUN.finditer(text.encode().lower().decode()))
 
 
-def _damaged(word: str, start: int, every: int) -> str:
-    """``word`` without a letter if ``every`` divides the crc32 that continues ``start`` by the word."""
-    h = zlib.crc32(word.encode(), start)
-    if h % every:
-        return word
-    k = h % len(word)
-    return word[:k] + word[k + 1 :]
-
-
 def word_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_letters: int = LEAST_LETTERS, least_count: int = LEAST_COUNT, damage: int | None = None) -> DataFrame:
     """(word, n): words of ``least_letters`` or more that occur ``least_count`` times or more in all texts. A null text has none.
 
@@ -66,7 +57,8 @@ def word_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: dict[str, int] = {}
+        get, crc32 = counts.get, zlib.crc32
 
         def sent() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -78,12 +70,18 @@ def word_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 text = text.as_py()
                 if not text:
                     continue
-                start = zlib.crc32(f"{'' if key is None else key}:".encode())
+                start = crc32(f"{'' if key is None else key}:".encode())
                 for word, n in Counter(runs(text)).items():
+                    letters = len(word)
+                    if letters < least_letters:
+                        continue
                     if damage:
-                        word = _damaged(word, start, damage)
-                    if len(word) >= least_letters:
-                        counts[word] += n
+                        h = crc32(word.encode(), start)
+                        if not h % damage:
+                            if letters == least_letters:
+                                continue
+                            word = word[: h % letters] + word[h % letters + 1 :]
+                    counts[word] = get(word, 0) + n
                 if len(counts) >= COUNTED:
                     yield sent()
         yield sent()
@@ -157,84 +155,92 @@ def one_edit(a: str, b: str) -> bool:
 
 
 class Index:
-    """Postings of words of one length by place and gram; lists are in the order of the words' numbers."""
+    """Postings of words of one length by place and gram, each a list of the words' numbers in order."""
 
     def __init__(self, size: int):
-        places = size + Q - 1
-        self.size, self.places = size, range(places) if places <= PLACES else [k * places // PLACES for k in range(PLACES)]
-        self.words: list[str] = []
-        self.postings: dict[int, list[int]] = {}
-
-    def add(self, word: str, codes: list[int]) -> None:
-        for p in self.places:
-            self.postings.setdefault(p * GRAMS + codes[p], []).append(len(self.words))
+        self.size, self.words = size, []
+        self.postings: dict[int, list[int]] = defaultdict(list)
+
+    def add(self, word: str, keys: list[int]) -> None:
+        """``keys``: the word's grams with their places."""
+        number, postings = len(self.words), self.postings
+        for key in keys:
+            postings[key].append(number)
         self.words.append(word)
 
-    def near(self, word: str, codes: list[int]) -> list[int]:
-        """Numbers of the words one edit from ``word``, which is of the index's length or one longer."""
-        get, longer = self.postings.get, len(word) > self.size
-        lists = []
-        for p in self.places:
-            both = [get(p * GRAMS + codes[p])]
-            if longer and codes[p + 1] != codes[p]:
-                both.append(get(p * GRAMS + codes[p + 1]))
-            lists.append([x for x in both if x])
-        least = len(lists) - (Q - 1 if longer else Q)  # how many places must agree
-        lists.sort(key=lambda both: sum(map(len, both)))
-        merged, rest = lists[: len(lists) - least + 1], lists[len(lists) - least + 1 :]
-        found = []
-        for k, group in groupby(heapq.merge(*(x for both in merged for x in both))):
+    def near(self, word: str, keys: list[int], moved: list[int] | None = None) -> list[int]:
+        """Numbers of the words one edit from ``word``, which is of the index's length, or one longer: then ``moved`` has, for each place, the gram after its own."""
+        get, longer = self.postings.get, moved is not None
+        least = len(keys) - (Q - 1 if longer else Q)  # how many places must agree
+        if longer:
+            lists = [[x for x in pair if x] for pair in zip(map(get, keys), [get(b) if a != b else None for a, b in zip(keys, moved, strict=True)], strict=True)]
+            lists = [pair for pair in lists if pair]
+        else:
+            lists = [[x] for x in map(get, keys) if x]
+        if len(lists) < least:
+            return []
+        lists.sort(key=lambda pair: sum(map(len, pair)))
+        short = len(lists) - least + 1
+        merged, rest, found = lists[:short], lists[short:], []
+        for k, group in groupby(heapq.merge(*(x for pair in merged for x in pair))):
             agree = sum(1 for _ in group)
-            for left, both in zip(range(len(rest), 0, -1), rest, strict=True):
+            for left, pair in zip(range(len(rest), 0, -1), rest, strict=True):
                 if agree + left < least:
                     break
-                agree += any((at := bisect_left(x, k)) < len(x) and x[at] == k for x in both)
+                agree += any((at := bisect_left(x, k)) < len(x) and x[at] == k for x in pair)
             if agree >= least and one_edit(self.words[k], word):
                 found.append(k)
         return found
 
 
-def _pairs_in(size: int, rows: list[tuple[str, str, int, list[int]]]) -> Iterator[tuple[str, str, int]]:
-    """(word, near word, its n), both ways, of a part's (role, word, n, earlier). Roles: ``both`` is indexed after it was looked up, ``index`` is indexed, ``query`` looked up."""
-    rows.sort(key=lambda r: r[0] != "index")
-    codes, first = grams_of([r[1] for r in rows])
+def _pairs_in(size: int, roles: list[str], words: list[str], ns: list[int], earlier: list[list[int]], keys: list[int], moved: list[int], first: list[int], out: tuple[list, list, list]) -> None:
+    """Appends (word, near word, its n), both ways, for a part's words. Roles: ``both`` is indexed after it was looked up, ``index`` is indexed only and comes first, ``query`` looked up only."""
     index, known = Index(size), []
-    for (role, word, n, earlier), a, b in zip(rows, first[:-1].tolist(), first[1:].tolist(), strict=True):
-        own = codes[a:b].tolist()
-        if role != "index":
-            for k in index.near(word, own):
-                other, m, before = known[k]
-                if not before or not earlier or set(before).isdisjoint(earlier):
-                    yield word, other, m
-                    yield other, word, n
-        if role != "query":
+    places = None if size + Q - 1 <= PLACES else [k * (size + Q - 1) // PLACES for k in range(PLACES)]
+    for r in sorted(range(len(words)), key=lambda r: roles[r] != "index"):
+        word, a, b = words[r], first[r], first[r] + size + Q - 1
+        own = keys[a:b] if places is None else [keys[a + p] for p in places]
+        if roles[r] != "index":
+            onward = None if len(word) == size else moved[a:b] if places is None else [moved[a + p] for p in places]
+            for k in index.near(word, own, onward):
+                o = known[k]
+                if not earlier[o] or not earlier[r] or set(earlier[o]).isdisjoint(earlier[r]):
+                    for column, values in zip(out, ((word, words[o]), (words[o], word), (ns[o], ns[r])), strict=True):
+                        column += values
+        if roles[r] != "query":
             index.add(word, own)
-            known.append((word, n, earlier))
+            known.append(r)
 
 
 def _paired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts follow each other, each as a run of rows of one key; longer words come last, as they're looked up only."""
-    key, rows, out = None, [], []
-
-    def sent() -> pa.RecordBatch:
-        columns = zip(*out, strict=True) if out else ((), (), ())
-        made = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["word", "near", "near_n"])
-        out.clear()
-        return made
+    """Parts follow each other, each a run of rows of one key; longer words come last in theirs, as they're looked up only. A part is compared when its last row is there."""
+    names, left = ("gram", "size", "i", "j"), None
+
+    def whole(rows: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+        """The pairs of the parts that end where ``ends`` says."""
+        words, sizes, roles = rows.column("word").to_pylist(), rows.column("size").to_pylist(), rows.column("role").to_pylist()
+        ns, earlier, out = rows.column("n").to_pylist(), rows.column("earlier").to_pylist(), ([], [], [])
+        codes, first = grams_of(words)
+        place = (np.arange(len(codes)) - np.repeat(first[:-1], np.diff(first))) * GRAMS
+        keys, moved, first = (place + codes).tolist(), (place + np.concatenate([codes[1:], [0]])).tolist(), first.tolist()
+        begin = 0
+        for end in ends.tolist():
+            if end - begin > 1 and len(words[begin]) == sizes[begin]:
+                _pairs_in(sizes[begin], roles[begin:end], words[begin:end], ns[begin:end], earlier[begin:end], keys, moved, first[begin:end], out)
+            begin = end
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["word", "near", "near_n"])
 
     for batch in batches:
-        keys = zip(*(batch.column(c).to_pylist() for c in ("gram", "size", "i", "j")), strict=True)
-        for own, *row in zip(keys, *(batch.column(c).to_pylist() for c in ("role", "word", "n", "earlier")), strict=True):
-            if own != key:
-                if len(rows) > 1:
-                    out.extend(_pairs_in(key[1], rows))
-                key, rows = own, []
-            rows.append(tuple(row))
-        if len(out) >= 10_000:
-            yield sent()
-    if len(rows) > 1:
-        out.extend(_pairs_in(key[1], rows))
-    yield sent()
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([left, rows]).combine_chunks() if left is not None else rows
+        key = np.stack([rows.column(c).to_numpy() for c in names])
+        ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        left = rows
+        if len(ends):
+            yield whole(rows.slice(0, int(ends[-1])), ends)
+            left = rows.slice(int(ends[-1]))
+    if left is not None and left.num_rows:
+        yield whole(left, np.array([left.num_rows]))
 
 
 def near_pairs(words: DataFrame, *, block: int = BLOCK) -> DataFrame:
