@@ -63,7 +63,7 @@ def build(vectors: np.ndarray, leaf: int = LEAF) -> tuple[Tree, np.ndarray]:
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of integers as longs; beyond a long they are its limits."""
-    if a.shape[-1] * np.abs(a).max(initial=0) * np.abs(b).max(initial=0) < EXACT:
+    if a.shape[-1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) < EXACT:
         return (a @ b).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
     return np.clip(whole(a) @ whole(b), -LARGEST, LARGEST).astype(np.int64)
@@ -178,7 +178,8 @@ def _shards(rows: DataFrame, k: int, size: int) -> DataFrame:
             vectors = batch.column(1)
             lengths = np.diff(vectors.offsets.to_numpy())
             flat = vectors.values.slice(vectors.offsets[0].as_py(), int(lengths.sum()))
-            numbers = np.floor(64 * flat.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False))
+            with np.errstate(over="ignore"):
+                numbers = np.floor(64 * flat.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False))
             ends = np.cumsum(lengths)
             bad = np.concatenate([[0], np.cumsum(~np.isfinite(numbers))])
             fine = (bad[ends] == bad[ends - lengths]) & vectors.is_valid().to_numpy(zero_copy_only=False)
