@@ -1,8 +1,7 @@
 """Stored indexes that grow by batches: postings by term bucket for BM25, int8 vectors by cell for vector search.
 
-An index is a folder of Parquet tables, each with a folder a batch. A batch counts once its row in ``commits`` is written, which is last; so a job that dies leaves nothing
-behind that is read. Documents are replaced or deleted by their ids in ``gone``: they end what earlier batches have of them. Searches read the buckets or
-cells that their queries need, by partition pruning. One program writes at a time.
+An index is a folder of tables that grow by committed batches (``batches``). Documents are replaced or deleted by their ids. Searches read the buckets or cells that
+their queries need, by partition pruning.
 """
 
 from __future__ import annotations
@@ -14,66 +13,27 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors
 from sparkloom.functions.text import words
-from sparkloom.operators import search
+from sparkloom.operators import batches, search
 
-BUCKETS = 64
-COMMITS = "batch long"
-
-
-def _next(spark: SparkSession, path: str) -> int:
-    return max(_batches(spark, path), default=0) + 1
-
-
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the committed batches."""
-    try:
-        return sorted(r["batch"] for r in spark.read.schema(COMMITS).parquet(f"{path}/commits").collect())
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):  # a new index
-            return []
-        raise
-
-
-def _commit(spark: SparkSession, path: str, batch: int) -> None:
-    spark.createDataFrame([(batch,)], COMMITS).coalesce(1).write.mode("append").parquet(f"{path}/commits")
-
-
-def _read(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """A table's committed batches, with ``batch``."""
-    folders = [(b, f"{path}/{name}/batch={b}") for b in _batches(spark, path)]
-    have = [f for b, f in folders if _exists(spark, f)]
-    if not have:
-        return spark.createDataFrame([], f"{schema}, batch long")
-    return spark.read.option("basePath", f"{path}/{name}").schema(f"{schema}, batch long").parquet(*have)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
-def _live(spark: SparkSession, path: str, rows: DataFrame, ident: str = "id") -> DataFrame:
-    """``rows`` (id, batch, ...) that no later batch replaces or deletes."""
-    gone = _read(spark, path, "gone", "id long").groupBy("id").agg(F.max("batch").alias("until"))
-    out = rows.join(gone, "id", "left").where(F.col("until").isNull() | (F.col("batch") >= F.col("until")))
-    return out.drop("until")
+#: Buckets of terms; documents of a batch for each task that writes one bucket or cell.
+BUCKETS, ROWS_A_PART = 64, 500_000
 
 
 def _bucket(term: str, n: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
 
 
-def _put(df: DataFrame, path: str, name: str, batch: int, by: str | None = None) -> None:
-    writer = (df.repartition(by) if by else df).write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(f"{path}/{name}/batch={batch}")
+def _part(spark: SparkSession, path: str, name: str, batch: int) -> Column:
+    """By which the rows of one bucket or cell are spread: a task for each ``ROWS_A_PART`` documents of the batch, whose ids table ``name`` has."""
+    n = spark.read.parquet(f"{path}/{name}/batch={batch}").count()
+    return F.pmod(F.xxhash64("id"), F.lit(-(-n // ROWS_A_PART) or 1))
 
 
 def delete(spark: SparkSession, path: str, ids: DataFrame, ident: str = "id") -> None:
     """Ends all rows of some ids, of either kind of index."""
-    batch = _next(spark, path)
-    _put(ids.select(F.col(ident).cast("long").alias("id")).distinct(), path, "gone", batch)
-    _commit(spark, path, batch)
+    batch = batches.next_batch(spark, path)
+    batches.put(ids.select(F.col(ident).cast("long").alias("id")).distinct(), path, "gone", batch)
+    batches.commit(spark, path, batch)
 
 
 # Full text
@@ -82,24 +42,25 @@ def delete(spark: SparkSession, path: str, ids: DataFrame, ident: str = "id") ->
 def add_texts(docs: DataFrame, path: str, *, ident: str = "doc_id", text: str = "text", tokens=words, buckets: int = BUCKETS) -> None:
     """Adds documents, in place of those of the same ids; their words are counted once, here."""
     spark = docs.sparkSession
-    batch = _next(spark, path)
+    batch = batches.next_batch(spark, path)
     rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
-    _put(rows.select("id").distinct(), path, "gone", batch)
-    _put(rows.select("id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("dl")), path, "lengths", batch)
-    _put(search.postings(rows, "id", F.col("text"), tokens).withColumn("bucket", _bucket("term", buckets)), path, "postings", batch, "bucket")
-    _commit(spark, path, batch)
+    batches.put(rows.select("id").distinct(), path, "gone", batch)
+    batches.put(rows.select("id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("dl")), path, "lengths", batch)
+    found = search.postings(rows, "id", F.col("text"), tokens).withColumn("bucket", _bucket("term", buckets))
+    batches.put(found.withColumn("part", _part(spark, path, "lengths", batch)), path, "postings", batch, "bucket", "part")
+    batches.commit(spark, path, batch)
 
 
 def find_texts(spark: SparkSession, path: str, queries: DataFrame, k: int, *, tokens=words, buckets: int = BUCKETS) -> DataFrame:
     """(query, id, score, rank) of BM25 for ``queries`` (query, text)."""
-    size = _live(spark, path, _read(spark, path, "lengths", "id long, dl int")).where("dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    size = batches.live(spark, path, batches.read(spark, path, "lengths", "id long, dl int")).where("dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
     def run(block: DataFrame) -> DataFrame:
         wanted = block.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
         terms = wanted.select("term").distinct().withColumn("bucket", _bucket("term", buckets))
         needed = [r["bucket"] for r in terms.select("bucket").distinct().collect()]  # at most all buckets
-        read = _read(spark, path, "postings", "term string, id long, tf long, dl int, bucket int").where(F.col("bucket").isin(needed))
-        found = search.written(_live(spark, path, read.join(F.broadcast(terms.select("term")), "term")).select("term", "id", "tf", "dl"), "found")
+        read = batches.read(spark, path, "postings", "term string, id long, tf long, dl int, bucket int").where(F.col("bucket").isin(needed))
+        found = search.written(batches.live(spark, path, read.join(F.broadcast(terms.select("term")), "term")).select("term", "id", "tf", "dl"), "found")
         return search.scored(found, size, wanted, k)
 
     return search.in_blocks(queries, run)
@@ -107,7 +68,7 @@ def find_texts(spark: SparkSession, path: str, queries: DataFrame, k: int, *, to
 
 def terms(spark: SparkSession, path: str) -> DataFrame:
     """(term, df, cf) of the live documents; a bucket's terms are its own."""
-    live = _live(spark, path, _read(spark, path, "postings", "term string, id long, tf long, dl int, bucket int"))
+    live = batches.live(spark, path, batches.read(spark, path, "postings", "term string, id long, tf long, dl int, bucket int"))
     return live.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -122,12 +83,13 @@ def start_cells(centroids: DataFrame, path: str) -> None:
 def add_vectors(rows: DataFrame, path: str, *, ident: str = "vec_id", vector: str = "embedding") -> None:
     """Adds vectors, in place of those of the same ids: each goes to the cell of its nearest centroid, as int8 with a scale."""
     spark = rows.sparkSession
-    batch = _next(spark, path)
+    batch = batches.next_batch(spark, path)
     own = rows.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("vector"))
-    _put(own.select("id").distinct(), path, "gone", batch)
+    batches.put(own.select("id").distinct(), path, "gone", batch)
     placed = search.assigned(own, spark.read.parquet(f"{path}/centroids")).select("id", "cell", vectors.quantized(F.col("vector")).alias("z"))
-    _put(placed.select("id", F.col("z.q").alias("q"), "z.scale", "cell"), path, "members", batch, "cell")
-    _commit(spark, path, batch)
+    members = placed.select("id", F.col("z.q").alias("q"), "z.scale", "cell")
+    batches.put(members.withColumn("part", _part(spark, path, "gone", batch)), path, "members", batch, "cell", "part")
+    batches.commit(spark, path, batch)
 
 
 def find_vectors(spark: SparkSession, path: str, queries: DataFrame, k: int, *, probes: int = search.PROBES) -> DataFrame:
@@ -137,8 +99,8 @@ def find_vectors(spark: SparkSession, path: str, queries: DataFrame, k: int, *,
     def run(block: DataFrame) -> DataFrame:
         probed = search.written(search.probed(block, centroids, probes), "probed")
         needed = [r["cell"] for r in probed.select("cell").distinct().collect()]  # at most all cells
-        read = _read(spark, path, "members", "id long, q array<tinyint>, scale double, cell int").where(F.col("cell").isin(needed))
-        live = _live(spark, path, read)
+        read = batches.read(spark, path, "members", "id long, q array<tinyint>, scale double, cell int").where(F.col("cell").isin(needed))
+        live = batches.live(spark, path, read)
         return search.top(search.in_cells(live.select("id", F.col("q").alias("v"), "scale", "cell"), probed, k), k)
 
     return search.in_blocks(queries, run)
@@ -148,8 +110,8 @@ def compacted(spark: SparkSession, path: str, to: str, names: Iterable[str] = ("
     """The live rows of an index as the one batch of a new one."""
     schemas = {"postings": "term string, id long, tf long, dl int, bucket int", "lengths": "id long, dl int", "members": "id long, q array<tinyint>, scale double, cell int"}
     for name in names:
-        if any(_exists(spark, f"{path}/{name}/batch={b}") for b in _batches(spark, path)):
-            _put(_live(spark, path, _read(spark, path, name, schemas[name])).drop("batch"), to, name, 1, {"postings": "bucket", "members": "cell"}.get(name))
-    if _exists(spark, f"{path}/centroids"):
+        if any(batches.exists(spark, f"{path}/{name}/batch={b}") for b in batches.committed(spark, path)):
+            batches.put(batches.live(spark, path, batches.read(spark, path, name, schemas[name])).drop("batch"), to, name, 1, {"postings": "bucket", "members": "cell"}.get(name))
+    if batches.exists(spark, f"{path}/centroids"):
         spark.read.parquet(f"{path}/centroids").write.mode("overwrite").parquet(f"{to}/centroids")
-    _commit(spark, to, 1)
+    batches.commit(spark, to, 1)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
-from sparkloom.operators import answers, lifecycle, search, stored_index
+from sparkloom.operators import answers, field_index, lifecycle, search, stored_index
 from sparkloom.plans import retrieval
 from sparkloom.sources.tables import shared_folder, table, written
 
@@ -41,6 +41,49 @@ def index_terms(spark: SparkSession, sf: str) -> DataFrame:
     return stored_index.terms(spark, path)
 
 
+FIELDS = {"text": 1.0, "source": 0.5}
+
+
+def _field_index(spark: SparkSession, sf: str) -> str:
+    """Texts and sources of the same documents, added, replaced and deleted in the same way."""
+    path, docs = _folder(spark), table(spark, sf, "documents").select("doc_id", "text", "source")
+    even, fields = F.col("doc_id") % 2 == 0, {"text": F.col("text"), "source": F.col("source")}
+    field_index.add(docs.where(even), path, fields)
+    field_index.add(docs.where(~even | (F.col("doc_id") % 6 == 0)).withColumn("text", F.when(even, F.concat(F.lit("again "), "text")).otherwise(F.col("text"))), path, fields)
+    field_index.delete(spark, path, docs.where("doc_id % 10 = 0"), "doc_id")
+    return path
+
+
+def _asked(spark: SparkSession, sf: str, *parts: str) -> DataFrame:
+    """A search made up of the words of each document whose id is divisible by 100; ``w`` are its words, ``s`` those of its source."""
+    d = table(spark, sf, "documents").where("doc_id % 100 = 0")
+    listed = d.select(F.col("doc_id").alias("query"), text.words(F.coalesce("text", F.lit(""))).alias("w"), text.words(F.coalesce("source", F.lit(""))).alias("s"))
+    return listed.where("size(w) >= 9 and size(s) > 0").select("query", F.concat(*[F.expr(p) for p in parts]).alias("text"))
+
+
+def field_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Two words in a row, in texts only or in any field."""
+    asked = _asked(spark, sf, "IF(query % 200 = 0, 'text:', '')", "'\"'", "w[2]", "' '", "w[3]", "'\"'")
+    return field_index.find(spark, _field_index(spark, sf), asked, K, FIELDS)
+
+
+def field_must_not(spark: SparkSession, sf: str) -> DataFrame:
+    """One word that has to be there, one that may, and one that mustn't."""
+    return field_index.find(spark, _field_index(spark, sf), _asked(spark, sf, "'+'", "w[0]", "' '", "w[4]", "' -'", "w[8]"), K, FIELDS)
+
+
+def field_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """A word of the texts that has to be there, and one of the source."""
+    return field_index.find(spark, _field_index(spark, sf), _asked(spark, sf, "'source:'", "s[0]", "' +text:'", "w[3]"), K, FIELDS)
+
+
+def blockmax_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 by blocks of postings, of which those that can't matter aren't read."""
+    path = _folder(spark)
+    field_index.add(table(spark, sf, "documents"), path, {"text": F.col("text")})
+    return field_index.find_best(spark, path, retrieval._questions(spark, sf), K, {"text": 1.0})
+
+
 def index_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Cell search in a stored index: vectors added in two batches, every tenth deleted, all cells probed."""
     path, rows = _folder(spark), table(spark, sf, "embeddings")
@@ -127,13 +170,38 @@ def text_rules(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("p_partkey", "label", "p.query", F.md5("p.context").alias("context_md5"), "error", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"), F.col("kv")["size"].alias("size"), F.col("kv")["Name"].alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (index_search, index_terms, index_vectors, hybrid_query, chunks_and_media, retried_sources, inserted_chunks, set_values, waiting_media, newest_orders, unregistered_units, text_rules)}
+QUERIES = {f.__name__: f for f in (index_search, index_terms, field_phrases, field_must_not, field_pairs, blockmax_topk, index_vectors, hybrid_query, chunks_and_media, retried_sources, inserted_chunks, set_values, waiting_media, newest_orders, unregistered_units, text_rules)}
 
 _WORDS = retrieval._WORDS
 _LIVE = "(SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'again ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0)"
 _FUSED = retrieval._rrf(f"SELECT * FROM {retrieval._bm25('item_id % 100 = 0', K)}", retrieval._top(retrieval._DOT, K, "embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 100 = 0) AND e.vec_id IN (SELECT doc_id FROM documents)"), 1.0, 2 * K)
+_FIELD_WORDS = retrieval._WORDS.replace("text", "x")
+#: Words of both fields with their places, fields' sizes, terms' idf and the BM25 part of (field, doc_id, term, tf).
+_FIELDS = f"""t AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'again ' || text ELSE text END AS text, source FROM documents WHERE doc_id % 10 <> 0),
+l AS (SELECT doc_id, field, {_FIELD_WORDS} AS w FROM (SELECT doc_id, 'text' AS field, text AS x FROM t UNION ALL SELECT doc_id, 'source', source FROM t)),
+p AS (SELECT doc_id, field, len(w) AS dl, unnest(w) AS term, unnest(range(len(w))) AS i FROM l),
+z AS (SELECT field, count(*) AS n_docs, avg(len(w)) AS avg_dl FROM l WHERE len(w) > 0 GROUP BY field),
+i AS (SELECT field, term, any_value(avg_dl) AS avg_dl, ln(1 + (any_value(n_docs) - count(DISTINCT doc_id) + 0.5) / (count(DISTINCT doc_id) + 0.5)) AS idf FROM p JOIN z USING (field) GROUP BY field, term),
+a AS (SELECT doc_id AS query, {retrieval._WORDS} AS w, {retrieval._WORDS.replace("text", "source")} AS s FROM documents WHERE doc_id % 100 = 0),
+q AS (SELECT * FROM a WHERE len(w) >= 9 AND len(s) > 0),
+c AS (SELECT doc_id, field, term, dl, count(*) AS tf FROM p GROUP BY ALL)"""
+_PART = "CASE field WHEN 'text' THEN 1.0 ELSE 0.5 END * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))"
+
+
+def _best(score: str, frm: str) -> str:
+    return f"SELECT * FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, doc_id AS id, round({score}, 6) AS score FROM {frm} GROUP BY query, doc_id)) WHERE rank <= {K}"
+
 
 SQL = {
+    "field_phrases": f"""WITH {_FIELDS}, h AS (SELECT query, x.doc_id, x.field, x.dl, count(*) AS tf, any_value(w[3]) AS one, any_value(w[4]) AS two
+    FROM q JOIN p x ON x.term = w[3] AND (query % 200 <> 0 OR x.field = 'text') JOIN p y ON y.term = w[4] AND y.doc_id = x.doc_id AND y.field = x.field AND y.i = x.i + 1 GROUP BY ALL)
+{_best("sum(" + _PART + ")", "(SELECT h.*, a.avg_dl, a.idf + b.idf AS idf FROM h JOIN i a ON a.field = h.field AND a.term = one JOIN i b ON b.field = h.field AND b.term = two)")}""",
+    "field_must_not": f"""WITH {_FIELDS}, k AS (SELECT query, '+' AS mark, w[1] AS term FROM q UNION SELECT query, '', w[5] FROM q UNION SELECT query, '-', w[9] FROM q),
+h AS (SELECT * FROM k JOIN c USING (term) JOIN i USING (field, term))
+{_best("sum(CASE WHEN mark = '-' THEN 0 ELSE " + _PART + " END)", "h")[:-len(f") WHERE rank <= {K}")].replace("GROUP BY query, doc_id)", "GROUP BY query, doc_id HAVING bool_or(mark = '+') AND NOT bool_or(mark = '-'))")}) WHERE rank <= {K}""",
+    "field_pairs": f"""WITH {_FIELDS}, k AS (SELECT query, s[1] AS term, 'source' AS field FROM q UNION ALL SELECT query, w[4], 'text' FROM q), h AS (SELECT * FROM k JOIN c USING (field, term) JOIN i USING (field, term))
+{_best("sum(" + _PART + ")", "h").replace("GROUP BY query, doc_id)", "GROUP BY query, doc_id HAVING bool_or(field = 'text'))")}""",
+    "blockmax_topk": f"SELECT * FROM {retrieval._bm25('item_id % 100 = 0', K)}",
     "index_search": retrieval._bm25("item_id % 100 = 0", K).replace("FROM documents)", f"FROM {_LIVE})")[1:-1],
     "index_terms": f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM {_LIVE}) GROUP BY ALL) GROUP BY term",
     "index_vectors": retrieval.SQL["ivf_search"].replace("JOIN embeddings q ON q.vec_id = probed.query", "JOIN embeddings q ON q.vec_id = probed.query WHERE e.vec_id % 10 <> 0"),
