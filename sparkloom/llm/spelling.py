@@ -22,7 +22,6 @@ import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -113,37 +112,42 @@ def _gram_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
-_DEALT = "gram int, size int, word string, n long, earlier array<int>"
+_DEALT = "gram int, size int, word string, n long, earlier long"
+#: Bits that a gram's number takes.
+_BITS = 20
 
 
 def _dealt(words: DataFrame, counts: np.ndarray) -> DataFrame:
     """A row for each of a word's rarest grams and length that it may share with another word: its own, and as the longer one that of one less.
 
-    ``earlier``: the word's rarer grams, so that a pair counts where both have their first common gram.
+    ``earlier``: the word's rarer grams, ``_BITS`` bits each, so that a pair counts where both have their first common gram.
     """
     known = words.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = known.value
         for batch in batches:
-            own, ns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if not own:
+            if not batch.num_rows:
                 continue
-            codes, first = grams_of(own)
-            order = np.lexsort((codes, rank[codes], np.repeat(np.arange(len(own)), np.diff(first))))
-            rarest = codes[order[first[:-1, None] + np.arange(Q + 1)]].tolist()
-            rows: list[tuple] = []
-            for word, n, grams in zip(own, ns, rarest, strict=True):
-                distinct = list(dict.fromkeys(grams))
-                for k, gram in enumerate(distinct):
-                    rows += [(gram, len(word), word, n, distinct[:k]), (gram, len(word) - 1, word, n, distinct[:k])]
-            columns = zip(*rows, strict=True)
-            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["gram", "size", "word", "n", "earlier"])
+            codes, first = grams_of(batch.column(0).to_pylist())
+            order = np.lexsort((codes, rank[codes], np.repeat(np.arange(batch.num_rows), np.diff(first))))
+            rarest = codes[order[first[:-1, None] + np.arange(Q + 1)]].astype(np.int64)
+            lengths, earlier = (np.diff(first) - Q + 1).astype(np.int32), np.zeros(batch.num_rows, np.int64)
+            for k in range(Q + 1):
+                own = np.flatnonzero((rarest[:, :k] != rarest[:, k : k + 1]).all(axis=1))
+                rows = batch.take(pa.array(own))
+                for size in (lengths, lengths - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(rarest[own, k].astype(np.int32)), pa.array(size[own]), *rows.columns, pa.array(earlier[own])], names=["gram", "size", "word", "n", "earlier"])
+                earlier = earlier | (rarest[:, k] + 1) << (_BITS * k)
 
     return words.select("word", "n").mapInArrow(run, _DEALT)
 
 
+def _apart(a: int, b: int) -> bool:
+    """Whether two words have no rarer gram in common."""
+    return not a or not b or {a >> _BITS * k & (1 << _BITS) - 1 for k in range(Q)}.isdisjoint({x for k in range(Q) if (x := b >> _BITS * k & (1 << _BITS) - 1)})
+
+
 def one_edit(a: str, b: str) -> bool:
     """Whether one inserted, deleted or replaced letter turns ``a`` into ``b``; ``b`` is as long or one longer."""
     if a == b:
@@ -170,30 +174,47 @@ class Index:
 
     def near(self, word: str, keys: list[int], moved: list[int] | None = None) -> list[int]:
         """Numbers of the words one edit from ``word``, which is of the index's length, or one longer: then ``moved`` has, for each place, the gram after its own."""
-        get, longer = self.postings.get, moved is not None
-        least = len(keys) - (Q - 1 if longer else Q)  # how many places must agree
-        if longer:
-            lists = [[x for x in pair if x] for pair in zip(map(get, keys), [get(b) if a != b else None for a, b in zip(keys, moved, strict=True)], strict=True)]
-            lists = [pair for pair in lists if pair]
+        get = self.postings.get
+        if moved is None:
+            lists = [(x,) for x in map(get, keys) if x]
         else:
-            lists = [[x] for x in map(get, keys) if x]
+            pairs = [(get(a), get(b) if a != b else None) for a, b in zip(keys, moved, strict=True)]
+            lists = [(x, y) if x and y else (x or y,) for x, y in pairs if x or y]
+        least = len(keys) - (Q if moved is None else Q - 1)  # how many places must agree
         if len(lists) < least:
             return []
-        lists.sort(key=lambda pair: sum(map(len, pair)))
-        short = len(lists) - least + 1
-        merged, rest, found = lists[:short], lists[short:], []
-        for k, group in groupby(heapq.merge(*(x for pair in merged for x in pair))):
-            agree = sum(1 for _ in group)
-            for left, pair in zip(range(len(rest), 0, -1), rest, strict=True):
-                if agree + left < least:
-                    break
-                agree += any((at := bisect_left(x, k)) < len(x) and x[at] == k for x in pair)
-            if agree >= least and one_edit(self.words[k], word):
-                found.append(k)
+        lists.sort(key=_postings)
+        short, found, last, agree = len(lists) - least + 1, [], -1, 0
+        rest = lists[short:]
+        for k in (*heapq.merge(*[x for lists_of in lists[:short] for x in lists_of]), -1):
+            if k == last:
+                agree += 1
+                continue
+            if last >= 0 and self._agree(last, rest, agree + len(rest) - least) and one_edit(self.words[last], word):
+                found.append(last)
+            last, agree = k, 1
         return found
 
+    @staticmethod
+    def _agree(k: int, rest: list[tuple], misses: int) -> bool:
+        """Whether at most ``misses`` of the places' lists are without the word ``k``."""
+        for lists_of in rest:
+            for x in lists_of:
+                at = bisect_left(x, k)
+                if at < len(x) and x[at] == k:
+                    break
+            else:
+                if not misses:
+                    return False
+                misses -= 1
+        return True
+
+
+def _postings(lists_of: tuple) -> int:
+    return len(lists_of[0]) if len(lists_of) == 1 else len(lists_of[0]) + len(lists_of[1])
+
 
-def _pairs_in(size: int, roles: list[str], words: list[str], ns: list[int], earlier: list[list[int]], keys: list[int], moved: list[int], first: list[int], out: tuple[list, list, list]) -> None:
+def _pairs_in(size: int, roles: list[str], words: list[str], ns: list[int], earlier: list[int], keys: list[int], moved: list[int], first: list[int], out: tuple[list, list, list]) -> None:
     """Appends (word, near word, its n), both ways, for a part's words. Roles: ``both`` is indexed after it was looked up, ``index`` is indexed only and comes first, ``query`` looked up only."""
     index, known = Index(size), []
     places = None if size + Q - 1 <= PLACES else [k * (size + Q - 1) // PLACES for k in range(PLACES)]
@@ -204,7 +225,7 @@ def _pairs_in(size: int, roles: list[str], words: list[str], ns: list[int], earl
             onward = None if len(word) == size else moved[a:b] if places is None else [moved[a + p] for p in places]
             for k in index.near(word, own, onward):
                 o = known[k]
-                if not earlier[o] or not earlier[r] or set(earlier[o]).isdisjoint(earlier[r]):
+                if _apart(earlier[o], earlier[r]):
                     for column, values in zip(out, ((word, words[o]), (words[o], word), (ns[o], ns[r])), strict=True):
                         column += values
         if roles[r] != "query":
