@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
-from sparkloom.operators import answers, field_index, lifecycle, search, stored_index
+from sparkloom.operators import answers, cells, field_index, lifecycle, search, stored_index
 from sparkloom.plans import retrieval
 from sparkloom.sources.tables import shared_folder, table, written
 
@@ -85,7 +85,7 @@ def blockmax_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Cell search in a stored index: vectors added in two batches, every tenth deleted, all cells probed."""
+    """Cell search in a stored index: vectors added in two batches, every tenth deleted; each query's four nearest cells."""
     path, rows = _folder(spark), table(spark, sf, "embeddings")
     stored_index.start_cells(retrieval._label_means(spark, sf), path)
     stored_index.add_vectors(rows.where("vec_id % 3 = 0"), path)
@@ -94,6 +94,19 @@ def index_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return stored_index.find_vectors(spark, path, retrieval._query_vectors(spark, sf), K)
 
 
+def kept_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors added, replaced and deleted in an index that keeps its cells, and the recall at 10 that its searches then have for every hundredth vector."""
+    path, rows = _folder(spark), table(spark, sf, "embeddings")
+    cells.add(rows.where("vec_id % 3 = 0"), path)
+    cells.upkeep_if_needed(spark, path)
+    cells.add(rows.where("vec_id % 3 <> 0 or vec_id % 6 = 0"), path)
+    cells.remove(spark, path, rows.where("vec_id % 10 = 1"), "vec_id")
+    cells.upkeep_if_needed(spark, path)
+    queries = retrieval._query_vectors(spark, sf)
+    cells.tuned(spark, path, queries, cells.exact(rows, queries, 10, where=F.col("vec_id") % 10 != 1), 10)
+    return cells.report(spark, path)
+
+
 def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
     """Every hundredth benchmark item from question to prompt: documents are chunks of their own; the vector of a document's number is its embedding, that of an item's number the imagined answer's."""
     d = table(spark, sf, "documents")
@@ -170,7 +183,7 @@ def text_rules(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("p_partkey", "label", "p.query", F.md5("p.context").alias("context_md5"), "error", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"), F.col("kv")["size"].alias("size"), F.col("kv")["Name"].alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (index_search, index_terms, field_phrases, field_must_not, field_pairs, blockmax_topk, index_vectors, hybrid_query, chunks_and_media, retried_sources, inserted_chunks, set_values, waiting_media, newest_orders, unregistered_units, text_rules)}
+QUERIES = {f.__name__: f for f in (index_search, index_terms, field_phrases, field_must_not, field_pairs, blockmax_topk, index_vectors, kept_cells, hybrid_query, chunks_and_media, retried_sources, inserted_chunks, set_values, waiting_media, newest_orders, unregistered_units, text_rules)}
 
 _WORDS = retrieval._WORDS
 _LIVE = "(SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'again ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0)"
