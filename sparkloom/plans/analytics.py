@@ -5,12 +5,16 @@ Fixtures: ``events`` are a sampler's rows (user_id a process, value a measuremen
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import sizing
 from sparkloom.operators import conversations, lifecycle, ordered, runs, search, trees
-from sparkloom.sources.tables import table
+from sparkloom.sources.tables import shared_folder, table
+from sparkloom.streaming import jobs, stateful
 
 
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,6 +40,25 @@ def fifo_pairing(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("user_id", "n", "open_id", "close_id", F.round("seconds", 3).alias("seconds"), F.round(F.col("close_value") - F.col("open_value"), 4).alias("delta"))
 
 
+def _streamed(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of the events' files has made, through to their end."""
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = jobs.events_stream(spark, f"{sf}/events.parquet", spark.read.parquet(f"{sf}/events.parquet").schema, files_a_batch=1_000)
+    return stateful.written_through(make(stream), f"{path}/out", f"{path}/checkpoint")
+
+
+def stream_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Counter rates by a stream that keeps each user's last sample."""
+    found = _streamed(spark, sf, lambda s: stateful.rates(s, by="user_id", time="ts", counter="value", ident="event_id"))
+    return found.select(F.col("id").alias("event_id"), F.round("rate", 4).alias("rate"))
+
+
+def stream_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """First-in-first-out pairs by a stream that keeps each user's open clicks."""
+    found = _streamed(spark, sf, lambda s: stateful.pairs(s, by="user_id", kind="event_type", opens="click", closes="purchase", at="ts", ident="event_id"))
+    return found.select(F.col("key").alias("user_id"), "n", "open_id", "close_id", F.round("seconds", 3).alias("seconds"), F.round("delta", 4).alias("delta"))
+
+
 def periodic_overhead(spark: SparkSession, sf: str) -> DataFrame:
     found = runs.periodic_overhead(_samples(spark, sf).withColumn("elapsed", F.floor("elapsed")), 60.0, 36_000.0, by="event_type")
     return found.select("event_type", F.round("overhead", 4).alias("overhead"))
@@ -227,7 +250,7 @@ def label_groups(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.with_row_number(table(spark, sf, "embeddings").select("label", "vec_id"), ["label"], ["vec_id"], "place").select("label", "vec_id", F.col("place").cast("long").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (idle_window_metrics, counter_rates, fifo_pairing, periodic_overhead, null_poison_sum, best_config_per_group, metric_pivot, config_grid, gap_sessions, bench_json, log_parse, process_closure, tree_flatten, conversation_truncate, session_titles, role_filter, enrichment_queue, document_phase, docs_without_tree, searchable_chunks, upsert_latest, delete_cascade, ordered_fetch, quant_from_name, size_tier, compat_score, catalog_priority, catalog_diff, catalog_merge, fuzzy_match, tumbling_windows, label_groups)}
+QUERIES = {f.__name__: f for f in (idle_window_metrics, counter_rates, fifo_pairing, stream_rates, stream_pairs, periodic_overhead, null_poison_sum, best_config_per_group, metric_pivot, config_grid, gap_sessions, bench_json, log_parse, process_closure, tree_flatten, conversation_truncate, session_titles, role_filter, enrichment_queue, document_phase, docs_without_tree, searchable_chunks, upsert_latest, delete_cascade, ordered_fetch, quant_from_name, size_tier, compat_score, catalog_priority, catalog_diff, catalog_merge, fuzzy_match, tumbling_windows, label_groups)}
 
 _SAMPLES = "(SELECT event_id, epoch(ts) AS t, user_id, event_type, value, round(epoch(ts) - min(epoch(ts)) OVER (PARTITION BY event_type), 3) AS elapsed FROM events)"
 _LINES = "(SELECT doc_id, unnest(range(len(l))) AS chunk_index, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -276,3 +299,4 @@ SQL = {
     "tumbling_windows": "SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS start_s, event_type, count(*) AS n, max(value) AS peak FROM events GROUP BY ALL",
     "label_groups": "SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings",
 }
+SQL |= {"stream_rates": SQL["counter_rates"], "stream_pairs": SQL["fifo_pairing"]}

@@ -10,11 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkloom.functions import models
 from sparkloom.operators.runs import log_events
+from sparkloom.streaming import growing
 
 
 def events_stream(spark: SparkSession, folder: str, schema, *, files_a_batch: int = 1) -> DataFrame:
-    """Parquet files of events as they arrive; times as timestamps, which watermarks want."""
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+    """Parquet files of events as they arrive in a folder, or a single file; times as timestamps, which watermarks want."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():  # a stream reads folders only
+        reader, folder = reader.option("pathGlobFilter", path.getName()), path.getParent().toString()
+    df = reader.parquet(folder)
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -24,9 +29,9 @@ def windowed(events: DataFrame, *, size: str = "6 hours", late: str = "1 day") -
     return found.select(F.col("window.start").cast("long").alias("start_s"), "event_type", "n", "peak")
 
 
-def tailed(spark: SparkSession, folder: str) -> DataFrame:
-    """Typed events of log files as lines are added in new files."""
-    return log_events(spark.readStream.text(folder))
+def tailed(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """Typed events of log files as these grow (``growing``): file, offset, value, kind, subject, ts_ms, elapsed_ms, each event once."""
+    return log_events(growing.lines(spark, folder, **options))
 
 
 def enrich(chunks: DataFrame, out: str, checkpoint: str, *, enrich_text: Callable = models.first_sentences) -> StreamingQuery:
