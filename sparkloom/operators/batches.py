@@ -51,8 +51,9 @@ def put(df: DataFrame, path: str, name: str, batch: int, by: str | None = None,
     (writer.partitionBy(by) if by else writer).parquet(f"{path}/{name}/batch={batch}")
 
 
-def live(spark: SparkSession, path: str, rows: DataFrame, upto: int | None = None) -> DataFrame:
-    """``rows`` (id, batch, ...) that no later batch replaces or deletes."""
-    gone = read(spark, path, "gone", "id long", upto).groupBy("id").agg(F.max("batch").alias("until"))
-    out = rows.join(gone, "id", "left").where(F.col("until").isNull() | (F.col("batch") >= F.col("until")))
+def live(spark: SparkSession, path: str, rows: DataFrame, upto: int | None = None, *, by: str = "id", gone: str = "gone") -> DataFrame:
+    """``rows`` (``by``, batch, ...) that no later batch replaces or deletes. What the first batch has in ``gone`` ends nothing, so only later changes are joined."""
+    known = committed(spark, path)
+    ends = read(spark, path, gone, f"{by} long", upto).where(F.col("batch") > (known[0] if known else 0)).groupBy(by).agg(F.max("batch").alias("until"))
+    out = rows.join(ends, by, "left").where(F.col("until").isNull() | (F.col("batch") >= F.col("until")))
     return out.drop("until")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
-from sparkloom.operators import answers, cells, field_index, lifecycle, search, stored_index
+from sparkloom.operators import answers, cells, field_index, lifecycle, search, stored_index, stored_tables
 from sparkloom.plans import retrieval
 from sparkloom.sources.tables import shared_folder, table, written
 
@@ -107,6 +107,51 @@ def kept_cells(spark: SparkSession, sf: str) -> DataFrame:
     return cells.report(spark, path)
 
 
+KINDS = {
+    "documents": stored_tables.Kind("doc_id long, title string, n_chars long", ("doc_id",)),
+    "chunks": stored_tables.Kind("doc_id long, chunk_index int, text string, enriched string", ("doc_id", "chunk_index")),
+    "media": stored_tables.Kind("doc_id long, media_id long, caption string, embedding array<double>", ("doc_id", "media_id")),
+}
+
+
+def _store(spark: SparkSession, sf: str) -> tuple[stored_tables.Store, list[int]]:
+    """Documents, their lines as chunks and parts as their media: every third document comes later with a longer title, every seventh loses all but its first line by being replaced,
+    chunks of even documents are enriched, every tenth document goes, media get their vectors. The store, and the number of each batch."""
+    store = stored_tables.Store(_folder(spark), KINDS)
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("n_chars").cast("long").alias("n_chars"), "text")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "text")).withColumn("enriched", F.lit(None).cast("string"))
+    p = table(spark, sf, "part").select((F.col("p_partkey") % 150).alias("doc_id"), F.col("p_partkey").alias("media_id"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_name")).alias("caption"), F.when(F.col("p_partkey") % 5 == 0, F.array(F.lit(1.0))).alias("embedding"))
+    media = p.join(d.select("doc_id"), "doc_id", "left_semi")
+    late = F.col("doc_id") % 3 == 0
+    done = [stored_tables.upsert(spark, store, documents=d.where(~late), chunks=lines.where(~late), media=media)]
+    done.append(stored_tables.upsert(spark, store, documents=d.where(late | (F.col("doc_id") % 7 == 0)).withColumn("title", F.concat(F.coalesce("title", F.lit("")), F.lit("+"))), chunks=lines.where(late)))
+    again = d.where("doc_id % 7 = 0")
+    done.append(stored_tables.replace(spark, store, again, documents=again, chunks=lines.where("doc_id % 7 = 0 and chunk_index = 0")))
+    done.append(stored_tables.set_values(spark, store, "chunks", lines.where("doc_id % 2 = 0").select("doc_id", "chunk_index", F.upper("text").alias("enriched"))))
+    done.append(stored_tables.delete(spark, store, d.where("doc_id % 10 = 0")))
+    stored_tables.embed_media(spark, store)
+    return store, done
+
+
+def _by_document(spark: SparkSession, store: stored_tables.Store, at: int | None) -> DataFrame:
+    documents, chunks, media = (stored_tables.state(spark, store, name, at) for name in KINDS)
+    c = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count("enriched").alias("n_enriched"))
+    m = media.groupBy("doc_id").agg(F.count("*").alias("n_media"), F.count("embedding").alias("n_vectors"))
+    both = c.join(m, "doc_id", "full").join(documents, "doc_id", "full")
+    return both.select("doc_id", "title", "n_chars", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n_chunks", "n_enriched", "n_media", "n_vectors")])
+
+
+def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """What is stored in the end, by document."""
+    return _by_document(spark, _store(spark, sf)[0], None)
+
+
+def stored_earlier(spark: SparkSession, sf: str) -> DataFrame:
+    """What was stored before anything was replaced, enriched or deleted, read afterwards."""
+    store, done = _store(spark, sf)
+    return _by_document(spark, store, done[1])
+
+
 def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
     """Every hundredth benchmark item from question to prompt: documents are chunks of their own; the vector of a document's number is its embedding, that of an item's number the imagined answer's."""
     d = table(spark, sf, "documents")
@@ -183,7 +228,7 @@ def text_rules(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("p_partkey", "label", "p.query", F.md5("p.context").alias("context_md5"), "error", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"), F.col("kv")["size"].alias("size"), F.col("kv")["Name"].alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (index_search, index_terms, field_phrases, field_must_not, field_pairs, blockmax_topk, index_vectors, kept_cells, hybrid_query, chunks_and_media, retried_sources, inserted_chunks, set_values, waiting_media, newest_orders, unregistered_units, text_rules)}
+QUERIES = {f.__name__: f for f in (index_search, index_terms, field_phrases, field_must_not, field_pairs, blockmax_topk, index_vectors, kept_cells, stored_documents, stored_earlier, hybrid_query, chunks_and_media, retried_sources, inserted_chunks, set_values, waiting_media, newest_orders, unregistered_units, text_rules)}
 
 _WORDS = retrieval._WORDS
 _LIVE = "(SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'again ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0)"
@@ -232,4 +277,11 @@ SELECT b.query, NOT regexp_matches(lower(question), '^\\s*(hi|hello|thanks)\\b')
     "newest_orders": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders ORDER BY day DESC, o_orderkey LIMIT 20",
     "unregistered_units": "WITH s AS (SELECT s_suppkey, 'Org/R' || s_suppkey % 50 AS repo_id FROM supplier) SELECT * FROM s WHERE s_suppkey % 4 > 1 AND repo_id NOT IN (SELECT repo_id FROM s WHERE s_suppkey % 20 = 2)",
     "text_rules": "SELECT p_partkey, list_extract(['simple_rag', 'multi_doc', 'other', 'no_retrieval'], CAST(p_partkey % 4 + 1 AS INTEGER)) AS label, CASE WHEN p_partkey % 3 = 0 THEN 'size ' || p_size END AS query, CASE WHEN p_partkey % 3 = 0 THEN md5(trim(p_name)) END AS context_md5, CASE p_partkey % 3 WHEN 0 THEN 'main: error: bad ' || p_size WHEN 1 THEN 'ERROR: low' ELSE 'starting ' || p_size END AS error, p_size || ',' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN ',-7' ELSE ',5' END AS numbers, p_size || ' kB' AS size, 'twice: ' || p_size AS name FROM part",
+    "stored_documents": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND doc_id % 3 = 0 THEN coalesce(source, '') || '+' ELSE source END AS title, CAST(n_chars AS BIGINT) AS n_chars, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 10 <> 0),
+m AS (SELECT p_partkey % 150 AS doc_id, count(*) AS n_media, count(*) FILTER (p_partkey % 5 = 0 OR p_partkey % 4 <> 0 AND p_name <> '') AS n_vectors FROM part GROUP BY ALL)
+SELECT doc_id, title, n_chars, CAST(CASE WHEN text_null THEN 0 WHEN doc_id % 7 = 0 THEN 1 ELSE len(l) END AS BIGINT) AS n_chunks, CAST(CASE WHEN text_null OR doc_id % 2 <> 0 THEN 0 WHEN doc_id % 7 = 0 THEN 1 ELSE len(l) END AS BIGINT) AS n_enriched,
+    CASE WHEN doc_id % 7 = 0 THEN 0 ELSE coalesce(n_media, 0) END AS n_media, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE coalesce(n_vectors, 0) END AS n_vectors FROM (SELECT *, l IS NULL AS text_null FROM d) LEFT JOIN m USING (doc_id)""",
+    "stored_earlier": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 3 = 0 THEN coalesce(source, '') || '+' ELSE source END AS title, CAST(n_chars AS BIGINT) AS n_chars, string_split(text, chr(10)) AS l FROM documents),
+m AS (SELECT p_partkey % 150 AS doc_id, count(*) AS n_media, count(*) FILTER (p_partkey % 5 = 0) AS n_vectors FROM part GROUP BY ALL)
+SELECT doc_id, title, n_chars, CAST(coalesce(len(l), 0) AS BIGINT) AS n_chunks, CAST(0 AS BIGINT) AS n_enriched, coalesce(n_media, 0) AS n_media, coalesce(n_vectors, 0) AS n_vectors FROM d LEFT JOIN m USING (doc_id)""",
 }
