@@ -15,13 +15,14 @@ import hashlib
 import re
 import struct
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,21 +139,83 @@ def riff_chunks(d: bytes, at: int = 0) -> dict[bytes, tuple[int, int]] | None:
     return found if p in (end, end + 1) and found else None
 
 
+class _Chunks:
+    """Where the chunks from every RIFF header on lead: each place has one next place, so all walks are a forest, whose places are looked at once.
+
+    A walk passes a place if that is an ancestor of its start; of each kind the first chunk on a walk is the nearest ancestor of that kind.
+    """
+
+    KINDS = (b"fmt ", b"data", b"VP8 ", b"VP8L", b"VP8X", b"LIST")
+
+    def __init__(self, d: bytes):
+        self.onward: dict[int, int | None] = {}
+        for m in re.finditer(b"RIFF", d):
+            p = m.start() + 12
+            while p not in self.onward:
+                n = struct.unpack_from("<I", d, p + 4)[0] if p + 8 <= len(d) else len(d)
+                self.onward[p] = p + 8 + n + (n & 1) if p + 8 + n <= len(d) else None
+                if self.onward[p] is None:
+                    break
+                p = self.onward[p]
+        self.before: dict[int, list[int]] = {}
+        self.near: dict[bytes, dict[int, int | None]] = {kind: {} for kind in self.KINDS}
+        for p in sorted(self.onward, reverse=True):
+            q = self.onward[p]
+            if q is not None:
+                self.before.setdefault(q, []).append(p)
+            for kind, near in self.near.items():
+                near[p] = p if q is not None and d.startswith(kind, p) else near.get(q)
+        self.first: dict[int, int] = {}
+        self.last: dict[int, int] = {}
+        waiting = [(p, False) for p, q in self.onward.items() if q is None]
+        while waiting:
+            p, done = waiting.pop()
+            if done:
+                self.last[p] = len(self.first)
+                continue
+            self.first[p] = len(self.first)
+            waiting += [(p, True), *((q, False) for q in reversed(self.before.get(p, ())))]
+
+    def passes(self, p: int, q: int) -> bool:
+        return q in self.first and self.first[q] <= self.first[p] < self.last[q]
+
+    def fills(self, d: bytes, start: int, end: int) -> bool:
+        """Whether the chunks from ``start`` end at ``end``, or at the byte that fills an odd one up."""
+        if start != end and self.passes(start, end):
+            return True
+        if start == end + 1 or not self.passes(start, end + 1):
+            return False
+        own = self.before[end + 1]
+        last = own[bisect_right(own, self.first[start], key=self.first.__getitem__) - 1]
+        return bool(struct.unpack_from("<I", d, last + 4)[0] & 1)
+
+
 def _riff(d: bytes, at: int, memo: dict) -> int | None:
-    """WAVE needs a sane fmt and data, WEBP and AVI their own first chunks."""
-    chunks = riff_chunks(d, at)
-    if chunks is None:
+    """Chunks that fill the declared size; WAVE needs a sane fmt and data, WEBP and AVI their own first chunks."""
+    end = at + 8 + struct.unpack_from("<I", d, at + 4)[0] if at + 12 <= len(d) else len(d) + 1
+    if end > len(d):
+        return None
+    if "chunks" not in memo:
+        memo["chunks"] = _Chunks(d)
+    known = memo["chunks"]
+    if not known.fills(d, at + 12, end):
         return None
+
+    def there(kind: bytes) -> int | None:
+        place = known.near[kind][at + 12]
+        return place if place is not None and place < end else None
+
     form = d[at + 8 : at + 12]
     if form == b"WAVE":
-        if b"data" not in chunks or chunks.get(b"fmt ", (0, 0))[1] < 16:
+        fmt = there(b"fmt ")
+        if there(b"data") is None or fmt is None or struct.unpack_from("<I", d, fmt + 4)[0] < 16:
             return None
-        _, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", d, chunks[b"fmt "][0])
+        _, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", d, fmt + 8)
         if not channels or not rate or align != channels * ((bits + 7) // 8):
             return None
-    elif not any(k in chunks for k in ((b"VP8 ", b"VP8L", b"VP8X") if form == b"WEBP" else (b"LIST",) if form == b"AVI " else ())):
+    elif all(there(k) is None for k in ((b"VP8 ", b"VP8L", b"VP8X") if form == b"WEBP" else (b"LIST",))):
         return None
-    return 8 + struct.unpack_from("<I", d, at + 4)[0]
+    return end - at
 
 
 def _bmp(d: bytes, at: int, memo: dict) -> int | None:
@@ -338,8 +401,12 @@ def samples(data: bytes) -> bytes:
     return data[at : at + n]
 
 
+#: What the query's own media are said to be.
+DECLARED = ("audio/wav", "image/png", "application/octet-stream")
+
+
 def stored_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts as a written media column: doc_id, n_bytes, media (WAV; samples are the UTF-8 bytes, zero bytes up to a positive multiple of 64), declared_type (unknown)."""
+    """Texts as a written media column: doc_id, n_bytes, media (WAV; samples are the UTF-8 bytes, zero bytes up to a positive multiple of 64), declared_type (by the length, right for a third, wrong for another, unknown for the last)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,15 +414,15 @@ def stored_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             whole, sizes = data.tobytes(), np.diff(offsets)
             padded = np.maximum(-(-sizes // PAYLOAD_UNIT), 1) * PAYLOAD_UNIT
             media = [wav(whole[a : a + n].ljust(p, b"\0")) for a, n, p in zip(offsets[:-1].tolist(), sizes.tolist(), padded.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(media, pa.binary()), pa.array(["application/octet-stream"] * len(media), pa.string())], names=["doc_id", "n_bytes", "media", "declared_type"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(media, pa.binary()), pa.array([DECLARED[n % 3] for n in sizes.tolist()], pa.string())], names=["doc_id", "n_bytes", "media", "declared_type"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return stored(texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, n_bytes long, media binary, declared_type string"), "media")
 
 
 def described(sniffed: DataFrame) -> DataFrame:
-    """Digests and a feature of each sniffed WAV: what was found, and its samples' mean, deviation and sign changes about the mean."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """Digests and a feature of each sniffed WAV: what was found, and its samples' mean, deviation and sign changes about the mean; whether the declared type was corrected, and how many files are embedded."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "corrected", "n_embedded"]
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,6 +437,7 @@ def described(sniffed: DataFrame) -> DataFrame:
                 feature = f"{kind};samples={len(x)};mean={x.mean():.6f};deviation={x.std():.6f};crossings={int((high[1:] != high[:-1]).sum())};embedded={len(embedded)}"
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAYLOAD_UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+            found = [batch.column("corrected"), pc.list_value_length(batch.column("embedded")).cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *found], names=names)
 
-    return sniffed.mapInArrow(run, f"doc_id {dict(sniffed.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return sniffed.mapInArrow(run, f"doc_id {dict(sniffed.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, corrected boolean, n_embedded long")

@@ -343,7 +343,10 @@ def without(text: str | None, ranges: list[tuple[int, int]]) -> str | None:
 def rewritten(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs``, its columns as they are, with the repeated passages cut from its texts."""
     schema, place = docs.schema, docs.columns.index(text_col)
-    joined = docs.withColumn("__id", F.col(id_col).cast("long")).join(_by_document(spans(docs, id_col=id_col, text_col=text_col, **how)).select(F.col("doc_id").alias("__id"), F.col("cut").alias("__cut")), "__id", "left")
+    # Under other names, so that no column can clash with what is added.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names).withColumn("id", F.col(names[docs.columns.index(id_col)]).cast("long"))
+    joined = own.join(_by_document(spans(docs, id_col=id_col, text_col=text_col, **how)).select(F.col("doc_id").alias("id"), "cut"), "id", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,4 +354,4 @@ def rewritten(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             columns = [batch.column(k) if k != place else pa.array(texts, pa.string()) for k in range(len(schema))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__cut").mapInArrow(run, schema)
+    return joined.select(*names, "cut").mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import kdtree, repair, spelling
+from sparkloom.llm import kdtree, media, repair, spelling
 
 # ---- spelling
 
@@ -283,3 +283,86 @@ def test_trees_leave_boxes_out():
     for q in range(10):
         scores = vectors @ centres[q]
         assert best.scores[q].tolist() == sorted(scores.astype(np.int64).tolist(), reverse=True)[:5]
+
+
+# ---- media and column names
+
+
+def riff(form, *chunks, size=None):
+    body = form + b"".join(kind + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) & 1) for kind, data in chunks)
+    return b"RIFF" + (len(body) if size is None else size).to_bytes(4, "little") + body
+
+
+FMT = (b"fmt ", bytes([1, 0, 1, 0, 64, 31, 0, 0, 64, 31, 0, 0, 1, 0, 8, 0]))
+
+
+def walked(d):
+    """RIFF files found by walking every header on its own."""
+    out = []
+    for at in range(len(d)):
+        if d[at : at + 4] != b"RIFF" or d[at + 8 : at + 12] not in (b"WAVE", b"WEBP", b"AVI "):
+            continue
+        chunks, form = media.riff_chunks(d, at), d[at + 8 : at + 12]
+        if chunks is None:
+            continue
+        if form == b"WAVE":
+            place, n = chunks.get(b"fmt ", (0, 0))
+            if b"data" not in chunks or n < 16:
+                continue
+            channels, rate, align, bits = int.from_bytes(d[place + 2 : place + 4], "little"), int.from_bytes(d[place + 4 : place + 8], "little"), int.from_bytes(d[place + 12 : place + 14], "little"), int.from_bytes(d[place + 14 : place + 16], "little")
+            if not channels or not rate or align != channels * ((bits + 7) // 8):
+                continue
+        elif not set(chunks) & ({b"VP8 ", b"VP8L", b"VP8X"} if form == b"WEBP" else {b"LIST"}):
+            continue
+        out.append((at, 8 + int.from_bytes(d[at + 4 : at + 8], "little")))
+    return out
+
+
+def found_riff(d):
+    return [(f.offset, f.length) for f in media.find_media(d) if f.mime in ("audio/wav", "image/webp", "video/x-msvideo")]
+
+
+def test_riff_as_by_single_walks():
+    r = random.Random(6)
+    cases = [riff(b"WAVE", FMT, (b"data", b"abc")), riff(b"WAVE", FMT, (b"data", b"abc"))[:-1], riff(b"WEBP", (b"VP8 ", b"x" * 9)), riff(b"AVI ", (b"LIST", b"")), riff(b"WAVE"), riff(b"WAVE", (b"data", b"")), riff(b"WAVE", FMT, (b"data", b"abc"), size=47)]
+    for _ in range(400):
+        inner = r.choice(cases)
+        parts = [r.choice(cases), r.choice([b"", b"ab", b"RIFF"]), riff(b"WAVE", FMT, (b"data", inner + r.choice([b"", b"z"])), size=r.choice([None, None, 20, 60])), r.choice(cases)]
+        r.shuffle(parts)
+        d = bytearray(b"".join(parts))
+        for _ in range(r.choice([0, 0, 1, 3])):
+            d[r.randrange(len(d))] = r.choice([0, 1, 8, 9, 16, 255])
+        assert found_riff(bytes(d)) == walked(bytes(d))
+
+
+def test_riff_in_linear_time():
+    """Headers hidden in each other's chunks: 640 KB, whose single walks would take minutes."""
+    import time
+
+    unit = b"RIFF\x20\x7f\x7f\0WAVEJUNK\x0c\0\0\0"
+    d = unit * 20_000
+    began = time.perf_counter()
+    media.find_media(d)
+    assert time.perf_counter() - began < 10
+
+
+def test_declared_types_are_corrected(spark):
+    texts = ["", "a", "ab", "abc", "text with " + "words " * 40]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in media.described(media.sniff(media.stored_texts(df))).collect()}
+    assert {i: r["corrected"] for i, r in rows.items()} == {i: len(t) % 3 != 0 for i, t in enumerate(texts)} and all(r["n_embedded"] == 0 for r in rows.values())
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    import corpus_pipeline
+
+    line = " ".join(f"word{i}" for i in range(40))
+    rows = [(0, line + "\nfirst part of it"), (1, line + "\nand something else entirely here"), (2, line + "\nfirst part of it"), (None, line), (3, None)]
+    names = ("__id", "__cut", "__digest", "__gone", "id", "cut", "digest", "gone", "row", "class_key")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in names})
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.substring_dedup):
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(r[c] == c + ("-" if r["doc_id"] is None else str(r["doc_id"])) for r in got for c in names)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()} == {0, None, 3}
