@@ -29,18 +29,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of smallest id; rows without an id or words stay, and rows of one id and text are one document."""
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("__digest"))
-    joined = stored(jaccard.join(texts, carry=["__digest"]).where("class_key is not null").select("class_key", F.struct("doc_id", "__digest").alias("row")), "near-duplicates")
+    # Under other names, so that no column can clash with what is added.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    joined = stored(jaccard.join(texts, carry=["digest"]).where("class_key is not null").select("class_key", F.struct("doc_id", "digest").alias("row")), "near-duplicates")
     # Written, so that the join below has a shuffle on both sides, whose hot classes Spark can split.
     first = stored(joined.groupBy("class_key").agg(F.min("row").alias("first")), "first-rows")
-    gone = joined.join(first, "class_key").where("row <> first").select(F.col("row.doc_id").alias("__id"), F.col("row.__digest").alias("__gone")).distinct()
-    rows = docs.withColumn("__digest", F.xxhash64("text"))
-    kept = rows.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
-    again = stored(joined.groupBy("row").count().where("count > 1").select(F.col("row.doc_id").alias("__id"), F.col("row.__digest").alias("__gone")), "repeated-rows")
+    gone = joined.join(first, "class_key").where("row <> first").select(F.col("row.doc_id").alias("id"), F.col("row.digest").alias("gone")).distinct()
+    rows = docs.toDF(*names).withColumn("digest", F.xxhash64(text))
+    same = (F.col(key) == F.col("id")) & (F.col("digest") == F.col("gone"))
+    kept = rows.join(gone, same, "left_anti")
+    again = stored(joined.groupBy("row").count().where("count > 1").select(F.col("row.doc_id").alias("id"), F.col("row.digest").alias("gone")), "repeated-rows")
     if not again.isEmpty():
-        same = (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__gone"))
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__digest"]))
-    return kept.drop("__digest")
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([key, "digest"]))
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
