@@ -67,8 +67,13 @@ def rephrasings(answer: Column, n: int = 3) -> Column:
     return F.slice(F.transform(lines, lambda x: F.regexp_replace(x, r"^\d+[.):]?\s*(?=.)", "")), 1, n)
 
 
+def as_it_is(query: Column) -> Column:
+    """No model: the question itself."""
+    return query
+
+
 #: Task name to function; programs put their own models here.
-TASKS: dict[str, Callable[..., Column]] = {"embed": hashed_embedding, "grade": overlap_grade, "classify": question_class, "summarize": first_sentences, "hyde": lambda query: query, "rephrase": lambda query: query, "enrich": first_sentences}
+TASKS: dict[str, Callable[..., Column]] = {"embed": hashed_embedding, "grade": overlap_grade, "classify": question_class, "summarize": first_sentences, "hyde": as_it_is, "rephrase": as_it_is, "enrich": first_sentences}
 
 
 def run(task: str, *columns: Column) -> Column:

@@ -151,7 +151,7 @@ def tree(chunks: DataFrame) -> DataFrame:
 
 def retrieve(nodes: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, doc_id, level, id, score): the k nearest nodes of each query's document (query, doc_id, vector); an unsure one is replaced by its children, which keep its score."""
-    near = nodes.join(F.broadcast(queries.select("query", "doc_id", F.col("vector").alias("qv"))), "doc_id")
+    near = nodes.join(queries.select("query", "doc_id", F.col("vector").alias("qv")), "doc_id")
     best = top(near.select("query", "doc_id", "level", "id", "confidence", "child_ids", F.round(vectors.dot(F.col("vector"), F.col("qv")), 6).alias("score")), k)
     sure = best.where(F.col("confidence") >= UNSURE).select("query", "doc_id", "level", "id", "score")
     children = best.where(F.col("confidence") < UNSURE).select("query", "doc_id", (F.col("level") - 1).alias("level"), F.explode("child_ids").alias("id"), "score")

@@ -23,6 +23,8 @@ from sparkloom.sources.tables import written
 K1, B, RRF_K, CELLS, PROBES, LEAST_FOR_CELLS, ROUNDS = 1.2, 0.75, 60, 32, 4, 128, 20
 #: Queries that are broadcast at a time.
 QUERY_BLOCK = 4096
+#: Scores of queries and rows that are held at a time.
+SCORES = 4_000_000
 
 
 def top(ranked: DataFrame, k: int, *, by: str = "query", score: str = "score", ident: str = "id") -> DataFrame:
@@ -48,12 +50,26 @@ def postings(docs: DataFrame, ident: str, text: Column, tokens=words) -> DataFra
     return listed.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of a list column's words: the row and the number of each, and the words by number."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    coded = column.flatten().dictionary_encode()
+    return np.repeat(np.arange(len(sizes)), sizes), coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
 def term_counts(docs: DataFrame, text: Column, tokens=words) -> DataFrame:
-    """(term, df, cf): documents and occurrences of each term; one shuffle, of partial sums by term."""
-    w = docs.select(tokens(F.coalesce(text, F.lit(""))).alias("w"))
-    once = w.select(F.explode(F.array_distinct("w")).alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf"))
-    each = w.select(F.explode("w").alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf"))
-    return once.unionByName(each).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    """(term, df, cf): documents and occurrences of each term. Words are counted where they're read, a row a term and Arrow batch, and then added up."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, code, terms = _coded(batch.column(0))
+            n = max(len(terms), 1)
+            pairs = np.unique(row * n + code)
+            counts = (np.bincount(pairs % n, minlength=len(terms)), np.bincount(code, minlength=len(terms)))
+            yield pa.RecordBatch.from_arrays([terms, *(pa.array(c[: len(terms)].astype(np.int64)) for c in counts)], names=["term", "df", "cf"])
+
+    listed = docs.select(tokens(F.coalesce(text, F.lit(""))).alias("w"))
+    return listed.mapInArrow(run, "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def corpus_size(docs: DataFrame, text: Column, tokens=words) -> DataFrame:
@@ -65,27 +81,44 @@ def corpus_size(docs: DataFrame, text: Column, tokens=words) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, *, ident: str = "doc_id", text: str = "text", tokens=words) -> DataFrame:
     """(query, id, score, rank) for ``queries`` (query, text), terms joined by OR.
 
-    Only the queries' terms leave the scan: documents' words are cut to them before they are counted, so what is shuffled and written grows with the
-    matches, not with the corpus.
+    A document's words are counted where they're read, once for all: only the block's own terms leave the scan, a row a document, so what is shuffled and written grows with
+    the matches, not with the corpus; the number and length of the documents come from the same pass, as a row a batch.
     """
     return in_blocks(queries, lambda block: _bm25(docs, block, k, ident, text, tokens))
 
 
 def _bm25(docs: DataFrame, queries: DataFrame, k: int, ident: str, text: str, tokens) -> DataFrame:
-    wanted = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    vocabulary = F.broadcast(wanted.select("term").distinct())
-    listed = docs.select(F.col(ident).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
-    found = listed.select("id", "dl", F.explode("w").alias("term")).join(vocabulary, "term").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return scored(written(found, "matches"), corpus_size(docs, F.col(text), tokens), wanted, k)
+    wanted = written(queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "wanted")
+    known = docs.sparkSession.sparkContext.broadcast([r["term"] for r in wanted.select("term").distinct().collect()])  # a block's words
+    listed = docs.select(F.col(ident).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    kind = to_arrow_type(listed.schema["id"].dataType)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(known.value, pa.string())
+        for batch in batches:
+            row, code, terms = _coded(batch.column(1))
+            lengths = np.bincount(row, minlength=batch.num_rows)
+            ours = pc.is_in(terms, value_set=vocabulary).to_numpy(zero_copy_only=False)
+            keep = ours[code] if len(code) else np.zeros(0, bool)
+            n = max(len(terms), 1)
+            pairs, tf = np.unique(row[keep] * n + code[keep], return_counts=True)
+            at = pairs // n
+            found = [terms.take(pa.array(pairs % n)), batch.column(0).take(pa.array(at)), pa.array(tf.astype(np.int64)), pa.array(lengths[at].astype(np.int64))]
+            whole = [pa.array([None], pa.string()), pa.array([None], kind), pa.array([int((lengths > 0).sum())]), pa.array([len(row)])]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, b.cast(a.type)]) for a, b in zip(found, whole, strict=True)], names=["term", "id", "tf", "dl"])
+
+    counted = written(listed.mapInArrow(run, f"term string, id {dict(listed.dtypes)['id']}, tf long, dl long"), "matches")
+    size = counted.where("term is null").agg(F.sum("tf").alias("n_docs"), (F.sum("dl") / F.sum("tf")).alias("avg_dl"))
+    return scored(counted.where("term is not null"), size, wanted, k)
 
 
 def scored(found: DataFrame, size: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """The k best (query, id, score, rank) of the postings ``found`` (term, id, tf, dl) for ``wanted`` (query, term); ``size`` is one row: n_docs, avg_dl."""
     n = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = found.join(F.broadcast(n), "term").crossJoin(F.broadcast(size))
+    weighed = found.join(n, "term").crossJoin(F.broadcast(size))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    best = weighed.withColumn("part", part).join(F.broadcast(wanted), "term").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    best = weighed.withColumn("part", part).join(wanted, "term").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top(best, k)
 
 
@@ -114,22 +147,31 @@ def _scores(rows: DataFrame, queries: DataFrame, k: int, kind: str) -> DataFrame
             place = np.empty(len(ids), np.int64)
             place[ranks] = np.arange(len(ids))  # by which ties are put in order
             for size, names, matrix in shared.value:
-                own = np.flatnonzero((sizes == size) & (size > 0))
-                values = listed.take(pa.array(own)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(own), size)
-                found = np.zeros((len(names), len(ids)))
-                found[:, own] = (matrix @ values.T) * scale[own]
-                if kind == "cosine":
-                    norms = np.sqrt((matrix**2).sum(axis=1))[:, None] * np.sqrt((values**2).sum(axis=1))[None, :]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        found[:, own] = np.where(norms >= vectors.LEAST, found[:, own] / norms, 0.0)
-                found = np.round(found, 6) + 0.0
-                for name, row in zip(names, found, strict=True):
-                    best = np.arange(len(row))
-                    if len(row) > k:
-                        least = np.partition(row, len(row) - k)[len(row) - k]
-                        best = np.flatnonzero(row >= least)
-                    best = best[np.lexsort((place[best], -row[best]))][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), name_kind), ids.take(pa.array(best)), pa.array(row[best])], names=["query", "id", "score"])
+                norms_q = np.sqrt((matrix**2).sum(axis=1))[:, None]
+                step, best = max(k, SCORES // max(len(names), 1)), [(np.zeros(0, np.int64), np.zeros(0))] * len(names)
+                for at in range(0, len(ids), step):  # so that no matrix of scores grows with the batch
+                    part = np.arange(at, min(len(ids), at + step))
+                    own = part[(sizes[part] == size) & (size > 0)]
+                    values = listed.take(pa.array(own)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(own), size)
+                    found = np.zeros((len(names), len(part)))
+                    found[:, own - at] = (matrix @ values.T) * scale[own]
+                    if kind == "cosine":
+                        norms = norms_q * np.sqrt((values**2).sum(axis=1))[None, :]
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            found[:, own - at] = np.where(norms >= vectors.LEAST, found[:, own - at] / norms, 0.0)
+                    np.round(found, 6, out=found)
+                    found += 0.0
+                    for q, row in enumerate(found):
+                        places, scores = np.concatenate([best[q][0], part]), np.concatenate([best[q][1], row])
+                        if len(scores) > k:
+                            top_k = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+                            places, scores = places[top_k], scores[top_k]
+                        order = np.lexsort((place[places], -scores))[:k]
+                        best[q] = places[order], scores[order]
+                counts = [len(p) for p, _ in best]
+                if sum(counts):
+                    asked_by = pa.array(names, name_kind).take(pa.array(np.repeat(np.arange(len(names)), counts)))
+                    yield pa.RecordBatch.from_arrays([asked_by, ids.take(pa.array(np.concatenate([p for p, _ in best]))), pa.array(np.concatenate([x for _, x in best]))], names=["query", "id", "score"])
 
     return rows.select("id", "v", "scale").mapInArrow(run, kinds)
 
@@ -258,7 +300,7 @@ def _search_cells(members: DataFrame, centroids: DataFrame, queries: DataFrame,
     rough = top(in_cells(small, wanted, most), most)
     if not rescored:
         return rough
-    full = members.select("id", F.col("vector").alias("v")).join(F.broadcast(rough.select("query", "id")), "id").join(F.broadcast(queries.select("query", "vector")), "query")
+    full = members.select("id", F.col("vector").alias("v")).join(rough.select("query", "id"), "id").join(queries.select("query", "vector"), "query")
     return top(full.select("query", "id", F.round(vectors.dot(F.col("v"), F.col("vector")), 6).alias("score")), k)
 
 
@@ -285,13 +327,65 @@ def grade(score: Column) -> Column:
     return F.when(score.isNull(), 3).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), F.ceil(score * 5)))).cast("int")
 
 
+def best_overlaps(docs: DataFrame, queries: DataFrame, k: int, *, ident: str = "doc_id", text: str = "text", tokens=words) -> DataFrame:
+    """(query, id, score): for each of ``queries`` (query, text) the k documents that have the largest share of its distinct words, ties by id; all, if fewer.
+
+    Questions lie next to each Arrow batch, by their words; a batch gives its k best a question, so no pair is a row before it's among these.
+    """
+    return in_blocks(queries, lambda block: _best_overlaps(docs, block, k, ident, text, tokens))
+
+
+def _best_overlaps(docs: DataFrame, queries: DataFrame, k: int, ident: str, text: str, tokens) -> DataFrame:
+    asked = [(r["query"], r["w"]) for r in queries.select("query", F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("w")).collect()]  # a block
+    names, sizes = [q for q, _ in asked], np.array([max(len(w), 1) for _, w in asked], float)
+    by_word: dict[str, list[int]] = {}
+    for i, (_, own) in enumerate(asked):
+        for w in own:
+            by_word.setdefault(w, []).append(i)
+    shared = docs.sparkSession.sparkContext.broadcast((names, sizes, by_word))
+    listed = docs.select(F.col(ident).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    name_kind = to_arrow_type(queries.schema["query"].dataType)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sizes, by_word = shared.value
+        for batch in batches:
+            ids, n = batch.column(0), batch.num_rows
+            row, code, terms = _coded(batch.column(1))
+            pairs = np.unique(row * max(len(terms), 1) + code)
+            asks = [by_word.get(t, ()) for t in terms.to_pylist()]
+            counts = np.array([len(a) for a in asks], np.int64)
+            of = pairs % max(len(terms), 1)
+            hits = np.repeat(pairs // max(len(terms), 1), counts[of]) if len(pairs) else np.zeros(0, np.int64)
+            flat = np.array([i for a in asks for i in a], np.int64)
+            starts = np.cumsum(counts) - counts
+            which = flat[np.repeat(starts[of], counts[of]) + np.arange(len(hits)) - np.repeat(np.cumsum(counts[of]) - counts[of], counts[of])] if len(hits) else hits
+            both, common = np.unique(which * n + hits, return_counts=True)
+            order = np.empty(n, np.int64)
+            order[pc.sort_indices(ids).to_numpy()] = np.arange(n)
+            first = np.argsort(order)[: 2 * k]  # of those that share nothing, the first by id are enough
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            edges = np.searchsorted(both, np.arange(len(names) + 1) * n)
+            for q, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                docs_of = both[a:b] - q * n
+                rest = first[~np.isin(first, docs_of)]
+                places = np.concatenate([docs_of, rest])
+                scores = np.round(np.concatenate([common[a:b] / sizes[q], np.zeros(len(rest))]), 6)
+                best = np.lexsort((order[places], -scores))[:k]
+                out.append((places[best], scores[best]))
+            lengths = [len(p) for p, _ in out]
+            if sum(lengths):
+                yield pa.RecordBatch.from_arrays([pa.array(names, name_kind).take(pa.array(np.repeat(np.arange(len(names)), lengths))), ids.take(pa.array(np.concatenate([p for p, _ in out]))), pa.array(np.concatenate([x for _, x in out]))], names=["query", "id", "score"])
+
+    found = listed.mapInArrow(run, f"query {dict(queries.dtypes)['query']}, id {dict(listed.dtypes)['id']}, score double")
+    return top(found, k).select("query", "id", "score")
+
+
 def graded(candidates: DataFrame, k: int) -> DataFrame:
     """(query, id, grade, score) cut to k: of grade 3 or better, else of grade 2, else whatever there is."""
-    best = F.max("grade").over(Window.partitionBy("query"))
-    floor = F.when(best >= 3, 3).when(best >= 2, 2).otherwise(0)
-    passing = candidates.withColumn("floor", floor).where("grade >= floor").drop("floor")
     order = Window.partitionBy("query").orderBy(F.desc("grade"), F.desc("score"), "id")
-    return passing.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)  # Spark cuts each partition to k before the shuffle
+    best = F.max("grade").over(Window.partitionBy("query"))
+    return first.withColumn("floor", F.when(best >= 3, 3).when(best >= 2, 2).otherwise(0)).where("grade >= floor").drop("floor")
 
 
 def neighbours(selected: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -126,6 +126,14 @@ def cluster_texts(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("lang", "cluster").agg(F.count("*").alias("n"), F.md5(joined_texts(most=None)).alias("text_md5"))
 
 
+def cluster_texts_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, cut at 4,000 bytes as a summary's prompt is."""
+    from sparkloom.operators.raptor import joined_texts
+
+    d = table(spark, sf, "documents").select("lang", F.floor(F.col("doc_id") / 16).alias("cluster"), F.col("doc_id").alias("id"), "text")
+    return d.groupBy("lang", "cluster").agg(F.count("*").alias("n"), F.md5(joined_texts()).alias("text_md5"))
+
+
 def mind_map(spark: SparkSession, sf: str) -> DataFrame:
     """Nations under regions as graphs, flattened with their layout."""
     n = table(spark, sf, "nation")
@@ -137,7 +145,7 @@ def size_classes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").groupBy(sizing.params_of(F.lit("plain"), F.col("p_size").cast("double")).alias("params")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (model_discovery, status_rollup, least_loaded, idle_reaper, route_candidates, task_classes, alternatives, app_process, cold_starts, table_regions, softmax_labels, band_zscores, result_page, human_sizes, params_merge, eta, throughput, cluster_texts, mind_map, size_classes)}
+QUERIES = {f.__name__: f for f in (model_discovery, status_rollup, least_loaded, idle_reaper, route_candidates, task_classes, alternatives, app_process, cold_starts, table_regions, softmax_labels, band_zscores, result_page, human_sizes, params_merge, eta, throughput, cluster_texts, cluster_texts_cut, mind_map, size_classes)}
 
 _FILES = "(SELECT p_partkey // 7 AS f, CASE WHEN p_partkey % 5 = 0 THEN 'mmproj-' ELSE 'm-' END || p_partkey || '.GGUF' AS file, p_partkey % 5 = 0 AS proj, p_size AS size FROM part WHERE p_partkey % 11 <> 0)"
 _INSTANCES = "(SELECT o_custkey % 500 AS model_id, o_orderkey AS instance_id, CASE WHEN o_orderstatus = 'F' THEN 'ready' WHEN o_orderkey % 50 = 0 THEN 'error' ELSE 'busy' END AS state, o_orderkey % 9 AS requests, o_orderkey % 2 = 0 AS ephemeral, CAST(o_orderkey % 1000 AS DOUBLE) AS last_used FROM orders)"
@@ -163,6 +171,7 @@ SQL = {
     "throughput": "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start_s, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) / 3600 AS a_second FROM events GROUP BY 1",
     "human_sizes": "SELECT p_partkey, CASE WHEN n < 1024 THEN format('{:,.1f} B', n) WHEN n < 1048576 THEN format('{:,.1f} KB', n / 1024) WHEN n < 1073741824 THEN format('{:,.1f} MB', n / 1048576) ELSE format('{:,.1f} GB', n / 1073741824) END AS size FROM (SELECT p_partkey, CAST(p_partkey * p_partkey * 97 AS DOUBLE) AS n FROM part)",
     "cluster_texts": "SELECT lang, doc_id // 16 AS cluster, count(*) AS n, md5(string_agg('Document ' || i || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY lang, doc_id // 16 ORDER BY doc_id) AS i FROM documents) GROUP BY lang, doc_id // 16",
+    "cluster_texts_cut": "WITH c AS (SELECT lang, doc_id // 16 AS cluster, count(*) AS n, string_agg('Document ' || i || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM (SELECT *, row_number() OVER (PARTITION BY lang, doc_id // 16 ORDER BY doc_id) AS i FROM documents) GROUP BY ALL) SELECT lang, cluster, n, md5(CASE WHEN strlen(t) <= 4000 THEN t ELSE left(t, list_max(list_filter(range(1000, 4001), lambda k: strlen(left(t, k)) <= 4000))) || chr(10) || '[truncated...]' END) AS text_md5 FROM c",
     "mind_map": "SELECT n_regionkey AS graph_id, CAST(n_nationkey + 1 AS BIGINT) AS node_id, 1 AS depth, p AS path, 260 AS x, CAST((row_number() OVER (PARTITION BY n_regionkey ORDER BY p) - 1) * 92 AS INTEGER) AS y FROM (SELECT *, '0.' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS p FROM nation) UNION ALL SELECT r_regionkey, 0, 0, '0', 0, 0 FROM region",
     "size_classes": "SELECT CASE WHEN g < 4 THEN '1B' WHEN g < 9.5 THEN '3B' WHEN g < 19.5 THEN '7B' WHEN g < 43 THEN '13B' WHEN g < 100 THEN '30B' ELSE '70B' END AS params, count(*) AS n FROM (SELECT p_size / 0.5::DOUBLE AS g FROM part) GROUP BY 1",
 }

@@ -43,8 +43,8 @@ def markdown_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines as pages."""
-    paged = _docs(spark, sf).where(F.col("text").contains("\n")).withColumn("text", F.translate("text", "\n", "\f"))
+    """Lines as pages; a text of one line has no form feed then, and is a paragraph."""
+    paged = _docs(spark, sf).withColumn("text", F.translate("text", "\n", "\f"))
     return documents.pages_of(paged).select("doc_id", "section", text.page_label(F.col("metadata")).alias("label"), F.length("text").alias("n_chars"))
 
 
@@ -119,13 +119,29 @@ _META = "list_extract(['page:', 'slide:', 'paragraph:', 'section:'], CAST(doc_id
 _LINE = "SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
 _TRIM = r"regexp_replace({}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')"
 
+_PIECES = [("p1", "p0", "chr(10) || chr(10)"), ("p2", "p1", "chr(10)"), ("p3", "p2", "'. '"), ("p4", "p3", "' '")]
+_SPLITS = ",\n".join(f"""{to} AS (SELECT doc_id, list_append(path, i) AS path, CASE WHEN i < n THEN part || {by} ELSE part END AS t FROM (SELECT doc_id, path, unnest(l) AS part, unnest(range(1, len(l) + 1)) AS i, len(l) AS n
+    FROM (SELECT doc_id, path, CASE WHEN strlen(t) > 1536 THEN string_split(t, {by}) ELSE [t] END AS l FROM {frm})))""" for to, frm, by in _PIECES)
+_BLANK = r"regexp_full_match({}, '[\s\pZ]*')"
+
 SQL = {
+    "chunk_documents": f"""WITH RECURSIVE p0 AS (SELECT doc_id, CAST([] AS BIGINT[]) AS path, coalesce(text, '') AS t FROM documents),
+{_SPLITS},
+p AS (SELECT doc_id, t, strlen(t) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS i FROM p4),
+w(doc_id, i, now, made) AS (
+    SELECT doc_id, CAST(0 AS BIGINT), '', CAST(NULL AS VARCHAR) FROM p0
+    UNION ALL
+    SELECT w.doc_id, p.i, CASE WHEN strlen(now) + n <= 1536 THEN now || t ELSE
+        CASE WHEN strlen(now) <= 200 THEN now ELSE right(now, list_max(list_filter(range(0, 201), lambda k: strlen(right(now, k)) <= 200))) END || t END, CASE WHEN strlen(now) + n > 1536 THEN now END
+    FROM w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1),
+c AS (SELECT doc_id, i, made AS t FROM w WHERE made IS NOT NULL UNION ALL SELECT doc_id, w.i + 1, now FROM w WHERE i = (SELECT count(*) FROM p WHERE p.doc_id = w.doc_id))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, CAST(strlen(t) AS INTEGER) AS n_bytes, md5(t) AS text_md5 FROM c WHERE NOT {_BLANK.format("t")}""",
     "byte_truncate": "SELECT doc_id, md5(left(text, a)) AS prefix_md5, md5(right(text, b)) AS suffix_md5 FROM (SELECT doc_id, text, max(k) FILTER (strlen(left(text, k)) <= 301) AS a, max(k) FILTER (strlen(right(text, k)) <= 301) AS b FROM (SELECT doc_id, text, unnest(range(least(length(text), 301) + 1)) AS k FROM documents) GROUP BY doc_id, text)",
     "chunk_totals": "SELECT doc_id, octet_length(encode(text)) <= 1536 OR text IS NULL AS single, octet_length(encode(text)) <= 1536 AS fits FROM documents",
     "line_split": f"SELECT doc_id, CAST(i AS INTEGER) AS line, CAST(length(t) AS INTEGER) AS n_chars FROM ({_LINE})",
     "paragraph_split": f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS section, 'paragraph:' || row_number() OVER (PARTITION BY doc_id ORDER BY i) AS metadata, CAST(length(t) AS INTEGER) AS n_chars FROM (SELECT doc_id, i, {_TRIM.format('t')} AS t FROM ({_LINE})) WHERE t <> ''",
     "markdown_split": f"WITH l AS (SELECT doc_id, i, t, t LIKE 'The %' AS h, sum(CAST(t LIKE 'The %' AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM ({_LINE})), g AS (SELECT doc_id, s, coalesce(max(CASE WHEN h THEN {_TRIM.format('t')} END), 'intro') AS h, {_TRIM.format("coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (NOT h), '')")} AS t FROM l GROUP BY ALL) SELECT doc_id, CAST(s AS INTEGER) AS section, 'section:' || h AS metadata, md5(t) AS text_md5 FROM g WHERE t <> ''",
-    "page_split": f"SELECT doc_id, CAST(i AS INTEGER) AS section, 'Page ' || (i + 1) AS label, CAST(length(t) AS INTEGER) AS n_chars FROM (SELECT doc_id, i, {_TRIM.format('t')} AS t FROM ({_LINE}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE text LIKE '%' || chr(10) || '%')) WHERE t <> ''",
+    "page_split": f"SELECT doc_id, CAST(i AS INTEGER) AS section, CASE WHEN text LIKE '%' || chr(10) || '%' THEN 'Page ' || (i + 1) ELSE 'Paragraph 1' END AS label, CAST(length(t) AS INTEGER) AS n_chars FROM (SELECT doc_id, i, {_TRIM.format('t')} AS t FROM ({_LINE})) JOIN documents USING (doc_id) WHERE t <> ''",
     "pdf_text_normalize": "SELECT doc_id, md5(replace(replace(text, ' an', ' - an'), '.', '...')) AS text_md5 FROM documents",
     "page_labels": f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Page ' || doc_id WHEN 1 THEN 'Slide ' || doc_id WHEN 2 THEN 'Paragraph ' || doc_id || ':table:2' ELSE m END AS label, CASE doc_id % 4 WHEN 0 THEN 'Page ' || doc_id WHEN 1 THEN 'Slide ' || doc_id WHEN 2 THEN 'Paragraph ' || doc_id ELSE m END AS short_label FROM (SELECT doc_id, {_META} AS m FROM documents)",
     "caption_prefix": "SELECT doc_id, md5(left(text, 400)) AS caption_md5 FROM documents",

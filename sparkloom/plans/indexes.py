@@ -159,12 +159,12 @@ def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
     embedded = table(spark, sf, "embeddings").join(d.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
 
     def near(questions: DataFrame) -> DataFrame:
-        asked = table(spark, sf, "embeddings").join(F.broadcast(questions.select(F.col("query").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+        asked = table(spark, sf, "embeddings").join(questions.select(F.col("query").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
         return search.nearest(embedded, asked, K).select("query", "id", "rank")
 
     found = answers.answered(retrieval._questions(spark, sf), chunks, [(answers.word_leg(chunks, K), 1.0), (near, 1.0)], K, least_grade=0)
     named = F.transform("sources", lambda s: F.concat_ws(":", s["id"].cast("string"), s["grade"].cast("string"), s["title"]))
-    return found.select("query", "retrieves", F.array_join(named, ";").alias("sources"), F.md5(F.left("context", F.lit(200))).alias("context_md5"))
+    return found.select("query", "retrieves", F.array_join(named, ";").alias("sources"), F.md5("context").alias("context_md5"))
 
 
 def chunks_and_media(spark: SparkSession, sf: str) -> DataFrame:
@@ -267,8 +267,8 @@ h AS (SELECT * FROM k JOIN c USING (term) JOIN i USING (field, term))
 p AS (SELECT f.query, id, source, text, f.score, CASE WHEN len(qw) = 0 THEN 0 ELSE len(list_intersect(list_distinct(qw), {_WORDS})) / len(list_distinct(qw)) END AS s FROM f JOIN documents ON doc_id = id JOIN b ON b.query = f.query),
 g AS (SELECT *, CAST(greatest(1, least(5, ceil(s * 5))) AS INTEGER) AS grade FROM p), m AS (SELECT *, max(grade) OVER (PARTITION BY query) AS best FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, score DESC, id) AS rank FROM m WHERE grade >= CASE WHEN best >= 3 THEN 3 WHEN best >= 2 THEN 2 ELSE 0 END)
-SELECT b.query, NOT regexp_matches(lower(question), '^\\s*(hi|hello|thanks)\\b') AS retrieves, coalesce(string_agg(id || ':' || grade || ':' || coalesce(source, 'Unknown'), ';' ORDER BY rank), '') AS sources,
-    md5(left(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY rank), ''), 200)) AS context_md5 FROM b LEFT JOIN (SELECT * FROM r WHERE rank <= {K}) r ON r.query = b.query GROUP BY b.query, question""",
+SELECT query, NOT regexp_matches(lower(question), '^\\s*(hi|hello|thanks)\\b') AS retrieves, coalesce(named, '') AS sources,
+    md5(CASE WHEN strlen(t) <= 65536 THEN t ELSE left(t, list_max(list_filter(range(16384, 65537), lambda k: strlen(left(t, k)) <= 65536))) END) AS context_md5 FROM (SELECT b.query, question, string_agg(id || ':' || grade || ':' || coalesce(source, 'Unknown'), ';' ORDER BY rank) AS named, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY rank), '') AS t FROM b LEFT JOIN (SELECT * FROM r WHERE rank <= {K}) r ON r.query = b.query GROUP BY b.query, question)""",
     "chunks_and_media": retrieval._top(retrieval._DOT, K, i="CASE WHEN e.vec_id % 2 = 0 THEN 'chunk:' ELSE 'media:' END || e.vec_id"),
     "retried_sources": "SELECT query, id, grade, score FROM (SELECT *, row_number() OVER (PARTITION BY query, id ORDER BY grade DESC, score DESC) AS n FROM (SELECT user_id AS query, event_id % 40 AS id, CAST(event_id % 5 + 1 AS INTEGER) AS grade, value AS score FROM events)) WHERE n = 1",
     "inserted_chunks": "SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY role <> 'user', turn) - 1 AS INTEGER) AS chunk_index, md5(text) AS text_md5 FROM conversations WHERE role IS NOT NULL",

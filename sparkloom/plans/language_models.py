@@ -70,14 +70,10 @@ def query_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 def lexical_grades(spark: SparkSession, sf: str) -> DataFrame:
     """Every hundredth benchmark item against all documents: share of words, grade, cut."""
-    q = table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
+    q = table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query"), "text")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
-    def run(block: DataFrame) -> DataFrame:
-        pairs = d.crossJoin(F.broadcast(block)).select("query", "id", F.round(models.run("grade", F.col("question"), F.col("text")), 6).alias("score"))
-        return search.graded(pairs.withColumn("grade", search.grade(F.col("score"))), 5).select("query", "id", "grade", "score", "rank")
-
-    return search.in_blocks(q, run)
+    return search.graded(search.best_overlaps(d, q, 5, ident="id").withColumn("grade", search.grade(F.col("score"))), 5).select("query", "id", "grade", "score", "rank")
 
 
 def media_retrieval(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +81,7 @@ def media_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     answers = table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query"), "text")
     from sparkloom.operators.conversations import long_enough
 
-    asked = table(spark, sf, "embeddings").join(F.broadcast(answers.where(long_enough(F.col("text"))).select(F.col("query").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    asked = table(spark, sf, "embeddings").join(answers.where(long_enough(F.col("text"))).select(F.col("query").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     return search.nearest(table(spark, sf, "embeddings"), asked, 5).where("score >= 0.5")
 
 

@@ -131,7 +131,7 @@ def rrf_weighted(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items as questions; vector ``item_id`` stands for a question's and vector ``doc_id`` for a document's embedding."""
     questions = _questions(spark, sf)
-    embedded = _vectors(spark, sf).join(F.broadcast(questions.select(F.col("query").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    embedded = _vectors(spark, sf).join(questions.select(F.col("query").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     best = search.hybrid(_docs(spark, sf), questions, _vectors(spark, sf), embedded, K)
     titled = best.join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), "id", "left")
     return titled.select("query", "id", "score", "rank", F.coalesce("source", F.lit("Unknown")).alias("title"))
