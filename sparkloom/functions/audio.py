@@ -1,17 +1,26 @@
-"""Audio features: resampling, pre-emphasis, log-mel spectra, WAV bytes. Signals are array<float> columns; numpy works on them in Arrow batches."""
+"""Audio features: resampling, dither, pre-emphasis, log-mel spectra, WAV bytes. Signals are array<float> columns.
+
+Spectra are made for all signals of an Arrow batch at once: their frames are one matrix, in parts of bounded size, which is windowed, transformed and multiplied by the mel filters; statistics by signal and band
+are sums over its rows.
+"""
 
 from __future__ import annotations
 
 import io
 import wave
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RATE, FFT, WINDOW, HOP, MELS, EMPHASIS, FLOOR = 16_000, 512, 400, 160, 128, 0.97, 5.96e-8
+RATE, FFT, WINDOW, HOP, MELS, EMPHASIS, FLOOR = 16_000, 512, 400, 160, 128, 0.97, 5.960_464_478e-8
+#: Frames that are transformed at a time.
+FRAMES = 4_096
 
 
 def emphasized(x: Column, coefficient: float = EMPHASIS) -> Column:
@@ -44,30 +53,99 @@ def mel_filters(mels: int = MELS, fft: int = FFT, rate: int = RATE) -> np.ndarra
     return np.maximum(0, np.minimum(up, down))
 
 
-def reflected(x: np.ndarray, pad: int) -> np.ndarray:
-    return np.pad(x, pad, mode="reflect") if len(x) > pad else np.pad(x, pad)
+#: Fixed values of the dither: the factor and step of a linear congruential generator, and which of its bits count.
+DITHER_FACTOR, DITHER_STEP, DITHER_SHIFT = 6_364_136_223_846_793_005, 1, 33
+
+
+def dithered(x: np.ndarray, magnitude: float) -> np.ndarray:
+    """``x`` with a little noise, the same at each place in every run."""
+    raw = (np.arange(len(x), dtype=np.uint64) * np.uint64(DITHER_FACTOR) + np.uint64(DITHER_STEP)) >> np.uint64(DITHER_SHIFT)
+    return np.asarray(x, float) + (raw.astype(float) / 0xFFFFFFFF * 2 - 1) * magnitude
+
+
+def _ends(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return offsets[:-1], np.diff(offsets)
+
+
+def spectra(values: np.ndarray, offsets: np.ndarray, *, window: int, hop: int, fft: int, pad: int = 0) -> Iterator[np.ndarray]:
+    """Power spectra (fft / 2 + 1 bins) of the Hann-windowed frames of signals that lie end to end, ``FRAMES`` rows at a time. A signal is mirrored at its ends by ``pad`` samples, or all but one."""
+    starts, sizes = _ends(offsets)
+    pads = np.minimum(pad, np.maximum(sizes - 1, 0))
+    counts = frame_counts(sizes, window, hop, pad)
+    signal = np.repeat(np.arange(len(sizes)), counts)
+    first = (np.arange(len(signal)) - np.repeat(np.cumsum(counts) - counts, counts)) * hop - pads[signal]
+    hann = np.hanning(window)
+    for at in range(0, len(signal), FRAMES):
+        own = signal[at : at + FRAMES]
+        place = np.abs(first[at : at + FRAMES, None] + np.arange(window))
+        last = sizes[own, None] - 1
+        place = np.where(place > last, 2 * last - place, place)
+        yield np.abs(np.fft.rfft(values[starts[own, None] + place] * hann, fft)) ** 2
+
+
+def frame_counts(sizes: np.ndarray, window: int, hop: int, pad: int = 0) -> np.ndarray:
+    """Whole frames of signals of some sizes."""
+    padded = sizes + 2 * np.minimum(pad, np.maximum(sizes - 1, 0))
+    return np.where(padded >= window, (padded - window) // hop + 1, 0)
+
+
+def log_mels(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all signals' frames by mels, where each signal's begin): pre-emphasis, mirrored ends, power spectra through mel triangles, natural log."""
+    starts, sizes = _ends(offsets)
+    plain = np.asarray(values, float)
+    x = plain - EMPHASIS * np.concatenate([[0.0], plain[:-1]])
+    x[starts[sizes > 0]] = plain[starts[sizes > 0]]
+    pad = (FFT - HOP) // 2
+    filters = mel_filters().T
+    parts = [np.log(power @ filters + FLOOR) for power in spectra(x, offsets, window=WINDOW, hop=HOP, fft=FFT, pad=pad)]
+    return np.concatenate([np.zeros((0, MELS)), *parts]), np.concatenate([[0], np.cumsum(frame_counts(sizes, WINDOW, HOP, pad))])
 
 
 def log_mel(x: np.ndarray) -> np.ndarray:
-    """(frames, mels): reflection-padded, Hann-windowed power spectra through mel triangles, natural log."""
-    x = np.asarray(x, float)
-    if not len(x):
-        return np.zeros((0, MELS))
-    x = reflected(np.append(x[:1], x[1:] - EMPHASIS * x[:-1]), (FFT - HOP) // 2)
-    if len(x) < WINDOW:
-        return np.zeros((0, MELS))
-    cut = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP] * np.hanning(WINDOW)
-    return np.log((np.abs(np.fft.rfft(cut, FFT)) ** 2) @ mel_filters().T + FLOOR)
+    """(frames, mels) of one signal."""
+    return log_mels(np.asarray(x, float), np.array([0, len(x)]))[0]
+
+
+def standardized(m: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Each band of each signal (whose frames begin at ``at``) to mean 0 and deviation 1."""
+    at = np.array([0, len(m)]) if at is None else at
+    counts = np.diff(at)
+    if not len(m):
+        return m
+    begin, n = at[:-1][counts > 0], counts[counts > 0][:, None]
+    mean = np.repeat(np.add.reduceat(m, begin, axis=0) / n, n[:, 0], axis=0)
+    deviation = np.sqrt(np.add.reduceat((m - mean) ** 2, begin, axis=0) / n)
+    return (m - mean) / (np.repeat(deviation, n[:, 0], axis=0) + 1e-5)
+
+
+def _signals(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All samples end to end, and the offsets between them; a null has none."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _matrices(m: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists of lists, cut at ``at``."""
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(np.ascontiguousarray(m).reshape(-1)))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), rows)
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def mel_features(signals: pa.Array) -> pa.Array:
+    m, at = log_mels(*_signals(signals))
+    return _matrices(standardized(m, at), at)
 
 
-def standardized(m: np.ndarray) -> np.ndarray:
-    """Each band to mean 0 and deviation 1."""
-    return (m - m.mean(axis=0)) / (m.std(axis=0) + 1e-5) if len(m) else m
+def power_spectra(x: Column, window: int, hop: int, fft: int) -> Column:
+    """Power spectra of a signal's whole Hann-windowed frames, as an array of arrays."""
 
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def of(signals: pa.Array) -> pa.Array:
+        values, offsets = _signals(signals)
+        parts = [np.zeros((0, fft // 2 + 1)), *spectra(values.astype(float), offsets, window=window, hop=hop, fft=fft)]
+        return _matrices(np.concatenate(parts), np.concatenate([[0], np.cumsum(frame_counts(np.diff(offsets), window, hop))]))
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def mel_features(signals: pd.Series) -> pd.Series:
-    return signals.map(lambda x: standardized(log_mel(x if x is not None else [])).tolist())
+    return of(x)
 
 
 def wav_bytes(x: np.ndarray, rate: int = RATE) -> bytes:

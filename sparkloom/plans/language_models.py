@@ -103,7 +103,13 @@ def log_mel_shape(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("vec_id", F.size("m").alias("n_frames"), F.size(F.element_at("m", 1)).alias("n_mels"))
 
 
-QUERIES = {f.__name__: f for f in (raptor_tree, raptor_retrieve, number_words, speech_normalize, speech_chunks, dialogue_lines, requirements_mined, query_gate, lexical_grades, media_retrieval, preemphasis, signal_frames, log_mel_shape)}
+def power_spectrum(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as signals: the power of each frame of 16 samples at each frequency."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(audio.power_spectra(F.col("embedding"), 16, 8, 16)).alias("frame", "p"))
+    return e.select("vec_id", "frame", F.posexplode("p").alias("bin", "power")).select("vec_id", "frame", "bin", F.round("power", 6).alias("power"))
+
+
+QUERIES = {f.__name__: f for f in (raptor_tree, raptor_retrieve, number_words, speech_normalize, speech_chunks, dialogue_lines, requirements_mined, query_gate, lexical_grades, media_retrieval, preemphasis, signal_frames, power_spectrum, log_mel_shape)}
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
@@ -117,4 +123,7 @@ SELECT query, id, grade, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
     "media_retrieval": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query, e.vec_id AS id, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 100 = 0))) WHERE rank <= 5 AND score >= 0.5",
     "preemphasis": "SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(CAST(embedding[i] AS DOUBLE) - 0.97::DOUBLE * CASE WHEN i = 1 THEN 0 ELSE CAST(embedding[i - 1] AS DOUBLE) END, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",
     "signal_frames": "SELECT vec_id, CAST(i AS INTEGER) AS i, round(list_sum(list_transform(embedding[i * 8 + 1:i * 8 + 16], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS energy FROM (SELECT vec_id, embedding, unnest(range((len(embedding) - 16) // 8 + 1)) AS i FROM embeddings)",
+    "power_spectrum": """WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x, len(embedding) AS n FROM embeddings),
+f AS (SELECT vec_id, frame, i - 8 * frame AS j, x * 0.5 * (1 - cos(2 * pi() * (i - 8 * frame) / 15)) AS x FROM x, range(0, 1000) r(frame) WHERE i BETWEEN 8 * frame AND 8 * frame + 15 AND 8 * frame + 16 <= n)
+SELECT vec_id, CAST(frame AS INTEGER) AS frame, CAST(bin AS INTEGER) AS bin, round(sum(x * cos(2 * pi() * bin * j / 16)) ** 2 + sum(x * sin(2 * pi() * bin * j / 16)) ** 2, 6) AS power FROM f, range(0, 9) b(bin) GROUP BY ALL""",
 }

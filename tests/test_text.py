@@ -192,3 +192,35 @@ def test_written_results(spark, tmp_path):
     runs.written_results(spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 3, 1.0)], "g string, n int, ts double"), str(tmp_path), by=["g"], metric="ts", order=["n"])
     assert spark.read.option("header", True).csv(f"{tmp_path}/all").count() == 3 and {(r["g"], r["n"]) for r in spark.read.option("header", True).csv(f"{tmp_path}/best").collect()} == {("a", "2"), ("b", "3")}
     assert {(r["g"], r["runs"], r["mean"]) for r in spark.read.json(f"{tmp_path}/summary").collect()} == {("a", 2, 3.0), ("b", 1, 1.0)}
+
+
+def test_spectra_of_many_signals(spark, monkeypatch):
+    """All signals of a batch at once, in parts, against one at a time by plain steps."""
+    monkeypatch.setattr(audio, "FRAMES", 7)
+    r = np.random.default_rng(2)
+    signals = [r.normal(0, 1, n) for n in (0, 1, 5, 100, 224, 399, 400, 1000, 0, 3000)]
+    values, offsets = np.concatenate(signals), np.concatenate([[0], np.cumsum([len(x) for x in signals])])
+    m, at = audio.log_mels(values, offsets)
+    z = audio.standardized(m, at)
+    for k, x in enumerate(signals):
+        want = np.zeros((0, audio.MELS))
+        if len(x):
+            e = np.append(x[:1], x[1:] - audio.EMPHASIS * x[:-1])
+            pad = min((audio.FFT - audio.HOP) // 2, len(x) - 1)
+            e = np.pad(e, pad, mode="reflect")
+            cut = [e[i : i + audio.WINDOW] * np.hanning(audio.WINDOW) for i in range(0, len(e) - audio.WINDOW + 1, audio.HOP)]
+            if cut:
+                want = np.log(np.abs(np.fft.rfft(np.array(cut), audio.FFT)) ** 2 @ audio.mel_filters().T + audio.FLOOR)
+        np.testing.assert_allclose(m[at[k] : at[k + 1]], want, atol=1e-9)
+        if len(want):
+            np.testing.assert_allclose(z[at[k] : at[k + 1]], (want - want.mean(axis=0)) / (want.std(axis=0) + 1e-5), atol=1e-9)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(signals)] + [(99, None)], "k int, x array<double>").coalesce(1)
+    got = {row["k"]: row["m"] for row in df.select("k", audio.mel_features(F.col("x")).alias("m")).collect()}
+    assert got[99] == [] == got[0] and all(np.allclose(np.array(got[k]).reshape(-1, audio.MELS), z[at[k] : at[k + 1]]) for k in range(len(signals)))
+
+
+def test_dither():
+    noise = audio.dithered(np.zeros(3), 1.0)
+    want = [((i * audio.DITHER_FACTOR + 1) % 2**64 >> 33) / (2**32 - 1) * 2 - 1 for i in range(3)]
+    np.testing.assert_allclose(noise, want)
+    assert (audio.dithered(np.ones(2), 0.0) == 1).all()
