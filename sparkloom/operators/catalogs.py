@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tasks that run in the background, and those whose worker ends with them.
@@ -94,7 +94,8 @@ def table_boxes(shapes: DataFrame, *, gap: float = 100.0) -> DataFrame:
     """(page, box, x1, y1, x2, y2): where runs of three and more horizontal rules of a page (four at least) stand; shapes: page, x1, y1, x2, y2."""
     from sparkloom.operators.runs import gap_groups
 
-    rules = shapes.where("x2 - x1 > 50 and y2 - y1 < 3").withColumn("n", F.count("*").over(Window.partitionBy("page"))).where("n >= 4")
+    flat = shapes.where("x2 - x1 > 50 and y2 - y1 < 3")
+    rules = flat.join(flat.groupBy("page").count().where("count >= 4").select("page"), "page")
     by = gap_groups(rules, by="page", at="y1", gap=gap).groupBy("page", F.col("run").alias("box"))
     return by.agg(F.count("*").alias("n"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")).where("n >= 3").drop("n")
 

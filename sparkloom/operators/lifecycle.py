@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ordered import with_row_number
+
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``new`` rows over ``old`` ones of the same key; one row a key."""
@@ -55,6 +57,11 @@ def merged_catalogs(builtin: DataFrame, custom: DataFrame, key: str) -> DataFram
     return builtin.unionByName(custom.join(builtin.select(key), key, "left_anti"))
 
 
+def removed(builtin: DataFrame, custom: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """(the custom rows that stay): those of some keys go; built-in rows can't be removed, and keys that aren't there are passed over."""
+    return custom.join(gone.select(key).join(builtin.select(key), key, "left_anti"), key, "left_anti")
+
+
 def changes(found: DataFrame, known: DataFrame, key: str, value: str) -> DataFrame:
     """(key, action): what to insert, update or delete so that ``known`` becomes ``found``."""
     both = found.select(key, F.col(value).alias("__new")).withColumn("__found", F.lit(True)).join(known.select(key, F.col(value).alias("__old")).withColumn("__known", F.lit(True)), key, "full")
@@ -84,8 +91,8 @@ def matched_by_path(refs: DataFrame, models: DataFrame) -> DataFrame:
 def inserted_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` chunks (doc_id, position, text) after a document's old ones (doc_id, chunk_index, text): keys are (doc_id, chunk_index), numbered on by position, the same in every run."""
     last = old.groupBy("doc_id").agg((F.max("chunk_index") + 1).alias("from"))
-    order = Window.partitionBy("doc_id").orderBy("position")
-    keyed = new.join(last, "doc_id", "left").select("doc_id", (F.row_number().over(order) - 1 + F.coalesce("from", F.lit(0))).cast("int").alias("chunk_index"), "text")
+    placed = with_row_number(new, ["doc_id"], ["position"], "place")
+    keyed = placed.join(last, "doc_id", "left").select("doc_id", (F.col("place") - 1 + F.coalesce("from", F.lit(0))).cast("int").alias("chunk_index"), "text")
     return old.select("doc_id", "chunk_index", "text").unionByName(keyed)
 
 

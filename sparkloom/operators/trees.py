@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.ordered import with_row_number
@@ -11,8 +11,8 @@ from sparkloom.sources.tables import written
 
 def flattened(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
     """(graph_id, node_id, parent_id, depth, path): path "0.i.j" by the order of siblings' ids; nodes that no root reaches are left out."""
-    order = Window.partitionBy("graph_id", "parent_id").orderBy("node_id")
-    numbered = written(nodes.select("graph_id", "node_id", "parent_id", (F.row_number().over(order) - 1).cast("string").alias("i")), "tree")
+    placed = with_row_number(nodes.select("graph_id", "node_id", "parent_id", F.coalesce("parent_id", F.lit(-(1 << 62))).alias("__under")), ["graph_id", "__under"], ["node_id"], "i")
+    numbered = written(placed.select("graph_id", "node_id", "parent_id", (F.col("i") - 1).cast("string").alias("i")), "tree")
     level = numbered.where("parent_id is null").select("graph_id", "node_id", "parent_id", F.lit(0).alias("depth"), F.col("i").alias("path"))
     out = level
     children = numbered.where("parent_id is not null")

@@ -82,7 +82,8 @@ def metric_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def config_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.grid(spark, threads=[1, 2, 4], n_prompt=[128, 512], n_gen=[32, 128], flash=[0, 1])
+    """Every combination of the flags, statuses and line numbers that the line items have."""
+    return runs.grid(table(spark, sf, "lineitem").withColumn("taxed", F.col("l_tax") > 0), ["l_returnflag", "l_linestatus", "l_linenumber", "taxed"])
 
 
 def gap_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,7 +274,7 @@ SQL = {
     "null_poison_sum": "SELECT user_id, CAST(CASE WHEN count(v) = count(*) THEN sum(v) END AS BIGINT) AS spoiled, CAST(sum(v) AS BIGINT) AS plain FROM (SELECT user_id, CASE WHEN event_id % 97 <> 0 THEN event_id END AS v FROM events) GROUP BY user_id",
     "best_config_per_group": "SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem WHERE l_returnflag = 'R') WHERE r = 1",
     "metric_pivot": "SELECT * FROM (SELECT l_partkey, last(l_extendedprice ORDER BY l_orderkey * 10 + l_linenumber, l_extendedprice) FILTER (CAST(l_quantity AS BIGINT) % 2 = 1) AS pp_ts, last(l_extendedprice ORDER BY l_orderkey * 10 + l_linenumber, l_extendedprice) FILTER (CAST(l_quantity AS BIGINT) % 2 = 0 AND l_quantity >= 1) AS tg_ts FROM lineitem GROUP BY l_partkey) WHERE pp_ts IS NOT NULL AND tg_ts IS NOT NULL",
-    "config_grid": "SELECT * FROM (SELECT unnest([1, 2, 4]) AS threads), (SELECT unnest([128, 512]) AS n_prompt), (SELECT unnest([32, 128]) AS n_gen), (SELECT unnest([0, 1]) AS flash)",
+    "config_grid": "SELECT * FROM (SELECT DISTINCT l_returnflag FROM lineitem), (SELECT DISTINCT l_linestatus FROM lineitem), (SELECT DISTINCT l_linenumber FROM lineitem), (SELECT DISTINCT l_tax > 0 AS taxed FROM lineitem)",
     "gap_sessions": "SELECT user_id, CAST(run AS BIGINT) AS run, count(*) AS n, min(value) AS low, max(value) AS high FROM (SELECT *, sum(CASE WHEN t - before > 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS run FROM (SELECT user_id, epoch(ts) AS t, value, lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY ALL",
     "bench_json": "SELECT CAST(event_id % 64 AS INTEGER) AS n_gen, count(*) AS n, max(value) AS best FROM events WHERE event_id % 3 <> 0 GROUP BY 1",
     "log_parse": "SELECT CASE event_id % 4 WHEN 0 THEN 'model_spawn' WHEN 1 THEN 'model_ready' ELSE 'model_start_ready' END AS kind, 'm' || (user_id % 7) AS subject, count(*) AS n, CAST(sum(CASE WHEN event_id % 4 = 2 THEN event_id % 100 END) AS BIGINT) AS elapsed_ms FROM events WHERE event_id % 4 <> 3 GROUP BY ALL",

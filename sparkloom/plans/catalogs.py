@@ -43,8 +43,10 @@ def route_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def task_classes(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = spark.createDataFrame([(t,) for t in ("chat", "embed", "grade", "hyde", "tts", "mine", "enrich", "classify")], "task string")
-    return tasks.select("task", catalogs.task_priority(F.col("task")).alias("priority"), catalogs.is_ephemeral(F.col("task")).alias("ephemeral"))
+    """Events as requests of tasks: how many there are, by priority, and which are not kept."""
+    named = F.element_at(F.array(*[F.lit(t) for t in ("chat", "embed", "grade", "hyde", "tts", "mine", "enrich", "classify")]), (F.col("event_id") % 8 + 1).cast("int"))
+    tasks = table(spark, sf, "events").select(named.alias("task"))
+    return tasks.groupBy("task", catalogs.task_priority(F.col("task")).alias("priority"), catalogs.is_ephemeral(F.col("task")).alias("ephemeral")).agg(F.count("*").alias("n"))
 
 
 def alternatives(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +160,7 @@ SQL = {
     "least_loaded": f"SELECT model_id, first(instance_id ORDER BY requests, instance_id) AS instance_id FROM {_INSTANCES} GROUP BY model_id",
     "idle_reaper": f"SELECT instance_id, state FROM {_INSTANCES} WHERE state = 'error' OR (ephemeral AND requests = 0 AND 1000 - last_used >= 300)",
     "route_candidates": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '99' ELSE n_nationkey || ',' || (n_nationkey + 1) || ',' || (n_nationkey + 2) END AS ids FROM nation",
-    "task_classes": "SELECT task, CASE WHEN task IN ('embed', 'classify', 'enrich', 'grade', 'hyde') THEN 'low' ELSE 'high' END AS priority, task IN ('enrich', 'grade', 'hyde') AS ephemeral FROM (SELECT unnest(['chat', 'embed', 'grade', 'hyde', 'tts', 'mine', 'enrich', 'classify']) AS task)",
+    "task_classes": "SELECT task, CASE WHEN task IN ('embed', 'classify', 'enrich', 'grade', 'hyde') THEN 'low' ELSE 'high' END AS priority, task IN ('enrich', 'grade', 'hyde') AS ephemeral, count(*) AS n FROM (SELECT list_extract(['chat', 'embed', 'grade', 'hyde', 'tts', 'mine', 'enrich', 'classify'], CAST(event_id % 8 + 1 AS INTEGER)) AS task FROM events) GROUP BY ALL",
     "alternatives": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CASE WHEN r >= 16 THEN '13B Q4' ELSE '7B Q4' END WHEN 1 THEN CASE WHEN r >= 12 THEN '13B Q4' ELSE '7B Q4' END WHEN 2 THEN CASE WHEN h THEN '13B Q4' WHEN r < 12 THEN '7B Q4' END WHEN 3 THEN CASE WHEN h THEN '7B Q4' WHEN r < 8 THEN '3B Q4' END END AS suggestion FROM (SELECT p_partkey, p_size % 24 AS r, (p_partkey // 5) % 3 > 0 AS h FROM part)",
     "app_process": f"SELECT s_nationkey, s_suppkey AS pid, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY score DESC, s_suppkey) AS r FROM (SELECT s_nationkey, s_suppkey, {_SCORE} AS score FROM supplier)) WHERE r = 1 AND score >= 80",
     "cold_starts": "SELECT event_id, round(CASE WHEN event_id % 3 <> 0 THEN greatest(0, (user_id - 50) / 1000.0::DOUBLE) WHEN event_id % 7 <> 0 THEN 2.5::DOUBLE END, 3) AS seconds FROM events",

@@ -31,7 +31,10 @@ def raptor_retrieve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def number_words(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(-200, 12_000, 7).select(F.col("id").alias("n"), speech.in_words("id").alias("words"))
+    """Keys and balances of all customers as whole numbers."""
+    c = table(spark, sf, "customer")
+    n = c.select(F.col("c_custkey").alias("n")).unionByName(c.select(F.floor(F.col("c_acctbal") * 100).cast("long").alias("n"))).distinct()
+    return n.select("n", speech.in_words("n").alias("words"))
 
 
 def speech_normalize(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,4 +129,13 @@ SELECT query, id, grade, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
     "power_spectrum": """WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x, len(embedding) AS n FROM embeddings),
 f AS (SELECT vec_id, frame, i - 8 * frame AS j, x * 0.5 * (1 - cos(2 * pi() * (i - 8 * frame) / 15)) AS x FROM x, range(0, 1000) r(frame) WHERE i BETWEEN 8 * frame AND 8 * frame + 15 AND 8 * frame + 16 <= n)
 SELECT vec_id, CAST(frame AS INTEGER) AS frame, CAST(bin AS INTEGER) AS bin, round(sum(x * cos(2 * pi() * bin * j / 16)) ** 2 + sum(x * sin(2 * pi() * bin * j / 16)) ** 2, 6) AS power FROM f, range(0, 9) b(bin) GROUP BY ALL""",
+    "number_words": """WITH RECURSIVE n AS (SELECT DISTINCT n FROM (SELECT CAST(c_custkey AS BIGINT) AS n FROM customer UNION ALL SELECT CAST(floor(c_acctbal * 100) AS BIGINT) FROM customer)),
+w AS (SELECT ['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen'] AS o,
+    ['twenty', 'thirty', 'forty', 'fifty', 'sixty', 'seventy', 'eighty', 'ninety'] AS t),
+k AS (SELECT i, CASE WHEN i % 100 < 20 THEN CASE WHEN i % 100 > 0 THEN o[i % 100 + 1] END ELSE t[i % 100 // 10 - 1] || CASE WHEN i % 10 > 0 THEN '-' || o[i % 10 + 1] ELSE '' END END AS low,
+    CASE WHEN i >= 100 THEN o[i // 100 + 1] || ' hundred' END AS high FROM range(0, 1000) r(i), w),
+h AS (SELECT i, concat_ws(' ', high, low) AS s FROM k)
+SELECT n, CASE WHEN n < 0 THEN 'negative ' ELSE '' END || CASE WHEN n = 0 THEN 'zero' WHEN abs(n) BETWEEN 1100 AND 1999 AND abs(n) % 100 = 0 THEN (SELECT o[abs(n) // 100 + 1] FROM w) || ' hundred'
+    ELSE concat_ws(' ', nullif(m.s, '') || ' million', nullif(b.s, '') || ' thousand', nullif(a.s, '')) END AS words
+FROM n JOIN h m ON m.i = abs(n) // 1000000 JOIN h b ON b.i = abs(n) // 1000 % 1000 JOIN h a ON a.i = abs(n) % 1000""",
 }
