@@ -157,6 +157,13 @@ def wav_bytes(x: np.ndarray, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
+@F.arrow_udf(T.BinaryType())
+def wav_of(signals: pa.Array) -> pa.Array:
+    """Each signal as a file."""
+    values, at = _signals(signals)
+    return pa.array([wav_bytes(values[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+
+
 def wav_samples(data: bytes, rate: int = RATE) -> np.ndarray:
     """Any PCM WAV as mono at ``rate``: channels averaged, integers over their range."""
     with wave.open(io.BytesIO(data)) as w:

@@ -67,13 +67,30 @@ def rephrasings(answer: Column, n: int = 3) -> Column:
     return F.slice(F.transform(lines, lambda x: F.regexp_replace(x, r"^\d+[.):]?\s*(?=.)", "")), 1, n)
 
 
+def alternating_script(context: Column, turns: Column) -> Column:
+    """JSON lines of two speakers, A and B, who say a text's first sentences in turn."""
+    from sparkloom.functions.text import sentences
+
+    said = F.transform(F.slice(sentences(context), F.lit(1), turns), lambda s, i: F.struct(F.when(i % 2 == 0, "A").otherwise("B").alias("speaker"), s.alias("text")))
+    return F.to_json(said)
+
+
+def tone(text: Column, voice: Column) -> Column:
+    """A steady tone of a tenth of a second a word, lower for the first voice."""
+    from sparkloom.functions.audio import RATE
+
+    step = F.when(voice == "a", 2 * np.pi * 110 / RATE).otherwise(2 * np.pi * 165 / RATE)
+    samples = F.size(words(text)) * (RATE // 10)
+    return F.when(samples == 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), samples - 1), lambda i: 0.3 * F.sin(i * step)))
+
+
 def as_it_is(query: Column) -> Column:
     """No model: the question itself."""
     return query
 
 
 #: Task name to function; programs put their own models here.
-TASKS: dict[str, Callable[..., Column]] = {"embed": hashed_embedding, "grade": overlap_grade, "classify": question_class, "summarize": first_sentences, "hyde": as_it_is, "rephrase": as_it_is, "enrich": first_sentences}
+TASKS: dict[str, Callable[..., Column]] = {"embed": hashed_embedding, "grade": overlap_grade, "classify": question_class, "summarize": first_sentences, "hyde": as_it_is, "rephrase": as_it_is, "enrich": first_sentences, "podcast": alternating_script, "tts": tone}
 
 
 def run(task: str, *columns: Column) -> Column:

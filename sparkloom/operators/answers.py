@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions import models
+from sparkloom.functions import audio, jsons, models, speech
 from sparkloom.functions.text import answer_prompt, prefix_of_bytes, words
 from sparkloom.operators import lifecycle, raptor, search
 from sparkloom.sources.tables import written
@@ -128,6 +128,20 @@ def build_missing_trees(documents: DataFrame, nodes: DataFrame, chunks: DataFram
     return raptor.tree(chunks.join(wanted, "doc_id", "left_semi"))
 
 
+def podcast_lines(contexts: DataFrame, turns: int = 8) -> DataFrame:
+    """(query, i, speaker, voice, text): what two speakers say about each context (query, context), by the model of the task ``podcast``; an answer that has lines without speaker or text gives none."""
+    raw = models.run("podcast", F.col("context"), F.lit(turns))
+    said = contexts.select("query", F.posexplode(jsons.dialogue(raw, F.lit("A"), F.lit("a"), F.lit("b"))).alias("i", "x"))
+    return said.select("query", "i", "x.speaker", "x.voice", "x.text")
+
+
+def podcasts(lines: DataFrame) -> DataFrame:
+    """(query, n_lines, seconds, audio): the lines of each query, made ready for speech, said by the model of the task ``tts`` and joined to one file, in order. A podcast has a few lines."""
+    said = lines.select("query", "i", models.run("tts", speech.speakable(F.col("text")), F.col("voice")).alias("signal"))
+    whole = said.groupBy("query").agg(F.count("*").alias("n_lines"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "signal"))), lambda s: s["signal"])).alias("x"))
+    return whole.select("query", "n_lines", F.round(F.size("x") / audio.RATE, 3).alias("seconds"), audio.wav_of(F.col("x")).alias("audio"))
+
+
 def word_leg(chunks: DataFrame, k: int, *, tokens=words) -> Leg:
     """BM25 over the chunks' own words, of the question as it's asked."""
     return lambda questions: search.bm25(chunks, questions, k, ident="id", tokens=tokens).select("query", "id", "rank")

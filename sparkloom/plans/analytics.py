@@ -29,6 +29,14 @@ def idle_window_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("event_type", F.round("median_idle", 6).alias("median_idle"), "peak", F.col("n_idle").cast("long").alias("n_idle"))
 
 
+def idle_window_extended(spark: SparkSession, sf: str) -> DataFrame:
+    """Medians and peaks of several measures, some of them missing now and then."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    e = _samples(spark, sf).join(table(spark, sf, "events").select("event_id", "props"), "event_id").withColumns({"k": F.when(F.col("event_id") % 3 != 0, k), "both": F.col("value") + k})
+    found = runs.idle_windows(e, F.lit(3600.0), 86_400.0, by=["event_type"], values=["value", "k", "both"])
+    return found.select("event_type", F.col("n_idle").cast("long").alias("n_idle"), *[F.round(c, 6).alias(c) for c in found.columns if c.startswith(("peak_", "median_"))])
+
+
 def counter_rates(spark: SparkSession, sf: str) -> DataFrame:
     found = runs.rates(_samples(spark, sf), by="user_id", time="t", counter="value")
     return found.select("event_id", F.round("rate", 4).alias("rate"))
@@ -251,7 +259,7 @@ def label_groups(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.with_row_number(table(spark, sf, "embeddings").select("label", "vec_id"), ["label"], ["vec_id"], "place").select("label", "vec_id", F.col("place").cast("long").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (idle_window_metrics, counter_rates, fifo_pairing, stream_rates, stream_pairs, periodic_overhead, null_poison_sum, best_config_per_group, metric_pivot, config_grid, gap_sessions, bench_json, log_parse, process_closure, tree_flatten, conversation_truncate, session_titles, role_filter, enrichment_queue, document_phase, docs_without_tree, searchable_chunks, upsert_latest, delete_cascade, ordered_fetch, quant_from_name, size_tier, compat_score, catalog_priority, catalog_diff, catalog_merge, fuzzy_match, tumbling_windows, label_groups)}
+QUERIES = {f.__name__: f for f in (idle_window_metrics, idle_window_extended, counter_rates, fifo_pairing, stream_rates, stream_pairs, periodic_overhead, null_poison_sum, best_config_per_group, metric_pivot, config_grid, gap_sessions, bench_json, log_parse, process_closure, tree_flatten, conversation_truncate, session_titles, role_filter, enrichment_queue, document_phase, docs_without_tree, searchable_chunks, upsert_latest, delete_cascade, ordered_fetch, quant_from_name, size_tier, compat_score, catalog_priority, catalog_diff, catalog_merge, fuzzy_match, tumbling_windows, label_groups)}
 
 _SAMPLES = "(SELECT event_id, epoch(ts) AS t, user_id, event_type, value, round(epoch(ts) - min(epoch(ts)) OVER (PARTITION BY event_type), 3) AS elapsed FROM events)"
 _LINES = "(SELECT doc_id, unnest(range(len(l))) AS chunk_index, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -268,6 +276,7 @@ SELECT p_partkey, params, round(need, 4) AS required_ram_gb, round(s, 4) AS perf
 
 SQL = {
     "idle_window_metrics": f"SELECT event_type, round(median(value) FILTER (elapsed BETWEEN 3600 AND 90000), 6) AS median_idle, max(value) AS peak, count(*) FILTER (elapsed BETWEEN 3600 AND 90000) AS n_idle FROM {_SAMPLES} GROUP BY event_type",
+    "idle_window_extended": f"WITH e AS (SELECT s.*, CASE WHEN event_id % 3 <> 0 THEN k END AS k, value + k AS both_, elapsed BETWEEN 3600 AND 90000 AS inside FROM {_SAMPLES} s JOIN (SELECT event_id, CAST(props ->> '$.k' AS DOUBLE) AS k FROM events) USING (event_id)) SELECT event_type, count(*) FILTER (inside) AS n_idle, " + ", ".join(f"round(max({c}), 6) AS peak_{c.strip('_')}, round(median({c}) FILTER (inside), 6) AS median_idle_{c.strip('_')}" for c in ("value", "k", "both_")) + " FROM e GROUP BY event_type",
     "counter_rates": f"SELECT event_id, CASE WHEN dt > 0 THEN round(dx / dt, 4) END AS rate FROM (SELECT event_id, t - lag(t) OVER w AS dt, value - lag(value) OVER w AS dx FROM {_SAMPLES} WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))",
     "fifo_pairing": "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) SELECT a.user_id, CAST(a.n AS INTEGER) AS n, a.event_id AS open_id, b.event_id AS close_id, round(epoch(b.ts) - epoch(a.ts), 3) AS seconds, round(b.value - a.value, 4) AS delta FROM e a JOIN e b ON a.user_id = b.user_id AND a.n = b.n WHERE a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts >= a.ts",
     "periodic_overhead": f"SELECT event_type, round(greatest(0, avg(value) FILTER (floor(elapsed) >= 60 AND (floor(elapsed) % 60 <= 1 OR floor(elapsed) % 60 >= 59)) - median(value) FILTER (floor(elapsed) <= 36000)), 4) AS overhead FROM {_SAMPLES} GROUP BY event_type",

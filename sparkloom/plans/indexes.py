@@ -152,6 +152,12 @@ def stored_earlier(spark: SparkSession, sf: str) -> DataFrame:
     return _by_document(spark, store, done[1])
 
 
+def podcast_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as two speakers' lines."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("query"), F.col("text").alias("context"))
+    return answers.podcast_lines(d).select("query", "i", "speaker", "voice", F.md5("text").alias("text_md5"))
+
+
 def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
     """Every hundredth benchmark item from question to prompt: documents are chunks of their own; the vector of a document's number is its embedding, that of an item's number the imagined answer's."""
     d = table(spark, sf, "documents")
@@ -228,7 +234,7 @@ def text_rules(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("p_partkey", "label", "p.query", F.md5("p.context").alias("context_md5"), "error", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"), F.col("kv")["size"].alias("size"), F.col("kv")["Name"].alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (index_search, index_terms, field_phrases, field_must_not, field_pairs, blockmax_topk, index_vectors, kept_cells, stored_documents, stored_earlier, hybrid_query, chunks_and_media, retried_sources, inserted_chunks, set_values, waiting_media, newest_orders, unregistered_units, text_rules)}
+QUERIES = {f.__name__: f for f in (index_search, index_terms, field_phrases, field_must_not, field_pairs, blockmax_topk, index_vectors, kept_cells, stored_documents, stored_earlier, podcast_scripts, hybrid_query, chunks_and_media, retried_sources, inserted_chunks, set_values, waiting_media, newest_orders, unregistered_units, text_rules)}
 
 _WORDS = retrieval._WORDS
 _LIVE = "(SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'again ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0)"
@@ -284,4 +290,5 @@ SELECT doc_id, title, n_chars, CAST(CASE WHEN text_null THEN 0 WHEN doc_id % 7 =
     "stored_earlier": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 3 = 0 THEN coalesce(source, '') || '+' ELSE source END AS title, CAST(n_chars AS BIGINT) AS n_chars, string_split(text, chr(10)) AS l FROM documents),
 m AS (SELECT p_partkey % 150 AS doc_id, count(*) AS n_media, count(*) FILTER (p_partkey % 5 = 0) AS n_vectors FROM part GROUP BY ALL)
 SELECT doc_id, title, n_chars, CAST(coalesce(len(l), 0) AS BIGINT) AS n_chunks, CAST(0 AS BIGINT) AS n_enriched, coalesce(n_media, 0) AS n_media, coalesce(n_vectors, 0) AS n_vectors FROM d LEFT JOIN m USING (doc_id)""",
+    "podcast_scripts": r"SELECT doc_id AS query, CAST(i - 1 AS INTEGER) AS i, CASE WHEN i % 2 = 1 THEN 'A' ELSE 'B' END AS speaker, CASE WHEN i % 2 = 1 THEN 'a' ELSE 'b' END AS voice, md5(s) AS text_md5 FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM (SELECT doc_id, unnest(range(len(l))) AS k, regexp_replace(unnest(l), '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS s FROM (SELECT doc_id, regexp_extract_all(text, '([^.!?]+[.!?]+|[^.!?]+$)', 1) AS l FROM documents)) WHERE s <> '') WHERE i <= 8",
 }

@@ -130,3 +130,13 @@ def test_missing_trees(spark):
     have = raptor.tree(chunks.where("doc_id = 3"))
     built = answers.build_missing_trees(documents, have, chunks)
     assert {r["doc_id"] for r in built.select("doc_id").distinct().collect()} == {1} and models.TASKS["rephrase"] is models.as_it_is
+
+
+def test_podcasts(spark):
+    from sparkloom.functions import audio
+
+    contexts = spark.createDataFrame([(1, "The heron nests. Reeds hide it! Does it sing? No."), (2, ""), (3, None)], "query int, context string")
+    lines = answers.podcast_lines(contexts, turns=3)
+    assert [(r["query"], r["i"], r["speaker"], r["voice"], r["text"]) for r in sorted(lines.collect(), key=lambda r: (r["query"], r["i"]))] == [(1, 0, "A", "a", "The heron nests."), (1, 1, "B", "b", "Reeds hide it!"), (1, 2, "A", "a", "Does it sing?")]
+    (r,) = answers.podcasts(lines).collect()
+    assert (r["query"], r["n_lines"], r["seconds"]) == (1, 3, 0.9) and len(audio.wav_samples(bytes(r["audio"]))) == 9 * audio.RATE // 10
