@@ -3,11 +3,12 @@
 A page's tokens are its tags and the strings between them, each with its path from the root. Over the pages of a host, tokens that occur equally often on every page
 (equal occurrence vectors) form an equivalence class. A class is valid when it is frequent (on at least ``frequent`` of the pages), large (``large`` tokens or more) and
 its tags open and close like brackets. Valid classes nest by where their tokens stand, and make up the host's template; several layouts of a host give
-classes of their own. What lies between template tokens are slots: a string that belongs to the template, on three pages at least, is no main text.
+classes of their own. What lies between template tokens are slots: a string that belongs to the template, on three pages at least (two, if the host has no more), is no main text.
 
-Of the slots those are kept that aren't in boilerplate: menus, headers, footers, sidebars, notices, adverts, forms, comments, by element or by class name; and, where the page
-itself opens an article (or else a main) part with text in it, only what's in there, strings of the template included. A page that its host's template doesn't fit has its own tags, and
-a page whose slots are all empty keeps what isn't boilerplate: no page loses its text to the template. A class name is of boilerplate if it's such a word or ends in one
+Slots outside of boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element or by class name) compete by their prose, words outside of links: the
+richest is main text, and so are those with more than a quarter of its words. An article element, or what a main element has outside of articles, is a slot as others are, but may share strings with other pages; a small
+article beside a rich slot is a card and goes. Where no article or main part is rich enough, all other slots with more prose than links stay. A page that its host's template doesn't fit,
+or whose host has one page, has slots by its own tags, and a page whose slots are all empty keeps what isn't boilerplate: no page loses its text to the template. A class name is of boilerplate if it's such a word or ends in one
 (``site-footer``), not if it mentions one (``has-sidebar``, ``no-comments``); it never drops what's around the page's only article or main part, nor a header inside an article.
 
 Occurrence vectors aren't gathered: two sums over the pages of a hash of (page, count) stand for each, which partial aggregation keeps to a row a token and task.
@@ -52,6 +53,8 @@ WHOLE_ONLY, HEADERS, OF_OTHERS = frozenset(("search", "share")), frozenset(("hea
 #: Parts by which a name only mentions another part.
 MODIFIERS = frozenset("has have with without no not hide hides show shows".split())
 MAIN = ("article", "main")
+#: Elements that hold blocks, between which slots lie; the share of the richest slot's words beyond which another is main text too.
+HOLDS_BLOCKS, LEAST_SHARE = frozenset("address article aside body center details dialog div fieldset figure footer form header main nav section td th".split()), 0.25
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile("[\"'>]")
@@ -308,7 +311,8 @@ def templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
     summed = stored(summed.where("pages > 1 or token = 0"), "tokens")
     hosts = summed.where("token = 0").select("host", F.col("pages").alias("host_pages"))
     is_string = (F.col("token") > 0) & (F.col("token") % 2 == 1)
-    least = F.when(is_string, F.greatest(F.lit(string_pages), string_share * F.col("host_pages"))).otherwise(frequent * F.col("host_pages"))
+    # On a host of two pages a string on both is of the template.
+    least = F.when(is_string, F.greatest(F.least(F.lit(string_pages), F.greatest(F.lit(2), F.col("host_pages"))), string_share * F.col("host_pages"))).otherwise(frequent * F.col("host_pages"))
     often = summed.where("token <> 0").join(hosts, "host").where(F.col("pages") >= least)
     # Few tokens are on a fifth of the pages, so a host's classes are small.
     classes = often.groupBy("host", "pages", "total", "v1", "v2").agg(F.array_sort(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token"))).alias("members"))
@@ -371,20 +375,71 @@ def layout(parts: list[Node]) -> Layout:
     return Layout(frozenset(dropped), frozenset(opened), frozenset(found), frozenset(k for k, word in found.items() if word in OF_OTHERS))
 
 
-def main_text(page: str | None, tokens: frozenset[int]) -> str:
-    """Blocks of the slots of a template (``tokens``) that are main text, one a line."""
+class Template(NamedTuple):
+    """What a host's valid classes have: strings, and start tags."""
+
+    strings: frozenset[int]
+    tags: frozenset[int]
+
+
+EMPTY = Template(frozenset(), frozenset())
+
+
+def template_of(tokens: Iterable[int] | None) -> Template:
+    tokens = list(tokens or ())
+    return Template(frozenset(t for t in tokens if t > 0 and t & 1), frozenset(t for t in tokens if t > 0 and not t & 1))
+
+
+def main_text(page: str | None, template: Template | Iterable[int]) -> str:
+    """Blocks of the slots of a template, or of a host's tokens, that are main text, one a line."""
+    template = template if isinstance(template, Template) else template_of(template)
     parts = list(nodes(page))
     own = layout(parts)
     kept = own.dropped - (own.around - own.others)
-    # Main parts that the page itself opens, whatever their path; it may have none, or an empty one.
-    for name in MAIN:
-        if name in own.opened and (text := _text(parts, kept, name, frozenset())):
-            return text
-    return _text(parts, kept, None, tokens) or _text(parts, kept, None, frozenset()) or _text(parts, own.dropped - own.around, None, frozenset())
+    return _text(parts, kept, template) or _text(parts, kept, EMPTY) or _text(parts, own.dropped - own.around, EMPTY)
+
 
+def _slots(parts: list[Node], dropped: frozenset[int], template: Template) -> dict[int, list]:
+    """By the place of the tag that opens it (-1: none), each slot's kind (article, main, or empty), its words of prose, those in links, and the places of its strings.
 
-def _text(parts: list[Node], dropped: frozenset[int], main: str | None, strings: frozenset[int]) -> str:
-    """Blocks outside of the ``dropped`` elements and without the template's ``strings``; with ``main``, those inside such an element only."""
+    A slot is what lies between neighbouring tags of the template that hold blocks; without a template, between the page's own. An outermost article is one whatever the
+    template, and so is what a main part has outside of articles. A string of the template is no text, but in an article or main part, where pages may share what they say.
+    """
+    found: dict[int, list] = {}
+    slot, kind, out, links = -1, "", 0, 0
+    stack: list[tuple[bool, int, str, bool]] = []
+    for i, node in enumerate(parts):
+        if node.kind == "text":
+            if not out and (kind or not template.strings or string_token(node) not in template.strings):
+                own = found.setdefault(slot, [kind, 0, 0, []])
+                own[2 if links else 1] += len(node.text.split())
+                own[3].append(i)
+        elif node.kind == "open":
+            stack.append((i in dropped, slot, kind, node.name == "a"))
+            out, links = out + stack[-1][0], links + stack[-1][3]
+            if node.name == "article" and kind != "article" or node.name == "main" and not kind:
+                slot, kind = i, node.name
+            elif not kind and node.name in HOLDS_BLOCKS and (not template.tags or node.token in template.tags):
+                slot = i
+        elif node.kind == "close":
+            gone, slot, kind, link = stack.pop()
+            out, links = out - gone, links - link
+    return found
+
+
+def _chosen(slots: dict[int, list]) -> set[int]:
+    """The strings of the slots that are main text: of those with a fair share of the prose that the richest has; if none of these is an article or main part, also of all
+    others but articles that are mere cards, and lists of links."""
+    best = max((prose for _, prose, _, _ in slots.values()), default=0)
+    rich = {k for k, (_, prose, links, _) in slots.items() if prose > LEAST_SHARE * best and prose >= links}
+    if not any(slots[k][0] for k in rich):
+        rich |= {k for k, (kind, prose, links, _) in slots.items() if not kind and prose > links}
+    return {i for k in rich or slots for i in slots[k][3]}
+
+
+def _text(parts: list[Node], dropped: frozenset[int], template: Template) -> str:
+    """Blocks of the chosen strings."""
+    chosen = _chosen(_slots(parts, dropped, template))
     blocks: list[str] = []
     now: list[str] = []
 
@@ -394,23 +449,14 @@ def _text(parts: list[Node], dropped: frozenset[int], main: str | None, strings:
         if text:
             blocks.append(text)
 
-    out = within = 0  # open elements that are dropped, and that are main parts
-    stack: list[tuple[bool, bool]] = []
     for i, node in enumerate(parts):
         if node.kind == "text":
-            if not out and (main is None or within) and not (strings and string_token(node) in strings):
+            if i in chosen:
                 now.append(node.text)
-            continue
-        if node.name in BLOCKS:
+        elif node.name in BLOCKS:
             ended()
         elif node.name == "br":
             now.append(" ")
-        if node.kind == "open":
-            stack.append((i in dropped, node.name == main))
-            out, within = out + stack[-1][0], within + stack[-1][1]
-        elif node.kind == "close":
-            gone, part = stack.pop()
-            out, within = out - gone, within - part
     ended()
     return "\n".join(blocks)
 
@@ -422,7 +468,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     rows = rows.join(F.broadcast(known) if known.count() <= broadcast_hosts else known, "host", "left").select("page_id", "url", "html", "host", "tokens")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, frozenset[int]] = {}
+        sets: dict[str, Template] = {}
         for batch in batches:
             texts = []
             listed = batch.column("tokens")
@@ -430,7 +476,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 if host not in sets:
                     if len(sets) > 256:
                         sets.clear()
-                    sets[host] = frozenset(t for t in listed[k].as_py() or () if t > 0 and t & 1)
+                    sets[host] = template_of(listed[k].as_py())
                 texts.append(main_text(page, sets[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
