@@ -1,8 +1,12 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the benchmark's normalised word windows scans each text once.
+"""Benchmark decontamination: one Aho-Corasick automaton over the benchmark's normalised words scans each text once.
 
-Texts are brought to lower-case words separated by single spaces, each windows' pattern is its words with a space at both ends, and
-a match's place is mapped back to the words of the original by counting spaces (and to its characters by ``spans``). A benchmark of more pattern characters
-than one automaton may have is scanned block by block: the driver holds one block of items at a time, a pass writes what it hits, and the passes' hits are merged by document.
+The benchmark's distinct words are numbered, a number is a code of a few letters, and an item is a string of codes. Of items of a window or more the patterns are the pieces of half a window that follow each
+other from the item's first word: wherever a window lies in an item, it holds one of these whole. So the automaton has some three nodes a word of the benchmark, where one of all windows, letter by letter, would have sixty. A shorter item is one pattern.
+A text's words become codes too (unknown words one that no item has); where the automaton finds a piece, the text is compared with the item to both sides, and a common run of a window
+or more is an occurrence. A code's place is the word's place in the original, and ``spans`` has the characters.
+
+A benchmark of more characters or distinct words than one automaton may have is scanned block by block: the driver holds one block of items at a time, a pass writes what it hits, and the
+passes' hits are merged by document.
 
 Defined cases: a null or wordless text has no words and isn't contaminated; an item without words has no windows; repeated items count
 once each under their own ids, items of one id are one; a null item_id counts as an item but has no place in the list of ids; empty tables and other columns are harmless.
@@ -14,6 +18,7 @@ import hashlib
 import itertools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -26,8 +31,10 @@ from sparkloom.llm.common import stored
 from sparkloom.llm.words import LETTERS
 
 WINDOW_WORDS = 10
-#: Characters of patterns in one automaton (about 30 bytes each), ten to a character of an item; a larger benchmark is scanned in as many passes as it needs.
-BLOCK_CHARS = 8_000_000
+#: Letters of a word's code, how many there are for each place, and what stands for a word that no item has.
+WIDTH, BASE, UNKNOWN = 3, 64, "\0\0\0"
+#: Characters and distinct words of items in one automaton (as many as there are codes); a larger benchmark is scanned in as many passes as it needs. Words of an item that are one piece of a block.
+BLOCK_CHARS, BLOCK_WORDS, PIECE_WORDS = 12_000_000, BASE**WIDTH, 100_000
 TABLE = LETTERS.tobytes()
 
 
@@ -36,37 +43,80 @@ def normalised(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(TABLE).split()
 
 
-def windows(text: str | None, n: int) -> set[str]:
-    """Patterns of an item; a byte is a character here."""
-    words = normalised(text)
-    return {b" ".join([b"", *words[i : i + n], b""]).decode("latin-1") for i in range(max(1, len(words) - n + 1))} if words else set()
+def _code(number: int) -> str:
+    """``WIDTH`` letters for a word's number, each place with letters of its own; so what the automaton finds begins and ends with words, and its nodes have few children."""
+    return "".join(chr(1 + place * BASE + number // BASE**place % BASE) for place in range(WIDTH))
+
+
+class Known(NamedTuple):
+    codes: dict[bytes, str]
+    items: list[str]  # distinct ones, in codes
+    ids: list[set]
+    found: ahocorasick.Automaton  # of pieces; a value is the piece's words and where it stands: (item, word), ...
+    window: int
 
 
-def automaton(items: list[tuple[str | None, str | None]], n: int) -> ahocorasick.Automaton:
+def automaton(items: list[tuple[str | None, str | None]], n: int) -> Known:
+    codes: dict[bytes, str] = {}
     owners: dict[str, set] = defaultdict(set)
     for item_id, text in items:
-        for pattern in windows(text, n):
-            owners[pattern].add(item_id)
+        words = normalised(text)
+        for w in words:
+            if w not in codes:
+                codes[w] = _code(len(codes))
+        if words:
+            owners["".join([codes[w] for w in words])].add(item_id)
+    coded, places, half = list(owners), defaultdict(list), (n + 1) // 2
+    for k, item in enumerate(coded):
+        size = len(item) // WIDTH
+        for at in range(0, size - half + 1, half) if size >= n else (0,):
+            places[item[WIDTH * at : WIDTH * (at + half)] if size >= n else item].append((k, at))
     found = ahocorasick.Automaton()
-    for pattern, ids in owners.items():
-        found.add_word(pattern, (len(pattern), pattern.count(" ") - 1, tuple(ids)))
-    if owners:
+    for piece, there in places.items():
+        found.add_word(piece, (len(piece) // WIDTH, tuple(there)))
+    if places:
         found.make_automaton()
-    return found
+    return Known(codes, coded, [owners[c] for c in coded], found, n)
+
+
+def _common(a: str, i: int, b: str, j: int) -> int:
+    """How many words are the same from the letters ``i`` and ``j`` on."""
+    most, n, step = min(len(a) - i, len(b) - j), 0, 16
+    while n < most:
+        k = min(step, most - n)
+        if a[i + n : i + n + k] == b[j + n : j + n + k]:
+            n, step = n + k, 2 * step
+        elif k == 1:
+            break
+        else:
+            step = k // 2
+    return n // WIDTH
 
 
-def hits(words: list[bytes], known: ahocorasick.Automaton) -> tuple[np.ndarray, set]:
+def hits(words: list[bytes], known: Known) -> tuple[np.ndarray, set]:
     """Which words lie in an occurrence, as word ranges (k, 2), and the items that occur."""
-    if not words or not len(known):
+    if not words or not known.items:
         return np.zeros((0, 2), np.int64), set()
-    line = b" ".join([b"", *words, b""]).decode("latin-1")
-    ranges, items, spaces = [], set(), None
-    for end, (length, n, ids) in known.iter(line):
-        if spaces is None:
-            spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-        first = int(np.searchsorted(spaces, end - length + 1))
-        ranges.append((first, first + n))
-        items.update(ids)
+    get, ranges, items, upto, back = known.codes.get, [], set(), {}, None
+    line = "".join([get(w, UNKNOWN) for w in words])
+    for end, (length, there) in known.found.iter(line):
+        last = (end + 1) // WIDTH
+        first = last - length
+        for k, at in there:
+            item = known.items[k]
+            if len(item) < WIDTH * known.window:
+                a, b = first, last
+            elif upto.get((k, first - at), -1) >= last:  # inside a run that is known
+                continue
+            else:
+                back = line[::-1] if back is None else back
+                a = first - _common(back, len(line) - WIDTH * first, item[: WIDTH * at][::-1], 0)
+                b = last + _common(line, WIDTH * last, item, WIDTH * (at + length))
+                upto[k, first - at] = b
+                if b - a < known.window:
+                    continue
+            ranges.append((a, b))
+            items.update(known.ids[k])
     return np.array(ranges, np.int64).reshape(-1, 2), items
 
 
@@ -90,26 +140,30 @@ def spans(text: str, ranges: np.ndarray) -> list[tuple[int, int]]:
     return [(int(chars[starts[a]]), int(chars[ends[b - 1]])) for a, b in edge.reshape(-1, 2)]
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most_chars: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The benchmark's items, streamed to the driver a partition at a time, in blocks of bounded size."""
-    block, chars = [], 0
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most_chars: int, window: int, most_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The benchmark's items, streamed to the driver a partition at a time, in blocks of bounded size. Of a very long item the pieces overlap, so that each window is in one."""
+    block, chars, known = [], 0, set()
     for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        size = len(row[1] or "") * WINDOW_WORDS
-        if block and chars + size > most_chars:
-            yield block
-            block, chars = [], 0
-        block.append((row[0], row[1]))
-        chars += size
+        words = normalised(row[1])
+        for at in range(0, max(1, len(words) - window + 1), PIECE_WORDS):
+            own = words[at : at + PIECE_WORDS + window - 1]
+            text, new = b" ".join(own).decode(), set(own)
+            if block and (chars + len(text) > most_chars or len(known | new) > most_words):
+                yield block
+                block, chars, known = [], 0, set()
+            block.append((row[0], text))
+            chars += len(text)
+            known |= new
     yield block
 
 
-_automata: dict[str, ahocorasick.Automaton] = {}
+_automata: dict[str, Known] = {}
 RANGES, ITEMS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start: long, end: long>>"
 NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"]
 
 
-def _known(key: str, items: list, n: int) -> ahocorasick.Automaton:
+def _known(key: str, items: list, n: int) -> Known:
     """A worker's automaton for a block of items; the latest block only."""
     if key not in _automata:
         _automata.clear()
@@ -135,7 +189,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # As a schema, not text: an id may be of any type.
     schema = StructType([texts.schema["doc_id"], *StructType.fromDDL(SCHEMA).fields])
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_chars)
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_chars, window)
     block, after = next(blocks), next(blocks, None)
     if after is None:
         return _scan_once(texts, block, window, schema)
