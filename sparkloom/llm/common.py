@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step handles at a time; a longer single text is its own step.
 STEP_BYTES = 2_000_000
+#: Bytes of an Arrow batch where several stages share the workers.
+BATCH_BYTES = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +47,15 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on the session's Arrow batches have ``most`` bytes at most, unless its limit is lower: workers hold a batch several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.match(r"(-?\d+)\s*([kmg]?)", spark.conf.get(name).lower()).groups()
+    now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+    if not 0 < now <= most:
+        spark.conf.set(name, str(most))
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = shared_path(df.sparkSession, what)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import kdtree, media, repair, spelling
+from sparkloom.llm import decontaminate, html, kdtree, media, repair, spelling
 
 # ---- spelling
 
@@ -366,3 +366,148 @@ def test_stages_keep_columns_of_any_name(spark, sf):
         got = out.collect()
         assert got and all(r[c] == c + ("-" if r["doc_id"] is None else str(r["doc_id"])) for r in got for c in names)
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()} == {0, None, 3}
+
+
+# ---- main text by the template
+
+
+def said(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(["river", "stone", "light", "walked", "under", "old", "bridge", "morning", "quiet", "town"]) for _ in range(n)).capitalize() + "."
+
+
+def extracted(spark, pages):
+    rows = [(i, url, page) for i, (url, page) in enumerate(pages)]
+    return [r["text"] for r in sorted(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r["page_id"])]
+
+
+def test_articles_beside_teaser_cards(spark):
+    """The story is a main part's or a plain element's; the only article elements are cards."""
+    for form in (
+        "<body><nav><a>Home</a></nav><main><h1>{h}</h1><p>{a}</p><p>{b}</p></main><div class=more-stories><article><h3>{c}</h3></article><article><h3>Other</h3></article></div></body>",
+        "<body><div class=post><h1>{h}</h1><p>{a}</p><p>{b}</p></div><section class=latest><article><h3>{c}</h3></article></section></body>",
+        "<body><main><h1>{h}</h1><p>{a}</p><p>{b}</p><div class=grid><article><h3>{c}</h3></article></div></main></body>",
+    ):
+        for n in (1, 2, 10):
+            pages = [("http://cards.example/x", form.format(h=said(3, i), a=said(40, 100 + i), b=said(30, 200 + i), c=said(4, 300 + i))) for i in range(n)]
+            assert extracted(spark, pages) == [f"{said(3, i)}\n{said(40, 100 + i)}\n{said(30, 200 + i)}" for i in range(n)], (form, n)
+
+
+def test_article_that_goes_on_outside(spark):
+    form = "<body><article><h1>{h}</h1><p>{a}</p></article><div class=entry><p>{b}</p></div><div><p>Read on</p></div></body>"
+    pages = [("http://on.example/x", form.format(h=said(3, i), a=said(40, 100 + i), b=said(35, 200 + i))) for i in range(6)]
+    assert extracted(spark, pages) == [f"{said(3, i)}\n{said(40, 100 + i)}\n{said(35, 200 + i)}" for i in range(6)]
+
+
+def test_unmarked_menus_and_notices(spark):
+    """On a host of two pages what both have goes; on one of one page a list of links does."""
+    form = "<body><div><a>Home</a> <a>News</a> <a>About us</a></div><div>We use cookies to make this site better for you.</div><div><h1>{h}</h1><p>{a}</p></div></body>"
+    pages = [(f"http://{host}.example/x", form.format(h=said(3, i), a=said(40, 100 + i))) for i, host in enumerate(["two", "two", "many", "many", "many", "many"])]
+    assert extracted(spark, pages) == [f"{said(3, i)}\n{said(40, 100 + i)}" for i in range(6)]
+    alone = "<body><div><a>Home</a> <a>News</a></div><div><h1>{h}</h1><p>{a}</p></div></body>".format(h=said(3, 1), a=said(40, 2))
+    assert extracted(spark, [("http://one.example/x", alone)]) == [f"{said(3, 1)}\n{said(40, 2)}"]
+
+
+def test_the_template_matters(spark):
+    form = "<body><div class=box><p>Call us on any day of the week before noon or after, as you like it best.</p></div><div class=text><p>{a}</p></div></body>"
+    rows = [(i, "http://t.example/x", form.format(a=said(30, i))) for i in range(5)]
+    tokens = html.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).head()["tokens"]
+    assert html.main_text(rows[0][2], tokens) == said(30, 0)
+    assert html.main_text(rows[0][2], ()) == f"Call us on any day of the week before noon or after, as you like it best.\n{said(30, 0)}"
+
+
+def test_templates_by_gathered_vectors(spark, sf):
+    """Classes of tokens by their occurrence vectors, gathered, on the smallest tables."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    hosts = {}
+    for r in pages.select(html.host_of(F.col("url")).alias("host"), "html").collect():
+        hosts.setdefault(r["host"], []).append(r["html"])
+    want = {}
+    for host, own in hosts.items():
+        counts, places = [], {}
+        for page in own:
+            count, order = Counter(), {0: -1}
+            for node in html.nodes(page):
+                token = html.string_token(node) if node.kind == "text" else node.token
+                if token:
+                    count[token] += 1
+                    order.setdefault(token, len(order))
+            counts.append(count)
+            for token, rank in order.items():
+                places.setdefault(token, []).append(rank)
+        classes = {}
+        for token in set().union(*counts):
+            vector, string = tuple(c[token] for c in counts), token > 0 and token % 2 == 1
+            n = sum(v > 0 for v in vector)
+            least = max(min(html.STRING_PAGES, max(2, len(own))), html.STRING_SHARE * len(own)) if string else html.FREQUENT * len(own)
+            if n > 1 and n >= least:
+                classes.setdefault(vector, []).append((sum(places[token]) / n, token))
+        for members in classes.values():
+            if len(members) >= html.LARGE and html.nests([t for _, t in sorted(members)]):
+                want.setdefault(host, set()).update(t for _, t in members)
+    assert {r["host"]: set(r["tokens"]) for r in html.templates(pages).collect()} == want and len(want) > 1
+
+
+# ---- decontamination
+
+
+def occurrences(words, items, n):
+    hit, ids = set(), set()
+    for i, text in items:
+        own = decontaminate.normalised(text)
+        for at in range(max(1, len(own) - n + 1)) if own else ():
+            window = own[at : at + n]
+            for p in range(len(words) - len(window) + 1):
+                if words[p : p + len(window)] == window:
+                    hit.update(range(p, p + len(window)))
+                    ids.add(i)
+    return hit, ids
+
+
+def test_windows_by_half_windows():
+    """Every window of every item, tried everywhere, against pieces that are grown to both sides."""
+    r = random.Random(1)
+    for _ in range(1500):
+        n = r.choice([1, 2, 3, 4, 5, 10])
+        vocabulary = [f"w{i}" for i in range(r.choice([2, 3, 6, 30]))]
+        items = [(r.choice([str(k), "x", None]), " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 25)))) for k in range(r.randint(0, 5))]
+        doc = " ".join(r.choice([*vocabulary, "unknown"]) for _ in range(r.randint(0, 40)))
+        if items and r.random() < 0.6:
+            doc += f" {items[0][1]} {doc}"
+        words = decontaminate.normalised(doc)
+        ranges, ids = decontaminate.hits(words, decontaminate.automaton(items, n))
+        assert (set(np.flatnonzero(decontaminate.covered(ranges, len(words))).tolist()), ids) == occurrences(words, items, n), (n, items, doc)
+
+
+def test_words_have_codes_of_their_own():
+    codes = {decontaminate._code(k) for k in range(0, decontaminate.BLOCK_WORDS, 7)}
+    assert len(codes) == len(range(0, decontaminate.BLOCK_WORDS, 7)) and {len(c) for c in codes} == {decontaminate.WIDTH}
+
+
+def test_repetitive_texts_in_bounded_time():
+    import time
+
+    known = decontaminate.automaton([("a", "na " * 3_000), ("b", "na na na bat man")], 10)
+    began = time.perf_counter()
+    ranges, ids = decontaminate.hits(decontaminate.normalised("na " * 20_000 + "bat man"), known)
+    assert time.perf_counter() - began < 60 and ids == {"a", "b"} and decontaminate.covered(ranges, 20_002).all()
+
+
+def test_long_items_and_many_words_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 40)
+    r = random.Random(4)
+    items = [(str(k), " ".join(f"w{r.randrange(400)}" for _ in range(r.choice([5, 30, 200])))) for k in range(12)]
+    table = spark.createDataFrame([(int(i), t) for i, t in items], "item_id long, text string")
+    docs = [(k, " ".join([prose_of(r, 30), *items[k % 12][1].split()[k % 7 : k % 7 + 3 + k], prose_of(r, 30)])) for k in range(60)]
+    blocks = list(decontaminate.item_blocks(table, "item_id", "text", 10**9, 10, most_words=150))
+    assert len(blocks) > 1 and all(len({w for _, t in b for w in t.split()}) <= 150 or len(b) == 1 for b in blocks)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for how in ({}, {"block_chars": 700}):
+        found = {r["doc_id"]: (r["n_hit"], r["item_ids"]) for r in decontaminate.scan(frame, table, **how).collect()}
+        for k, text in docs:
+            hit, ids = occurrences(decontaminate.normalised(text), items, 10)
+            assert found[k] == (len(hit), sorted(ids)), (k, how)
+
+
+def prose_of(r, n):
+    return " ".join(f"w{r.randrange(400)}" for _ in range(n))
