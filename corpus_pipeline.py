@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, jaccard, language, packing, passages
-from sparkloom.llm.common import stored
+from sparkloom.llm.common import small_batches, stored
 from sparkloom.llm.queries import tokenizer_file
 
 
@@ -20,6 +20,7 @@ def _whole(docs: DataFrame) -> Column:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language of ``lang``; rows without text or letters go, those between two languages stay."""
+    small_batches(spark)
     model = language.train(docs, docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")))
     # Under other names, so that none can clash with what is added and the text goes to Python once.
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -29,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of smallest id; rows without an id or words stay, and rows of one id and text are one document."""
+    small_batches(spark)
     # Under other names, so that no column can clash with what is added.
     names = [f"c{i}" for i in range(len(docs.columns))]
     key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
@@ -48,18 +50,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document of smaller id keeps; n_chars follows the text."""
+    small_batches(spark)
     cut = passages.rewritten(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
+    small_batches(spark)
     found = decontaminate.scan(docs.select(_whole(docs), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
     return found.where("not contaminated").select("doc_id.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_file())
 
 
