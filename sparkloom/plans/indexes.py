@@ -152,6 +152,21 @@ def stored_earlier(spark: SparkSession, sf: str) -> DataFrame:
     return _by_document(spark, store, done[1])
 
 
+def tree_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth document is asked its own first line; every second of these has a tree, of nodes over four lines each, every other of which is unsure. The rest are answered from all lines."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), "text")
+    lines = d.select("doc_id", "title", F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "text"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    chunks = written(lines.withColumns({"id": F.col("doc_id") * 100_000 + F.col("chunk_index"), "vector": F.array().cast("array<double>")}), "lines")
+    group = F.floor(F.col("chunk_index") / 4)
+    made = chunks.where("doc_id % 200 = 0").groupBy("doc_id", group.alias("g")).agg(F.min_by("text", "chunk_index").alias("summary"), F.array_sort(F.collect_list("id")).alias("child_ids")).where("size(child_ids) >= 3")
+    nodes = made.withColumn("vec_id", (F.col("doc_id") + F.col("g")) % 500).join(e, "vec_id").select("doc_id", F.lit(1).alias("level"), (1_000_000 + F.col("g")).alias("id"), "summary", F.when(F.col("g") % 2 == 1, -2.0).otherwise(-1.0).alias("confidence"), "child_ids", "vector")
+    asked = chunks.where("doc_id % 100 = 0 and chunk_index = 0").select(F.col("doc_id").alias("query"), "doc_id", "text", (F.col("doc_id") % 500).alias("vec_id")).join(e, "vec_id").drop("vec_id")
+    found = answers.answered_from_trees(written(asked, "asked"), written(nodes, "nodes"), chunks, [(answers.word_leg(chunks, 3), 1.0)], 3, least_grade=0)
+    named = F.transform("sources", lambda s: F.concat_ws(":", s["level"].cast("string"), s["id"].cast("string"), s["title"]))
+    return found.select("query", "from_tree", F.array_join(named, ";").alias("sources"), F.when(F.col("from_tree"), F.md5("context")).alias("context_md5"))
+
+
 def podcast_scripts(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as two speakers' lines."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("query"), F.col("text").alias("context"))
@@ -234,7 +249,7 @@ def text_rules(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("p_partkey", "label", "p.query", F.md5("p.context").alias("context_md5"), "error", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"), F.col("kv")["size"].alias("size"), F.col("kv")["Name"].alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (index_search, index_terms, field_phrases, field_must_not, field_pairs, blockmax_topk, index_vectors, kept_cells, stored_documents, stored_earlier, podcast_scripts, hybrid_query, chunks_and_media, retried_sources, inserted_chunks, set_values, waiting_media, newest_orders, unregistered_units, text_rules)}
+QUERIES = {f.__name__: f for f in (index_search, index_terms, field_phrases, field_must_not, field_pairs, blockmax_topk, index_vectors, kept_cells, stored_documents, stored_earlier, tree_answers, podcast_scripts, hybrid_query, chunks_and_media, retried_sources, inserted_chunks, set_values, waiting_media, newest_orders, unregistered_units, text_rules)}
 
 _WORDS = retrieval._WORDS
 _LIVE = "(SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'again ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0)"
@@ -291,4 +306,20 @@ SELECT doc_id, title, n_chars, CAST(CASE WHEN text_null THEN 0 WHEN doc_id % 7 =
 m AS (SELECT p_partkey % 150 AS doc_id, count(*) AS n_media, count(*) FILTER (p_partkey % 5 = 0) AS n_vectors FROM part GROUP BY ALL)
 SELECT doc_id, title, n_chars, CAST(coalesce(len(l), 0) AS BIGINT) AS n_chunks, CAST(0 AS BIGINT) AS n_enriched, coalesce(n_media, 0) AS n_media, coalesce(n_vectors, 0) AS n_vectors FROM d LEFT JOIN m USING (doc_id)""",
     "podcast_scripts": r"SELECT doc_id AS query, CAST(i - 1 AS INTEGER) AS i, CASE WHEN i % 2 = 1 THEN 'A' ELSE 'B' END AS speaker, CASE WHEN i % 2 = 1 THEN 'a' ELSE 'b' END AS voice, md5(s) AS text_md5 FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM (SELECT doc_id, unnest(range(len(l))) AS k, regexp_replace(unnest(l), '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS s FROM (SELECT doc_id, regexp_extract_all(text, '([^.!?]+[.!?]+|[^.!?]+$)', 1) AS l FROM documents)) WHERE s <> '') WHERE i <= 8",
+    "tree_answers": f"""WITH ch AS (SELECT doc_id, source AS title, unnest(range(len(l))) AS i, unnest(l) AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)),
+c AS (SELECT *, doc_id * 100000 + i AS id FROM ch), q AS (SELECT doc_id AS query, text AS question, {_WORDS} AS qw FROM c WHERE doc_id % 100 = 0 AND i = 0),
+n AS (SELECT doc_id, i // 4 AS g, arg_min(text, i) AS summary, list(id ORDER BY id) AS kids FROM c WHERE doc_id % 200 = 0 GROUP BY ALL HAVING count(*) >= 3),
+s AS (SELECT n.*, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM n JOIN embeddings a ON a.vec_id = (doc_id + g) % 500 JOIN embeddings b ON b.vec_id = doc_id % 500),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, g) AS r FROM s),
+u AS (SELECT doc_id AS query, 1 AS level, 1000000 + g AS id, 'RAPTOR Summary' AS title, score, summary AS text FROM t WHERE r <= 3 AND g % 2 = 0
+    UNION ALL SELECT t.doc_id, 0, c.id, coalesce(title, 'Unknown'), score, text FROM (SELECT doc_id, score, unnest(kids) AS id FROM t WHERE r <= 3 AND g % 2 = 1) t JOIN c USING (id)),
+w AS (SELECT id, title, text, {_WORDS} AS w FROM c), z AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_dl FROM w WHERE len(w) > 0),
+p AS (SELECT id, len(w) AS dl, term, count(*) AS tf FROM (SELECT id, w, unnest(w) AS term FROM w) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+b AS (SELECT query, id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score FROM (SELECT query, unnest(list_distinct(qw)) AS term FROM q WHERE query IN (SELECT query FROM q WHERE query NOT IN (SELECT doc_id FROM n))) JOIN p USING (term) JOIN f USING (term), z GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM b),
+g AS (SELECT k.query, k.id, coalesce(w.title, 'Unknown') AS title, k.r, CAST(greatest(1, least(5, ceil(CASE WHEN len(qw) = 0 THEN 0 ELSE len(list_intersect(list_distinct(qw), w.w)) / len(list_distinct(qw)) END * 5))) AS INTEGER) AS grade FROM k JOIN w ON w.id = k.id JOIN q ON q.query = k.query WHERE k.r <= 3),
+m AS (SELECT *, max(grade) OVER (PARTITION BY query) AS best FROM g),
+o AS (SELECT query, string_agg('0:' || id || ':' || title, ';' ORDER BY grade DESC, r) AS sources FROM m WHERE grade >= CASE WHEN best >= 3 THEN 3 WHEN best >= 2 THEN 2 ELSE 0 END GROUP BY query)
+SELECT query, true AS from_tree, string_agg(level || ':' || id || ':' || title, ';' ORDER BY score DESC, level, id) AS sources, md5(string_agg(text, chr(10) || chr(10) ORDER BY score DESC, level, id)) AS context_md5 FROM u GROUP BY query
+UNION ALL SELECT q.query, false, coalesce(sources, ''), NULL FROM q LEFT JOIN o USING (query) WHERE q.query NOT IN (SELECT doc_id FROM n)""",
 }
