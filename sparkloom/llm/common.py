@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step handles at a time; a longer single text is its own step.
 STEP_BYTES = 2_000_000
+#: The same where arrays of words, n-grams and bands stand beside the text.
+WORD_STEP_BYTES = 1_000_000
 #: Bytes of an Arrow batch where several stages share the workers.
 BATCH_BYTES = 8_000_000
 

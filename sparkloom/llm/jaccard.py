@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import steps, stored, text_bytes
+from sparkloom.llm.common import WORD_STEP_BYTES, steps, stored, text_bytes
 from sparkloom.llm.similar import SETS, links
 from sparkloom.llm.words import GRAM_WORDS, Bands, band_keys, bands_for, grams_of, span_pairs, words_of
 
@@ -36,7 +36,7 @@ def _signatures(docs: DataFrame, n: int, bands: Bands, text_col: str) -> DataFra
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(place))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, WORD_STEP_BYTES):
                 words = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 grams = grams_of(words, n=n)
                 keys = band_keys(grams, bands)
@@ -56,7 +56,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, WORD_STEP_BYTES):
                 words = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 grams = grams_of(words, n=n)
                 own = span_pairs(words, words.first[:-1], words.first[1:])

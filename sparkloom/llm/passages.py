@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import steps, stored, text_bytes
+from sparkloom.llm.common import WORD_STEP_BYTES, steps, stored, text_bytes
 from sparkloom.llm.similar import SETS, WORK, links
 from sparkloom.llm.tokens import span_hashes
 from sparkloom.llm.words import GRAM_WORDS, Bands, Words, band_keys, bands_for, grams_of, span_pairs, words_of
@@ -95,7 +95,7 @@ def units(docs: DataFrame, bands: Bands, paragraph: int, run: int, window: int,
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, WORD_STEP_BYTES):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 words = words_of(part, at)
                 lines = lines_of(part, words)
@@ -143,7 +143,7 @@ def _sets(texts: DataFrame, paragraph: int, n: int) -> DataFrame:
             listed = batch.column("want")
             at_want, wanted = listed.offsets.to_numpy(), listed.values
             h1, h2 = (wanted.field(k).to_numpy() for k in (0, 1))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, WORD_STEP_BYTES):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 words = words_of(part, at)
                 lines = lines_of(part, words)
@@ -222,7 +222,7 @@ def _grown(texts: DataFrame, window: int) -> DataFrame:
             want = batch.column("want")
             at, found = want.offsets.to_numpy(), want.values
             start, h1, left, right = (found.field(k).to_numpy() for k in range(4))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, WORD_STEP_BYTES):
                 words = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 rows = slice(at[i], at[j])
                 text = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
