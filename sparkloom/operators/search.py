@@ -348,16 +348,22 @@ def _best_overlaps(docs: DataFrame, queries: DataFrame, k: int, ident: str, text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sizes, by_word = shared.value
+        vocabulary = pa.array(list(by_word), pa.string())
         for batch in batches:
             ids, n = batch.column(0), batch.num_rows
             row, code, terms = _coded(batch.column(1))
-            pairs = np.unique(row * max(len(terms), 1) + code)
-            asks = [by_word.get(t, ()) for t in terms.to_pylist()]
-            counts = np.array([len(a) for a in asks], np.int64)
-            of = pairs % max(len(terms), 1)
-            hits = np.repeat(pairs // max(len(terms), 1), counts[of]) if len(pairs) else np.zeros(0, np.int64)
+            ours = pc.is_in(terms, value_set=vocabulary).to_numpy(zero_copy_only=False)
+            keep = ours[code] if len(code) else np.zeros(0, bool)
+            width = max(len(terms), 1)
+            pairs = np.unique(row[keep] * width + code[keep])
+            known = np.flatnonzero(ours)
+            asks = [by_word[t] for t in terms.take(pa.array(known)).to_pylist()]
+            counts, starts = np.zeros(width, np.int64), np.zeros(width, np.int64)
+            counts[known] = [len(a) for a in asks]
+            starts[known] = np.cumsum(counts[known]) - counts[known]
+            of = pairs % width
+            hits = np.repeat(pairs // width, counts[of])
             flat = np.array([i for a in asks for i in a], np.int64)
-            starts = np.cumsum(counts) - counts
             which = flat[np.repeat(starts[of], counts[of]) + np.arange(len(hits)) - np.repeat(np.cumsum(counts[of]) - counts[of], counts[of])] if len(hits) else hits
             both, common = np.unique(which * n + hits, return_counts=True)
             order = np.empty(n, np.int64)
