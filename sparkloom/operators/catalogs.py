@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 #: Tasks that run in the background, and those whose worker ends with them.
 BACKGROUND, EPHEMERAL = ("embed", "classify", "enrich", "grade", "hyde"), ("enrich", "grade", "hyde")
 
-#: Quantizations that cost much; for a size class, whether only with one of these, from and under how many GB of memory, what runs better. The first row that fits counts.
+#: Quantizations that cost much; for a size class, whether only with one of these, from and under how many GB of memory, what runs better, and why. The first row that fits counts.
 HEAVY = ("Q8", "F16", "F32")
 ALTERNATIVES = [
-    ("70B", False, 16, 1e9, "13B Q4"), ("70B", False, 0, 16, "7B Q4"),
-    ("30B", False, 12, 1e9, "13B Q4"), ("30B", False, 0, 12, "7B Q4"),
-    ("13B", True, 0, 1e9, "13B Q4"), ("13B", False, 0, 12, "7B Q4"),
-    ("7B", True, 0, 1e9, "7B Q4"), ("7B", False, 0, 8, "3B Q4"),
-]
+    ("70B", False, 16, 1e9, "13B Q4", "Similar quality for most tasks, much faster"),
+    ("70B", False, 0, 16, "7B Q4", "Good quality, runs well on most systems"),
+    ("30B", False, 12, 1e9, "13B Q4", "Better performance with similar capability"),
+    ("30B", False, 0, 12, "7B Q4", "Good balance of quality and speed"),
+    ("13B", True, 0, 1e9, "13B Q4", "Same model, much smaller footprint"),
+    ("13B", False, 0, 12, "7B Q4", "Lighter model that fits your RAM"),
+    ("7B", True, 0, 1e9, "7B Q4", "Same model, better performance"),
+    ("7B", False, 0, 8, "3B Q4", "Smaller model that fits your RAM"),
+]
 #: Points of what a process shows, and tools that start applications.
 APP_SCORES = {"built": 200, "product": 120, "named": 80, "tool": -200, "wrapper": -50, "below": 10}
 TOOLS = ("bash", "node", "npm", "npx", "cargo", "rustc", "vite", "esbuild")
@@ -61,11 +65,11 @@ def is_ephemeral(task: Column) -> Column:
 
 
 def alternative(params: Column, quant: Column, ram_gb: Column) -> Column:
-    """A model that would run better, by the first row of ``ALTERNATIVES`` that fits; null where there is none."""
+    """struct(suggestion, reason): a model that would run better, by the first row of ``ALTERNATIVES`` that fits; null where there is none."""
     out = F
-    for size, heavy, least, most, better in ALTERNATIVES:
+    for size, heavy, least, most, better, why in ALTERNATIVES:
         fits = (params == size) & (quant.isin(*HEAVY) if heavy else F.lit(True)) & (ram_gb >= least) & (ram_gb < most)
-        out = out.when(fits, better)
+        out = out.when(fits, F.struct(F.lit(better).alias("suggestion"), F.lit(why).alias("reason")))
     return out
 
 

@@ -53,7 +53,7 @@ def alternatives(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda items, n: F.element_at(F.array(*[F.lit(x) for x in items]), (n % len(items) + 1).cast("int"))
     p = F.col("p_partkey")
     t = table(spark, sf, "part").select("p_partkey", pick(["70B", "30B", "13B", "7B", "3B"], p).alias("a"), pick(["Q4", "Q8", "F16"], F.floor(p / 5)).alias("b"), (F.col("p_size") % 24).cast("double").alias("ram"))
-    return t.select("p_partkey", catalogs.alternative(F.col("a"), F.col("b"), F.col("ram")).alias("suggestion"))
+    return t.select("p_partkey", catalogs.alternative(F.col("a"), F.col("b"), F.col("ram")).alias("x")).select("p_partkey", "x.suggestion", "x.reason")
 
 
 def app_process(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,7 +161,12 @@ SQL = {
     "idle_reaper": f"SELECT instance_id, state FROM {_INSTANCES} WHERE state = 'error' OR (ephemeral AND requests = 0 AND 1000 - last_used >= 300)",
     "route_candidates": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '99' ELSE n_nationkey || ',' || (n_nationkey + 1) || ',' || (n_nationkey + 2) END AS ids FROM nation",
     "task_classes": "SELECT task, CASE WHEN task IN ('embed', 'classify', 'enrich', 'grade', 'hyde') THEN 'low' ELSE 'high' END AS priority, task IN ('enrich', 'grade', 'hyde') AS ephemeral, count(*) AS n FROM (SELECT list_extract(['chat', 'embed', 'grade', 'hyde', 'tts', 'mine', 'enrich', 'classify'], CAST(event_id % 8 + 1 AS INTEGER)) AS task FROM events) GROUP BY ALL",
-    "alternatives": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CASE WHEN r >= 16 THEN '13B Q4' ELSE '7B Q4' END WHEN 1 THEN CASE WHEN r >= 12 THEN '13B Q4' ELSE '7B Q4' END WHEN 2 THEN CASE WHEN h THEN '13B Q4' WHEN r < 12 THEN '7B Q4' END WHEN 3 THEN CASE WHEN h THEN '7B Q4' WHEN r < 8 THEN '3B Q4' END END AS suggestion FROM (SELECT p_partkey, p_size % 24 AS r, (p_partkey // 5) % 3 > 0 AS h FROM part)",
+    "alternatives": """SELECT p_partkey, x[1] AS suggestion, x[2] AS reason FROM (SELECT p_partkey, CASE p_partkey % 5
+    WHEN 0 THEN CASE WHEN r >= 16 THEN ['13B Q4', 'Similar quality for most tasks, much faster'] ELSE ['7B Q4', 'Good quality, runs well on most systems'] END
+    WHEN 1 THEN CASE WHEN r >= 12 THEN ['13B Q4', 'Better performance with similar capability'] ELSE ['7B Q4', 'Good balance of quality and speed'] END
+    WHEN 2 THEN CASE WHEN h THEN ['13B Q4', 'Same model, much smaller footprint'] WHEN r < 12 THEN ['7B Q4', 'Lighter model that fits your RAM'] END
+    WHEN 3 THEN CASE WHEN h THEN ['7B Q4', 'Same model, better performance'] WHEN r < 8 THEN ['3B Q4', 'Smaller model that fits your RAM'] END END AS x
+    FROM (SELECT p_partkey, p_size % 24 AS r, (p_partkey // 5) % 3 > 0 AS h FROM part))""",
     "app_process": f"SELECT s_nationkey, s_suppkey AS pid, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY score DESC, s_suppkey) AS r FROM (SELECT s_nationkey, s_suppkey, {_SCORE} AS score FROM supplier)) WHERE r = 1 AND score >= 80",
     "cold_starts": "SELECT event_id, round(CASE WHEN event_id % 3 <> 0 THEN greatest(0, (user_id - 50) / 1000.0::DOUBLE) WHEN event_id % 7 <> 0 THEN 2.5::DOUBLE END, 3) AS seconds FROM events",
     "table_regions": f"SELECT page, round(min(x1), 4) AS x1, round(min(y1), 4) AS y1, round(max(x2), 4) AS x2, round(max(y2), 4) AS y2 FROM (SELECT *, sum(CASE WHEN y1 - before > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y1) AS run FROM (SELECT *, lag(y1) OVER (PARTITION BY page ORDER BY y1) AS before FROM {_RULES})) GROUP BY page, run HAVING count(*) >= 3",
