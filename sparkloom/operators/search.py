@@ -23,8 +23,8 @@ from sparkloom.sources.tables import written
 K1, B, RRF_K, CELLS, PROBES, LEAST_FOR_CELLS, ROUNDS = 1.2, 0.75, 60, 32, 4, 128, 20
 #: Queries that are broadcast at a time.
 QUERY_BLOCK = 4096
-#: Scores of queries and rows that are held at a time.
-SCORES = 4_000_000
+#: Scores of queries and rows that are held at a time, and words that are counted at a time.
+SCORES, STEP_WORDS = 4_000_000, 1_000_000
 
 
 def top(ranked: DataFrame, k: int, *, by: str = "query", score: str = "score", ident: str = "id") -> DataFrame:
@@ -50,6 +50,17 @@ def postings(docs: DataFrame, ident: str, text: Column, tokens=words) -> DataFra
     return listed.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def _steps(batches: Iterable[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``STEP_WORDS`` words in the list column at ``place``, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(place)), 0).to_numpy())
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP_WORDS, side="right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Of a list column's words: the row and the number of each, and the words by number."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
@@ -61,7 +72,7 @@ def term_counts(docs: DataFrame, text: Column, tokens=words) -> DataFrame:
     """(term, df, cf): documents and occurrences of each term. Words are counted where they're read, a row a term and Arrow batch, and then added up."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _steps(batches, 0):
             row, code, terms = _coded(batch.column(0))
             n = max(len(terms), 1)
             pairs = np.unique(row * n + code)
@@ -95,7 +106,7 @@ def _bm25(docs: DataFrame, queries: DataFrame, k: int, ident: str, text: str, to
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(known.value, pa.string())
-        for batch in batches:
+        for batch in _steps(batches, 1):
             row, code, terms = _coded(batch.column(1))
             lengths = np.bincount(row, minlength=batch.num_rows)
             ours = pc.is_in(terms, value_set=vocabulary).to_numpy(zero_copy_only=False)
@@ -349,7 +360,7 @@ def _best_overlaps(docs: DataFrame, queries: DataFrame, k: int, ident: str, text
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sizes, by_word = shared.value
         vocabulary = pa.array(list(by_word), pa.string())
-        for batch in batches:
+        for batch in _steps(batches, 1):
             ids, n = batch.column(0), batch.num_rows
             row, code, terms = _coded(batch.column(1))
             ours = pc.is_in(terms, value_set=vocabulary).to_numpy(zero_copy_only=False)
