@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.tables import tidy
+
 COMMITS = "batch long"
 
 
@@ -47,8 +49,9 @@ def read(spark: SparkSession, path: str, name: str, schema: str, upto: int | Non
 def put(df: DataFrame, path: str, name: str, batch: int, by: str | None = None, spread: str | None = None) -> None:
     """Writes a batch, in a folder for each ``by``; the rows of one ``by`` go to as many tasks as there are values of ``spread``."""
     rows = df if by is None else df.repartition(by) if spread is None else df.repartition(by, spread).drop(spread)
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(f"{path}/{name}/batch={batch}")
+    writer = rows.write.mode("overwrite").option("compression", "zstd")
+    with tidy(df.sparkSession):
+        (writer.partitionBy(by) if by else writer).parquet(f"{path}/{name}/batch={batch}")
 
 
 def live(spark: SparkSession, path: str, rows: DataFrame, upto: int | None = None, *, by: str = "id", gone: str = "gone") -> DataFrame:

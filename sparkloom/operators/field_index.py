@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import words
 from sparkloom.operators import batches, search
 from sparkloom.operators.search import K1, B
-from sparkloom.sources.tables import written
+from sparkloom.sources.tables import tidy, written
 
 #: Buckets of terms, ranges of ids that a batch is spread by, documents of a block, words that are put in order at a time.
 BUCKETS, PARTS, BLOCK, STEP_WORDS = 64, 16, 128, 500_000
@@ -123,7 +123,8 @@ def _put_postings(rows: DataFrame, path: str, batch: int, block: int) -> None:
     part = F.least(F.lit(PARTS - 1), F.floor((F.col("id") - low) / max(1.0, (high - low + 1) / PARTS))).cast("int")
     placed = rows.withColumns({"bucket": _bucket("term"), "part": part}).repartition("bucket", "part").sortWithinPartitions("bucket", "field", "term", "part", "id")
     blocks = placed.select("bucket", "field", "term", "part", "id", "tf", "dl", "steps").mapInArrow(lambda b: _blocked(b, means, block), POSTINGS)
-    blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+    with tidy(rows.sparkSession):
+        blocks.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
 
 
 def add(docs: DataFrame, path: str, fields: dict[str, Column | str], *, ident: str = "doc_id", tokens=words, block: int = BLOCK) -> None:

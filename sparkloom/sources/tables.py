@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +32,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read again: the lineage ends there, and its shuffle files go."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it's done."""
     before = spark.conf.get(TIDY, None)
     spark.conf.set(TIDY, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: the lineage ends there, and its shuffle files go."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
