@@ -235,9 +235,11 @@ def catalog_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalog_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each origin; 0 where the built-in rows hold all custom keys."""
     s = table(spark, sf, "supplier").select("s_suppkey", F.lit("builtin").alias("origin"))
     custom = spark.range(1, 2000).select(F.col("id").alias("s_suppkey"), F.lit("custom").alias("origin"))
-    return lifecycle.merged_catalogs(s, custom, "s_suppkey").groupBy("origin").agg(F.count("*").alias("n"))
+    counts = lifecycle.merged_catalogs(s, custom, "s_suppkey").agg(*[F.count_if(F.col("origin") == x).alias(x) for x in ("builtin", "custom")])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(x).alias("origin"), F.col(x).alias("n")) for x in ("builtin", "custom")])))
 
 
 def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
