@@ -99,7 +99,8 @@ def result_page(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def human_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", text.human_size(F.col("p_partkey") * F.col("p_partkey") * 97).alias("size"))
+    """Squares of parts' numbers as sizes; the largest unit is GB."""
+    return table(spark, sf, "part").select("p_partkey", text.human_size(F.col("p_partkey") * F.col("p_partkey") * 97, "GB").alias("size"))
 
 
 def params_merge(spark: SparkSession, sf: str) -> DataFrame:
