@@ -144,3 +144,23 @@ def test_empty_index_and_no_queries(spark, tmp_path):
     assert field_index.find_best(spark, path, asked(spark, ["fox"]), 4, WEIGHTS).collect() == []
     field_index.add(frame(spark, DOCS), path, FIELDS)
     assert field_index.find(spark, path, asked(spark, []), 4, WEIGHTS).collect() == []
+
+
+def test_search_stores_no_postings(spark, tmp_path, monkeypatch):
+    """Many queries of frequent words, alone, as must and must-not and as phrases: right, and what is stored on the way grows with neither postings nor pairs of queries and documents."""
+    docs = {i: {"text": " ".join(f"w{(i * j) % 7}" for j in range(1, 60)), "title": f"w{i % 3} t{i}"} for i in range(600)}
+    path, stored, real = str(tmp_path / "index"), [], field_index.written
+    monkeypatch.setattr(field_index, "written", lambda df, what: (out := real(df, what), stored.append(out.count()))[0])
+    field_index.add(frame(spark, docs), path, FIELDS)
+    docs = {i: d if i % 4 else {"text": "w1 w2 again", "title": None} for i, d in docs.items() if i % 5}
+    field_index.add(frame(spark, {i: d for i, d in docs.items() if i % 4 == 0}), path, FIELDS)
+    field_index.delete(spark, path, spark.range(0, 600, 5))
+    texts = ["+w1 w2 -t7", '"w1 w2"', "title:w0 +text:w3", "w5 w6"] * 30
+    got = defaultdict(list)
+    for r in field_index.find(spark, path, asked(spark, texts), 3, WEIGHTS).orderBy("query", "rank").collect():
+        got[r["query"]].append((r["id"], r["score"]))
+    for n, text in enumerate(texts[:4]):
+        want = found(docs, text, 3)
+        assert [i for i, _ in got[n]] == [i for i, _ in want] and [s for _, s in got[n]] == pytest.approx([s for _, s in want], abs=2e-6), text
+        assert all(got[m] == got[n] for m in range(n, len(texts), 4))
+    assert sum(stored) < 2 * len(docs) + 5 * len(texts)
