@@ -6,13 +6,20 @@ the chunk size; each chunk after the first starts with the end of the one before
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 1536, 200
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 CHUNKS = "array<struct<offset: int, text: string>>"
+#: Bytes of text whose chunks are held at a time.
+STEP_BYTES = 1_000_000
 
 
 def _n(text: str) -> int:
@@ -67,8 +74,23 @@ def chunked(text: Column, size: int = SIZE, most_overlap: int = OVERLAP, separat
     return of(text)
 
 
+def _cut(batches: Iterable[pa.RecordBatch], how: dict) -> Iterator[pa.RecordBatch]:
+    """(doc_id, section, metadata, part, text): a row a chunk of (doc_id, section, metadata, text); the chunks of ``STEP_BYTES`` of texts, or of one text, at a time."""
+    for batch in batches:
+        ends, i = np.cumsum(pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy().astype(np.int64)), 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP_BYTES, side="right")))
+            found = [[c for _, c in chunks(t, **how)] for t in batch.column(3).slice(i, j - i).to_pylist()]
+            n = np.array([len(x) for x in found], np.int64)
+            at, part = pa.array(np.repeat(np.arange(i, j), n)), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(part.astype(np.int32)), pa.array([c for x in found for c in x], pa.string())], names=["doc_id", "section", "metadata", "part", "text"])
+            i = j
+
+
 def chunk_sections(sections: DataFrame, **how) -> DataFrame:
     """Chunks of (doc_id, section, text, metadata), numbered from 0 over each document: doc_id, chunk_index, text, metadata. An overlap never leaves its section."""
-    found = sections.select("doc_id", "section", "metadata", F.posexplode(chunked(F.col("text"), **how)).alias("part", "chunk"))
+    own = sections.select("doc_id", "section", "metadata", "text")
+    kinds = ", ".join(f"{c} {kind}" for c, kind in own.dtypes[:3])
+    found = own.mapInArrow(lambda b: _cut(b, how), f"{kinds}, part int, text string")
     order = Window.partitionBy("doc_id").orderBy("section", "part")
-    return found.select("doc_id", (F.row_number().over(order) - 1).alias("chunk_index"), F.col("chunk.text").alias("text"), "metadata")
+    return found.select("doc_id", (F.row_number().over(order) - 1).alias("chunk_index"), "text", "metadata")
