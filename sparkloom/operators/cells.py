@@ -1,7 +1,7 @@
 """A vector index whose cells keep themselves: large ones split, small ones merge, members move to where they belong, and searches probe as many as a measured recall wants.
 
 The index is a folder of tables that grow by committed batches (``batches``): int8 ``members`` by cell, ``centroids`` (each batch that has them has all), ``probes``. What
-upkeep changes is a batch of its own: the members that move and the new centroids; cells that nothing happens to are not read.
+upkeep changes is one batch of its own: the members that have moved in the end and the new centroids. Its passes work on a table of the live members that is read from the batches once.
 
 There are at most ``CELLS_MOST`` cells, as the size from which a cell splits grows with the number of vectors; so centroids, cell sizes and the sums of a split are small tables
 that the driver may hold. Vectors never pass through it.
@@ -48,22 +48,31 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].reshape(len(column), -1).astype(float)
 
 
-def placed(rows: DataFrame, centroids: dict[int, np.ndarray], *, vector: str = "vector") -> DataFrame:
-    """``rows`` with ``cell``: the centroid of the largest dot product, the smaller number on a tie; cell 0 where there is none. A batch of vectors is one matrix product."""
+def placed(rows: DataFrame, centroids: dict[int, np.ndarray], *, vector: str = "vector", among: set[int] | None = None) -> DataFrame:
+    """``rows`` with ``cell``: the centroid of the largest dot product, the smaller number on a tie; cell 0 where there is none. Vectors meet the centroids in matrix products of ``search.SCORES`` numbers.
+
+    With ``among``, only rows that have one of these as their ``cell`` are placed, the others keep theirs.
+    """
+    own = [c for c in rows.columns if c != "cell"]
     if not centroids:
-        return rows.withColumn("cell", F.lit(0))
+        return rows.select(*own, F.lit(0).alias("cell") if among is None else F.when(F.col("cell").isin(list(among)), 0).otherwise(F.col("cell")).alias("cell"))
     names = np.array(sorted(centroids), np.int32)
     shared = rows.sparkSession.sparkContext.broadcast(np.array([centroids[c] for c in names]))
-    place = rows.columns.index(vector)
+    place, step = own.index(vector), max(1, search.SCORES // len(names))
 
     def run(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
-            if batch.num_rows:
-                best = np.round(_matrix(batch.column(place)) @ shared.value.T, 6).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best])], names=[*batch.schema.names, "cell"])
+            if not batch.num_rows:
+                continue
+            cell = np.zeros(batch.num_rows, np.int32) if among is None else batch.column(len(own)).to_numpy().copy()
+            at = np.flatnonzero(np.isin(cell, list(among))) if among is not None else np.arange(batch.num_rows)
+            for part in np.split(at, range(step, len(at), step)):
+                if len(part):
+                    cell[part] = names[np.round(_matrix(batch.column(place).take(pa.array(part))) @ shared.value.T, 6).argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(cell)], names=[*own, "cell"])
 
-    kinds = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
-    return rows.mapInArrow(run, f"{kinds}, cell int")
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes if c != "cell")
+    return rows.select(*own, *(["cell"] if among is not None else [])).mapInArrow(run, f"{kinds}, cell int")
 
 
 def _put_members(spark: SparkSession, path: str, batch: int, rows: DataFrame) -> None:
@@ -109,23 +118,25 @@ def upkeep(spark: SparkSession, path: str, *, most: int = MOST, least: int = LEA
     """Splits and merges until every cell has its size; whether there are cells. With fewer than ``LEAST_FOR_CELLS`` vectors there are none, and searches read all.
 
     Each pass halves all cells that are too large at once, drops the centroids of those that are too small, and places the members of the cells concerned, and of the neighbours of the new ones,
-    anew; that is one batch. A cell of equal vectors can't be split and stays.
+    anew. All passes are one batch in the end. A cell of equal vectors can't be split and stays.
     """
+    had = known = _centroids(spark, path)
+    work = written(members(spark, path).select("id", "q", "scale", "vector", F.col("cell").alias("was"), "cell"), "live")
     stuck: set[int] = set()
-    first = True
+    changed = False
     while True:
-        sizes = {r["cell"]: r["count"] for r in members(spark, path).groupBy("cell").count().collect()}
-        n, known = sum(sizes.values()), _centroids(spark, path)
+        sizes = {r["cell"]: r["count"] for r in work.groupBy("cell").count().collect()}
+        n = sum(sizes.values())
         if n < LEAST_FOR_CELLS:
-            if known:
-                _change(spark, path, {}, members(spark, path).where("cell <> 0"))
+            if had:
+                _change(spark, path, {}, work.where("cell <> 0").withColumn("cell", F.lit(0)))
             return False
         limit = max(min(most, n // 4), 2 * n // CELLS_MOST)
-        now = known or {0: _means(_floats(spark, path, list(sizes)).select(F.lit(0).alias("cell"), "vector"))[0]}
+        now = known or {0: _means(work.select(F.lit(0).alias("cell"), "vector"))[0]}
         # Only the first pass merges, as alternating splits and merges need not end; the smaller half goes, the rest may grow by that.
-        small = sorted((c for c in now if sizes.get(c, 0) < min(least, limit // 2)) if first and known else (), key=lambda c: (sizes.get(c, 0), -c))
+        small = sorted((c for c in now if sizes.get(c, 0) < min(least, limit // 2)) if not changed and known else (), key=lambda c: (sizes.get(c, 0), -c))
         small = set(small[: (len(small) + 1) // 2 if len(small) > 1 or len(now) > 1 else 0])
-        halves = _halves(spark, path, {c: now[c] for c, size in sizes.items() if size > limit and c in now and c not in stuck})
+        halves = _halves(work, sizes, {c: now[c] for c, size in sizes.items() if size > limit and c in now and c not in stuck})
         stuck |= {c for c, (_, other) in halves.items() if other is None}
         after = {c: v for c, v in now.items() if c not in small}
         fresh: set[int] = set()
@@ -136,24 +147,19 @@ def upkeep(spark: SparkSession, path: str, *, most: int = MOST, least: int = LEA
                 fresh |= {cell, new}
         concerned = small | fresh | _neighbours(after, fresh) | (set(sizes) - set(known) if known else set(sizes))
         if not small and not fresh:
-            if not known or pending(spark, path):
+            if changed:
+                _change(spark, path, after, work.where("cell <> was"))
+            elif not had or pending(spark, path):
                 _change(spark, path, after, None)  # so that upkeep is known to have run
             return True
-        _change(spark, path, after, members(spark, path).where(F.col("cell").isin([c for c in concerned if c in sizes])))
-        first = False
+        work = written(placed(work, after, among={c for c in concerned if c in sizes}), "placed")
+        known, changed = after, True
 
 
-def _floats(spark: SparkSession, path: str, cells: list[int]) -> DataFrame:
-    """(id, cell, vector) of some cells."""
-    return members(spark, path).where(F.col("cell").isin(cells)).select("id", "cell", "vector")
-
-
-def _change(spark: SparkSession, path: str, centroids: dict[int, np.ndarray], concerned: DataFrame | None) -> None:
-    """A batch of new centroids, and of the members among ``concerned`` that move."""
+def _change(spark: SparkSession, path: str, centroids: dict[int, np.ndarray], moved: DataFrame | None) -> None:
+    """A batch of new centroids, and of the members that have ``moved``."""
     batch = batches.next_batch(spark, path)
-    if concerned is not None:
-        old = concerned.select("id", "q", "scale", F.col("cell").alias("was"), "vector")
-        moved = written(placed(old, centroids).where("cell <> was").drop("was"), "moved")
+    if moved is not None:
         _put_members(spark, path, batch, moved)
     rows = [(int(c), v.tolist()) for c, v in sorted(centroids.items())]
     batches.put(spark.createDataFrame(rows, CENTROIDS).coalesce(1), path, "centroids", batch)
@@ -161,27 +167,36 @@ def _change(spark: SparkSession, path: str, centroids: dict[int, np.ndarray], co
 
 
 def _means(rows: DataFrame, sides: dict[int, np.ndarray] | None = None) -> dict[int, np.ndarray]:
-    """The mean vector of each cell of (cell, vector), or, with two centroids a cell in ``sides``, of each side: then by 2 * cell + side. Sums are a row a batch and cell before they're added up."""
+    """The mean vector of each cell of (cell, vector), or, with two centroids a cell in ``sides``, of each side: then by 2 * cell + side. Sums are a row a task and cell before they're added up."""
     shared = rows.sparkSession.sparkContext.broadcast(sides)
 
     def run(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
         for batch in given:
             if not batch.num_rows:
                 continue
             cell, x = batch.column(0).to_numpy().astype(np.int64), _matrix(batch.column(1))
+            order = np.argsort(cell, kind="stable")
+            cell, x = cell[order], x[order]
             group = cell if shared.value is None else 2 * cell
             if shared.value is not None:
-                for c in np.unique(cell):
-                    own = np.flatnonzero(cell == c)
-                    group[own] += np.round(x[own] @ shared.value[c].T, 6).argmax(axis=1)
-            names, place = np.unique(group, return_inverse=True)
-            sums = np.zeros((len(names), x.shape[1]))
-            np.add.at(sums, place, x)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(place)), pa.array(list(sums), pa.list_(pa.float64()))], names=["name", "n", "sums"])
-
-    flat = rows.select("cell", "vector").mapInArrow(run, "name long, n long, sums array<double>").select("name", "n", F.posexplode("sums").alias("d", "x"))
-    found = flat.groupBy("name", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("d", F.round(F.col("x") / F.col("n"), 9).alias("m")))).alias("c"))
-    return {r["name"]: np.array([m["m"] for m in r["c"]]) for r in found.collect()}  # at most two a cell
+                names, first = np.unique(cell, return_index=True)
+                for c, a, b in zip(names.tolist(), first, [*first[1:], len(cell)], strict=True):
+                    group[a:b] += np.round(x[a:b] @ shared.value[c].T, 6).argmax(axis=1)
+                order = np.argsort(group, kind="stable")
+                group, x = group[order], x[order]
+            names, first = np.unique(group, return_index=True)
+            for name, n, s in zip(names.tolist(), np.diff([*first, len(group)]).tolist(), np.add.reduceat(x, first, axis=0), strict=True):
+                own = total.setdefault(name, [0, 0.0])
+                own[0] += n
+                own[1] = own[1] + s
+        names = sorted(total)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([total[c][0] for c in names], pa.int64()), pa.array([total[c][1].tolist() for c in names], pa.list_(pa.float64()))], names=["name", "n", "sums"])
+
+    parts = rows.select("cell", "vector").mapInArrow(run, "name long, n long, sums array<double>").groupBy("name").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("sums")).alias("sums"))  # a part a task
+    whole = F.aggregate(F.slice("sums", 2, F.size("sums")), F.col("sums")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    found = parts.select("name", F.transform(whole, lambda x: F.round(x / F.col("n"), 9)).alias("c"))
+    return {r["name"]: np.array(r["c"]) for r in found.collect()}  # at most two a cell
 
 
 def _farthest(rows: DataFrame, of: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -202,11 +217,13 @@ def _farthest(rows: DataFrame, of: dict[int, np.ndarray]) -> dict[int, np.ndarra
     return {r["cell"]: np.array(r["m"]["vector"]) for r in found.collect()}  # one a cell
 
 
-def _halves(spark: SparkSession, path: str, large: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray | None]]:
+def _halves(work: DataFrame, sizes: dict[int, int], large: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray | None]]:
     """Two centroids for each of the large cells by a 2-means of its own members, all cells at once; None for the second where they can't be told apart."""
     if not large:
         return {}
-    rows = written(_floats(spark, path, list(large)).withColumn("cell", F.col("cell").cast("int")), "large-cells")
+    rows = work.select("id", "cell", "vector")
+    if len(large) < len(sizes):
+        rows = written(rows.where(F.col("cell").isin(list(large))), "large-cells")
     one = _farthest(rows, large)
     other = _farthest(rows, one)
     sides = {c: np.array([one[c], other[c]]) for c in one}
@@ -217,7 +234,9 @@ def _halves(spark: SparkSession, path: str, large: dict[int, np.ndarray]) -> dic
         sides = new
         if same:
             break
-    alone = _means(rows, sides)
+    else:
+        means = _means(rows, sides)
+    alone = means
     return {c: (s[0], s[1] if 2 * c in alone and 2 * c + 1 in alone else None) for c, s in sides.items()}
 
 
@@ -233,7 +252,8 @@ def _neighbours(centroids: dict[int, np.ndarray], fresh: set[int]) -> set[int]:
 # Searches
 
 
-def _found(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int) -> DataFrame:
+def _found(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int, kept: DataFrame | None = None) -> DataFrame:
+    """``kept``: the live members, where they have been read already."""
     latest = _latest(spark, path, "centroids")
     known = spark.read.schema(CENTROIDS).parquet(latest) if latest else spark.createDataFrame([], CENTROIDS)
 
@@ -243,7 +263,7 @@ def _found(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
         else:
             wanted = written(search.probed(block, known, probes), "probed")
         needed = [r["cell"] for r in wanted.select("cell").distinct().collect()]  # at most all cells
-        live = members(spark, path).where(F.col("cell").isin(needed))
+        live = (members(spark, path) if kept is None else kept).where(F.col("cell").isin(needed))
         rough = written(search.top(search.in_cells(live.select("id", F.col("q").alias("v"), "scale", "cell"), wanted, RESCORED * k), RESCORED * k).select("query", "id"), "rough")
         full = live.select("id", F.col("vector").alias("v")).join(rough, "id").join(block.select("query", "vector"), "query")
         return search.top(full.select("query", "id", F.round(vectors.dot(F.col("v"), F.col("vector")), 6).alias("score")), k)
@@ -264,8 +284,9 @@ def tuned(spark: SparkSession, path: str, queries: DataFrame, exact: DataFrame,
     known, probes = max(1, len(_centroids(spark, path))), 1
     exact = written(exact.select("query", "id"), "exact")
     total = exact.count()
+    kept = written(members(spark, path).drop("batch"), "live")  # for all rounds
     while True:
-        found = _found(spark, path, queries, k, probes).select("query", "id")
+        found = _found(spark, path, queries, k, probes, kept).select("query", "id")
         got = found.join(exact, ["query", "id"]).count() / max(1, total)
         if got >= recall or probes >= known or not total:
             break
