@@ -53,7 +53,7 @@ def clusters(items: DataFrame, *, block: int = BLOCK) -> DataFrame:
     numbered = with_row_number(items.select("doc_id", "id", "vector"), ["doc_id"], ["id"], "row")
     part = F.floor((F.col("row") - 1) / block)
     parts = numbered.groupBy("doc_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("row", "id", F.col("vector").cast("array<double>").alias("vector")))).alias("rows"))
-    sizes = numbered.groupBy("doc_id").agg(F.max("row").alias("n"))
+    sizes = items.groupBy("doc_id").agg(F.count("*").alias("n"))  # not by row numbers, which would be made twice
     k = F.least(F.lit(MOST_CLUSTERS), F.greatest(F.lit(1), F.floor(F.col("n") / 3))).cast("int")
     blocks = written(parts.join(sizes.withColumn("k", k).where("k > 1"), "doc_id").select("doc_id", "part", "n", "k", F.transform("rows", lambda r: r["id"]).alias("ids"), F.transform("rows", lambda r: r["vector"]).alias("vectors")), "blocks")
     alone, shared = blocks.where(F.col("n") <= block), blocks.where(F.col("n") > block)
@@ -140,8 +140,8 @@ def tree(chunks: DataFrame) -> DataFrame:
     level, out = chunks.select("doc_id", "id", "text", "vector"), None
     for depth in range(1, LEVELS + 1):
         members = clusters(level.select("doc_id", "id", "vector")).join(level, ["doc_id", "id"])
-        by = members.groupBy("doc_id", "cluster").agg(F.array_sort(F.collect_list("id")).alias("child_ids"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda p: models.run("summarize", p["text"])), " ").alias("summary"), F.count("*").alias("n"))
-        by = by.where(F.col("n") >= LEAST_MEMBERS)
+        by = members.groupBy("doc_id", "cluster").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("parts"))
+        by = by.where(F.size("parts") >= LEAST_MEMBERS).select("doc_id", "cluster", F.transform("parts", lambda p: p["id"]).alias("child_ids"), F.array_join(F.transform("parts", lambda p: models.run("summarize", p["text"])), " ").alias("summary"))
         nodes = by.select("doc_id", F.lit(depth).alias("level"), (F.lit(depth) * 1_000_000 + F.col("cluster")).cast("long").alias("id"), "summary", confidence(F.col("summary")).alias("confidence"), "child_ids", models.run("embed", F.col("summary")).alias("vector"))
         nodes = written(nodes, "nodes")  # read by the next level, twice, and by the result
         out = nodes if out is None else out.unionByName(nodes)

@@ -25,7 +25,7 @@ def raptor_tree(spark: SparkSession, sf: str) -> DataFrame:
 def raptor_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     """The trees of all documents; every hundredth is asked its first line."""
     chunks = written(_chunks(spark, sf), "chunks")
-    nodes = written(raptor.tree(chunks), "nodes")
+    nodes = raptor.tree(chunks)
     asked = chunks.where("id = 0 and doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "doc_id", "vector")
     return raptor.retrieve(nodes, chunks, asked, 5)
 
