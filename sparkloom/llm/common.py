@@ -58,11 +58,11 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(name, str(most))
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, what: str, hashes: bool = False) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read again: cuts the lineage, survives lost executors. ``hashes``: no dictionaries are tried, as hardly a value comes twice."""
     path = shared_path(df.sparkSession, what)
     with tidy(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

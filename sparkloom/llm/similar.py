@@ -85,21 +85,26 @@ def _block() -> Column:
 def members(classes: DataFrame, what: str) -> DataFrame:
     """(node, work) of every item of ``classes`` (node, n_grams, bands) that collides with another in some band; work says in which groups it is compared."""
     keyed = classes.select("node", "n_grams", F.explode("bands").alias("key"))
-    hubs = stored(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("items"), F.sum("n_grams").alias("grams")).where("items > 1"), f"{what}-bands")
-    labels = components(keyed.join(hubs.select("key", "hub"), "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    sized = labels.join(classes.select("node", "n_grams"), "node")
+    hubs = stored(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top"), f"{what}-bands")
+    # All keys are dealt twice, to find those that collide and their items; the rest is of these alone.
+    pairs = stored(keyed.join(hubs.hint("shuffle_hash"), "key"), f"{what}-pairs")
+    groups = pairs.groupBy("key").agg(F.min("hub").alias("hub"), F.count("*").alias("items"), F.sum("n_grams").alias("grams"))
+    labels = components(pairs.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    sized = labels.join(pairs.groupBy("node").agg(F.min("n_grams").alias("n_grams")), "node")
     sizes = sized.groupBy("label").agg(F.count("*").alias("items"), F.sum("n_grams").alias("grams")).withColumn("n_blk", _blocks("items", "grams"))
     many = sizes.where("n_blk > 1").withColumn("sent", F.col("items") * F.col("n_blk")).select("label", "sent")
     # What all bands' groups of such a component would send.
-    in_bands = hubs.select(F.col("hub").alias("node"), (F.col("items") * _blocks("items", "grams")).alias("by_band")).join(labels, "node").join(many, "label").groupBy("label").agg(F.first("sent").alias("sent"), F.sum("by_band").alias("by_band"))
+    in_bands = groups.select(F.col("hub").alias("node"), (F.col("items") * _blocks("items", "grams")).alias("by_band")).join(labels, "node").join(many, "label").groupBy("label").agg(F.first("sent").alias("sent"), F.sum("by_band").alias("by_band"))
     loose = stored(in_bands.where("by_band < sent").select("label"), f"{what}-loose")
     work = lambda grp, banded: F.array(F.struct(grp.alias("grp"), F.lit(banded).alias("banded"), _block().alias("blk"), F.col("n_blk")).cast(WORK)).alias("work")
     whole = labels.join(sizes.select("label", "n_blk"), "label")
     if loose.isEmpty():
         return whole.select("node", work(F.col("label"), False))
     ours = labels.join(loose, "label").select("node")
-    groups = keyed.join(hubs.select("key", _blocks("items", "grams").alias("n_blk")), "key").join(ours, "node").select("node", work(F.col("key"), True))
-    by_band = groups.groupBy("node").agg(F.flatten(F.collect_list("work")).alias("work"))
+    # Written, so that the join has a shuffle on both sides, whose hot keys Spark can split.
+    blocks = stored(groups.select("key", _blocks("items", "grams").alias("n_blk")), f"{what}-blocks")
+    banded = pairs.join(blocks.hint("shuffle_hash"), "key").join(ours, "node").select("node", work(F.col("key"), True))
+    by_band = banded.groupBy("node").agg(F.flatten(F.collect_list("work")).alias("work"))
     return whole.join(loose, "label", "left_anti").select("node", work(F.col("label"), False)).unionByName(by_band)
 
 

@@ -31,7 +31,7 @@ def _word_letters() -> np.ndarray:
 LETTERS = _word_letters()
 _GRAM_BASE = np.uint64(0xD6E8FEB86659FD93)
 _SHORT = np.uint64(0xA0761D6478BD642F)
-_PLACE = np.uint64(0x9FB21C651E98DF25)
+PLACE = np.uint64(0x9FB21C651E98DF25)
 #: Places of a word that have random values of their own; letters further in are told apart by a factor.
 _PLACES = 32
 _VALUES = np.random.default_rng(11).integers(0, 1 << 64, (2, _PLACES * 256), dtype=np.uint64)
@@ -53,7 +53,7 @@ def _spelled(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     begins = np.cumsum(sizes) - sizes
     place = np.arange(len(letters), dtype=np.int32) - np.repeat(begins.astype(np.int32), sizes)
     far = np.flatnonzero(place >= _PLACES)
-    beyond = mixed((place[far].astype(np.uint64)) * _PLACE) | np.uint64(1) if len(far) else None
+    beyond = mixed((place[far].astype(np.uint64)) * PLACE) | np.uint64(1) if len(far) else None
     index = np.minimum(place, _PLACES - 1) * np.int32(256) + letters
     out = []
     for table in _VALUES:
@@ -73,7 +73,7 @@ def span_pairs(words: Words, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
         begins = np.cumsum(n) - n
         place = np.arange(int(n.sum())) - np.repeat(begins, n)
         value = words.checks[np.repeat(starts[some], n) + place]
-        value += (place + 1).astype(np.uint64) * _PLACE
+        value += (place + 1).astype(np.uint64) * PLACE
         second[some] = mixed(np.add.reduceat(mixed(value), begins))
     return span_hashes(words.hashes, starts, ends), second
 

@@ -660,3 +660,24 @@ def test_no_clean_document_is_lost_to_language_id(spark, sf):
     docs_ = p.stored(base.unionByName(more), "language-cases")
     kept = {r["doc_id"] for r in p.language_id(spark, docs_, sf).collect()}
     assert kept >= {r["doc_id"] for r in docs_.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
+
+
+def test_places_of_a_window_meet_once(spark, monkeypatch):
+    """Lengths of shared passages aren't rows that are dealt again and again, and equal lines aren't sorted, unless a window is in very many places."""
+    r = random.Random(6)
+    parts = [prose(r.randint(26, 110), 1_900 + i) for i in range(9)]
+    texts = ["\n".join(f"{prose(r.randint(3, 30), r.random())} {' '.join(r.choice(parts).split()[r.randrange(9) :])}" for _ in range(3)) for _ in range(40)]
+    plans, kept = {}, passages.stored
+
+    def seen(df, what, **how):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, what, **how)
+
+    monkeypatch.setattr(passages, "stored", seen)
+    table = docs(spark, [*texts, None, "", *texts[:4]])
+    rows = lambda **how: sorted((x["doc_id"], x["n_removed"], [tuple(s) for s in x["removed"]], x["kept_in"]) for x in passages.repeats(table, **how).collect())
+    found = rows()
+    assert sum(n > 0 for _, n, _, _ in found) > 30 and not {"coarse", "rest", "fine"} & plans.keys()
+    assert "SortAggregate" not in plans["lines"] and "HashAggregate" in plans["lines"]
+    for most in (0, 5):
+        assert rows(group_rows=most) == found and {"coarse", "rest", "fine"} <= plans.keys()
