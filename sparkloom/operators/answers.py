@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import audio, jsons, models, speech
 from sparkloom.functions.text import answer_prompt, prefix_of_bytes, words
 from sparkloom.operators import lifecycle, raptor, search
-from sparkloom.sources.tables import written
+from sparkloom.sources.tables import beside, written
 
 #: A leg: the ranking (query, id, rank) of some (query, text).
 Leg = Callable[[DataFrame], DataFrame]
@@ -25,7 +25,7 @@ def gated(questions: DataFrame, n_documents: int) -> DataFrame:
 
 def sources(questions: DataFrame, chunks: DataFrame, legs: list[tuple[Leg, float]], k: int) -> DataFrame:
     """(query, id, grade, score, rank): the k best graded of the 2 k best fused chunks (id, text) of each question (query, text)."""
-    pool = search.top(search.fused([(leg(questions), weight) for leg, weight in legs]), 2 * k).select("query", "id", "score")
+    pool = beside(search.top(search.fused([(leg(questions), weight) for leg, weight in legs]), 2 * k).select("query", "id", "score"), "pool")
     texts = chunks.select("id", F.col("text").alias("passage")).join(pool, "id").join(questions.select("query", "text"), "query")
     graded = texts.select("query", "id", search.grade(models.run("grade", F.col("text"), F.col("passage"))).alias("grade"), "score")
     return search.graded(graded, k)
@@ -88,7 +88,7 @@ def answered(questions: DataFrame, chunks: DataFrame, legs: list[tuple[Leg, floa
         order = Window.partitionBy("query").orderBy(F.desc("grade"), F.desc("score"), "id")
         again = both.drop("rank").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = first.join(poor.select("query"), "query", "left_anti").unionByName(again.select(first.columns))
-    found = written(found, "found")
+    found = beside(found, "found")
     # Titles and places of at most k chunks a question.
     placed = chunks.select("id", "doc_id", "chunk_index", F.coalesce("title", F.lit("Unknown")).alias("title")).join(found, "id")
     listed = placed.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "title", "grade", "score"))).alias("sources"))
@@ -105,7 +105,7 @@ def answered_from_trees(questions: DataFrame, nodes: DataFrame, chunks: DataFram
     lines in order of score, level and id, the context, cut at ``most_bytes`` (None: whole); a node's title is "RAPTOR Summary". Other questions are ``answered`` as usual, over all chunks.
     """
     has = questions.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = raptor.retrieve(nodes, chunks, has.select("query", "doc_id", "vector"), k)
+    found = beside(raptor.retrieve(nodes, chunks, has.select("query", "doc_id", "vector"), k), "retrieved")
     own = nodes.select("doc_id", "level", "id", F.col("summary").alias("passage"), F.lit("RAPTOR Summary").alias("title")).unionByName(chunks.select("doc_id", F.lit(0).alias("level"), "id", F.col("text").alias("passage"), F.coalesce("title", F.lit("Unknown")).alias("title")))
     texts = found.join(own, ["doc_id", "level", "id"])
     listed = texts.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "level", "id", "title", "score", "passage"))).alias("s"))

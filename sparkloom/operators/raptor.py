@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import models, vectors
 from sparkloom.operators.ordered import with_row_number
 from sparkloom.operators.search import top
-from sparkloom.sources.tables import written
+from sparkloom.sources.tables import beside, written
 
 LEVELS, MOST_CLUSTERS, LEAST_MEMBERS, ROUNDS, UNSURE, CLUSTER_BYTES = 2, 10, 3, 20, -1.5, 4000
 #: Items of a document that are one row while they're clustered.
@@ -155,5 +155,6 @@ def retrieve(nodes: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) ->
     best = top(near.select("query", "doc_id", "level", "id", "confidence", "child_ids", F.round(vectors.dot(F.col("vector"), F.col("qv")), 6).alias("score")), k)
     sure = best.where(F.col("confidence") >= UNSURE).select("query", "doc_id", "level", "id", "score")
     children = best.where(F.col("confidence") < UNSURE).select("query", "doc_id", (F.col("level") - 1).alias("level"), F.explode("child_ids").alias("id"), "score")
+    children = beside(children, "children")
     known = chunks.select("doc_id", F.lit(0).alias("level"), "id").unionByName(nodes.select("doc_id", "level", "id"))
     return sure.unionByName(children.join(known, ["doc_id", "level", "id"]).select("query", "doc_id", "level", "id", "score"))
