@@ -9,7 +9,7 @@ that the driver may hold. Vectors never pass through it.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -252,23 +252,46 @@ def _neighbours(centroids: dict[int, np.ndarray], fresh: set[int]) -> set[int]:
 # Searches
 
 
-def _found(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int, kept: DataFrame | None = None) -> DataFrame:
-    """``kept``: the live members, where they have been read already."""
-    latest = _latest(spark, path, "centroids")
-    known = spark.read.schema(CENTROIDS).parquet(latest) if latest else spark.createDataFrame([], CENTROIDS)
-
-    def run(block: DataFrame) -> DataFrame:
-        if known.isEmpty():
-            wanted = block.select("query", F.col("vector").alias("qv"), F.lit(0).alias("cell"))
-        else:
-            wanted = written(search.probed(block, known, probes), "probed")
-        needed = [r["cell"] for r in wanted.select("cell").distinct().collect()]  # at most all cells
-        live = (members(spark, path) if kept is None else kept).where(F.col("cell").isin(needed))
-        rough = written(search.top(search.in_cells(live.select("id", F.col("q").alias("v"), "scale", "cell"), wanted, RESCORED * k), RESCORED * k).select("query", "id"), "rough")
-        full = live.select("id", F.col("vector").alias("v")).join(rough, "id").join(block.select("query", "vector"), "query")
-        return search.top(full.select("query", "id", F.round(vectors.dot(F.col("v"), F.col("vector")), 6).alias("score")), k)
-
-    return search.in_blocks(queries, run)
+def _near(matrix: np.ndarray, centroids: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The cells, and for each row of a matrix of queries the places of all of them from the nearest on; the smaller number on a tie. Without centroids there is cell 0."""
+    if not centroids:
+        return np.zeros(1, np.int32), np.zeros((len(matrix), 1), np.uint16)
+    names = np.array(sorted(centroids), np.int32)
+    c = np.array([centroids[x] for x in names])
+    order, step = np.zeros((len(matrix), len(names)), np.uint16), max(1, search.SCORES // len(names))
+    for i in range(0, len(matrix), step):
+        part = matrix[i : i + step]
+        scores = np.round(part @ c.T, 6) if part.shape[1] == c.shape[1] else np.zeros((len(part), len(c)))
+        order[i : i + step] = np.argsort(-scores, axis=1, kind="stable")
+    return names, order
+
+
+class _Search:
+    """The rough best, by int8 vectors, of a block of queries in more and more of their nearest cells. The driver holds the block's vectors once and a number for each query and cell, rows of both never."""
+
+    def __init__(self, block: DataFrame, centroids: dict[int, np.ndarray], k: int) -> None:
+        self.block, self.k, self.kind = block, k, dict(block.dtypes)["query"]
+        self.names, self.matrix, _ = search.query_matrix(block)
+        self.cells, self.order = _near(self.matrix, centroids)
+        self.probes, self.rough, self.read = 0, None, set()
+
+    def _within(self, live: DataFrame, cells: Collection[int]) -> DataFrame:
+        return live if len(cells) == len(self.cells) else live.where(F.col("cell").isin(list(cells)))
+
+    def found(self, live: DataFrame, probes: int) -> DataFrame:
+        """(query, id, score, rank) in the ``probes`` nearest cells; only those that weren't probed before are read for it."""
+        new = self.order[:, self.probes : probes]
+        asked = search.by_cell(self.cells[new.ravel()], np.repeat(np.arange(len(new)), new.shape[1]))
+        self.read |= set(asked)
+        if asked:
+            rough = search.of_cells(self._within(live, asked).select("id", F.col("q").alias("v"), "scale", "cell"), self.names, self.matrix, asked, RESCORED * self.k, self.kind)
+            rough = rough if self.rough is None else rough.unionByName(self.rough)
+            self.rough = written(search.top(rough, RESCORED * self.k).select("query", "id", "score"), "rough")
+        self.probes = probes
+        if self.rough is None:
+            return search.top(live.sparkSession.createDataFrame([], f"query {self.kind}, id long, score double"), self.k)
+        full = self._within(live, self.read).select("id", F.col("vector").alias("v")).join(F.broadcast(self.rough.drop("score")), "id").join(F.broadcast(self.block.select("query", "vector")), "query")  # a block
+        return search.top(full.select("query", "id", F.round(vectors.dot(F.col("v"), F.col("vector")), 6).alias("score")), self.k)
 
 
 def find(spark: SparkSession, path: str, queries: DataFrame, k: int, *, probes: int | None = None) -> DataFrame:
@@ -276,18 +299,20 @@ def find(spark: SparkSession, path: str, queries: DataFrame, k: int, *, probes:
     if probes is None:
         tuned = _latest(spark, path, "probes")
         probes = spark.read.parquet(tuned).head()["probes"] if tuned else CELLS_MOST
-    return _found(spark, path, queries, k, probes)
+    known, live = _centroids(spark, path), members(spark, path)
+    return search.in_blocks(queries, lambda block: _Search(block, known, k).found(live, probes))
 
 
 def tuned(spark: SparkSession, path: str, queries: DataFrame, exact: DataFrame, k: int, recall: float = 0.9) -> tuple[int, float]:
-    """Measures (probes, recall at k) of ``queries`` against their ``exact`` results (query, id), for twice as many cells at a time until ``recall`` is reached, and keeps it for searches."""
-    known, probes = max(1, len(_centroids(spark, path))), 1
+    """Measures (probes, recall at k) of ``queries`` against their ``exact`` results (query, id), for twice as many cells at a time until ``recall`` is reached, and keeps it for searches. A round searches the cells that the last one didn't."""
+    centroids, probes = _centroids(spark, path), 1
+    known = max(1, len(centroids))
     exact = written(exact.select("query", "id"), "exact")
     total = exact.count()
     kept = written(members(spark, path).drop("batch"), "live")  # for all rounds
+    searches = [_Search(block, centroids, k) for block in search.blocks(queries)]
     while True:
-        found = _found(spark, path, queries, k, probes, kept).select("query", "id")
-        got = found.join(exact, ["query", "id"]).count() / max(1, total)
+        got = sum(s.found(kept, probes).select("query", "id").join(exact, ["query", "id"]).count() for s in searches) / max(1, total)
         if got >= recall or probes >= known or not total:
             break
         probes = min(known, 2 * probes)
