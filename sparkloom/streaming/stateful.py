stream_rates: compute a key's rates on plain arrays

Symptom: stream_rates spent most of its CPU in Python, 482 to 599 Python CPU seconds per input GB against 106 to 117 of the JVM, over 100,000 events of 1,500 users.
Evidence: the state step takes one call a user; a call on 67 rows took 3.8 ms of pandas concat, sort_values, shift and frame arithmetic (timed alone), and asked the state store twice, exists and then get.
Fix: _Rates.handleInputRows sorts and subtracts numpy arrays of the key's rows and reads the state by one get; state, schema, order and null handling are as before.
Effect: at 1 GB of input CPU 1007 -> 687 s, shuffle 0.15 -> 0.15 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.17 GB, longest task 14 -> 12 s, most memory of a task 36 -> 36 MB; at 6 GB of input CPU 3602 -> 2765 s, shuffle 0.92 -> 0.92 GB, spill 0.00 -> 0.00 GB, read 1.12 -> 1.12 GB, longest task 31 -> 25 s, most memory of a task 42 -> 42 MB; with hot keys, at 1 GB of input CPU 1375 -> 934 s, shuffle 0.13 -> 0.13 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.17 GB, longest task 366 -> 177 s, most memory of a task 168 -> 168 MB.

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +24,14 @@ class _Rates(StatefulProcessor):
         self.last = handle.getValueState("last", "t double, x double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(["t", "id"], kind="stable")
-        before = self.last.get() if self.last.exists() else (None, None)
-        t, x = own["t"].shift(), own["x"].shift()
-        if before[0] is not None:
-            t.iloc[0], x.iloc[0] = before
-        dt = own["t"] - t
-        self.last.update((float(own["t"].iloc[-1]), float(own["x"].iloc[-1])))
-        yield pd.DataFrame({"key": key[0], "id": own["id"], "rate": ((own["x"] - x) / dt).where(dt > 0)})
+        frames = list(rows)
+        t, x, ident = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("t", "x", "id"))
+        order = np.lexsort((ident, t))
+        t, x, ident = t[order], x[order], ident[order]
+        before = self.last.get() or (np.nan, np.nan)  # one request to the state, which has None for a new key
+        dt, dx = np.diff(t, prepend=before[0]), np.diff(x, prepend=before[1])
+        self.last.update((float(t[-1]), float(x[-1])))
+        yield pd.DataFrame({"key": key[0], "id": ident, "rate": np.divide(dx, dt, out=np.full(len(t), np.nan), where=dt > 0)})
 
     def close(self) -> None:
         pass

@@ -141,3 +141,33 @@ def test_token_streams(spark, tmp_path):
         out = stateful.written_through(stateful.tokens(spark.readStream.schema(late.schema).parquet(f"{tmp_path}/in"), at="at", patience=50.0), f"{tmp_path}/out", f"{tmp_path}/check")
     assert [(r["kind"], r["text"]) for r in sorted(out.where("key = 'b'").collect(), key=lambda r: r["n"])] == [("content", "one"), ("lost", None)]
     assert out.where("key = 'a'").count() == 5
+
+
+def test_rates_ask_the_state_once_a_key():
+    """A key's rows come in any order and in parts; where time, counter or id is null they stand last and have no rate. State is read by one request and written by one."""
+    import pandas as pd
+
+    class State:
+        value, asked = None, []
+
+        def exists(self):
+            self.asked.append("exists")
+            return self.value is not None
+
+        def get(self):
+            self.asked.append("get")
+            return self.value
+
+        def update(self, value):
+            self.asked.append("update")
+            self.value = value
+
+    own, nan = stateful._Rates(), float("nan")
+    own.last = State()
+    frame = lambda *rows: pd.DataFrame(rows, columns=["t", "x", "id"])
+    rows = lambda *frames: [tuple(None if pd.isna(v) else v for v in r) for f in own.handleInputRows((7,), iter(frames), None) for r in f.itertuples(index=False)]
+    assert rows(frame((4.0, 9.0, 3), (1.0, 2.0, 2)), frame((1.0, 1.0, 1))) == [(7, 1, None), (7, 2, None), (7, 3, 7 / 3)]
+    assert own.last.value == (4.0, 9.0) and own.last.asked == ["get", "update"]
+    assert rows(frame((6.0, 5.0, 4))) == [(7, 4, -2.0)]
+    assert rows(frame((nan, 8.0, 9.0), (8.0, nan, 5.0), (9.0, 3.0, nan), (9.0, 4.0, 6.0), (11.0, 5.0, 7.0))) == [(7, 5, None), (7, 6, None), (7, None, None), (7, 7, 1.0), (7, 9, None)]
+    assert own.last.asked == ["get", "update"] * 3
