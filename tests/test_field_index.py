@@ -164,3 +164,19 @@ def test_search_stores_no_postings(spark, tmp_path, monkeypatch):
         assert [i for i, _ in got[n]] == [i for i, _ in want] and [s for _, s in got[n]] == pytest.approx([s for _, s in want], abs=2e-6), text
         assert all(got[m] == got[n] for m in range(n, len(texts), 4))
     assert sum(stored) < 2 * len(docs) + 5 * len(texts)
+
+
+def test_blocks_are_written_without_sorting(spark, tmp_path, monkeypatch):
+    """A task has a file open for each bucket and stays below the number of files from which Spark sorts what is left; of each file it holds a row group of bounded size."""
+    import pyarrow.parquet as pq
+
+    limits, tidy = [], field_index.tidy
+    monkeypatch.setattr(field_index, "tidy", lambda s: (limits.append(int(s.conf.get("spark.sql.maxConcurrentOutputFileWriters"))), tidy(s))[1])
+    monkeypatch.setattr(field_index, "ROW_GROUP", 8192)
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 100), x -> concat('w', id * 100 + x)), ' ') AS text")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    field_index.add(docs, str(tmp_path / "index"), {"text": "text"})
+    files = list((tmp_path / "index" / "postings" / "batch=1").glob("bucket=*/*.parquet"))
+    assert limits == [field_index.BUCKETS + 1] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert len(files) == field_index.BUCKETS and all(pq.ParquetFile(f).metadata.num_row_groups > 1 for f in files)
+    assert sum(pq.ParquetFile(f).metadata.num_rows for f in files) == 40_000
